@@ -27,11 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_LEFT: list[tuple[SparkSession, str]] = []
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Results are read lazily, so what they need stays until the driver ends."""
+    if not _LEFT:
+        atexit.register(_clear)
+    _LEFT.append((spark, path))
+
+
+def _clear() -> None:
+    for spark, path in _LEFT:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended before us
+            return
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

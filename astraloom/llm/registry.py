@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from astraloom.llm import html_text, pieces, quality_rules, secrets, simhash, warc
+from astraloom.llm import ann, html_text, language, mixing, pieces, quality_model, quality_rules, secrets, simhash, warc
 from astraloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +28,20 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(read_table(spark, sf_dir, "pages"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_model.score_quality(docs, quality_model.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(read_table(spark, sf_dir, "pages"), least=0)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_query(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +50,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(read_table(spark, sf_dir, "documents"))
 
@@ -51,14 +70,18 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_html_extraction,
+        op2_quality_classifier,
         op3_warc,
+        op4_language_id,
         op5_simhash,
         op6_sentencepiece,
+        op7_mixing,
+        op8_ann,
         op9_secrets,
         op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.oracle()}
 
 
 def queries() -> dict[str, Query]:

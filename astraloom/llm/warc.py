@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from astraloom.llm.common import map_batches, shared_dir, written
+from astraloom.llm.common import gone_at_exit, map_batches, shared_dir, written
 
 INDEX = "archive string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long, payload_bytes long"
 SHARD_BYTES = 256 << 20
@@ -93,6 +93,7 @@ def write_archives(pages: DataFrame, least: int = 0, shard_bytes: int = SHARD_BY
     """Writes the archives of pages (page_id, url, html) and returns their index, a written table."""
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    gone_at_exit(spark, folder)
 
     def digests():
         def fn(batch: pa.RecordBatch) -> dict:

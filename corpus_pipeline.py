@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from astraloom.llm import pieces, quality_rules, secrets, simhash
+from astraloom.llm import mixing, pieces, quality_rules, secrets, simhash
 from astraloom.llm.common import DOCUMENT, read_table, written
 from astraloom.llm.registry import tokenizer_path
 
+MIX = mixing.Mix(share=70, epochs=1)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression bands reject go."""
@@ -24,6 +26,11 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.redact(docs).select(*DOCUMENT)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Seven tenths of the tokens that are left, by domain, language and source, each document once at most."""
+    return mixing.keep_mixed(docs, MIX).select(*DOCUMENT)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document that is left."""
     return pieces.round_trip(docs, tokenizer_path())
@@ -33,6 +40,7 @@ STAGES = [
     ("quality rules", quality),
     ("near dedup", near_dedup),
     ("secrets", scan_secrets),
+    ("mixing", mix),
     ("encode", encode),
 ]
 #: The stages are not SQL; tests hold the run against a brute-force version.
