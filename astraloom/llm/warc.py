@@ -114,7 +114,10 @@ def write_archives(pages: DataFrame, least: int = 0, shard_bytes: int = SHARD_BY
         ((F.col("n") >= least) & F.col("best").isNotNull() & (F.col("best.seq") != F.col("seq"))).alias("revisit"),
     )
     shards = max(1, -(-int(total["b"]) // shard_bytes), min(int(total["n"]), spark.sparkContext.defaultParallelism))
-    dealt = placed.join(said, "seq").select(F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int").alias("shard"), "page_id", "url", "html", "digest", "refers_to", "revisit")
+    shard = F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int").alias("shard")
+    # both sides are dealt by the shard alone, so the join needs no further exchange and pages move once
+    dealt = placed.select(shard, "*").repartition(shards, "shard").join(said.select(shard, "*").repartition(shards, "shard"), ["shard", "seq"])
+    dealt = dealt.select("shard", "page_id", "url", "html", "digest", "refers_to", "revisit")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition's rows, sorted by shard; each shard is an archive."""
@@ -143,7 +146,7 @@ def write_archives(pages: DataFrame, least: int = 0, shard_bytes: int = SHARD_BY
             if out is not None:
                 out.close()
 
-    index = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id")).mapInArrow(write, INDEX)
+    index = dealt.sortWithinPartitions("shard", F.col("page_id")).mapInArrow(write, INDEX)
     return written(index, "warc-index").withColumn("folder", F.lit(folder))
 
 
@@ -167,7 +170,7 @@ PARSED = "page_id long, url string, payload_bytes long, payload_digest string, r
 
 
 def read_records(index: DataFrame, payloads: bool = False, gap: int = 64 << 10, most: int = 16 << 20, spread: int | None = None) -> DataFrame:
-    """The records that the index rows select: fields as in `parse`; with payloads also html. Each archive is read by one task in order."""
+    """The records that the index rows select: fields as in `parse`; with payloads also html. Each archive is read by one task in order; archives are dealt to `spread` tasks."""
     schema = PARSED + (", html string" if payloads else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -203,8 +206,8 @@ def read_records(index: DataFrame, payloads: bool = False, gap: int = 64 << 10,
             if opened is not None:
                 opened.close()
 
-    parts = [spread] if spread else []
-    return index.select("folder", "archive", "offset", "length").repartition(*parts, "folder", "archive").sortWithinPartitions("folder", "archive", "offset").mapInArrow(read, schema)
+    spread = spread or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.select("folder", "archive", "offset", "length").repartition(spread, "folder", "archive").sortWithinPartitions("folder", "archive", "offset").mapInArrow(read, schema)
 
 
 def warc_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
