@@ -1,0 +1,348 @@
+"""The catalogue of Python rules: each is a query over syntax rows (`n`) and files (`f`).
+
+A rule selects path, line and symbol. Names of rules and their severities are part of the data model; the questions
+are asked relationally: a filter on one row and its children, anti-joins for what is never used, windows for order.
+"""
+
+from __future__ import annotations
+
+import builtins
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Rule:
+    id: str
+    severity: str
+    sql: str
+
+
+RULES: dict[str, Rule] = {}
+
+
+def rule(id: str, severity: str, sql: str) -> None:
+    RULES[id] = Rule(id, severity, sql)
+
+
+def kid(field: str, idx: int = 0, kids: str = "kids") -> str:
+    """The child of a row at a field."""
+    return f"get(filter({kids}, k -> k.field = '{field}' AND k.idx = {idx}), 0)"
+
+
+def some(field: str, test: str, kids: str = "kids") -> str:
+    return f"exists({kids}, k -> k.field = '{field}' AND {test})"
+
+
+def count(field: str, test: str = "true", kids: str = "kids") -> str:
+    return f"size(filter({kids}, k -> k.field = '{field}' AND {test}))"
+
+
+def among(words: str) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words.split()) + ")"
+
+
+DEFS = among("FunctionDef AsyncFunctionDef")
+UPPER = "({0} = upper({0}) AND {0} <> lower({0}))"
+FUNC = kid("func")
+BY_NAME = f"{FUNC}.kind = 'Name'"
+BY_ATTR = f"{FUNC}.kind = 'Attribute'"
+#: Every name anywhere below a function, by function.
+UNDER = "(SELECT path, explode(fns) AS f, name, ctx, kind, pre, depth, line, base, kids, op FROM n)"
+
+# -- fixed values of the rules ---------------------------------------------------------------------------------
+NEVER_UNUSED = among("self cls db request response _ user current_user session token background_tasks")
+ABSTRACT = among("abstractmethod abstractstaticmethod abstractclassmethod abstractproperty")
+FRAMEWORK_BASES = among(
+    "Base DeclarativeBase BaseModel Model Middleware BaseHTTPMiddleware Exception BaseException Error Warning Enum IntEnum StrEnum Flag IntFlag "
+    "TypedDict NamedTuple Protocol Generic TestCase IsolatedAsyncioTestCase HTMLParser"
+)
+ORM_CALLS = among("Column mapped_column relationship")
+DATA_DECORATORS = among("dataclass attrs define frozen")
+SINK_NAMES = among("eval exec compile")
+SINK_ATTRS = among("system popen call run Popen check_output check_call")
+LOG_TOKENS = "log|logger|logging|print|traceback|warn|warning|error|critical"
+CALL_MARKERS = among("Depends Query Path Body Header Cookie File Form Security Param Field Provide")
+MUTATORS = among("append extend insert remove pop clear update popitem setdefault __setitem__ __delitem__")
+HTTP_VERBS = among("get post put delete patch head options request")
+ROUTE_VERBS = among("get post put delete patch options head")
+ENTRY_NAMES = among("__main__.py cli.py main.py run.py manage.py app.py")
+LOG_METHODS = among("debug info warning warn error critical exception log")
+BLOCKING = among(
+    "requests.get requests.post requests.put requests.delete requests.patch requests.head requests.options requests.request urllib.request.urlopen time.sleep "
+    "subprocess.run subprocess.call subprocess.check_call subprocess.check_output subprocess.Popen"
+)
+ORM_SYNC = among("query commit rollback flush refresh")
+RISKY = r"(?i)(?:^|_)(capital|total|count|conf|confidence|budget|balance|weight|size|sum|tot)s?(?:$|_)"
+SECRETS = (
+    ("api key", r"\\bsk-[A-Za-z0-9_-]{20,}\\b"),
+    ("personal access token", r"\\bghp_[A-Za-z0-9]{36}\\b"),
+    ("oauth token", r"\\bgho_[A-Za-z0-9]{36}\\b"),
+    ("access key id", r"\\bAKIA[0-9A-Z]{16}\\b"),
+    ("search api key", r"\\bAIza[0-9A-Za-z_-]{35}\\b"),
+    ("chat webhook", r"https://hooks\\.slack\\.com/services/T[A-Z0-9]+/B[A-Z0-9]+/[A-Za-z0-9]+"),
+    ("chat token", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
+    ("private key", r"-----BEGIN (RSA |EC |OPENSSH |DSA |)PRIVATE KEY-----"),
+)
+BUILTINS = "(" + ", ".join(f"'{x}'" for x in sorted({*dir(builtins), "__file__", "__name__", "__doc__", "__builtins__", "__loader__", "__spec__", "__package__"})) + ")"
+FILE_LINES, FUNCTION_LINES, COMPLEXITY, METHODS = 500, 100, 20, 20
+
+# -- imports, names and sizes ------------------------------------------------------------------------------------
+rule("DEAD_IMPORT", "low", """
+SELECT a.path, a.parent_line AS line, a.name AS symbol FROM n a
+LEFT ANTI JOIN (SELECT DISTINCT path, name FROM n WHERE kind = 'Name') u ON a.path = u.path AND a.name = u.name
+WHERE a.kind = 'alias' AND a.source_name <> '*'""")
+rule("UNUSED_PARAM", "low", f"""
+SELECT a.path, a.line, a.name AS symbol FROM n a
+LEFT ANTI JOIN (SELECT DISTINCT path, f, name FROM {UNDER} WHERE kind = 'Name') u ON a.path = u.path AND a.gp = u.f AND a.name = u.name
+WHERE a.kind = 'arg' AND a.field IN ('args', 'posonlyargs', 'kwonlyargs') AND a.gp_kind IN {DEFS}
+  AND (NOT startswith(a.fn_name, '_') OR a.fn_name = '__init__') AND NOT startswith(a.name, '_') AND a.name NOT IN {NEVER_UNUSED}""")
+_CONSTANTS = f"""
+SELECT a.path, a.parent_line AS line, a.name AS symbol FROM n a
+LEFT ANTI JOIN (SELECT DISTINCT path, name FROM n WHERE kind = 'Name' AND ({{0}})) u ON a.path = u.path AND a.name = u.name
+WHERE a.kind = 'Name' AND a.field = 'targets' AND a.parent_kind = 'Assign' AND a.gp_kind = 'Module' AND NOT startswith(a.name, '_') AND length(a.name) > 1
+  AND ({UPPER.format('a.name')} OR (contains(a.name, '_') AND forall(split(a.name, '_'), p -> p = '' OR {UPPER.format('substr(p, 1, 1)')})))"""
+# as the assignment itself counts as a use, the first never fires; the second asks what was meant
+rule("UNUSED_CONSTANT", "low", _CONSTANTS.format("true"))
+rule("UNUSED_CONSTANT_INTENT", "low", _CONSTANTS.format("ctx = 'Load'"))
+rule("NOTIMPLEMENTED_STUB", "med", f"""
+SELECT path, line, name AS symbol FROM (
+  SELECT *, filter(kids, k -> k.field = 'body') AS body FROM n WHERE kind IN {DEFS} AND NOT {some('decorator_list', f'k.name IN {ABSTRACT}')})
+LATERAL VIEW explode(array(IF(get(body, 0).kind = 'Expr' AND get(body, 0).value_kind = 'Constant', slice(body, 2, size(body)), body))) AS rest
+WHERE size(rest) = 1 AND rest[0].kind = 'Raise' AND rest[0].name = 'NotImplementedError'""")
+rule("UNUSED_ARG_FLAG", "med", f"""
+SELECT a.path, a.line, a.dest AS symbol FROM (
+  SELECT path, line, replace(ltrim('-', get(filter(kids, k -> k.field = 'args' AND k.const_type = 'str' AND startswith(k.const_str, '--')), 0).const_str), '-', '_') AS dest
+  FROM n WHERE kind = 'Call' AND name = 'add_argument' AND {BY_ATTR}) a
+LEFT ANTI JOIN (SELECT DISTINCT path, name FROM n WHERE kind = 'Attribute' AND base = 'args') u ON a.path = u.path AND a.dest = u.name
+WHERE a.dest <> ''""")
+rule("GOD_FILE", "med", f"SELECT path, 1 AS line, path AS symbol FROM f WHERE n_lines > {FILE_LINES} AND path IN (SELECT path FROM n WHERE kind = 'Module')")
+rule("GOD_FUNCTION", "med", f"SELECT path, line, name AS symbol FROM n WHERE kind IN {DEFS} AND end_line - line + 1 > {FUNCTION_LINES}")
+rule("GOD_FUNCTION_COMPLEXITY", "med", f"""
+SELECT d.path, d.line, d.name AS symbol FROM n d
+JOIN (SELECT path, f, sum(CASE WHEN kind = 'BoolOp' THEN {count('values')} - 1 ELSE 1 END) AS branches FROM {UNDER} WHERE kind IN ('If', 'While', 'For', 'ExceptHandler', 'BoolOp') GROUP BY path, f) c
+  ON d.path = c.path AND d.pre = c.f WHERE 1 + c.branches > {COMPLEXITY}""")
+rule("GOD_CLASS", "med", f"SELECT path, line, name AS symbol FROM n WHERE kind = 'ClassDef' AND {count('body', f'k.kind IN {DEFS}')} > {METHODS}")
+rule("REDUNDANT_CLASS", "low", f"""
+SELECT c.path, c.line, c.name AS symbol FROM (
+  SELECT *, filter(kids, k -> k.field = 'body' AND k.kind IN {DEFS}) AS methods FROM n WHERE kind = 'ClassDef'
+    AND NOT {some('bases', f"k.kind IN ('Name', 'Attribute') AND (k.name IN {FRAMEWORK_BASES} OR k.name RLIKE '(Base|Middleware|Error|Exception)$')")}
+    AND NOT {some('body', f"k.kind IN ('Assign', 'AnnAssign') AND k.value_kind = 'Call' AND substring_index(k.value_name, '.', -1) IN {ORM_CALLS}")}
+    AND NOT {some('decorator_list', f'k.name IN {DATA_DECORATORS}')}) c
+LEFT ANTI JOIN n t ON t.path = c.path AND t.gp = c.pre AND t.kind = 'Name' AND t.field = 'targets' AND t.parent_kind = 'Assign' AND t.name = '__tablename__'
+WHERE size(filter(methods, m -> NOT startswith(m.name, '_'))) = 1 AND size(methods) <= 2""")
+rule("MAGIC_NUMBER_VS_CONSTANT", "low", f"""
+SELECT x.path, x.line, c.symbol FROM n x
+JOIN (SELECT t.path, {kid('value', kids='a.kids')}.const_num AS num, max_by(t.name, t.pre) AS symbol FROM n t JOIN n a ON t.path = a.path AND t.parent = a.pre
+  WHERE t.kind = 'Name' AND t.field = 'targets' AND t.parent_kind = 'Assign' AND t.gp_kind = 'Module' AND {UPPER.format('t.name')} AND {kid('value', kids='a.kids')}.const_num NOT IN (0, 1, 2, -1, 100)
+  GROUP BY 1, 2) c ON x.path = c.path AND x.const_num = c.num
+WHERE x.kind = 'Constant' AND NOT (x.top_kind <=> 'Assign')""")
+
+# -- control flow ------------------------------------------------------------------------------------------------
+rule("UNREACHABLE_CODE", "high", """
+SELECT path, get(part, at).line AS line, kind AS symbol FROM (
+  SELECT path, kind, part, CAST(array_position(transform(part, (k, i) -> k.kind IN ('Return', 'Break', 'Continue', 'Raise') AND i < size(part) - 1), true) AS INT) AS at
+  FROM (SELECT *, filter(kids, k -> k.field = list) AS part FROM n LATERAL VIEW explode(array('body', 'orelse')) AS list
+    WHERE kind IN ('FunctionDef', 'AsyncFunctionDef', 'For', 'While', 'If', 'ExceptHandler', 'With', 'AsyncWith')))
+WHERE at > 0""")
+rule("UNSATISFIABLE_CONDITION", "high", f"""
+SELECT path, line, lower(kind) AS symbol FROM (SELECT *, {kid('test')} AS t FROM n WHERE kind IN ('If', 'While'))
+WHERE t.kind = 'Constant' AND (t.const_type = 'NoneType' OR t.const_num = 0 OR (t.const_type = 'str' AND t.const_str = ''))""")
+rule("MIXED_RETURN_TYPES", "med", f"""
+SELECT d.path, d.line, d.name AS symbol FROM n d JOIN (
+  SELECT path, f, count(*) AS n_returns, collect_set(CASE WHEN v.kind = 'Constant' THEN v.const_type WHEN v.kind IN ('Dict', 'List', 'Tuple', 'Set') THEN lower(v.kind) END) AS kinds
+  FROM (SELECT path, f, {kid('value')} AS v FROM {UNDER} WHERE kind = 'Return') WHERE v IS NOT NULL GROUP BY path, f) r ON d.path = r.path AND d.pre = r.f
+WHERE n_returns >= 2 AND array_contains(kinds, 'NoneType') AND size(kinds) > 1""")
+rule("SELF_ASSIGN_IN_EXCEPT", "high", f"""
+SELECT path, line, t.name AS symbol FROM n LATERAL VIEW explode(handlers) AS h LATERAL VIEW explode(filter(kids, k -> k.field = 'targets' AND k.kind = 'Name')) AS t
+WHERE kind = 'Assign' AND {kid('value')}.kind = 'Name' AND {kid('value')}.name = t.name""")
+rule("SWALLOWED_EXCEPTION", "med", f"""
+WITH h AS (SELECT path, pre, line, name FROM n WHERE kind = 'ExceptHandler' AND {kid('type')}.kind = 'Name' AND {kid('type')}.name IN ('Exception', 'BaseException')),
+x AS (SELECT path, explode(handlers) AS h, kind, name, base, kids, pre, last FROM n)
+SELECT h.path, h.line, h.name AS symbol FROM h
+LEFT ANTI JOIN (SELECT DISTINCT path, h FROM x WHERE kind = 'Raise'
+    OR (kind = 'Call' AND ({BY_NAME} OR {BY_ATTR}) AND lower(concat(coalesce(concat(base, '.'), ''), name)) RLIKE '{LOG_TOKENS}')) said ON h.path = said.path AND h.pre = said.h
+LEFT ANTI JOIN (SELECT DISTINCT c.path, c.h, v.name FROM x c JOIN x v ON c.path = v.path AND c.h = v.h AND v.kind = 'Name' AND v.pre BETWEEN c.pre AND c.last
+    WHERE c.kind IN ('Return', 'Call', 'Assign')) shown ON h.path = shown.path AND h.pre = shown.h AND h.name = shown.name""")
+rule("BARE_EXCEPT", "high", f"SELECT path, line, 'except' AS symbol FROM n WHERE kind = 'ExceptHandler' AND NOT {some('type', 'true')}")
+rule("RAISE_WITHOUT_FROM", "med", f"SELECT path, line, name AS symbol FROM n WHERE kind = 'Raise' AND size(handlers) > 0 AND {some('exc', 'true')} AND NOT {some('cause', 'true')}")
+rule("RETURN_BREAK_IN_FINALLY", "med", """
+SELECT path, line, lower(kind) AS symbol FROM n LATERAL VIEW explode(finals) AS t
+WHERE kind = 'Return' OR (kind IN ('Break', 'Continue') AND NOT exists(loops, l -> l > t))""")
+rule("MUTATE_LOOP_ITERABLE", "med", f"""
+SELECT DISTINCT x.path, x.line, l.name AS symbol, l.pre FROM (
+  SELECT path, pre, CASE WHEN i.kind = 'Name' THEN i.name WHEN i.kind = 'Call' AND i.name IN ('items', 'keys', 'values') THEN i.base END AS name
+  FROM (SELECT path, pre, {kid('iter')} AS i FROM n WHERE kind = 'For')) l
+JOIN (SELECT path, explode(loops) AS l, line, kind, name, base, kids FROM n WHERE kind IN ('Call', 'Delete')) x ON x.path = l.path AND x.l = l.pre
+WHERE (x.kind = 'Call' AND x.base = l.name AND x.name IN {MUTATORS})
+  OR (x.kind = 'Delete' AND exists(x.kids, k -> k.kind = 'Subscript' AND k.value_kind = 'Name' AND k.value_name = l.name))""")
+rule("FN_IN_LOOP_LATE_BINDING", "med", f"""
+WITH l AS (SELECT path, pre, {kid('target')}.pre AS t FROM n WHERE kind IN ('For', 'AsyncFor')),
+goal AS (SELECT DISTINCT l.path, l.pre, v.name FROM l JOIN n t ON t.path = l.path AND t.pre = l.t JOIN n v ON v.path = l.path AND v.pre BETWEEN t.pre AND t.last AND v.kind = 'Name' AND v.ctx = 'Store'),
+inner_fn AS (SELECT path, pre, last, line, explode(loops) AS l FROM n WHERE kind IN ('Lambda', 'FunctionDef', 'AsyncFunctionDef')),
+used AS (SELECT i.path, i.l, i.pre, i.last, i.line, g.name FROM inner_fn i JOIN goal g ON i.path = g.path AND i.l = g.pre
+  JOIN n v ON v.path = i.path AND v.name = g.name AND v.kind = 'Name' AND v.ctx = 'Load' AND v.pre > i.pre AND v.pre <= i.last)
+SELECT u.path, min(u.line) AS line, array_join(array_sort(collect_set(u.name)), ',') AS symbol FROM used u
+LEFT ANTI JOIN n a ON a.path = u.path AND a.gp = u.pre AND a.name = u.name AND a.kind = 'arg' AND a.field IN ('args', 'kwonlyargs', 'posonlyargs')
+LEFT ANTI JOIN n s ON s.path = u.path AND s.name = u.name AND s.kind = 'Name' AND s.ctx = 'Store' AND s.pre > u.pre AND s.pre <= u.last
+GROUP BY u.path, u.l, u.pre""")
+rule("STRING_CONCAT_IN_LOOP", "low", f"""
+SELECT x.path, x.line, x.t AS symbol FROM (SELECT path, line, {kid('target')}.name AS t FROM n WHERE kind = 'AugAssign' AND op = 'Add' AND near_loop IS NOT NULL AND {kid('target')}.kind = 'Name') x
+LEFT SEMI JOIN (
+  SELECT path, t.name FROM n LATERAL VIEW explode(filter(kids, k -> k.field = 'targets' AND k.kind = 'Name')) AS t
+  WHERE kind = 'Assign' AND ({kid('value')}.const_type = 'str' OR {kid('value')}.kind = 'JoinedStr')
+  UNION ALL SELECT path, {kid('target')}.name FROM n WHERE kind = 'AnnAssign' AND {kid('target')}.kind = 'Name' AND {kid('annotation')}.kind = 'Name' AND {kid('annotation')}.name = 'str') s
+  ON x.path = s.path AND x.t = s.name""")
+
+# -- calls ---------------------------------------------------------------------------------------------------------
+rule("LIST_POP_ZERO", "med", f"SELECT path, line, coalesce(base, '') AS symbol FROM n WHERE kind = 'Call' AND name = 'pop' AND {BY_ATTR} AND {kid('args')}.kind = 'Constant' AND {kid('args')}.const_num = 0")
+rule("UNGUARDED_JSON", "med", "SELECT path, line, qual AS symbol FROM n WHERE kind = 'Call' AND base = 'json' AND name IN ('load', 'loads') AND NOT in_try")
+rule("UNGUARDED_FILE_OPEN", "low", f"SELECT path, line, coalesce(qual, name) AS symbol FROM n WHERE kind = 'Call' AND name = 'open' AND ({BY_NAME} OR {BY_ATTR}) AND NOT in_try")
+_SINK = f"kind = 'Call' AND (({BY_NAME} AND name IN {SINK_NAMES}) OR ({BY_ATTR} AND name IN {SINK_ATTRS}))"
+rule("TAINT_FSTRING_IN_SINK", "high", f"SELECT path, line, coalesce(qual, name) AS symbol FROM n WHERE {_SINK} AND {kid('args')}.kind = 'JoinedStr'")
+rule("TAINT_CONCAT_IN_SINK", "high", f"SELECT path, line, coalesce(qual, name) AS symbol FROM n WHERE {_SINK} AND {kid('args')}.kind = 'BinOp' AND {kid('args')}.op IN ('Add', 'Mod')")
+rule("TAINT_VARIABLE_IN_SINK", "med", f"SELECT path, line, coalesce(qual, name) AS symbol FROM n WHERE {_SINK} AND {kid('args')}.kind = 'Name'")
+_DEFAULT = f"parent_kind = 'arguments' AND gp_kind IN {DEFS} AND field IN ('defaults', 'kw_defaults')"
+_EMPTY = f"(kind = 'Call' AND {BY_NAME} AND name IN ('list', 'dict', 'set') AND size(kids) = 1)"
+rule("MUTABLE_DEFAULT_ARG", "high", f"SELECT path, line, fn_name AS symbol FROM n WHERE {_DEFAULT} AND (kind IN ('List', 'Dict', 'Set') OR {_EMPTY})")
+rule("FN_CALL_IN_DEFAULT_ARG", "med", f"SELECT path, line, fn_name AS symbol FROM n WHERE {_DEFAULT} AND kind = 'Call' AND NOT {_EMPTY} AND NOT coalesce(name IN {CALL_MARKERS}, false)")
+rule("ZIP_WITHOUT_STRICT", "med", f"SELECT path, line, 'zip' AS symbol FROM n WHERE kind = 'Call' AND {BY_NAME} AND name = 'zip' AND {count('args')} >= 2 AND NOT {some('keywords', "k.name <=> 'strict'")}")
+_COMPARED = """SELECT path, line, o.kind AS symbol FROM n LATERAL VIEW explode(filter(kids, o -> o.field = 'ops' AND o.kind IN ('Eq', 'NotEq')
+  AND exists(kids, c -> c.field = 'comparators' AND c.idx = o.idx AND c.const_type = '{0}'))) AS o WHERE kind = 'Compare'"""
+rule("COMPARE_TO_NONE_WITH_EQ", "low", _COMPARED.format("NoneType"))
+rule("COMPARE_TO_BOOL_WITH_EQ", "low", _COMPARED.format("bool"))
+rule("DATETIME_NOW_NO_TZ", "med", f"""
+SELECT path, line, qual AS symbol FROM n WHERE kind = 'Call' AND base IN ('datetime', 'dt') AND name IN ('now', 'utcnow', 'fromtimestamp')
+  AND NOT {some('keywords', "k.name IN ('tz', 'tzinfo')")} AND NOT (name = 'now' AND {count('args')} > 0) AND NOT (name = 'fromtimestamp' AND {count('args')} > 1)""")
+_MODE = f"IF({kid('args', 1)}.kind = 'Constant', {kid('args', 1)}, get(filter(kids, k -> k.field = 'keywords' AND k.name = 'mode' AND k.value_kind = 'Constant'), 0))"
+rule("OPEN_WITHOUT_ENCODING", "low", f"""
+SELECT path, line, qual AS symbol FROM n WHERE kind = 'Call' AND name = 'open' AND ({BY_NAME} OR base IN ('io', 'codecs', 'pathlib'))
+  AND NOT coalesce({_MODE}.const_type = 'str' AND contains({_MODE}.const_str, 'b'), false) AND NOT {some('keywords', "k.name <=> 'encoding'")}""")
+_SUBPROCESS = "kind = 'Call' AND base = 'subprocess'"
+rule("SHELL_TRUE_WITH_FSTRING", "high", f"""
+SELECT path, line, qual AS symbol FROM n WHERE {_SUBPROCESS} AND name IN ('run', 'Popen', 'call', 'check_call', 'check_output')
+  AND {some('keywords', "k.name = 'shell' AND k.const_type = 'bool' AND k.const_num = 1")} AND ({kid('args')}.kind = 'JoinedStr' OR ({kid('args')}.kind = 'BinOp' AND {kid('args')}.op IN ('Add', 'Mod')))""")
+rule("MISSING_TIMEOUT_ON_HTTP", "high", f"""
+SELECT path, line, qual AS symbol FROM n WHERE kind = 'Call' AND ((base IN ('requests', 'httpx') AND name IN {HTTP_VERBS}) OR qual = 'urllib.request.urlopen') AND NOT {some('keywords', "k.name <=> 'timeout'")}""")
+rule("HARDCODED_SECRET_LIKE", "high", f"""
+SELECT DISTINCT path, line, label AS symbol FROM (SELECT path, line, CASE {' '.join(f"WHEN const_str RLIKE '{p}' THEN '{label}'" for label, p in SECRETS)} END AS label
+  FROM n WHERE kind = 'Constant' AND const_type = 'str' AND length(const_str) >= 16 AND NOT lower(path) RLIKE '/test|tests/|/example|examples/|/fixture|fixtures/') WHERE label IS NOT NULL""")
+rule("F_STRING_IN_LOGGING", "low", f"SELECT path, line, coalesce(qual, name) AS symbol FROM n WHERE kind = 'Call' AND {BY_ATTR} AND name IN {LOG_METHODS} AND {kid('args')}.kind = 'JoinedStr'")
+rule("SUBPROCESS_NO_RETURNCODE_CHECK", "high", f"""
+WITH c AS (SELECT path, line, pre, parent, parent_kind, fn, name FROM n WHERE {_SUBPROCESS} AND name IN ('run', 'Popen', 'call') AND NOT {some('keywords', "k.name = 'check' AND k.const_type = 'bool' AND k.const_num = 1")}),
+kept AS (SELECT c.path, c.line, c.name, coalesce(c.fn, -1) AS scope, {kid('targets', kids='a.kids')}.name AS goal FROM c JOIN n a ON a.path = c.path AND a.pre = c.parent
+  WHERE a.kind = 'Assign' AND {count('targets', kids='a.kids')} = 1 AND {kid('targets', kids='a.kids')}.kind = 'Name'),
+read AS (SELECT DISTINCT path, explode(concat(array(-1), fns)) AS scope, base FROM n WHERE kind = 'Attribute' AND name IN ('returncode', 'check_returncode') AND base IS NOT NULL)
+SELECT path, line, name AS symbol FROM c WHERE parent_kind = 'Expr'
+UNION ALL SELECT k.path, k.line, k.name FROM kept k LEFT ANTI JOIN read r ON k.path = r.path AND k.scope = r.scope AND k.goal = r.base""")
+rule("NON_ATOMIC_READ_WRITE", "med", f"""
+WITH e AS (SELECT path, f, base, line, depth, pre, CASE WHEN startswith(q, 'SELECT') THEN 'read' WHEN q RLIKE '^(INSERT|UPDATE|DELETE)' THEN 'write' WHEN array_contains(slice(split(q, '\\\\s+'), 1, 2), 'BEGIN') THEN 'begin' END AS step
+  FROM (SELECT *, upper(regexp_replace({kid('args')}.const_str, '^\\\\s+|\\\\s+$', '')) AS q FROM {UNDER} WHERE kind = 'Call' AND name = 'execute' AND base IS NOT NULL AND {kid('args')}.const_type = 'str'))
+SELECT path, line, base AS symbol FROM (
+  SELECT *, last(IF(step = 'begin', NULL, step), true) OVER w AS before, count_if(step = 'begin') OVER w AS begun FROM e WHERE step IS NOT NULL
+  WINDOW w AS (PARTITION BY path, f, base ORDER BY depth, pre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+WHERE step = 'write' AND before = 'read' AND begun = 0""")
+
+# -- files and tests -------------------------------------------------------------------------------------------------
+TEST_FILE = "(element_at(split(path, '/'), -1) = 'conftest.py' OR startswith(element_at(split(path, '/'), -1), 'test_') OR endswith(path, '_test.py') OR arrays_overlap(slice(split(path, '/'), 1, size(split(path, '/')) - 1), array('tests', 'test')))"
+rule("ASSERT_IN_NON_TEST", "med", f"SELECT path, line, 'assert' AS symbol FROM n WHERE kind = 'Assert' AND NOT {TEST_FILE}")
+rule("SYS_EXIT_IN_LIBRARY", "med", f"""
+SELECT x.path, x.line, x.qual AS symbol FROM n x
+LEFT ANTI JOIN (SELECT DISTINCT path FROM n WHERE kind = 'Compare' AND field = 'test' AND parent_kind = 'If' AND gp_kind = 'Module' AND op = 'Eq' AND {count('ops')} = 1
+  AND {kid('left')}.kind = 'Name' AND {kid('left')}.name = '__name__' AND {kid('comparators')}.const_str = '__main__') g ON x.path = g.path
+WHERE x.kind = 'Call' AND ((x.qual IN ('exit', 'quit')) OR x.qual = 'sys.exit')
+  AND NOT (element_at(split(x.path, '/'), -1) IN {ENTRY_NAMES} OR endswith(x.path, '_cli.py') OR endswith(x.path, '-cli.py'))""")
+rule("MULTI_STMT_PYTEST_RAISES", "low", f"""
+SELECT w.path, w.line, 'pytest.raises' AS symbol FROM n w
+LEFT SEMI JOIN n c ON c.path = w.path AND c.gp = w.pre AND c.kind = 'Call' AND c.field = 'context_expr' AND c.qual = 'pytest.raises'
+WHERE w.kind = 'With' AND {count('body', "NOT (k.kind = 'Expr' AND k.value_kind = 'Constant')", 'w.kids')} > 1""")
+
+# -- async -----------------------------------------------------------------------------------------------------------
+rule("BLOCKING_IO_IN_ASYNC", "med", f"""
+SELECT c.path, c.line, c.qual AS symbol FROM n c LEFT SEMI JOIN n a ON a.path = c.path AND a.pre = c.scope AND a.kind = 'AsyncFunctionDef' WHERE c.kind = 'Call' AND c.qual IN {BLOCKING}""")
+_ANNOTATION = kid("annotation", kids="p.kids")
+rule("SYNC_ORM_IN_ASYNC_ENDPOINT", "high", f"""
+WITH a AS (SELECT path, pre FROM n WHERE kind = 'AsyncFunctionDef' AND {some('decorator_list', f"k.name IN {ROUTE_VERBS} AND (k.kind = 'Attribute' OR (k.kind = 'Call' AND (k.qual IS NULL OR contains(k.qual, '.'))))")}),
+p AS (SELECT DISTINCT a.path, a.pre, p.name FROM a JOIN n p ON p.path = a.path AND p.gp = a.pre AND p.kind = 'arg' AND p.field IN ('args', 'kwonlyargs', 'posonlyargs')
+  WHERE contains(CASE {_ANNOTATION}.kind WHEN 'Name' THEN {_ANNOTATION}.name WHEN 'Attribute' THEN {_ANNOTATION}.name WHEN 'Subscript' THEN substring_index({_ANNOTATION}.value_name, '.', -1)
+    WHEN 'Constant' THEN IF({_ANNOTATION}.const_type = 'str', {_ANNOTATION}.const_str, NULL) END, 'Async'))
+SELECT c.path, c.line, c.qual AS symbol FROM n c JOIN p ON c.path = p.path AND c.scope = p.pre AND c.base = p.name WHERE c.kind = 'Call' AND c.name IN {ORM_SYNC} AND c.parent_kind <> 'Await'""")
+
+# -- scopes ----------------------------------------------------------------------------------------------------------
+rule("FUNCTION_SCOPED_IMPORT_LEAK", "high", f"""
+WITH top AS (SELECT path, pre, name FROM n WHERE kind IN {DEFS} AND parent_kind = 'Module'),
+inside AS (SELECT DISTINCT a.path, t.name AS origin, a.name FROM n a JOIN top t ON a.path = t.path AND a.top_fn = t.pre WHERE a.kind = 'alias' AND a.source_name <> '*'),
+outer_names AS (SELECT path, name FROM n WHERE at_module AND ((kind = 'Name' AND ctx = 'Store') OR (kind = 'alias' AND source_name <> '*') OR kind IN ('FunctionDef', 'AsyncFunctionDef', 'ClassDef'))
+  UNION ALL SELECT path, name FROM n WHERE kind = 'Name' AND parent_kind = 'NamedExpr' AND field = 'target' AND fn IS NULL AND cls IS NULL AND top_kind = 'Assign'),
+own AS (SELECT path, top_fn, name FROM n WHERE top_fn IS NOT NULL AND (
+    (kind = 'arg' AND gp = top_fn) OR (kind = 'alias' AND source_name <> '*') OR (kind IN ('FunctionDef', 'AsyncFunctionDef', 'ClassDef') AND pre <> top_fn) OR kind = 'ExceptHandler'
+    OR (kind = 'Name' AND ctx = 'Store' AND (parent_kind IN ('Assign', 'AnnAssign', 'For', 'AsyncFor', 'comprehension', 'withitem') OR (parent_kind = 'Tuple' AND gp_kind = 'Assign'))))),
+leak AS (SELECT DISTINCT v.path, v.top_fn, v.line, v.depth, v.pre, v.name FROM n v JOIN top t ON v.path = t.path AND v.top_fn = t.pre JOIN inside i ON v.path = i.path AND v.name = i.name AND t.name <> i.origin
+  WHERE v.kind = 'Name' AND v.ctx = 'Load' AND v.name NOT IN {BUILTINS})
+SELECT path, line, name AS symbol FROM (
+  SELECT l.*, row_number() OVER (PARTITION BY l.path, l.top_fn ORDER BY l.depth, l.pre) AS first FROM leak l
+  LEFT ANTI JOIN outer_names m ON l.path = m.path AND l.name = m.name LEFT ANTI JOIN own o ON l.path = o.path AND l.top_fn = o.top_fn AND l.name = o.name) WHERE first = 1""")
+rule("UNPACK_SIZE_MISMATCH", "high", f"""
+WITH top AS (SELECT path, name, max(pre) AS pre FROM n WHERE kind IN {DEFS} AND parent_kind = 'Module' GROUP BY path, name),
+tuples AS (SELECT path, pre, parent, CASE WHEN {some('elts', "k.kind = 'Starred'")} THEN -1 ELSE {count('elts')} END AS arity FROM n WHERE kind = 'Tuple'),
+r AS (SELECT t.path, t.name, CASE WHEN x.v.kind = 'Tuple' THEN u.arity WHEN x.v.kind = 'Call' AND x.v.qual = x.v.name THEN NULL ELSE 1 END AS arity,
+    IF(x.v.kind = 'Call' AND x.v.qual = x.v.name, x.v.name, NULL) AS callee
+  FROM top t JOIN (SELECT path, top_fn, pre, {kid('value')} AS v FROM n WHERE kind = 'Return') x ON x.path = t.path AND x.top_fn = t.pre LEFT JOIN tuples u ON u.path = x.path AND u.parent = x.pre),
+two AS (SELECT a.path, a.name, b.arity, b.callee FROM r a JOIN r b ON a.path = b.path AND a.callee = b.name),
+three AS (SELECT a.path, a.name, IF(b.callee IS NULL, b.arity, -1) AS arity FROM two a JOIN r b ON a.path = b.path AND a.callee = b.name),
+sizes AS (SELECT path, name, collect_set(arity) AS arities FROM (SELECT path, name, arity FROM r UNION ALL SELECT path, name, arity FROM two UNION ALL SELECT path, name, arity FROM three) GROUP BY path, name)
+SELECT a.path, a.line, a.v.name AS symbol FROM (
+  SELECT path, line, {kid('targets')} AS t, {kid('value')} AS v FROM n WHERE kind = 'Assign' AND {count('targets')} = 1) a
+JOIN tuples u ON u.path = a.path AND u.pre = a.t.pre JOIN sizes s ON s.path = a.path AND s.name = a.v.name
+WHERE a.v.kind = 'Call' AND a.v.qual = a.v.name AND u.arity >= 0 AND size(arities) > 0 AND NOT array_contains(arities, -1) AND NOT array_contains(arities, u.arity)""")
+rule("DIVISION_NO_ZERO_GUARD", "med", f"""
+WITH d AS (SELECT path, line, pre, parent, parent_kind, field, coalesce(fn, -1) AS scope, r.ref AS symbol,
+    filter(array_distinct(array(r.ref, regexp_extract(r.ref, '^(?:len|sum)\\\\((.*)\\\\)$', 1), substring_index(regexp_replace(r.ref, '^(?:len|sum)\\\\(|\\\\)$', ''), '.', -1))), x -> x <> '' AND NOT contains(x, '...')) AS keys
+  FROM (SELECT *, {kid('right')} AS r FROM n WHERE kind = 'BinOp' AND op IN ('Div', 'FloorDiv', 'Mod'))
+  WHERE (r.kind = 'Call' AND r.ref IS NOT NULL) OR (r.kind IN ('Name', 'Attribute') AND r.name RLIKE '{RISKY}')),
+g AS (SELECT DISTINCT path, scope, guard FROM (SELECT path, scope, guards FROM n WHERE kind IN ('If', 'While', 'Assert') AND scope IS NOT NULL AND scope <=> fn
+  UNION ALL SELECT path, -1, guards FROM n WHERE kind IN ('If', 'While', 'Assert')) LATERAL VIEW explode(guards) AS guard),
+open_ones AS (SELECT d.* FROM d LEFT ANTI JOIN n i ON i.path = d.path AND i.pre = d.parent AND i.kind = 'IfExp' AND d.field = 'body' AND arrays_overlap(i.guards, d.keys)),
+safe AS (SELECT DISTINCT o.path, o.pre FROM (SELECT path, pre, scope, explode(keys) AS key FROM open_ones) o JOIN g ON o.path = g.path AND o.scope = g.scope AND o.key = g.guard)
+SELECT DISTINCT o.path, o.line, o.symbol FROM open_ones o LEFT ANTI JOIN safe s ON o.path = s.path AND o.pre = s.pre""")
+
+# -- suppression -----------------------------------------------------------------------------------------------------
+#: Codes of other linters that stand for a rule.
+ALIASES = {"F401": "DEAD_IMPORT", "F811": "DEAD_IMPORT", "F841": "UNUSED_PARAM", "W605": "SWALLOWED_EXCEPTION", "B028": "BARE_EXCEPT", "S307": "UNGUARDED_JSON"}
+NOQA = r"(?i)#\s*noqa(?::\s*([A-Za-z0-9_,\s]+))?"
+
+
+def suppressions(files: DataFrame) -> DataFrame:
+    """path, line, codes of every noqa comment; codes are null where it stands for all rules."""
+    lines = files.filter(F.col("content").rlike(NOQA)).select("path", F.posexplode(F.split("content", "\r\n|\n|\r")).alias("at", "text")).filter(F.col("text").rlike(NOQA))
+    raw = F.regexp_extract("text", NOQA, 1)
+    alias = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    given = F.filter(F.transform(F.split(raw, ","), lambda c: F.upper(F.trim(c))), lambda c: c != "")
+    both = F.array_union(given, F.filter(F.transform(given, lambda c: alias[c]), lambda c: c.isNotNull()))
+    return lines.select("path", (F.col("at") + 1).alias("line"), F.when(raw != "", both).alias("codes"))
+
+
+def run_rule(name: str, rows: DataFrame, files: DataFrame) -> DataFrame:
+    """path, line, symbol of one rule before suppression; repeated findings stay."""
+    found = rows.sparkSession.sql(RULES[name].sql, n=rows, f=files) if False else _sql(rows, files, RULES[name].sql)
+    return found.select("path", F.col("line").cast("long").alias("line"), "symbol")
+
+
+def _sql(rows: DataFrame, files: DataFrame, text: str) -> DataFrame:
+    """The views live in a session of their own, so that names do not meet the caller's."""
+    rows.createOrReplaceTempView("n")
+    files.createOrReplaceTempView("f")
+    return rows.sparkSession.sql(text)
+
+
+def findings(rows: DataFrame, files: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """tier, path, line, rule, severity, symbol of the rules, without what comments suppress."""
+    every: DataFrame | None = None
+    for name in names or list(RULES):
+        one = run_rule(name, rows, files).select(F.lit("lint").alias("tier"), "path", "line", F.lit(name).alias("rule"), F.lit(RULES[name].severity).alias("severity"), "symbol")
+        every = one if every is None else every.unionByName(one)
+    quiet = suppressions(files).withColumnRenamed("path", "q_path").withColumnRenamed("line", "q_line")
+    hit = (F.col("path") == F.col("q_path")) & (F.col("line") == F.col("q_line")) & (F.col("codes").isNull() | F.array_contains(F.col("codes"), F.col("rule")))
+    return every.join(quiet, hit, "left_anti")
