@@ -10,8 +10,8 @@ that owns the key spells the remaining bits out, again in slices of bounded size
 fingerprints and only deals the work. Texts with one fingerprint are one row throughout, so copies cost nothing.
 
 Candidates are verified on whole fingerprints. With one block over all bits two that meet are within 2h bits by the
-triangle inequality; with several blocks of a wider fingerprint (any two within `blocks * (2h + 1) - 1` bits agree
-to 2h bits in some block) each candidate is measured. A task hands on a spanning forest of the links it has found,
+triangle inequality. With several blocks of a wider fingerprint two are linked if they agree to 2h bits in some block
+and to `radius` bits on the whole; all pairs within `blocks * (2h + 1) - 1` bits do the first. A task hands on a spanning forest of the links it has found,
 which keeps every connection; the forests are joined by `components`.
 """
 
@@ -35,7 +35,11 @@ from astraloom.llm.components import components
 
 @dataclass(frozen=True)
 class Scheme:
-    """words per shingle; bits of the fingerprint (64 or 128) cut into `blocks`; `half` bits per ball in a block; links at `radius` bits or fewer."""
+    """words per shingle; bits of the fingerprint (64 or 128) cut into `blocks`; `half` bits per ball in a block; links at `radius` bits or fewer on the whole.
+
+    A block's width bounds the chance meetings: n fingerprints put n * ball / 2 ** width variants on a number, so blocks of
+    32 bits suit up to some 1e9 texts and need wider blocks (and then a smaller radius) beyond.
+    """
 
     words: int = 4
     bits: int = 64
@@ -45,8 +49,8 @@ class Scheme:
     seed: int = 42
 
     def __post_init__(self):
-        if self.radius > self.blocks * (2 * self.half + 1) - 1 or self.bits // self.blocks > 64:
-            raise ValueError("the balls do not cover the radius")
+        if self.bits not in (64, 128) or self.bits % (8 * self.blocks) or self.width > 64 or (self.blocks == 1 and self.radius > 2 * self.half):
+            raise ValueError("the balls do not cover the radius, or blocks do not divide the fingerprint into bytes")
 
     @property
     def width(self) -> int:
@@ -55,8 +59,9 @@ class Scheme:
 
 #: The query's contract: 4 words, 64 bits, 4 differing bits.
 CONTRACT = Scheme()
-#: Near-duplicates of 5-word shingles: 19 of 128 bits is an angle whose Jaccard similarity is 0.8. Every pair within it agrees to 4 bits in one of four blocks.
-NEAR = Scheme(words=5, bits=128, blocks=4, half=2, radius=19)
+#: Near-duplicates of 5-word shingles. 19 of 128 bits is the angle of a Jaccard similarity of 0.8, and all pairs within it meet in a block;
+#: as the estimate scatters by 4 bits, what meets is linked up to 22, so that few pairs of a similarity of 0.8 or more are missed.
+NEAR = Scheme(words=5, bits=128, blocks=4, half=2, radius=22)
 
 #: Per byte value its eight bits, the highest first.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -134,46 +139,61 @@ def _apart(raw: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(raw[a] ^ raw[b]).sum(axis=-1, dtype=np.int64)
 
 
+#: Up to so many members a bucket's pairs are measured at once.
+ALL_PAIRS = 64
+
+
 def _meet(variants: np.ndarray, owners: np.ndarray, raw: np.ndarray, radius: int, always: bool, forest: Forest) -> None:
-    """Links what meets on a variant and is within the radius."""
+    """Links what meets on a variant and is within the radius. Pairs are only looked at here, never handed on."""
     order = np.argsort(variants)
     variants, owners = variants[order], owners[order]
     new = np.append(True, variants[1:] != variants[:-1])
     if new.all():
         return
     heads = np.flatnonzero(new)
-    bucket = np.cumsum(new) - 1
-    rest = np.flatnonzero(~new)
-    first, other = owners[heads[bucket[rest]]], owners[rest]
+    sizes = np.diff(np.append(heads, len(owners)))
     n = len(raw)
-    codes, back = np.unique(first.astype(np.int64) * n + other, return_inverse=True)
-    a, b = codes // n, codes % n
-    near = np.ones(len(a), bool) if always else _apart(raw, a, b) <= radius
-    for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
-        forest.link(i, j)
-    if near.all():
+    if always:  # a bucket is a clique: its head stands for it
+        rest = np.flatnonzero(~new)
+        _link_near(np.unique(owners[heads[np.cumsum(new) - 1][rest]].astype(np.int64) * n + owners[rest]), raw, None, forest)
         return
-    # a bucket of three or more with a member that is far from the head: compare on, without the head
-    sizes = np.diff(np.append(heads, len(owners)))
-    far = np.unique(bucket[rest[~near[back]]])
-    seen: set[tuple] = set()
-    for k in far[sizes[far] > 2].tolist():
-        members = tuple(owners[heads[k] : heads[k] + sizes[k]].tolist())
-        if members in seen:
+    # pairs at every distance within buckets of a moderate size
+    small = (sizes > 1) & (sizes <= ALL_PAIRS)
+    left = np.repeat(np.where(small, sizes - 1, 0), sizes)  # how far the bucket reaches behind each row
+    left -= np.where(left > 0, np.arange(len(owners)) - np.repeat(heads, sizes), 0)
+    step = 1
+    rows = np.flatnonzero(left >= 1)
+    while len(rows):
+        _link_near(np.unique(owners[rows].astype(np.int64) * n + owners[rows + step]), raw, radius, forest)
+        step += 1
+        rows = rows[left[rows] >= step]
+    # in larger ones each member that is reached is compared with those that are not
+    seen: set[bytes] = set()
+    for k in np.flatnonzero(sizes > ALL_PAIRS).tolist():
+        members = np.unique(owners[heads[k] : heads[k] + sizes[k]])
+        if members.tobytes() in seen:
             continue
-        seen.add(members)
-        left = np.array(members, np.int64)
-        todo: list[int] = [members[0]]
-        left = left[1:]
-        while len(left):
-            at = todo.pop() if todo else None
-            if at is None:
-                at, left = int(left[0]), left[1:]
-            hit = _apart(raw, at, left) <= radius
-            for j in left[hit].tolist():
+        seen.add(members.tobytes())
+        todo: list[int] = []
+        while len(members):
+            if todo:
+                at = todo.pop()
+            else:
+                at, members = int(members[0]), members[1:]
+            hit = _apart(raw, at, members) <= radius
+            for j in members[hit].tolist():
                 forest.link(at, j)
                 todo.append(j)
-            left = left[~hit]
+            members = members[~hit]
+
+
+def _link_near(codes: np.ndarray, raw: np.ndarray, radius: int | None, forest: Forest) -> None:
+    a, b = codes // len(raw), codes % len(raw)
+    if radius is not None:
+        near = _apart(raw, a, b) <= radius
+        a, b = a[near], b[near]
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        forest.link(i, j)
 
 
 def _spell(low: np.ndarray, members: np.ndarray, budget: np.ndarray, width: int, half: int, raw: np.ndarray, radius: int, always: bool, forest: Forest) -> None:
