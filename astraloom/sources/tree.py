@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,15 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """path (relative), content of every Python and JavaScript file below root; bytes that are not UTF-8 become U+FFFD."""
     base = root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{py,js,jsx,mjs,cjs,ts,tsx}").load(base)
-    path = F.regexp_replace("path", "^.*?" + _quoted(base.split("://")[-1].lstrip("/")), "")
-    return raw.select(path.alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    relative = F.regexp_replace("path", "^.*?" + _quoted(base.split("://")[-1].lstrip("/")), "")
+    found = raw.select(relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    # the reader leaves out files without a byte; the index that it lists on the driver has them
+    listed = [(unquote(x),) for x in raw.inputFiles()]
+    if not listed:
+        return found
+    every = spark.createDataFrame(listed, "path string").select(relative.alias("path"))
+    empty = every.join(found.select("path"), "path", "left_anti").select("path", F.lit("").alias("content"))
+    return found.unionByName(empty)
 
 
 def _quoted(text: str) -> str:
