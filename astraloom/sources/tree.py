@@ -52,8 +52,20 @@ def _quoted(text: str) -> str:
 
 def ignored_names(spark: SparkSession, root: str) -> list[str]:
     """Names of .gitignore: lines that are no comment, without a final slash; a file is ignored if a part of its path equals one."""
-    lines = spark.read.text(os.path.join(root, ".gitignore")).collect() if _exists(spark, os.path.join(root, ".gitignore")) else []
-    return [x.rstrip("/") for x in (r["value"].strip() for r in lines) if x and not x.startswith("#")]
+    lines = _small_text(spark, os.path.join(root, ".gitignore")).splitlines()
+    return [x.rstrip("/") for x in map(str.strip, lines) if x and not x.startswith("#")]
+
+
+def _small_text(spark: SparkSession, path: str) -> str:
+    """A small file's text; Spark's readers leave out hidden files. What is not there is empty."""
+    if not _exists(spark, path):
+        return ""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
