@@ -31,6 +31,27 @@ ROW = pa.schema(
 )
 
 
+#: A row and a child of which nothing is known yet.
+_BLANK = dict.fromkeys(ROW.names)
+_BLANK_KID = dict.fromkeys(f.name for f in KID)
+
+
+def batch_of(rows: list[dict]) -> pa.RecordBatch:
+    """Rows as a batch, built column by column; the children of all rows are one flat struct behind offsets."""
+    arrays = []
+    for f in ROW:
+        if f.name == "kids":
+            kids = [k for r in rows for k in r["kids"]]
+            offsets = [0]
+            for r in rows:
+                offsets.append(offsets[-1] + len(r["kids"]))
+            struct = pa.StructArray.from_arrays([pa.array([k[c.name] for k in kids], c.type) for c in KID], fields=list(KID))
+            arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct, type=f.type))
+        else:
+            arrays.append(pa.array([r[f.name] for r in rows], f.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=ROW)
+
+
 def _sql_type(kind: pa.DataType) -> str:
     if pa.types.is_list(kind):
         return f"array<{_sql_type(kind.value_type)}>"
@@ -185,7 +206,7 @@ def tree_rows(path: str, text: str) -> list[dict]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [dict.fromkeys(ROW.names) | {"path": path, "pre": 0, "last": 0, "kind": "ParseError", "line": getattr(e, "lineno", None) or 1, "doc": _utf8(f"PARSE ERROR: {e}"[:200]), "fns": [], "handlers": [], "loops": [], "finals": [], "guards": [], "kids": []}]
+        return [_BLANK | {"path": path, "pre": 0, "last": 0, "kind": "ParseError", "line": getattr(e, "lineno", None) or 1, "doc": _utf8(f"PARSE ERROR: {e}"[:200]), "fns": [], "handlers": [], "loops": [], "finals": [], "guards": [], "kids": []}]
     rows: list[dict] = []
     start = {
         "parent": None, "gp": None, "depth": 0, "field": None, "idx": 0, "parent_kind": None, "gp_kind": None, "parent_line": None, "fn": None, "fn_name": None, "fns": [], "top_fn": None,
@@ -201,7 +222,7 @@ def tree_rows(path: str, text: str) -> list[dict]:
         node, context = item
         pre, kind = len(rows), type(node).__name__
         is_def = isinstance(node, DEFS)
-        row = dict.fromkeys(ROW.names) | context | {"path": path, "pre": pre, "kind": kind, "guards": []} | _facts(node)
+        row = _BLANK | context | {"path": path, "pre": pre, "kind": kind, "guards": []} | (context["_facts"] if "_facts" in context else _facts(node))
         row["line"], row["end_line"] = getattr(node, "lineno", None), getattr(node, "end_lineno", None)
         if is_def:
             row["fns"] = [*context["fns"], pre]
@@ -240,27 +261,27 @@ def tree_rows(path: str, text: str) -> list[dict]:
             if isinstance(child, _SKIPPED):
                 continue
             if isinstance(child, ast.cmpop):
-                kids.append(dict.fromkeys(f.name for f in KID) | {"field": field, "idx": i, "kind": type(child).__name__})
+                kids.append(_BLANK_KID | {"field": field, "idx": i, "kind": type(child).__name__})
                 continue
             value = getattr(child, "value", None)
             value = value if isinstance(value, ast.AST) else None
             facts = _facts(child)
             n = len(getattr(child, "args", None) or []) + len(getattr(child, "keywords", None) or []) if isinstance(child, ast.Call) else len(getattr(child, "elts", None) or [])
-            kid = dict.fromkeys(f.name for f in KID) | {k: facts.get(k) for k in ("name", "qual", "base", "op", "const_type", "const_str", "const_num", "ref")}
-            kid |= {"field": field, "idx": i, "kind": type(child).__name__, "value_kind": type(value).__name__ if value else None, "value_name": (dotted(value) or last_name(value)) if value else None, "line": getattr(child, "lineno", None), "n": n}
+            kid = _BLANK_KID | facts | {"field": field, "idx": i, "kind": type(child).__name__, "value_kind": type(value).__name__ if value else None, "value_name": (dotted(value) or last_name(value)) if value else None, "line": getattr(child, "lineno", None), "n": n}
             kids.append(kid)
             # a finally block is a scope of its own for return, break and continue
             final = isinstance(node, ast.Try) and field == "finalbody"
             finals = [*context["finals"], pre] if final else [] if is_def or isinstance(node, (ast.Lambda, ast.ClassDef)) else context["finals"]
-            waiting.append((child, below | {"field": field, "idx": i, "finals": finals}, kid))
+            waiting.append((child, below | {"field": field, "idx": i, "finals": finals}, kid, facts))
         row["kids"] = kids
         todo.append(pre)
-        todo += [(child, ctx | {"_kid": kid}) for child, ctx, kid in reversed(waiting)]
+        todo += [(child, ctx | {"_kid": kid, "_facts": facts}) for child, ctx, kid, facts in reversed(waiting)]
         kid = context.get("_kid")
         if kid is not None:
             kid["pre"] = pre
     for row in rows:
         row.pop("_kid", None)
+        row.pop("_facts", None)
     return rows
 
 
@@ -273,8 +294,8 @@ def syntax_rows(files: DataFrame) -> DataFrame:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found += tree_rows(path, text or "")
                 if len(found) > 20_000:
-                    yield pa.RecordBatch.from_pylist(found, ROW)
+                    yield batch_of(found)
                     found = []
-            yield pa.RecordBatch.from_pylist(found, ROW)
+            yield batch_of(found)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)

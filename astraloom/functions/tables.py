@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df as a Parquet table beside the checkpoints, until the driver ends: read by column, with filters pushed down."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _LEFT:
+        atexit.register(_clear)
+    _LEFT.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_LEFT: list[tuple[SparkSession, str]] = []
+
+
+def _clear() -> None:
+    for spark, path in _LEFT:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended before us
+            return
+
+
 def sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     """A query over named frames."""
     for name, frame in frames.items():

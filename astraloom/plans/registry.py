@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astraloom.functions import javascript
+from astraloom.functions.tables import written
 from astraloom.operators import code_graph, findings, fixes, graph, lint, patterns, questions, xref
 from astraloom.sources import corpus, tree
 from astraloom.sources.corpus import K, NEXT, PROJECT_PATH, R
@@ -79,13 +80,13 @@ def findings_most_severe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT change, rule, path, line, symbol, severity FROM (SELECT *, CASE WHEN line % 2 = 0 AND path NOT LIKE 'pkg3/%' THEN 'new' WHEN path NOT LIKE 'pkg3/%' THEN 'unchanged' WHEN line % 2 = 1 THEN 'resolved' END AS change FROM (SELECT DISTINCT * FROM ({_EXPECTED}))) WHERE change IS NOT NULL")
 def findings_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Now: all but pkg3; then: findings on odd lines."""
-    found = _severe(spark, sf_dir)
+    found = written(_severe(spark, sf_dir), "findings")  # read twice
     return findings.diff(found.filter("path NOT LIKE 'pkg3/%'"), found.filter("line % 2 = 1")).select("change", "rule", "path", "line", "symbol", "severity")
 
 
 @query(f"SELECT count(*) FILTER (severity = 'high') > 0 AS fails_high, count(*) FILTER (severity IN ('high', 'med')) > 0 AS fails_med, count(*) > 0 AS fails_low FROM ({_EXPECTED})")
 def findings_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _severe(spark, sf_dir).persist()
+    found = written(_severe(spark, sf_dir), "findings")
     return spark.createDataFrame([tuple(findings.gate(found, s) for s in ("high", "med", "low"))], "fails_high boolean, fails_med boolean, fails_low boolean")
 
 
@@ -139,19 +140,19 @@ def autofix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- the project corpus --------------------------------------------------------------------------------------------------
 
-_GRAPHS: dict[tuple[int, str], code_graph.CodeGraph] = {}
-_XREFS: dict[tuple[int, str], xref.CrossReferences] = {}
+_GRAPHS: dict[tuple[str, str], code_graph.CodeGraph] = {}
+_XREFS: dict[tuple[str, str], xref.CrossReferences] = {}
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> code_graph.CodeGraph:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _GRAPHS:
         _GRAPHS[key] = code_graph.build(*corpus.parsed(spark, sf_dir, "project"))
     return _GRAPHS[key]
 
 
 def _xref(spark: SparkSession, sf_dir: str) -> xref.CrossReferences:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _XREFS:
         _XREFS[key] = xref.CrossReferences(*corpus.parsed(spark, sf_dir, "project"), _graph(spark, sf_dir))
     return _XREFS[key]

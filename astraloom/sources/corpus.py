@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astraloom.functions.syntax import syntax_rows
+from astraloom.functions.tables import written
 from astraloom.sources.snippets import FAMILIES, JS_FAMILIES, js_variants, variants
 from astraloom.sources.tree import described
 
@@ -105,10 +106,13 @@ _KEPT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def parsed(spark: SparkSession, sf_dir: str, which: str = "snippets") -> tuple[DataFrame, DataFrame]:
-    """(rows, files) of a corpus, parsed once per session and kept in memory or on disk."""
-    key = (f"{id(spark)}:{which}", sf_dir)
+    """(rows, files) of a corpus, parsed once per session into tables.
+
+    Rows lie sorted by kind within a partition, so a rule's filter on kinds skips most row groups and pages.
+    """
+    key = (f"{spark.sparkContext.applicationId}:{which}", sf_dir)
     if key not in _KEPT:
         files = (snippet_files if which == "snippets" else project_files)(spark, sf_dir)
-        files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").persist()  # one file of a table is one partition otherwise
-        _KEPT[key] = syntax_rows(files).persist(), files
+        files = written(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"), "files")  # one file of a table is one partition otherwise
+        _KEPT[key] = written(syntax_rows(files).sortWithinPartitions("kind", "path", "pre"), "rows"), files
     return _KEPT[key]
