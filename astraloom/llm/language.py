@@ -106,11 +106,16 @@ class Model:
 
 def train(texts: list[str], langs: list[str], settings: Settings = Settings()) -> Model | None:
     table = letters()
-    pairs = [(c, lang) for t, lang in zip(texts, langs, strict=True) if (c := counts(t, settings.features, table)) is not None]
-    if not pairs:
+    x = np.empty((len(texts), settings.features), np.float32)
+    of_rows: list[str] = []
+    for text, lang in zip(texts, langs, strict=True):
+        found = counts(text, settings.features, table)
+        if found is not None:
+            x[len(of_rows)] = found
+            of_rows.append(lang)
+    if not of_rows:
         return None
-    x = np.array([c for c, _ in pairs], np.float32)
-    of = np.array([lang for _, lang in pairs])
+    x, of = x[: len(of_rows)], np.array(of_rows)
     df = (x > 0).sum(axis=0)
     idf = (np.log((1 + len(x)) / (1 + df)) + 1).astype(np.float32)
     x *= idf

@@ -28,7 +28,8 @@ class Settings:
     rows: int = 5000  # most labelled rows to learn from
     buckets: int = 1 << 17
     size: int = 8
-    epochs: int = 6
+    epochs: int = 6  # at least; few rows are gone through until `steps` batches are done
+    steps: int = 500
     batch: int = 32
     rate: float = 4.0
     seed: int = 11
@@ -137,8 +138,10 @@ def train(texts: list[str | None], labels: list, settings: Settings = Settings()
         ids, count = np.unique(fs, return_counts=True)
         docs.append((ids, (count / count.sum()).astype(np.float32)))
     target = np.array([classes.index(x) for x in labels])
-    steps, done = settings.epochs * max(1, -(-len(docs) // settings.batch)), 0
-    for _ in range(settings.epochs):
+    batches = max(1, -(-len(docs) // settings.batch))
+    epochs = max(settings.epochs, -(-settings.steps // batches))
+    steps, done = epochs * batches, 0
+    for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), settings.batch):
             batch = order[at : at + settings.batch]

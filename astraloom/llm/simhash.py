@@ -112,8 +112,8 @@ def block_values(raw: np.ndarray, scheme: Scheme, block: int) -> np.ndarray:
     return out
 
 
-#: Most variants that a task spells out at once.
-SLICE = 4_000_000
+#: About how many variants a key's task spells out, and how many of them at once.
+SHARE, SLICE = 4_000_000, 1_000_000
 
 
 class Forest:
@@ -221,7 +221,7 @@ def _spell(low: np.ndarray, members: np.ndarray, budget: np.ndarray, width: int,
 
 def link_forest(fps: DataFrame, scheme: Scheme, count: int) -> DataFrame:
     """fps: distinct fp. Edges (a, b) whose connections are those of all pairs within the radius."""
-    k = min(scheme.width - 8, max(4, math.ceil(math.log2(max(1, count) * ball(scheme.width, scheme.half) / SLICE))))
+    k = min(scheme.width - 8, max(4, math.ceil(math.log2(max(1, count) * ball(scheme.width, scheme.half) / SHARE))))
     size, half, always = scheme.bits // 8, scheme.half, scheme.blocks == 1 and scheme.radius == 2 * scheme.half
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
