@@ -222,6 +222,24 @@ FROM stems s LEFT JOIN dirs d ON d.block = s.block LEFT JOIN top t ON t.block =
     )
 
 
+TEST_FILE = "(lower(path) RLIKE '/tests/|/__tests__/|/test/' OR lower(element_at(split(path, '/'), -1)) RLIKE '^test_|_test[.]py$|[.]test[.]|[.]spec[.]')"
+
+
+def view_blocks(blocks: DataFrame, graph: CodeGraph, most: int = 50) -> DataFrame:
+    """Blocks as a view shows them: tests apart, blocks under two files left out, blocks over `most` files split by top folder with what is alone in (misc)."""
+    return sql(
+        blocks.sparkSession,
+        f"""
+WITH m AS (SELECT b.block, x AS id, replace(x, 'file:', '') AS path FROM blocks b LATERAL VIEW explode(members) AS x),
+named AS (SELECT m.*, {TEST_FILE} AS is_test, n.name FROM m JOIN names n ON n.block = m.block),
+sized AS (SELECT *, count(*) OVER (PARTITION BY block) AS n, IF(contains(path, '/'), filter(split(path, '/'), p -> p <> '')[0], '(root)') AS dir FROM named WHERE NOT is_test),
+split_up AS (SELECT *, count(*) OVER (PARTITION BY block, dir) AS n_dir FROM sized WHERE n >= 2),
+shown AS (SELECT IF(n <= {most}, name, concat(name, ' / ', IF(n_dir < 2, '(misc)', dir))) AS name, block, id, false AS is_tests FROM split_up UNION ALL SELECT 'Tests', '', id, true FROM named WHERE is_test)
+SELECT name, is_tests, array_sort(collect_list(id)) AS members FROM shown GROUP BY name, block, is_tests""",
+        blocks=blocks, names=block_names(blocks), nodes=graph.nodes,
+    )
+
+
 def hotspots(graph: CodeGraph, churn: DataFrame) -> DataFrame:
     """Complexity times churn per file, each over its maximum; complexity alone where there is no churn at all."""
     return sql(

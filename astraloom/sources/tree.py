@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
-from urllib.parse import unquote
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,43 +33,58 @@ def described(files: DataFrame) -> DataFrame:
     )
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), content of every Python and JavaScript file below root; bytes that are not UTF-8 become U+FFFD."""
-    base = root.rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{py,js,jsx,mjs,cjs,ts,tsx}").load(base)
-    relative = F.regexp_replace("path", "^.*?" + _quoted(base.split("://")[-1].lstrip("/")), "")
-    found = raw.select(relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
-    # the reader leaves out files without a byte; the index that it lists on the driver has them
-    listed = [(unquote(x),) for x in raw.inputFiles()]
-    if not listed:
-        return found
-    every = spark.createDataFrame(listed, "path string").select(relative.alias("path"))
-    empty = every.join(found.select("path"), "path", "left_anti").select("path", F.lit("").alias("content"))
-    return found.unionByName(empty)
+def _files_below(fs: pa.fs.FileSystem, folder: str) -> Iterator[str]:
+    """Paths of all files below a folder; on a local disk symbolic links to folders are not followed."""
+    if isinstance(fs, pa.fs.LocalFileSystem):
+        for at, _, names in os.walk(folder, followlinks=False):
+            yield from (f"{at}/{n}" for n in names)
+    else:
+        yield from (x.path for x in fs.get_file_info(pa.fs.FileSelector(folder, recursive=True)) if x.type == pa.fs.FileType.File)
 
 
-def _quoted(text: str) -> str:
-    return "".join("\\" + c if c in r".^$*+?()[]{}|\\" else c for c in text)
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative), content of every Python and JavaScript file below root; bytes that are not UTF-8 become U+FFFD.
+
+    Spark's own readers leave out names that begin with an underscore or a dot and files without a byte, so the tree
+    is listed and read through its file system: the driver lists the root alone, tasks list the folders below it,
+    and the paths are dealt anew before they are read.
+    """
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+    fs, top = pa.fs.FileSystem.from_uri(uri)
+    first = [(x.path, x.type == pa.fs.FileType.Directory) for x in fs.get_file_info(pa.fs.FileSelector(top)) if not os.path.islink(x.path) or x.type == pa.fs.FileType.File]
+    wanted = (".py", *JS_SUFFIXES)
+
+    def list_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = pa.fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path, is_folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [x for x in (_files_below(store, path) if is_folder else [path]) if x.endswith(wanted)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["path"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = pa.fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with store.open_input_stream(path) as f:
+                    text = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([os.path.relpath(path, top)]), pa.array([text])], names=["path", "content"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders = spark.createDataFrame(first, "path string, is_folder boolean").repartition(max(1, min(len(first), tasks)))
+    return folders.mapInArrow(list_files, "path string").repartition(tasks, "path").mapInArrow(read, "path string, content string")
 
 
 def ignored_names(spark: SparkSession, root: str) -> list[str]:
     """Names of .gitignore: lines that are no comment, without a final slash; a file is ignored if a part of its path equals one."""
-    lines = _small_text(spark, os.path.join(root, ".gitignore")).splitlines()
+    fs, top = pa.fs.FileSystem.from_uri(root if "://" in root else f"file://{os.path.abspath(root)}")
+    path = f"{top}/.gitignore"
+    if fs.get_file_info(path).type != pa.fs.FileType.File:
+        return []
+    with fs.open_input_stream(path) as f:
+        lines = f.read().decode("utf-8", "replace").splitlines()
     return [x.rstrip("/") for x in map(str.strip, lines) if x and not x.startswith("#")]
 
 
-def _small_text(spark: SparkSession, path: str) -> str:
-    """A small file's text; Spark's readers leave out hidden files. What is not there is empty."""
-    if not _exists(spark, path):
-        return ""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

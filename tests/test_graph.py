@@ -205,3 +205,33 @@ def test_budget(spark):
     files = described(spark.createDataFrame([("a.py", "x\n" * 40), ("b.py", "y\n" * 40), ("c.py", "z\n" * 40)], "path string, content string"))
     assert {r["path"]: r["taken"] for r in questions.source_budget(files, 75).collect()} == {"a.py": 40, "b.py": 35}
     assert {r["path"]: r["taken"] for r in questions.source_budget(files, 60).collect()} == {"a.py": 40}
+
+
+def test_command(spark, tmp_path, monkeypatch):
+    """The whole run from the command line, twice: a saved baseline, then a new high finding."""
+    import astraloom.__main__ as command
+
+    monkeypatch.setattr(command, "session", lambda: spark)
+    root = tmp_path / "p"
+    for path, text in APP.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text, encoding="utf-8")
+    (root / "app" / "w.js").write_text("var a = 1;\n", encoding="utf-8")
+    (root / ".codemapper.json").write_text('{"rules": [{"id": "w", "pattern": "work(...)"}]}', encoding="utf-8")
+    flags = [str(root), "--lint", "--js", "--xref", "--cycles", "--hotspots", "--questions", "--diff", "auto"]
+    assert command.main([*flags, "--html", "--fail-on", "med"]) == 1
+    with open(root / "repo-map.json", encoding="utf-8") as f:
+        document = json.load(f)
+    assert {"PATTERN:w", "JS_VAR_DECLARATION", "DEAD_IMPORT", "XREF_UNUSED_SYMBOL"} <= {x["rule"] for x in document["findings"]}
+    assert document["cycles"][0]["cycle"] == ["app/b.py", "app/a.py"] and document["stats"][0]["files"] == 8 and document["view_blocks"] and (root / "repo-map-report.html").exists()
+    (root / "app" / "b.py").write_text(APP["app/b.py"] + "try:\n    pass\nexcept:\n    pass\n", encoding="utf-8")
+    assert command.main(flags) == 1
+    assert command.main([str(root), "--fix", "--no-cluster", "--no-connectivity"]) == 0
+    assert (root / "tool.py").read_text(encoding="utf-8") == "def f(a, _b):\n    return a\n"
+    assert command.main([str(tmp_path / "none")]) == 2
+
+
+def test_view_blocks(spark):
+    blocks = spark.createDataFrame([("block:0", [f"file:a/x{i}.py" for i in range(40)] + [f"file:b/y{i}.py" for i in range(20)] + ["file:z.py", "file:a/tests/t.py"])], "block string, members array<string>")
+    got = {r["name"]: len(r["members"]) for r in graph.view_blocks(blocks, code_graph.CodeGraph(blocks, blocks, blocks, blocks)).collect()}
+    assert got == {"A / a": 40, "A / b": 20, "A / (misc)": 1, "Tests": 1}
