@@ -41,11 +41,11 @@ _TABLE: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """Per code point whether it is a letter or a mark within words."""
+    """Per code point 2 for a letter, 1 for a mark that belongs to a word, else 0."""
     if not _TABLE:
         import unicodedata
 
-        _TABLE.append(np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)], bool))
+        _TABLE.append(np.array([{"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8))
     return _TABLE[0]
 
 
@@ -54,9 +54,10 @@ def counts(text: str | None, n_features: int, table: np.ndarray) -> np.ndarray |
     if not text:
         return None
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = table[code]
-    if not is_letter.any():
+    kind = table[code]
+    if not (kind == 2).any():
         return None
+    is_letter = kind > 0
     code = np.where(is_letter, code, 32).astype(np.uint64)
     keep = is_letter | np.append(True, is_letter[:-1])
     code = np.concatenate(([32], code[keep], [32])).astype(np.uint64)

@@ -263,9 +263,11 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = CONTRACT, id_col: str = "d
     classes = written(marks.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     edges = link_forest(classes, scheme, classes.count())
     roots = components(edges).select(F.col("node").alias("fp"), "root")
-    joined = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = written(joined.join(least, "root").select("fp", "component_id"), "component-of")
+    linked = classes.join(roots, "fp")
+    # a table of its own: then both sides of the join are plain exchanges, and adaptive execution can split a large component
+    least = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
+    of_linked = linked.join(least, "root").select("fp", "component_id")
+    found = written(classes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "component-of")
     return marks.join(found, "fp").select(id_col, "fp", "component_id")
 
 
