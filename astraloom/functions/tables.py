@@ -53,7 +53,15 @@ def _clear() -> None:
 
 
 def sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
-    """A query over named frames."""
-    for name, frame in frames.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(text)
+    """A query over named frames. Views of these names exist only while it is analysed; what the caller has under them comes back."""
+    before = {name: spark.table(name) for name in frames if spark.catalog.tableExists(name)}
+    try:
+        for name, frame in frames.items():
+            frame.createOrReplaceTempView(name)
+        return spark.sql(text)
+    finally:
+        for name in frames:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from astraloom.functions.tables import sql
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -326,17 +328,10 @@ def suppressions(files: DataFrame) -> DataFrame:
 
 def run_rule(name: str, rows: DataFrame, files: DataFrame) -> DataFrame:
     """path, line, symbol of one rule before suppression; repeated findings stay."""
-    found = rows.sparkSession.sql(RULES[name].sql, n=rows, f=files) if False else _sql(rows, files, RULES[name].sql)
+    found = sql(rows.sparkSession, RULES[name].sql, n=rows, f=files)
     return found.select("path", F.col("line").cast("long").alias("line"), "symbol")
 
 
-def _sql(rows: DataFrame, files: DataFrame, text: str) -> DataFrame:
-    """The views live in a session of their own, so that names do not meet the caller's."""
-    rows.createOrReplaceTempView("n")
-    files.createOrReplaceTempView("f")
-    return rows.sparkSession.sql(text)
-
-
 def findings(rows: DataFrame, files: DataFrame, names: list[str] | None = None) -> DataFrame:
     """tier, path, line, rule, severity, symbol of the rules, without what comments suppress."""
     every: DataFrame | None = None

@@ -158,7 +158,6 @@ def _xref(spark: SparkSession, sf_dir: str) -> xref.CrossReferences:
     return _XREFS[key]
 
 
-_PATH_OF = PROJECT_PATH.replace
 _P = PROJECT_PATH
 _Q = PROJECT_PATH.replace(K, f"({NEXT})")
 _B = f"({K} // 50)"
