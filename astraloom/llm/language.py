@@ -147,14 +147,15 @@ def train(texts: list[str], langs: list[str], settings: Settings = Settings()) -
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
     """A model from the text and lang of rows that are not held out; None if there are none."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # the window keeps `rows` per language before it shuffles; the language's share is cut afterwards
-    ranked = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.rows)
-    sizes = {r["lang"]: r["n"] for r in ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(settings.rows).collect()}
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(settings.rows).collect()  # bounded by settings.rows
     if not sizes:
         return None
     share = max(1, settings.rows // len(sizes))
-    chosen = ranked.filter(F.col("rank") <= share).select("doc_id", F.col("lang").alias("of")).distinct()
+    # a hash thins large languages out to some four shares before the window ranks them, so no language gathers in a task
+    limits = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * share / r["n"])) for r in sizes], "lang string, part double")
+    thin = rows.select("doc_id", "lang").join(F.broadcast(limits), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(1_000_000)) / 1e6 < F.col("part"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = thin.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= share).select("doc_id", F.col("lang").alias("of")).distinct()
     found = rows.join(F.broadcast(chosen), "doc_id").filter("lang = of").select("doc_id", "text", "lang").collect()  # bounded by settings.rows
     found.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return train([r["text"] for r in found], [r["lang"] for r in found], settings)
