@@ -6,6 +6,7 @@ Exit status 1 if --fail-on finds something as severe, or --diff finds a new high
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import subprocess
 import sys
@@ -32,7 +33,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--hotspot-days", type=int, default=180)
     p.add_argument("--todo", help="notes whose done items become questions")
     p.add_argument("--fail-on", choices=("low", "med", "high"))
-    p.add_argument("--diff", metavar="BASELINE", help="a folder of saved findings, or 'auto' for those of the last run")
+    p.add_argument("--diff", metavar="BASELINE", help="a folder of saved findings, a saved document, a git revision that has one, or 'auto' for the last run")
     p.add_argument("--html", nargs="?", const="repo-map-report.html")
     return p.parse_args(argv)
 
@@ -54,6 +55,30 @@ def git_commits(spark, root: str, days: int):
     return spark.createDataFrame(rows, "commit_id string, seconds long, path string").select("commit_id", F.timestamp_seconds("seconds").alias("ts"), "path")
 
 
+FINDING = "tier string, path string, line long, rule string, severity string, symbol string"
+
+
+def baseline(spark, spec: str, root: str):
+    """Earlier findings: a folder of them, a saved document, or a document at a git revision; None if there are none."""
+    text = None
+    if os.path.isfile(spec):
+        with open(spec, encoding="utf-8") as f:
+            text = f.read()
+    elif not os.path.isdir(spec):
+        try:
+            text = subprocess.run(["git", "-C", root, "show", f"{spec}:repo-map.json"], capture_output=True, text=True, timeout=15, check=True).stdout
+        except (OSError, subprocess.SubprocessError):
+            return None
+    if text is None:
+        return tree.read_baseline(spark, spec)
+    try:
+        rows = json.loads(text).get("findings", [])
+    except ValueError:
+        return None
+    names = [x.split()[0] for x in FINDING.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], FINDING)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = arguments(sys.argv[1:] if argv is None else argv)
     root = os.path.abspath(args.root)
@@ -86,7 +111,7 @@ def main(argv: list[str] | None = None) -> int:
     changes, status = None, 0
     if args.diff:
         saved = os.path.join(root, BASELINE)
-        before = tree.read_baseline(spark, saved if args.diff == "auto" else args.diff)
+        before = baseline(spark, saved if args.diff == "auto" else args.diff, root)
         if before is not None:
             changes = written(findings.diff(run.findings, before), "changes")  # the baseline is overwritten below
             for row in findings.most_severe(changes.filter("change = 'new'")).collect():

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from astraloom.functions.tables import cut, sql
 from astraloom.operators.lint import DEFS, UNDER, among, kid, some
@@ -138,6 +139,18 @@ def build(rows: DataFrame, files: DataFrame) -> CodeGraph:
     return CodeGraph(nodes, raw, edges, routes)
 
 
+def node(graph: CodeGraph, id: str) -> DataFrame:
+    return graph.nodes.filter(F.col("id") == id)
+
+
+def edges_from(graph: CodeGraph, id: str) -> DataFrame:
+    return graph.edges.filter(F.col("source") == id)
+
+
+def edges_to(graph: CodeGraph, id: str) -> DataFrame:
+    return graph.edges.filter(F.col("target") == id)
+
+
 def map_stats(graph: CodeGraph) -> DataFrame:
     """Counts of the map: files, classes, functions, stubs, raw edges and the distinct tables."""
     return sql(

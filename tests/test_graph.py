@@ -47,6 +47,12 @@ def test_nodes(app):
     assert nodes["func:app/a.py:work"]["complexity"] == 3 and nodes["func:app/main.py:handler"]["decorators"] == ["router.get"]
 
 
+def test_lookups(app):
+    g = app[2]
+    assert code_graph.node(g, "file:tool.py").count() == 1
+    assert code_graph.edges_from(g, "file:tool.py").count() == 1 and code_graph.edges_to(g, "func:app/a.py:work").count() == 1
+
+
 def test_routes(app):
     routes = sorted((r["type"], r["method"] or "", r["route"] or "", r["prefix"] or "", r["warning"] or "") for r in app[2].routes.collect())
     assert routes == [
@@ -226,6 +232,8 @@ def test_command(spark, tmp_path, monkeypatch):
     assert document["cycles"][0]["cycle"] == ["app/b.py", "app/a.py"] and document["stats"][0]["files"] == 8 and document["view_blocks"] and (root / "repo-map-report.html").exists()
     (root / "app" / "b.py").write_text(APP["app/b.py"] + "try:\n    pass\nexcept:\n    pass\n", encoding="utf-8")
     assert command.main(flags) == 1
+    saved = command.baseline(spark, str(root / "repo-map.json"), str(root))
+    assert saved.filter("rule = 'BARE_EXCEPT'").count() == 1 and command.baseline(spark, "no-such-revision", str(root)) is None
     assert command.main([str(root), "--fix", "--no-cluster", "--no-connectivity"]) == 0
     assert (root / "tool.py").read_text(encoding="utf-8") == "def f(a, _b):\n    return a\n"
     assert command.main([str(tmp_path / "none")]) == 2
