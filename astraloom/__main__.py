@@ -19,7 +19,7 @@ from astraloom.operators import findings, fixes, graph, report
 from astraloom.session import session
 from astraloom.sources import tree
 
-BASELINE = ".codemapper-baseline"
+BASELINE = ".astraloom-baseline"
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 EXCLUDED = ("venv", ".venv", "node_modules", "__pycache__", ".git", "dist", "build", ".egg-info", ".tox", ".mypy_cache", ".pytest_cache", "BAD")
 JS_EXCLUDED = ("node_modules", "dist", "build", ".next", ".nuxt", "out", "coverage", ".git", "venv", ".venv", "__pycache__", "vendor")
 JS_SUFFIXES = (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx")
-CONFIG_NAME = ".codemapper.json"
+CONFIG_NAME = ".astraloom.json"
 
 
 def n_lines(content: Column) -> Column:

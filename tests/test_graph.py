@@ -223,7 +223,7 @@ def test_command(spark, tmp_path, monkeypatch):
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(text, encoding="utf-8")
     (root / "app" / "w.js").write_text("var a = 1;\n", encoding="utf-8")
-    (root / ".codemapper.json").write_text('{"rules": [{"id": "w", "pattern": "work(...)"}]}', encoding="utf-8")
+    (root / ".astraloom.json").write_text('{"rules": [{"id": "w", "pattern": "work(...)"}]}', encoding="utf-8")
     flags = [str(root), "--lint", "--js", "--xref", "--cycles", "--hotspots", "--questions", "--diff", "auto"]
     assert command.main([*flags, "--html", "--fail-on", "med"]) == 1
     with open(root / "repo-map.json", encoding="utf-8") as f:
