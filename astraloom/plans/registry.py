@@ -317,9 +317,8 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'page' || page_id || '.js' AS path, 1::BIGINT AS line, 'JS_VAR_DECLARATION' AS rule, 'var' AS symbol FROM pages WHERE regexp_matches(regexp_extract(html, '<script>([^<]*)', 1), '^[ \\t]*var\\s+[0-9A-Za-z_]')")
 def js_rules_on_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JavaScript rules over the first script of every page."""
-    scripts = corpus.read(spark, sf_dir, "pages").select(F.concat(F.lit("page"), "page_id", F.lit(".js")).alias("path"), F.regexp_extract("html", "<script>([^<]*)", 1).alias("content"))
-    return javascript.js_findings(scripts).select("path", "line", "rule", "symbol")
+    """JavaScript rules over every script of every page, whole; a page's second script is a module of its own, pageN-2.js."""
+    return javascript.js_findings(corpus.page_scripts(spark, sf_dir)).select("path", "line", "rule", "symbol")
 
 
 @query("""

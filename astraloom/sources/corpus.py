@@ -56,6 +56,17 @@ def expected_js() -> str:
     return f"SELECT {JS_PATH} AS path, v.line::BIGINT AS line, v.rule, v.symbol FROM supplier JOIN (VALUES {', '.join(rows)}) v(family, variant, line, rule, symbol) ON {JS_KEYS[0]} = v.family AND {JS_KEYS[1]} = v.variant WHERE NOT (v.rule = 'JS_CONSOLE_LOG' AND s_suppkey % 3 = 0)"
 
 
+#: A script ends at its end tag, whatever stands in its strings, or with the page.
+SCRIPT = r"(?is)<script(?:\s[^>]*)?>(.*?)(?:</script|\z)"
+
+
+def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JavaScript module per script of a page, in page order: pageN.js, pageN-2.js and so on."""
+    scripts = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(1))).alias("at", "content"))
+    more = F.when(F.col("at") > 0, F.concat(F.lit("-"), F.col("at") + 1)).otherwise("")
+    return scripts.select(F.concat(F.lit("page"), "page_id", more, F.lit(".js")).alias("path"), "content")
+
+
 #: Where the scan looks: one in four paths lies in a left-out folder, is switched off, or is ignored.
 SCAN_PATH = "concat(CASE p_partkey % 8 WHEN 0 THEN 'venv/' WHEN 1 THEN 'src/build/' WHEN 2 THEN 'gen/' WHEN 3 THEN 'web/' ELSE 'src/' END, 'f', p_partkey, CASE p_partkey % 5 WHEN 0 THEN '-OFF.py' WHEN 1 THEN '.js' WHEN 2 THEN '.d.ts' ELSE '.py' END)"
 

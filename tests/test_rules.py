@@ -5,6 +5,7 @@ import pytest
 from astraloom.functions import javascript
 from astraloom.functions.syntax import syntax_rows, tree_rows
 from astraloom.operators import findings, fixes, lint, patterns
+from astraloom.plans import registry
 from astraloom.sources.snippets import FAMILIES, JS_FAMILIES, js_variants, marked, variants
 from astraloom.sources.tree import described
 
@@ -130,3 +131,13 @@ def test_diff_of_itself_and_gate(everything):
     assert findings.gate(every, "high") and not findings.gate(every.filter("rule <> 'BARE_EXCEPT'"), "high") and not findings.gate(every.limit(0), "low")
     counts = findings.by_severity(every).first()
     assert counts["high"] + counts["med"] + counts["low"] + counts["other"] == every.count()
+
+
+def test_scripts_are_read_whole(spark, tmp_path):
+    page = "<script>var t=\"</p>\";\nif (a == '<b>') { console.log(t); }</script><p>x</p><SCRIPT type=\"module\" async>\nvar u = 1;\ntry { b(); } catch (e) { }\n</SCRIPT><script src='x'></script><scripted>var w</scripted><script>\n\nvar v"
+    spark.createDataFrame([(1, page), (2, "<p>no script</p>"), (3, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["path"], r["line"], r["rule"]) for r in registry.js_rules_on_scripts(spark, str(tmp_path)).collect())
+    assert got == [
+        ("page1-2.js", 2, "JS_VAR_DECLARATION"), ("page1-2.js", 3, "JS_BARE_CATCH"), ("page1-4.js", 3, "JS_VAR_DECLARATION"),
+        ("page1.js", 1, "JS_VAR_DECLARATION"), ("page1.js", 2, "JS_CONSOLE_LOG"), ("page1.js", 2, "JS_LOOSE_EQUALITY"),
+    ]
