@@ -132,10 +132,9 @@ SELECT {corpus.SNIPPET_PATH} AS path, CASE p_partkey % {corpus.N} WHEN 0 THEN 1
     ELSE 'def f(a, _b, *, _c=1, _d=2, **kw):' || chr(10) || '    return a' || chr(10) || 'def _g(x):' || chr(10) || '    return 1' || chr(10) END AS content
 FROM part WHERE p_partkey % {corpus.N} IN (0, 1) AND (p_partkey // {corpus.N}) % 3 = 0""")
 def autofix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixes of the first two families; the other imports of the corpus stay."""
+    """Fixes of all modules; by the oracle only those of the first two families have what the two rules report."""
     rows, files = corpus.parsed(spark, sf_dir)
-    mine = files.join(corpus.read(spark, sf_dir, "part").filter(f"p_partkey % {corpus.N} IN (0, 1)").select(F.expr(corpus.SNIPPET_PATH).alias("path")), "path", "left_semi")
-    return fixes.fixed(mine, lint.findings(rows, files, ["DEAD_IMPORT", "UNUSED_PARAM"])).select("path", "dead_imports", "unused_params", "content")
+    return fixes.fixed(files, lint.findings(rows, files, ["DEAD_IMPORT", "UNUSED_PARAM"])).select("path", "dead_imports", "unused_params", "content")
 
 
 # -- the project corpus --------------------------------------------------------------------------------------------------

@@ -141,3 +141,12 @@ def test_scripts_are_read_whole(spark, tmp_path):
         ("page1-2.js", 2, "JS_VAR_DECLARATION"), ("page1-2.js", 3, "JS_BARE_CATCH"), ("page1-4.js", 3, "JS_VAR_DECLARATION"),
         ("page1.js", 1, "JS_VAR_DECLARATION"), ("page1.js", 2, "JS_CONSOLE_LOG"), ("page1.js", 2, "JS_LOOSE_EQUALITY"),
     ]
+
+
+def test_autofix_reaches_every_module(spark, sf, monkeypatch):
+    """Paths of no family's own, too: the query fixes whatever the two rules report."""
+    texts = {"pkg2/m2.py": "import os\nimport re\nprint(re)\n", "pkg3/m45.py": "def f(a, b):\n    return a\n", "other/x.py": "import re\nprint(re)\n"}
+    rows, files = source(spark, texts)
+    monkeypatch.setattr(registry.corpus, "parsed", lambda *_: (rows, files))
+    got = {r["path"]: (r["dead_imports"], r["unused_params"], r["content"]) for r in registry.autofix(spark, sf).collect()}
+    assert got == {"pkg2/m2.py": (1, 0, "import re\nprint(re)\n"), "pkg3/m45.py": (0, 1, "def f(a, _b):\n    return a\n")}
