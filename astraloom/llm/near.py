@@ -1,0 +1,155 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: minhash bands find groups, whole shingle sets decide.
+
+Texts with one shingle set are one class throughout, so copies cost nothing. A class has `bands` keys, each of
+`rows` minimum hashes; classes that share a key are hung on the least of them, and connected components of these
+edges are the groups of candidates. A pair of similarity s shares no key with probability (1 - s ** rows) ** bands,
+5e-6 at 0.8 and 6e-9 at 0.85 as set below. Within a group the texts come together once, every two sets of fitting
+sizes may be compared, and only pairs that reach the similarity are linked: what the bands let in wrongly falls out.
+
+A group is worked on by one task. A link is looked at until one of its ends is reached, so a group of near copies
+costs about its size; a group whose members are all apart costs its square.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from astraloom.llm.common import map_batches, written
+from astraloom.llm.components import components
+
+
+@dataclass(frozen=True)
+class Near:
+    """words per shingle; similarity num / den at least; bands of rows minimum hashes."""
+
+    words: int = 5
+    num: int = 4
+    den: int = 5
+    bands: int = 40
+    rows: int = 6
+    seed: int = 42
+
+
+def shingles(text: str | None, near: Near) -> np.ndarray:
+    """The hashes of the distinct shingles, sorted; a text of fewer words is one shingle, a text without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    k = near.words
+    found = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(near.seed)), np.uint64))
+
+
+def class_of(sets: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(sets.tobytes())
+
+
+def band_keys(sets: np.ndarray, near: Near, factors: np.ndarray) -> list[int]:
+    """A signed 64-bit key per band; none for the empty set. factors: (bands * rows, 2), the first odd."""
+    if not len(sets):
+        return []
+    least = np.empty(len(factors), np.uint64)
+    step = max(1, (1 << 16) // len(sets))  # products that stay in the cache
+    for at in range(0, len(factors), step):
+        part = factors[at : at + step]
+        least[at : at + step] = ((sets[None, :] ^ part[:, 1:]) * part[:, :1]).min(axis=1)
+    rows = least.reshape(near.bands, near.rows)
+    return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(rows)]
+
+
+def drawn(near: Near) -> np.ndarray:
+    factors = np.random.default_rng(near.seed).integers(0, 1 << 64, (near.bands * near.rows, 2), np.uint64)
+    factors[:, 0] |= np.uint64(1)
+    return factors
+
+
+def linked(sets: list[np.ndarray], near: Near) -> list[int]:
+    """Per set a number that it shares with exactly those that links of the similarity reach; sets are not empty."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    _, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts = np.append(0, np.cumsum(sizes))
+    own = [flat[a:b] for a, b in zip(starts, starts[1:])]
+    mark = np.zeros(int(flat.max()) + 1, np.int64)
+    rest, root = np.arange(len(order)), np.full(len(order), -1)
+    while len(rest):
+        first, rest = int(rest[0]), rest[1:]
+        todo = [first]
+        root[first] = first
+        while todo and len(rest):
+            at = todo.pop()
+            # sets of other sizes can't reach the similarity; `rest` stays sorted by size
+            lo, hi = np.searchsorted(near.den * sizes[rest], near.num * sizes[at]), np.searchsorted(near.num * sizes[rest], near.den * sizes[at], "right")
+            if lo == hi:
+                continue
+            some = rest[lo:hi]
+            mark[own[at]] = 1
+            held = mark[np.concatenate([own[i] for i in some])]
+            mark[own[at]] = 0
+            both = np.add.reduceat(held, np.append(0, np.cumsum(sizes[some])[:-1]))
+            hit = near.den * both >= near.num * (sizes[at] + sizes[some] - both)
+            root[some[hit]] = first
+            todo += some[hit].tolist()
+            rest = np.concatenate([rest[:lo], some[~hit], rest[hi:]])
+    out = [0] * len(sets)
+    for i, r in zip(order, root.tolist(), strict=True):
+        out[i] = order[r]
+    return out
+
+
+def near_groups(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and component_id of every document: the smallest id that its links reach, itself included.
+
+    Null ids take no part in the minimum; a component of nulls only has a null id. Null and empty texts are one class.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    row = F.xxhash64(id_col, text_col).alias("row")
+
+    def make():
+        factors = drawn(near)
+
+        def fn(batch: pa.RecordBatch) -> dict:
+            sets = [shingles(t, near) for t in batch.column(2).to_pylist()]
+            return {id_col: batch.column(0), "row": batch.column(1), "class": [class_of(s) for s in sets], "keys": [band_keys(s, near, factors) for s in sets]}
+
+        return fn
+
+    marks = written(map_batches(docs.select(id_col, row, text_col), f"{id_col} {kind}, row long, class binary, keys array<long>", make), "marks")
+    # the keys of a class are those of any of its rows, so its least row speaks for it
+    classes = written(marks.groupBy("class").agg(F.min(id_col).alias("least"), F.min("row").alias("row")), "classes")
+    met = marks.select("class", "row", "keys").join(classes.select("class", "row"), ["class", "row"]).select("class", F.explode("keys").alias("key")).distinct()
+    met = written(met, "bands")
+    heads = met.groupBy("key").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "a")
+    edges = met.join(heads, "key").filter(F.col("class") != F.col("a")).select("a", F.col("class").alias("b"))
+    groups = components(edges).withColumnRenamed("node", "class")
+    texts = docs.select(row, F.col(text_col).alias("text")).join(groups.join(classes, "class").select("row", "class", "root"), "row")
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        sets: dict[bytes, np.ndarray] = {}
+        for name, text in zip(rows["class"], rows["text"], strict=True):
+            if name not in sets and class_of(found := shingles(text, near)) == name:
+                sets[name] = found
+        names = sorted(sets)
+        roots = linked([sets[x] for x in names], near)
+        return pd.DataFrame({"class": names, "head": [names[r] for r in roots]})
+
+    heads = written(texts.groupBy("root").applyInPandas(decide, "class binary, head binary"), "linked").join(classes, "class").select("class", "head", "least")
+    least = written(heads.groupBy("head").agg(F.min("least").alias("component_id")), "least-ids")
+    of_linked = heads.join(least, "head").select("class", "component_id")
+    found = written(classes.join(of_linked, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id")), "component-of")
+    return marks.join(found, "class").select(id_col, "component_id")
+
+
+def keep_one(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the documents with its smallest id stay, with all their columns; null ids and repeated ids stay too."""
+    marks = near_groups(docs, near, id_col, text_col)
+    gone = marks.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from astraloom.llm.common import map_batches, written
 from astraloom.llm.components import components
+from astraloom.llm.near import keep_one  # noqa: F401  the pipeline's stage, decided on whole shingle sets
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ class Scheme:
 
 #: The query's contract: 4 words, 64 bits, 4 differing bits.
 CONTRACT = Scheme()
-#: Near-duplicates of 5-word shingles. 19 of 128 bits is the angle of a Jaccard similarity of 0.8, and all pairs within it meet in a block;
+#: Near-duplicates of 5-word shingles by fingerprints alone; `near` decides on the shingles themselves. 19 of 128 bits is the angle of a Jaccard similarity of 0.8, and all pairs within it meet in a block;
 #: as the estimate scatters by 4 bits, what meets is linked up to 22, so that few pairs of a similarity of 0.8 or more are missed.
 NEAR = Scheme(words=5, bits=128, blocks=4, half=2, radius=22)
 
@@ -273,10 +274,3 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = CONTRACT, id_col: str = "d
 
 def near_duplicate_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, scheme: Scheme = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the documents with its smallest id stay, with all their columns; null ids and repeated ids stay too."""
-    marks = near_duplicates(docs, scheme, id_col, text_col)
-    gone = marks.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")

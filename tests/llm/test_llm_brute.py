@@ -403,3 +403,35 @@ def test_pipeline(spark, sf):
     library = _library()
     want = sorted((i, len(library.encode(t)), hashlib.sha256(",".join(map(str, library.encode(t))).encode()).hexdigest()) for i, t, _, _ in docs if i in kept)
     assert sorted(tuple(r)[:3] for r in corpus_pipeline.run(spark, sf).collect()) == want
+
+
+def test_near_dedup_decides_on_shingles(spark, docs):
+    """Kept is the least id of each component of the pairs whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    rng = random.Random(5)
+    texts = list(docs)
+    for n, (i, t) in enumerate(docs[:90]):  # copies with words changed, around the threshold and beyond
+        words = (t or "").split(" ")
+        for _ in range(1 + len(words) * (n % 6) // 100):
+            words[rng.randrange(len(words))] = "changed"
+        texts.append((10_000 + i, " ".join(words)))
+    grams = []
+    for _, t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        grams.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, x in enumerate(grams):
+        for j, y in enumerate(grams[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (n, _) in enumerate(texts):
+        least[root(i)] = min(n, least.get(root(i), n))
+    want = sorted(n for i, (n, _) in enumerate(texts) if n == least[root(i)])
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
