@@ -5,7 +5,8 @@ Each line has a text-to-tag ratio, its characters over the tags met in it. Ratio
 kernel along the page and a line is content if its smoothed ratio reaches the threshold, the standard deviation
 of the smoothed ratios. Content lines choose regions: the innermost section (article, main, a section, cell or
 division) that holds them; sections with a worthwhile share of the content are kept whole, so that short lines
-between long ones stay. Lines inside menus, page headers, footers, sidebars, notices, adverts, forms, reader
+between long ones stay. What an article holds is one section; on pages without article and main the blocks of one
+container count together, so that a short first or last block stays. Lines inside menus, page headers, footers, sidebars, notices, adverts, forms, reader
 comments, scripts and styles weigh nothing and are never kept; they are known by tag, role and class or id words.
 
 Null and empty pages give the empty text. Memory is one batch; no shuffle.
@@ -30,6 +31,8 @@ INLINE = _words("a abbr acronym b bdi bdo big cite code data del dfn em font i i
 #: What such a tag holds is never main text.
 DROPPED = _words("nav footer aside form script style noscript template button select option textarea input iframe object canvas svg audio video dialog menu head title fieldset datalist map applet frameset noframes")
 SECTIONS = _words("article main section div td body")
+#: Inside an article the ids of these are anchors, not marks.
+ANCHORS = _words("h1 h2 h3 h4 h5 h6 section")
 #: Words of class or id, and roles, that mark what is not the article.
 MARKS = _words(
     "ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored sponsors promo promotion promoted "
@@ -57,12 +60,15 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
-        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, out, section, in article
+        self.stack: list[tuple[str, bool, int, bool, bool]] = []  # tag, out, section, in article or main, in article
         self.out = False
         self.section = 0
         self.article = False
+        self.inner = False
         self.links = 0
         self.sections = 0
+        self.containers: dict[int, int] = {}  # section to the one around it
+        self.whole = False  # an article or main was met
 
     def cut(self) -> None:
         if self.parts:
@@ -75,7 +81,7 @@ class Lines(HTMLParser):
 
     def pop(self, at: int) -> None:
         while len(self.stack) > at:
-            tag, self.out, self.section, self.article = self.stack.pop()
+            tag, self.out, self.section, self.article, self.inner = self.stack.pop()
             self.links -= tag == "a"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -91,15 +97,17 @@ class Lines(HTMLParser):
                 self.pop(self._at("p"))
             elif (last := stack[-1][0]) in ENDED_BY and ENDED_BY[last] and tag in ENDED_BY[last]:
                 self.pop(len(stack) - 1)
-        stack.append((tag, self.out, self.section, self.article))
+        stack.append((tag, self.out, self.section, self.article, self.inner))
         self.links += tag == "a"
         if not self.out:
-            self.out = tag in DROPPED or tag == "header" and not self.article or bool(attrs) and tag not in ("html", "body") and self._marked(tag, attrs)
-        if tag in SECTIONS and not (self.article and tag in ("div", "section")):
+            self.out = tag in DROPPED or tag == "header" and not self.article or bool(attrs) and tag not in ("html", "body") and self._marked(tag, attrs, self.inner and tag in ANCHORS)
+        if tag in SECTIONS and not (self.article and tag not in ("article", "main")):
             self.sections += 1
+            self.containers[self.sections] = self.section
             self.section = self.sections
         if tag in ("article", "main"):
-            self.article = True
+            self.article = self.whole = True
+            self.inner = self.inner or tag == "article"
 
     def _open(self, tag: str) -> bool:
         """Is the tag open above the nearest section?"""
@@ -114,10 +122,10 @@ class Lines(HTMLParser):
         return max(i for i, x in enumerate(self.stack) if x[0] == tag)
 
     @staticmethod
-    def _marked(tag: str, attrs: list) -> bool:
+    def _marked(tag: str, attrs: list, anchor: bool = False) -> bool:
         found: set[str] = set()
         for name, value in attrs:
-            if name in ("class", "id"):
+            if name == "class" or name == "id" and not anchor:
                 found.update(_SPLIT.split((value or "").lower()))
             elif name == "role" and (value or "").strip().lower() in ROLES:
                 return True
@@ -159,8 +167,8 @@ def kernel(sigma: float) -> np.ndarray:
     return k / k.sum()
 
 
-def content(lines: list[tuple[str, int, int, bool, int]], smooth: np.ndarray, share: float = 0.1) -> list[str]:
-    """The lines of the content regions, in page order."""
+def content(lines: list[tuple[str, int, int, bool, int]], smooth: np.ndarray, share: float = 0.1, containers: dict[int, int] | None = None) -> list[str]:
+    """The lines of the content regions, in page order; with containers (section to the one around it) blocks of one container count together."""
     ratios = np.array([0.0 if out else len(text) / max(1, tags) for text, tags, _, out, _ in lines])
     if not ratios.any():
         return []
@@ -176,6 +184,16 @@ def content(lines: list[tuple[str, int, int, bool, int]], smooth: np.ndarray, sh
         return []
     least = share * max(weight.values())
     chosen = {s for s, w in weight.items() if w >= least}
+    joined: set[int] = set()
+    if containers:
+        total = dict(weight)
+        for s, w in weight.items():
+            if c := containers.get(s, 0):
+                total[c] = total.get(c, 0) + w
+        joined = {s for s in {x[2] for x in lines} if total.get(containers.get(s, 0), 0) >= least or total.get(s, 0) >= least}
+    # of a block that its container brings in, lines of links are left out
+    lines = [(text, tags, section if section not in joined or 2 * linked > len(text) else -1, out, linked) for text, tags, section, out, linked in lines] if joined else lines
+    chosen |= {-1} if joined else set()
     inside = [i for i, (_, _, section, out, _) in enumerate(lines) if not out and section in chosen]
     # what stands between lines of the chosen sections belongs to them unless it is mostly links
     return [text for i, (text, _, section, out, linked) in enumerate(lines) if not out and inside[0] <= i <= inside[-1] and (section in chosen or 2 * linked <= len(text))]
@@ -187,7 +205,7 @@ def main_text(html: str | None, smooth: np.ndarray = kernel(2.0)) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    return "\n".join(content(parser.lines, smooth))
+    return "\n".join(content(parser.lines, smooth, containers=None if parser.whole else parser.containers))
 
 
 def extract_text(pages: DataFrame, sigma: float = 2.0) -> DataFrame:

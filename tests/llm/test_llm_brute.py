@@ -435,3 +435,13 @@ def test_near_dedup_decides_on_shingles(spark, docs):
     want = sorted(n for i, (n, _) in enumerate(texts) if n == least[root(i)])
     kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_html_keeps_the_whole_article():
+    long = " ".join(["A sentence of the article that is long enough to be content."] * 6)
+    cells = "<table><tr><td>First cell.</td><td>Second cell.</td></tr></table>"
+    page = f'<body><nav>Menu</nav><article><h1>Head</h1>{cells}<p>{long}</p><h2 id="social-impact">Impact</h2><p>{long}</p><section id="discussion"><p>{long}</p></section><p>{long}</p>{cells}</article><footer>End</footer></body>'
+    assert html_text.main_text(page).split("\n") == ["Head", "First cell.", "Second cell.", long, "Impact", long, long, long, "First cell.", "Second cell."]
+    blocks = ["Short first.", long, long, long, "Short last."]
+    page = f'<body><nav>Menu</nav><div class="ad">Buy</div><div>{"".join(f"<div>{b}</div>" for b in blocks)}</div><div class="footer">End</div></body>'
+    assert html_text.main_text(page).split("\n") == blocks
