@@ -46,6 +46,11 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 20, 0, True),
     Rule("hex", r"[0-9a-f]+", 24, 0, True),
 )
+#: A private key from its BEGIN line to its END line; without one, to the last line of base64 (a short last line included).
+PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-(?!----)[^-]*)*-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:\s+[A-Z][A-Za-z-]+: [^\n]*)*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=]))+(?:\r?\n[A-Za-z0-9+/]+={0,2}(?=[ \t\r]*(?:\n|\Z)))?|)"
+)
 #: Further kinds, by the public formats of common credentials.
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -53,7 +58,7 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("apikey", r"sk-[A-Za-z0-9_-]{20,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("userinfo", r"[a-z]{2,12}://[A-Za-z0-9._~-]{1,64}:[^\s:/@]{3,128}@[A-Za-z0-9.-]+"),
 )
 RULES = BASE_RULES + MORE_RULES
