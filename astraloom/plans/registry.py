@@ -68,28 +68,45 @@ _EXPECTED = " UNION ALL ".join(f"SELECT '{r}' AS rule, '{lint.RULES[r].severity}
 
 
 @query(f"SELECT count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'med') AS med, count(*) FILTER (severity = 'low') AS low, 0::BIGINT AS other FROM ({_EXPECTED})")
-def findings_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.by_severity(_severe(spark, sf_dir))
+def findings_by_severity(spark: SparkSession, sf_dir: str, of=_severe) -> DataFrame:
+    return findings.by_severity(of(spark, sf_dir))
 
 
 @query(f"SELECT rule, severity, path, line, symbol FROM ({_EXPECTED}) ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'med' THEN 2 ELSE 1 END DESC, path, line, rule, symbol LIMIT 25")
-def findings_most_severe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.most_severe(_severe(spark, sf_dir)).select("rule", "severity", "path", "line", "symbol")
+def findings_most_severe(spark: SparkSession, sf_dir: str, of=_severe) -> DataFrame:
+    return findings.most_severe(of(spark, sf_dir)).select("rule", "severity", "path", "line", "symbol")
 
 
 @query(f"SELECT change, rule, path, line, symbol, severity FROM (SELECT *, CASE WHEN line % 2 = 0 AND path NOT LIKE 'pkg3/%' THEN 'new' WHEN path NOT LIKE 'pkg3/%' THEN 'unchanged' WHEN line % 2 = 1 THEN 'resolved' END AS change FROM (SELECT DISTINCT * FROM ({_EXPECTED}))) WHERE change IS NOT NULL")
-def findings_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+def findings_diff(spark: SparkSession, sf_dir: str, of=_severe) -> DataFrame:
     """Now: all but pkg3; then: findings on odd lines."""
-    found = written(_severe(spark, sf_dir), "findings")  # read twice
+    found = written(of(spark, sf_dir), "findings")  # read twice
     return findings.diff(found.filter("path NOT LIKE 'pkg3/%'"), found.filter("line % 2 = 1")).select("change", "rule", "path", "line", "symbol", "severity")
 
 
 @query(f"SELECT count(*) FILTER (severity = 'high') > 0 AS fails_high, count(*) FILTER (severity IN ('high', 'med')) > 0 AS fails_med, count(*) > 0 AS fails_low FROM ({_EXPECTED})")
-def findings_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = written(_severe(spark, sf_dir), "findings")
+def findings_gate(spark: SparkSession, sf_dir: str, of=_severe) -> DataFrame:
+    found = written(of(spark, sf_dir), "findings")
     return spark.createDataFrame([tuple(findings.gate(found, s) for s in ("high", "med", "low"))], "fails_high boolean, fails_med boolean, fails_low boolean")
 
 
+def _suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lint.findings(*corpus.parsed(spark, sf_dir))
+
+
+_SUITE_EXPECTED = " UNION ALL ".join(f"SELECT '{r}' AS rule, '{lint.RULES[r].severity}' AS severity, path, line, symbol FROM ({corpus.expected(r)})" for r in lint.RULES)
+
+
+def _suite_query(name: str) -> Query:
+    return lambda spark, sf_dir: QUERIES[name](spark, sf_dir, of=_suite)
+
+
+#: The same over every rule, where the four above see those of SEVERE.
+for _name in ("findings_by_severity", "findings_most_severe", "findings_diff", "findings_gate"):
+    QUERIES[f"{_name}_suite"] = _suite_query(_name)
+    ORACLES[f"{_name}_suite"] = ORACLES[_name].replace(_EXPECTED, _SUITE_EXPECTED)
+
+
 PATTERNS = [
     {"id": "zip", "pattern": "zip(...)"},
     {"id": "now", "pattern": "datetime.now(...)", "severity": "high", "exclude_files": ["pkg1/*"]},

@@ -150,3 +150,9 @@ def test_autofix_reaches_every_module(spark, sf, monkeypatch):
     monkeypatch.setattr(registry.corpus, "parsed", lambda *_: (rows, files))
     got = {r["path"]: (r["dead_imports"], r["unused_params"], r["content"]) for r in registry.autofix(spark, sf).collect()}
     assert got == {"pkg2/m2.py": (1, 0, "import re\nprint(re)\n"), "pkg3/m45.py": (0, 1, "def f(a, _b):\n    return a\n")}
+
+
+def test_suite_queries_see_every_rule(spark, sf):
+    got = {r["rule"] for r in registry.queries()["findings_diff_suite"](spark, sf).select("rule").collect()}
+    rows, files = registry.corpus.parsed(spark, sf)
+    assert got >= {r["rule"] for r in lint.findings(rows, files).filter("path NOT LIKE 'pkg3/%'").select("rule").collect()} and len(got) > len(registry.SEVERE)
