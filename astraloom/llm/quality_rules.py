@@ -2,8 +2,8 @@
 
 A text is compressed with zstandard as a whole and in fixed chunks. Repetitive text compresses far below
 what prose of its length does, random text far above. Each length class has its own band; a text is
-rejected if its whole ratio leaves the band of its length, or if more than `max_bad_chunks` of its full
-chunks leave the band of a chunk. Before the bands stand two base rules: too few words, or too many of
+rejected if its whole ratio leaves the band of its length, or if more than `max_bad_chunks` of its
+chunks leave the band of a chunk. Chunks are full; where they leave a rest, a last one ends where the text ends. Before the bands stand two base rules: too few words, or too many of
 them in three-word windows that return.
 
 Null and empty texts have no words and fail the base rules; their ratios are null.
@@ -92,10 +92,11 @@ def measure(text: str | None, bands: Bands, press: zstandard.ZstdCompressor) ->
     if full:
         view = memoryview(raw)
         least, most = bands.chunk_band
-        for k in range(full):
-            r = len(press.compress(view[k * bands.chunk : (k + 1) * bands.chunk])) / bands.chunk
+        starts = [k * bands.chunk for k in range(full)] + [len(raw) - bands.chunk] * (len(raw) % bands.chunk > 0)
+        for at in starts:
+            r = len(press.compress(view[at : at + bands.chunk])) / bands.chunk
             bad += not least <= r <= most
-    bad_share = bad / full if full else 0.0
+    bad_share = bad / len(starts) if full else 0.0
     kept = not base_failed and low <= ratio <= high and bad_share <= bands.max_bad_chunks
     return n_words, word_chars, n_symbols, n_dup_lines, n_repeat, base_failed, kept, ratio, bad_share
 

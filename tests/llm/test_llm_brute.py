@@ -457,3 +457,16 @@ def test_private_keys_go_whole():
     assert clean(f"{head}\n{body}\n\nafter\n{head}\n{body}\n{end}\nlast") == "<pem>\n\nafter\n<pem>\nlast"
     assert clean(f'"{head}\\n{body[:64]}\\n{end}\\n"') == '"<pem>\\n"'
     assert clean(f"the line {head} alone") == "the line <pem> alone"
+
+
+def test_the_rest_behind_full_chunks_is_measured():
+    import zstandard
+
+    press, bands = zstandard.ZstdCompressor(level=3), quality_rules.Bands()
+    r = random.Random(7)
+    stems = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    good = " ".join(r.choice(stems) for _ in range(2000))[:2048]
+    noise = "".join(chr(r.randint(33, 126)) for _ in range(2000))
+    assert quality_rules.measure(good, bands, press)[8] == 0.0
+    assert quality_rules.measure(good + noise, bands, press)[8] == 0.5
+    assert quality_rules.measure(good + "x y " * 500, bands, press)[8] == 0.5
