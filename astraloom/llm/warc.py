@@ -103,8 +103,8 @@ def write_archives(pages: DataFrame, least: int = 0, shard_bytes: int = SHARD_BY
         return fn
 
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    # a position per row, so that repeated rows are told apart
-    placed = base.select(F.monotonically_increasing_id().alias("seq"), "page_id", "url", "html")
+    # a position per row, so that repeated rows are told apart; written, as a second scan may be split otherwise and number rows anew
+    placed = written(base.select(F.monotonically_increasing_id().alias("seq"), "page_id", "url", "html"), "pages")
     marks = written(map_batches(placed.select("seq", "page_id", "html"), "seq long, page_id long, digest string, n long", digests), "digests")
     total = marks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     # structs order nulls first, so that null ids lose
@@ -147,7 +147,10 @@ def write_archives(pages: DataFrame, least: int = 0, shard_bytes: int = SHARD_BY
                 out.close()
 
     index = dealt.sortWithinPartitions("shard", F.col("page_id")).mapInArrow(write, INDEX)
-    return written(index, "warc-index").withColumn("folder", F.lit(folder))
+    index = written(index, "warc-index")
+    if (rows := index.count()) != total["n"]:
+        raise RuntimeError(f"{rows} records of {total['n']} pages")
+    return index.withColumn("folder", F.lit(folder))
 
 
 def ranges(rows: list[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:

@@ -470,3 +470,26 @@ def test_the_rest_behind_full_chunks_is_measured():
     assert quality_rules.measure(good, bands, press)[8] == 0.0
     assert quality_rules.measure(good + noise, bands, press)[8] == 0.5
     assert quality_rules.measure(good + "x y " * 500, bands, press)[8] == 0.5
+
+
+def test_archives_do_not_depend_on_how_scans_are_split(spark, tmp_path, monkeypatch):
+    """The input is split otherwise once the digests are written."""
+    rows = [(i, f"u{i}", f"<p>{i % 7}</p>") for i in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).write.parquet(f"{tmp_path}/pages")
+    real = warc.written
+
+    def written(df, name):
+        out = real(df, name)
+        if name == "digests":
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        return out
+
+    monkeypatch.setattr(warc, "written", written)
+    try:
+        got = {r["page_id"]: (r["payload_digest"], r["refers_to"]) for r in warc.warc_round_trip(spark.read.parquet(f"{tmp_path}/pages")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    last = {h: max(i for i, _, x in rows if x == h) for _, _, h in rows}
+    assert got == {i: (warc.digest_of(h.encode()), None if last[h] == i else last[h]) for i, _, h in rows}
