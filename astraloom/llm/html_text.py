@@ -2,20 +2,30 @@
 
 The standard library's streaming parser turns a page into lines: stretches of text between block tags (and br).
 Each line has a text-to-tag ratio, its characters over the tags met in it. Ratios are smoothed with a Gaussian
-kernel along the page and a line is content if its smoothed ratio reaches the threshold, the standard deviation
-of the smoothed ratios. Content lines choose regions: the innermost section (article, main, a section, cell or
-division) that holds them; sections with a worthwhile share of the content are kept whole, so that short lines
-between long ones stay. What an article holds is one section; on pages without article and main the blocks of one
-container count together, so that a short first or last block stays. Lines inside menus, page headers, footers, sidebars, notices, adverts, forms, reader
-comments, scripts and styles weigh nothing and are never kept; they are known by tag, role and class or id words.
-
-Null and empty pages give the empty text. Memory is one batch; no shuffle.
+kernel along the page, and the threshold that parts the two clusters is the standard deviation of the smoothed
+ratios: lines that reach it are dense. The characters of dense lines that are not mostly links weigh their blocks.
+
+Structure marks what can't be main text: menus, page headers, footers, asides, forms, scripts and the like by tag or
+role, and what is hidden. Class and id words only suggest. A suggested block goes if what nothing suggests against
+outweighs a part of it (`OUTWEIGHED`), so a wrapper named after its sidebar stays with all it holds, and a
+footer, advert or comment section goes whatever else it is called.
+
+Regions are whole: the articles of the page that hold dense lines, else main, else the innermost block around all
+dense lines. All of a region's lines stay, short ones, cells and lists too. Without article and main, lines that are
+mostly links go, and before the first and behind the last dense line go short ones that are neither headings nor
+sentences nor in a block with dense lines. If only lines of links are dense, they count like others.
+
+Work and memory are linear in the page. Null and empty pages, and pages without text outside marks, give the empty
+text; pages of any length are taken whole; repeated pages and ids are rows like others; an empty table gives none;
+other columns are left out. Marked sections and comments that never end reach to the end of the page. No shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,59 +40,94 @@ VOID = _words("area base br col embed hr img input link meta param source track
 INLINE = _words("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr")
 #: What such a tag holds is never main text.
 DROPPED = _words("nav footer aside form script style noscript template button select option textarea input iframe object canvas svg audio video dialog menu head title fieldset datalist map applet frameset noframes")
-SECTIONS = _words("article main section div td body")
-#: Inside an article the ids of these are anchors, not marks.
-ANCHORS = _words("h1 h2 h3 h4 h5 h6 section")
-#: Words of class or id, and roles, that mark what is not the article.
+ROLES = _words("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist")
+BLOCKS = _words("article main section div td body")
+HEADINGS = _words("h1 h2 h3 h4 h5 h6")
+#: Inside an article only the classes of these suggest something; ids are anchors there.
+PARTS = _words("div ul ol dl table")
+#: Words of class or id that suggest that a block is not the article; of the second kind, that readers wrote it.
 MARKS = _words(
     "ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored sponsors promo promotion promoted "
     "sidebar sidebars aside rail menu menus nav navbar navigation navi breadcrumb breadcrumbs topbar toolbar "
     "header masthead footer foot bottombar cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox "
-    "newsletter subscribe subscription signup signin login register share sharing social follow comment comments commentlist disqus respond reply replies discussion "
+    "newsletter subscribe subscription signup signin login register share sharing social follow "
     "related recommended recommendations recirculation teaser trending popular widget widgets pagination pager paging search searchform form copyright disclaimer legal imprint tags taglist skip"
 )
-ROLES = _words("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist")
-#: A section with such a word is the article even if another word of it is a mark, comments apart.
-CONTENT = _words("article content post entry main story body text")
 COMMENTS = _words("comment comments commentlist disqus respond reply replies discussion")
+#: With one of these words a header is that of the article.
+OWN_HEADER = _words("article post entry story")
+#: A suggested block goes if the unsuggested weight of the page is at least this part of its own; of reader comments, less does.
+OUTWEIGHED = {1: 0.25, 2: 0.1}
 #: An open tag of the first kind ends when one of the second begins.
-ENDED_BY = {"p": None, "li": _words("li"), "dt": _words("dt dd"), "dd": _words("dt dd"), "option": _words("option optgroup"), "tr": _words("tr"), "td": _words("td th tr"), "th": _words("td th tr")}
+ENDED_BY = {"li": _words("li"), "dt": _words("dt dd"), "dd": _words("dt dd"), "option": _words("option optgroup"), "tr": _words("tr"), "td": _words("td th tr"), "th": _words("td th tr")}
+#: A p that is open outside such a block is not ended inside.
+SCOPES = BLOCKS | _words("table ul ol blockquote")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
-
-
-class Lines(HTMLParser):
-    """Collects (text, tags, section, kept out, characters in links) per line."""
+_SENTENCE = re.compile("[.!?…:;。！？।؟][\"'»”’)\\]]*$")
+
+
+def suggestion(tag: str, attrs: list, inner: bool) -> int:
+    """What class and id suggest: 0 nothing, 1 not the article, 2 reader comments."""
+    if inner and tag not in PARTS:
+        return 0
+    found: set[str] = set()
+    for name, value in attrs:
+        if value and (name == "class" or name == "id" and not inner):
+            found.update(_SPLIT.split(value.lower()))
+    if found & COMMENTS:
+        return 2
+    if "header" in found and (inner or found & OWN_HEADER):
+        found.discard("header")
+    return int(bool(found & MARKS))
+
+
+def excluded(tag: str, attrs: list, article: bool) -> bool:
+    """Do tag, role or style say that this is never main text?"""
+    if tag in DROPPED or tag == "header" and not article:
+        return True
+    for name, value in attrs:
+        if name == "hidden" or name == "role" and (value or "").strip().lower() in ROLES or name == "aria-hidden" and value == "true":
+            return tag not in ("html", "body")
+        if name == "style" and value and _HIDDEN.search(value.lower()):
+            return tag not in ("html", "body")
+    return False
+
+
+class Page(HTMLParser):
+    """Collects lines (text, tags, block, kept out, characters in links, heading) and the tree of blocks."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, bool, int, bool]] = []
         self.parts: list[str] = []
-        self.tags = 0
-        self.linked = 0
-        self.stack: list[tuple[str, bool, int, bool, bool]] = []  # tag, out, section, in article or main, in article
-        self.out = False
-        self.section = 0
-        self.article = False
-        self.inner = False
-        self.links = 0
-        self.sections = 0
-        self.containers: dict[int, int] = {}  # section to the one around it
-        self.whole = False  # an article or main was met
+        self.tags = self.linked = 0
+        # blocks: the one around it, what is suggested against it, its tag
+        self.around, self.suggested, self.kind = [0], [0], ["body"]
+        self.stack: list[tuple] = []  # tag and the state before it
+        self.out = self.article = self.inner = self.heading = False
+        self.block = self.links = 0
+        self.open_p = -1  # the innermost open p of this scope
+        self.counts: dict[str, int] = {}  # open block tags
+        self.inline: dict[str, int] = {}  # open inline tags of the innermost block tag
 
     def cut(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, self.section, self.out, min(self.linked, len(text))))
+                self.lines.append((text, self.tags, self.block, self.out, min(self.linked, len(text)), self.heading))
                 self.tags = 0
             self.parts = []
         self.linked = 0
 
     def pop(self, at: int) -> None:
         while len(self.stack) > at:
-            tag, self.out, self.section, self.article, self.inner = self.stack.pop()
-            self.links -= tag == "a"
+            tag, self.out, self.block, self.article, self.inner, self.heading, self.open_p, self.inline = self.stack.pop()
+            if tag in INLINE:
+                self.inline[tag] -= 1
+                self.links -= tag == "a"
+            else:
+                self.counts[tag] -= 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         block = tag not in INLINE
@@ -92,73 +137,85 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         stack = self.stack
-        if block and stack:
-            if stack[-1][0] == "p" or tag == "p" and self._open("p"):
-                self.pop(self._at("p"))
-            elif (last := stack[-1][0]) in ENDED_BY and ENDED_BY[last] and tag in ENDED_BY[last]:
+        if block:
+            if self.open_p >= 0 and (tag == "p" or stack[-1][0] == "p"):
+                self.pop(self.open_p)
+            elif stack and tag in ENDED_BY.get(stack[-1][0], ()):
                 self.pop(len(stack) - 1)
-        stack.append((tag, self.out, self.section, self.article, self.inner))
-        self.links += tag == "a"
+        stack.append((tag, self.out, self.block, self.article, self.inner, self.heading, self.open_p, self.inline))
+        if not block:
+            self.inline[tag] = self.inline.get(tag, 0) + 1
+            self.links += tag == "a"
+            return
+        self.counts[tag] = self.counts.get(tag, 0) + 1
+        self.inline = {}
+        if tag == "p":
+            self.open_p = len(stack) - 1
+        elif tag in SCOPES:
+            self.open_p = -1
+        self.heading = self.heading or tag in HEADINGS
         if not self.out:
-            self.out = tag in DROPPED or tag == "header" and not self.article or bool(attrs) and tag not in ("html", "body") and self._marked(tag, attrs, self.inner and tag in ANCHORS)
-        if tag in SECTIONS and not (self.article and tag not in ("article", "main")):
-            self.sections += 1
-            self.containers[self.sections] = self.section
-            self.section = self.sections
+            self.out = excluded(tag, attrs, self.article)
+            mark = suggestion(tag, attrs, self.inner) if attrs and not self.out and tag not in ("html", "body") else 0
+            if mark or tag in BLOCKS:
+                self.around.append(self.block)
+                self.suggested.append(mark)
+                self.kind.append(tag)
+                self.block = len(self.around) - 1
         if tag in ("article", "main"):
-            self.article = self.whole = True
+            self.article = True
             self.inner = self.inner or tag == "article"
 
-    def _open(self, tag: str) -> bool:
-        """Is the tag open above the nearest section?"""
-        for name, *_ in reversed(self.stack):
-            if name == tag:
-                return True
-            if name in SECTIONS or name in ("table", "ul", "ol", "blockquote"):
-                return False
-        return False
-
-    def _at(self, tag: str) -> int:
-        return max(i for i, x in enumerate(self.stack) if x[0] == tag)
-
-    @staticmethod
-    def _marked(tag: str, attrs: list, anchor: bool = False) -> bool:
-        found: set[str] = set()
-        for name, value in attrs:
-            if name == "class" or name == "id" and not anchor:
-                found.update(_SPLIT.split((value or "").lower()))
-            elif name == "role" and (value or "").strip().lower() in ROLES:
-                return True
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value.lower()):
-                return True
-        if found & COMMENTS:
-            return True
-        if tag in ("article", "main") or found & CONTENT:
-            return False
-        return bool(found & MARKS)
-
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in INLINE:
+        block = tag not in INLINE
+        if block:
             self.cut()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.pop(i)
-                return
+        # an inline tag ends within its block only; an end without a beginning ends nothing
+        if (self.counts if block else self.inline).get(tag, 0):
+            at = len(self.stack) - 1
+            while self.stack[at][0] != tag:
+                at -= 1
+            self.pop(at)
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
 
+    # What never ends is read once, to the end of the page.
+
+    def _bogus(self, i: int) -> int:
+        at = self.rawdata.find(">", i + 2)
+        return len(self.rawdata) if at < 0 else at + 1
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        if self.rawdata.startswith((">", "->"), i + 4):
+            return self.rawdata.index(">", i + 4) + 1
+        at = self.rawdata.find("-->", i + 4)
+        return len(self.rawdata) if at < 0 else at + 3
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._bogus(i)
+
+    def parse_pi(self, i: int) -> int:
+        return self._bogus(i)
+
+    def parse_starttag(self, i: int) -> int:
+        if self.rawdata.find(">", i) < 0:
+            self.handle_data(unescape(self.rawdata[i:]))
+            return len(self.rawdata)
+        return super().parse_starttag(i)
+
     def close(self) -> None:
         super().close()
         self.cut()
+        self.pop(0)
 
 
 def kernel(sigma: float) -> np.ndarray:
@@ -167,45 +224,103 @@ def kernel(sigma: float) -> np.ndarray:
     return k / k.sum()
 
 
-def content(lines: list[tuple[str, int, int, bool, int]], smooth: np.ndarray, share: float = 0.1, containers: dict[int, int] | None = None) -> list[str]:
-    """The lines of the content regions, in page order; with containers (section to the one around it) blocks of one container count together."""
-    ratios = np.array([0.0 if out else len(text) / max(1, tags) for text, tags, _, out, _ in lines])
-    if not ratios.any():
-        return []
+def dense_lines(lines: list[tuple], smooth: np.ndarray) -> np.ndarray:
+    """Which lines reach the threshold; where none does, all that are not kept out."""
+    ratios = np.array([0.0 if out else len(text) / max(1, tags) for text, tags, _, out, _, _ in lines])
     smoothed = np.convolve(ratios, smooth)[len(smooth) // 2 :][: len(ratios)]
-    marked = (smoothed >= smoothed.std()) & (ratios > 0)
-    if not marked.any():
-        marked = ratios > 0
-    weight: dict[int, int] = {}
-    for (text, _, section, _, linked), hit in zip(lines, marked, strict=True):
-        if hit and 2 * linked <= len(text):
-            weight[section] = weight.get(section, 0) + len(text)
-    if not weight:
+    found = (smoothed >= smoothed.std()) & (ratios > 0)
+    return found if found.any() else ratios > 0
+
+
+def dropped_blocks(page: Page, total: list[int]) -> list[bool]:
+    """Which blocks go because of what is suggested against them; total: the weight of each block with all it holds."""
+    n = len(page.around)
+    under = [0] * n  # how many suggested blocks are around or at each
+    holds = [k in ("article", "main") for k in page.kind]
+    clean = total[0]
+    inside: dict[int, list[int]] = {}  # outermost suggested blocks within each suggested one
+    near = [0] * n  # the innermost suggested block around each
+    for b in range(1, n):
+        up = page.around[b]
+        under[b] = under[up] + (page.suggested[b] > 0)
+        near[b] = up if page.suggested[up] else near[up]
+        if page.suggested[b]:
+            inside.setdefault(near[b] if under[up] else 0, []).append(b)
+            if not under[up]:
+                clean -= total[b]
+    plain_article = any(h and not u for h, u in zip(holds, under))
+    for b in range(n - 1, 0, -1):
+        holds[page.around[b]] = holds[page.around[b]] or holds[b]
+    gone = [False] * n
+    # the weightiest first, what it holds after it; what stays speaks against the others
+    todo = [(-total[b], b) for b in inside.get(0, ())]
+    heapq.heapify(todo)
+    while todo:
+        _, b = heapq.heappop(todo)
+        kind, within = page.suggested[b], inside.get(b, ())
+        if clean < OUTWEIGHED[kind] * total[b] or kind == 1 and holds[b] and not plain_article:
+            clean += total[b] - sum(total[x] for x in within)
+            plain_article = plain_article or holds[b]
+            for x in within:
+                heapq.heappush(todo, (-total[x], x))
+        else:
+            gone[b] = True
+    for b in range(1, n):
+        gone[b] = gone[b] or gone[page.around[b]]
+    return gone
+
+
+def content(page: Page, smooth: np.ndarray) -> list[str]:
+    """The lines of the content regions, in page order."""
+    lines = page.lines
+    if all(line[3] for line in lines):
+        return []
+    dense = dense_lines(lines, smooth).tolist()
+    linky = [2 * line[4] > len(line[0]) for line in lines]
+    if not any(d and not x for d, x in zip(dense, linky)):
+        linky = [False] * len(lines)
+
+    def weights(gone: list[bool]) -> list[int]:
+        total = [0] * len(page.around)
+        for line, hit, links in zip(lines, dense, linky):
+            if hit and not links and not gone[line[2]]:
+                total[line[2]] += len(line[0])
+        for b in range(len(total) - 1, 0, -1):
+            total[page.around[b]] += total[b]
+        return total
+
+    gone = dropped_blocks(page, weights([False] * len(page.around)))
+    total = weights(gone)
+    stay = [not line[3] and not gone[line[2]] for line in lines]
+    for kind in ("article", "main"):
+        region = [False] * len(page.around)
+        for b in range(1, len(region)):
+            region[b] = region[page.around[b]] or page.kind[b] == kind and total[b] > 0
+        if any(region):
+            return [line[0] for line, ok in zip(lines, stay) if ok and region[line[2]]]
+    top = 0
+    held = [b for b in range(1, len(total)) if total[b] == total[0] > 0]
+    top = held[-1] if held else 0
+    region = [b == top for b in range(len(total))]
+    for b in range(1, len(total)):
+        region[b] = region[b] or region[page.around[b]]
+    hits = [i for i, line in enumerate(lines) if dense[i] and stay[i] and not linky[i] and region[line[2]]]
+    if not hits:
         return []
-    least = share * max(weight.values())
-    chosen = {s for s, w in weight.items() if w >= least}
-    joined: set[int] = set()
-    if containers:
-        total = dict(weight)
-        for s, w in weight.items():
-            if c := containers.get(s, 0):
-                total[c] = total.get(c, 0) + w
-        joined = {s for s in {x[2] for x in lines} if total.get(containers.get(s, 0), 0) >= least or total.get(s, 0) >= least}
-    # of a block that its container brings in, lines of links are left out
-    lines = [(text, tags, section if section not in joined or 2 * linked > len(text) else -1, out, linked) for text, tags, section, out, linked in lines] if joined else lines
-    chosen |= {-1} if joined else set()
-    inside = [i for i, (_, _, section, out, _) in enumerate(lines) if not out and section in chosen]
-    # what stands between lines of the chosen sections belongs to them unless it is mostly links
-    return [text for i, (text, _, section, out, linked) in enumerate(lines) if not out and inside[0] <= i <= inside[-1] and (section in chosen or 2 * linked <= len(text))]
+    full = {lines[i][2] for i in hits} - {top}
+    return [
+        text for i, (text, _, block, _, _, heading) in enumerate(lines)
+        if stay[i] and region[block] and not linky[i] and (hits[0] <= i <= hits[-1] or block in full or heading or _SENTENCE.search(text))
+    ]
 
 
 def main_text(html: str | None, smooth: np.ndarray = kernel(2.0)) -> str:
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    return "\n".join(content(parser.lines, smooth, containers=None if parser.whole else parser.containers))
+    page = Page()
+    page.feed(html)
+    page.close()
+    return "\n".join(content(page, smooth))
 
 
 def extract_text(pages: DataFrame, sigma: float = 2.0) -> DataFrame:
