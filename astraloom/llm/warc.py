@@ -11,7 +11,12 @@ table first, and only archives that it names are ever read: what a lost attempt
 Reading. Index rows are grouped by archive and sorted by offset; ranges less than `gap` bytes apart are read in
 one request of at most `most` bytes (a larger record alone); every record is parsed and its digest verified.
 
-A null html is the empty payload. Other columns of the pages are left out.
+A row is known by its place: file and row number where the pages are a plain scan of Parquet files, so that every scan
+sees one numbering; other inputs are written once with numbers. The index's rows are counted against the pages.
+
+A null html is the empty payload, and pages of any length are whole records. Repeated rows and ids are records of their
+own, with record ids that tell them apart. Null ids are kept. An empty table gives no archives and no rows. Other columns
+of the pages are left out. A URL that no header line can hold is written with its bytes escaped, and read as it was.
 """
 
 from __future__ import annotations
@@ -21,10 +26,12 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote_to_bytes
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from astraloom.llm.common import gone_at_exit, map_batches, shared_dir, written
@@ -33,6 +40,10 @@ INDEX = "archive string, offset long, length long, page_id long, url string, dig
 SHARD_BYTES = 256 << 20
 
 
+#: Says that the target's bytes, its own percent signs among them, are escaped.
+ESCAPED = "X-Target-Escaped"
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -41,29 +52,37 @@ def _payload(html: str | None) -> bytes:
     return (html or "").encode("utf-8", "surrogatepass")
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:x-page:{'none' if page_id is None else page_id}>"
+Place = tuple[int, int]  # file and row
+
+
+def _name(page_id: int | None, place: Place) -> str:
+    return f"<urn:x-page:{'none' if page_id is None else page_id}:{place[0] & (1 << 64) - 1:x}-{place[1]}>"
 
 
 def _page(name: str) -> int | None:
-    inner = name.strip().strip("<>").rpartition(":")[2]
+    inner = name.strip("<>").split(":")[2]
     return None if inner == "none" else int(inner)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; of a revisit only the HTTP header block, whose Content-Length is that of the full payload."""
+def record(page_id: int | None, place: Place, url: str | None, payload: bytes, digest: str, response: tuple[int | None, Place] | None) -> bytes:
+    """One WARC/1.1 record. A revisit names its response (page id and place) and holds only the HTTP header block, whose Content-Length is that of the full payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    target = "".join(c if c.isprintable() and c != " " else "%" + c.encode("utf-8", "surrogatepass").hex().upper() for c in url or "")
+    url = url or ""
+    plain = url.isascii() and url.isprintable() and " " not in url
+    target = url if plain else quote(url.encode("utf-8", "surrogatepass"), safe=":/?#[]@!$&'()*+,;=")
+    revisit = response is not None
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_name(page_id)}",
+        f"WARC-Record-ID: {_name(page_id, place)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
+    if not plain:
+        head.append(f"{ESCAPED}: utf-8")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(*response)}"]
     body = http if revisit else http + payload
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -75,7 +94,7 @@ def parse(raw: bytes) -> dict:
     first, *lines = head.decode().split("\r\n")
     if first != "WARC/1.1":
         raise ValueError(f"not a record: {first[:40]!r}")
-    fields = dict(line.split(": ", 1) for line in lines)
+    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
     body = rest[: int(fields["Content-Length"])]
     http, _, payload = body.partition(b"\r\n\r\n")
     size = next(int(x.split(b": ")[1]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))
@@ -83,12 +102,31 @@ def parse(raw: bytes) -> dict:
     revisit = fields["WARC-Type"] == "revisit"
     if not revisit and (len(payload) != size or digest_of(payload) != digest):
         raise ValueError(f"damaged payload of {fields['WARC-Record-ID']}")
+    url = fields.get("WARC-Target-URI", "")
+    if ESCAPED in fields:
+        url = unquote_to_bytes(url).decode("utf-8", "surrogatepass")
     return {
-        "page_id": _page(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI", ""), "payload_bytes": size, "payload_digest": digest,
+        "page_id": _page(fields["WARC-Record-ID"]), "url": url, "payload_bytes": size, "payload_digest": digest,
         "record_type": fields["WARC-Type"], "refers_to": _page(fields["WARC-Refers-To"]) if revisit else None, "payload": None if revisit else payload,
     }
 
 
+def scanned(df: DataFrame) -> bool:
+    """Is df a plain scan of Parquet files, so that its rows have one place in them?"""
+    if "_metadata" in df.columns:
+        return False
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if not plan.nodeName().startswith(("LogicalRelation", "Relation")):
+        return False
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 def write_archives(pages: DataFrame, least: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the archives of pages (page_id, url, html) and returns their index, a written table."""
     spark = pages.sparkSession
@@ -97,27 +135,29 @@ def write_archives(pages: DataFrame, least: int = 0, shard_bytes: int = SHARD_BY
 
     def digests():
         def fn(batch: pa.RecordBatch) -> dict:
-            raw = [_payload(x) for x in batch.column(2).to_pylist()]
-            return {"seq": batch.column(0), "page_id": batch.column(1), "digest": [digest_of(x) for x in raw], "n": [len(x) for x in raw]}
+            raw = [_payload(x) for x in batch.column(3).to_pylist()]
+            return {"file": batch.column(0), "row": batch.column(1), "page_id": batch.column(2), "digest": [digest_of(x) for x in raw], "n": [len(x) for x in raw]}
 
         return fn
 
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    # a position per row, so that repeated rows are told apart; written, as a second scan may be split otherwise and number rows anew
-    placed = written(base.select(F.monotonically_increasing_id().alias("seq"), "page_id", "url", "html"), "pages")
-    marks = written(map_batches(placed.select("seq", "page_id", "html"), "seq long, page_id long, digest string, n long", digests), "digests")
+    own = [F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")]
+    if scanned(pages):
+        placed = pages.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), *own)
+    else:
+        placed = written(pages.select(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"), *own), "pages")
+    marks = written(map_batches(placed.select("file", "row", "page_id", "html"), "file long, row long, page_id long, digest string, n long", digests), "digests")
     total = marks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     # structs order nulls first, so that null ids lose
-    best = marks.filter(F.col("n") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "seq")).alias("best"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("digest", "best")
-    said = marks.join(best, "digest", "left").select(
-        "seq", "digest", F.when((F.col("n") >= least) & F.col("best").isNotNull() & (F.col("best.seq") != F.col("seq")), F.col("best.page_id")).alias("refers_to"),
-        ((F.col("n") >= least) & F.col("best").isNotNull() & (F.col("best.seq") != F.col("seq"))).alias("revisit"),
-    )
+    best = marks.filter(F.col("n") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "file", "row")).alias("best"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("digest", "best")
+    other = F.col("best").isNotNull() & ((F.col("best.file") != F.col("file")) | (F.col("best.row") != F.col("row")))
+    said = marks.join(best, "digest", "left").select("file", "row", "digest", F.when((F.col("n") >= least) & other, F.col("best")).alias("response"))
     shards = max(1, -(-int(total["b"]) // shard_bytes), min(int(total["n"]), spark.sparkContext.defaultParallelism))
-    shard = F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int").alias("shard")
+    shard = F.pmod(F.xxhash64("file", "row"), F.lit(shards)).cast("int").alias("shard")
     # both sides are dealt by the shard alone, so the join needs no further exchange and pages move once
-    dealt = placed.select(shard, "*").repartition(shards, "shard").join(said.select(shard, "*").repartition(shards, "shard"), ["shard", "seq"])
-    dealt = dealt.select("shard", "page_id", "url", "html", "digest", "refers_to", "revisit")
+    dealt = placed.select(shard, "*").repartition(shards, "shard").join(said.select(shard, "*").repartition(shards, "shard"), ["shard", "file", "row"])
+    dealt = dealt.select("shard", "page_id", "file", "row", "url", "html", "digest", F.col("response").isNotNull().alias("revisit"), "response.page_id", "response.file", "response.row").toDF(
+        "shard", "page_id", "file", "row", "url", "html", "digest", "revisit", "refers_to", "refers_file", "refers_row"
+    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition's rows, sorted by shard; each shard is an archive."""
@@ -128,16 +168,16 @@ def write_archives(pages: DataFrame, least: int = 0, shard_bytes: int = SHARD_BY
         try:
             for batch in batches:
                 rows: list[tuple] = []
-                for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                for row in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
                     if row[0] != shard:
                         if out is not None:
                             out.close()
                         shard, at, name = row[0], 0, f"{row[0]:06d}-{uuid.uuid4().hex}.warc.gz"
                         out = fs.open_output_stream(f"{top}/{name}", compression=None, buffer_size=1 << 20)
-                    _, page_id, url, html, digest, refers, revisit = row
+                    _, page_id, file, number, url, html, digest, revisit, refers, *there = row
                     payload = _payload(html)
                     press = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    raw = press.compress(record(page_id, url, payload, digest, refers, revisit)) + press.flush()
+                    raw = press.compress(record(page_id, (file, number), url, payload, digest, (refers, tuple(there)) if revisit else None)) + press.flush()
                     out.write(raw)
                     rows.append((name, at, len(raw), page_id, url, digest, "revisit" if revisit else "response", refers, len(payload)))
                     at += len(raw)
