@@ -17,10 +17,12 @@ DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all run in this process, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="astraloom-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -37,28 +39,58 @@ def gone_at_exit(spark: SparkSession, path: str) -> None:
     _LEFT.append((spark, path))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _clear() -> None:
     for spark, path in _LEFT:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended before us
             return
 
 
+def release(df: DataFrame) -> None:
+    """Deletes a table that `written` made, once nothing will read it again."""
+    left = _LEFT_AT.pop(id(df), None)
+    if left is not None:
+        _LEFT.remove(left[1:])
+        _delete(*left[1:])
+
+
+_LEFT_AT: dict[int, tuple[DataFrame, SparkSession, str]] = {}  # by the frame, which is held so that its number stays its own
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     gone_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _LEFT_AT[id(found)] = (found, spark, path)
+    return found
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df with the hint to broadcast it if it has at most `rows` rows, which are counted; else df."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut by bytes, so that very long texts do not meet in memory with many others."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * min(1.0, BATCH_BYTES / max(1, batch.nbytes))))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]]) -> DataFrame:
     """df through Arrow: make() builds a task's function from a batch to columns, in the schema's order."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -68,12 +100,9 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            # a batch is cut by bytes, so that very long texts do not meet in memory with many others
-            step = max(1, int(batch.num_rows * min(1.0, BATCH_BYTES / max(1, batch.nbytes))))
-            for at in range(0, batch.num_rows, step):
-                out = fn(batch.slice(at, step))
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
+        for batch in sliced(batches):
+            out = fn(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

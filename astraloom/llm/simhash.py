@@ -11,8 +11,17 @@ fingerprints and only deals the work. Texts with one fingerprint are one row thr
 
 Candidates are verified on whole fingerprints. With one block over all bits two that meet are within 2h bits by the
 triangle inequality. With several blocks of a wider fingerprint two are linked if they agree to 2h bits in some block
-and to `radius` bits on the whole; all pairs within `blocks * (2h + 1) - 1` bits do the first. A task hands on a spanning forest of the links it has found,
-which keeps every connection; the forests are joined by `components`.
+and to `radius` bits on the whole; all pairs within `blocks * (2h + 1) - 1` bits do the first. A task hands on a
+spanning forest of the links it has found, which keeps every connection; the forests are joined by `components`.
+
+Near-duplicates proper (`near_groups`, the pipeline's stage) are pairs of texts whose sets of 5-word shingles have a
+Jaccard similarity of 0.8 or more, and what chains of them reach. Ball hashing of 256-bit fingerprints of the sets,
+in eight blocks, gives groups of candidates; within a group whole shingle sets decide, in integers. Texts with one
+shingle set are one class. A large group is cut into parts, and every two parts meet in a task of bounded size.
+
+Null, empty and wordless texts have the zero fingerprint and are one class. Very long texts are taken whole. Repeated
+rows and ids are rows like others; null ids take no part in a component's least id, and a component of nulls only has a
+null id. Empty tables give no rows. Other columns of the input are left out, or kept as they are by `keep_one`.
 """
 
 from __future__ import annotations
@@ -29,14 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astraloom.llm.common import map_batches, written
-from astraloom.llm.components import components
-from astraloom.llm.near import keep_one  # noqa: F401  the pipeline's stage, decided on whole shingle sets
+from astraloom.llm.common import bounded, map_batches, release, written
+from astraloom.llm.components import SALTS, components
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """words per shingle; bits of the fingerprint (64 or 128) cut into `blocks`; `half` bits per ball in a block; links at `radius` bits or fewer on the whole.
+    """words per shingle; bits of the fingerprint cut into `blocks`; `half` bits per ball in a block; links at `radius` bits or fewer on the whole.
 
     A block's width bounds the chance meetings: n fingerprints put n * ball / 2 ** width variants on a number, so blocks of
     32 bits suit up to some 1e9 texts and need wider blocks (and then a smaller radius) beyond.
@@ -50,7 +58,7 @@ class Scheme:
     seed: int = 42
 
     def __post_init__(self):
-        if self.bits not in (64, 128) or self.bits % (8 * self.blocks) or self.width > 64 or (self.blocks == 1 and self.radius > 2 * self.half):
+        if self.bits % 64 or self.bits % (8 * self.blocks) or self.width > 64 or (self.blocks == 1 and self.radius > 2 * self.half):
             raise ValueError("the balls do not cover the radius, or blocks do not divide the fingerprint into bytes")
 
     @property
@@ -60,28 +68,49 @@ class Scheme:
 
 #: The query's contract: 4 words, 64 bits, 4 differing bits.
 CONTRACT = Scheme()
-#: Near-duplicates of 5-word shingles by fingerprints alone; `near` decides on the shingles themselves. 19 of 128 bits is the angle of a Jaccard similarity of 0.8, and all pairs within it meet in a block;
-#: as the estimate scatters by 4 bits, what meets is linked up to 22, so that few pairs of a similarity of 0.8 or more are missed.
-NEAR = Scheme(words=5, bits=128, blocks=4, half=2, radius=22)
+#: Candidates of 5-word shingle sets. At a Jaccard similarity of 0.8 fingerprints differ in 39 of 256 bits, with a deviation of 6, and a
+#: pair meets in one of the eight blocks with probability 0.992; at 0.85 with 0.999.
+NEAR = Scheme(words=5, bits=256, blocks=8, half=2, radius=60)
+#: Similarity that links, as a fraction.
+SIMILAR = (4, 5)
 
-#: Per byte value its eight bits, the highest first.
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+
+def shingle_texts(text: str | None, k: int) -> Iterator[bytes]:
+    """Every shingle of k words, repeats included; a text of fewer words is one shingle, a text without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if len(words) >= k:
+        return map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
+    return iter([b" ".join(words)] if words else [])
 
 
 def fingerprint(text: str | None, scheme: Scheme = CONTRACT) -> bytes:
-    """Big-endian fingerprint; a text without words has only zeros."""
-    size = scheme.bits // 8
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return bytes(size)
-    k = scheme.words
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else [b" ".join(words)]
-    hashed = xxhash.xxh64_digest if scheme.bits == 64 else xxhash.xxh3_128_digest
-    rows = np.frombuffer(b"".join(map(hashed, shingles, repeat(scheme.seed))), np.uint8).reshape(-1, size)
-    ones = np.concatenate([np.bincount(rows[:, i], minlength=256) @ _BITS for i in range(size)])
+    """Big-endian 64-bit fingerprint of the shingles, repeats included; a text without words has only zeros."""
+    raw = b"".join(map(xxhash.xxh64_digest, shingle_texts(text, scheme.words), repeat(scheme.seed)))
+    return _majority(np.frombuffer(raw, np.uint8).reshape(-1, 8))
+
+
+def _majority(rows: np.ndarray) -> bytes:
+    """rows: (n, bytes). The bits that are set in over half of the rows."""
+    ones = np.zeros(rows.shape[1] * 8, np.int64)
+    for at in range(0, len(rows), 4096):
+        ones += np.unpackbits(rows[at : at + 4096], axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > len(rows)).tobytes()
 
 
+def shingle_set(text: str | None, scheme: Scheme = NEAR) -> np.ndarray:
+    """The hashes of the distinct shingles, sorted."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingle_texts(text, scheme.words), repeat(scheme.seed)), np.uint64))
+
+
+def set_fingerprint(sets: np.ndarray, scheme: Scheme = NEAR) -> bytes:
+    """Fingerprint of a shingle set: each hash is mixed into as many 64-bit words as the fingerprint has."""
+    steps = np.arange(1, scheme.bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = sets[:, None] + steps[None, :]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return _majority((z ^ (z >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(len(sets), scheme.bits // 8))
+
+
 def fingerprints(docs: DataFrame, scheme: Scheme = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and fp (binary) of every document."""
 
@@ -114,7 +143,7 @@ def block_values(raw: np.ndarray, scheme: Scheme, block: int) -> np.ndarray:
 
 
 #: About how many variants a key's task spells out, and how many of them at once.
-SHARE, SLICE = 4_000_000, 1_000_000
+SHARE, SLICE = 16_000_000, 1_000_000
 
 
 class Forest:
@@ -256,21 +285,134 @@ def link_forest(fps: DataFrame, scheme: Scheme, count: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = CONTRACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp and component_id of every document: the smallest id that its links reach, itself included.
-
-    Null ids take no part in the minimum; a component of nulls only has a null id. Null and empty texts share the zero fingerprint.
-    """
+    """id, fp and component_id of every document: the smallest id that its links reach, itself included."""
     marks = written(fingerprints(docs, scheme, id_col, text_col), "fingerprints")
     classes = written(marks.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    edges = link_forest(classes, scheme, classes.count())
-    roots = components(edges).select(F.col("node").alias("fp"), "root")
-    linked = classes.join(roots, "fp")
+    return marks.join(_component_ids(classes, "fp", link_forest(classes, scheme, classes.count())), "fp").select(id_col, "fp", "component_id")
+
+
+def _component_ids(classes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """classes: key and least (id). key and component_id of each, a written table."""
+    roots = components(edges).select(F.col("node").alias(key), "root")
+    linked = written(classes.select(key, "least").join(roots, key), "linked")
     # a table of its own: then both sides of the join are plain exchanges, and adaptive execution can split a large component
     least = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least-ids")
-    of_linked = linked.join(least, "root").select("fp", "component_id")
-    found = written(classes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "component-of")
-    return marks.join(found, "fp").select(id_col, "fp", "component_id")
+    of_linked = linked.join(least, "root").select(key, "component_id")
+    found = written(classes.join(of_linked, key, "left").select(key, F.coalesce("component_id", "least").alias("component_id")), "component-of")
+    release(linked)
+    release(least)
+    return found
 
 
 def near_duplicate_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def class_of(sets: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(sets.tobytes())
+
+
+def linked_sets(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> list[int]:
+    """Per set a number that it shares with exactly those that links of the similarity reach; sets are not empty.
+
+    A set that is reached is compared with those that are not yet, so near copies cost about their number.
+    """
+    num, den = similar
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    _, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts = np.append(0, np.cumsum(sizes))
+    own = [flat[a:b] for a, b in zip(starts, starts[1:])]
+    mark = np.zeros(int(flat.max()) + 1, np.int64)
+    rest, root = np.arange(len(order)), np.full(len(order), -1)
+    while len(rest):
+        first, rest = int(rest[0]), rest[1:]
+        todo = [first]
+        root[first] = first
+        while todo and len(rest):
+            at = todo.pop()
+            # sets of other sizes can't reach the similarity; `rest` stays sorted by size
+            lo, hi = np.searchsorted(den * sizes[rest], num * sizes[at]), np.searchsorted(num * sizes[rest], den * sizes[at], "right")
+            if lo == hi:
+                continue
+            some = rest[lo:hi]
+            mark[own[at]] = 1
+            held = mark[np.concatenate([own[i] for i in some])]
+            mark[own[at]] = 0
+            both = np.add.reduceat(held, np.append(0, np.cumsum(sizes[some])[:-1]))
+            hit = den * both >= num * (sizes[at] + sizes[some] - both)
+            root[some[hit]] = first
+            todo += some[hit].tolist()
+            rest = np.concatenate([rest[:lo], some[~hit], rest[hi:]])
+    out = [0] * len(sets)
+    for i, r in zip(order, root.tolist(), strict=True):
+        out[i] = order[r]
+    return out
+
+
+#: A part of a group of candidates has about so many classes and bytes of text at most; two parts meet in a task.
+PART_CLASSES, PART_BYTES = 1000, 16 << 20
+#: Rows of a side that is broadcast, after they are counted.
+FEW = 200_000
+
+
+def near_groups(docs: DataFrame, scheme: Scheme = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and component_id of every document: the smallest id that links of the similarity reach, itself included."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    row = F.xxhash64(id_col, text_col).alias("row")
+
+    def make():
+        def fn(batch: pa.RecordBatch) -> dict:
+            sets = [shingle_set(t, scheme) for t in batch.column(2).to_pylist()]
+            return {
+                id_col: batch.column(0), "row": batch.column(1), "class": [class_of(s) for s in sets],
+                "fp": [set_fingerprint(s, scheme) if len(s) else None for s in sets], "n": [8 * len(s) for s in sets],
+            }
+
+        return fn
+
+    marks = written(map_batches(docs.select(id_col, row, text_col), f"{id_col} {kind}, row long, class binary, fp binary, n long", make), "marks")
+    # a class's fingerprint is that of any of its rows; its least row speaks for it
+    classes = written(marks.groupBy("class").agg(F.min(id_col).alias("least"), F.min("row").alias("row"), F.min("fp").alias("fp"), F.max("n").alias("n")), "classes")
+    fps = written(classes.filter("fp is not null").select("fp").distinct(), "fps")
+    roots = components(link_forest(fps, scheme, fps.count()))
+    grouped = classes.filter("fp is not null").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("class", "row", "n", F.coalesce("root", "fp").alias("root"))
+    grouped = written(grouped, "grouped")
+    # as in components, a large group is dealt over sub-keys, and its totals go back to them
+    dealt = grouped.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)))
+    some = dealt.groupBy("root", "salt").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("bytes"))
+    sizes = some.groupBy("root").agg(F.sum("members").alias("members"), F.sum("bytes").alias("bytes"), F.collect_set("salt").alias("salts")).filter("members > 1")
+    parts = F.greatest(F.ceil(F.col("members") / PART_CLASSES), F.ceil(F.col("bytes") / PART_BYTES), F.lit(1)).cast("long")
+    back = sizes.select("root", parts.alias("parts"), F.explode("salts").alias("salt"))
+    members = written(dealt.join(back, ["root", "salt"]).select("class", "row", "root", "parts"), "members")
+    # a class goes to the meetings of its part with every part of its group
+    mine = F.pmod(F.xxhash64("class"), F.col("parts"))
+    texts = docs.select(row, F.col(text_col).alias("text")).join(bounded(members, FEW), "row")
+    once = texts.dropDuplicates(["class", "row"])
+    met = once.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "class", "text")
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        sets: dict[bytes, np.ndarray] = {}
+        for name, text in zip(rows["class"], rows["text"], strict=True):
+            if name not in sets and class_of(found := shingle_set(text, scheme)) == name:
+                sets[name] = found
+        names = sorted(sets)
+        heads = linked_sets([sets[x] for x in names]) if names else []
+        return pd.DataFrame({"a": [names[r] for i, r in enumerate(heads) if r != i], "b": [names[i] for i, r in enumerate(heads) if r != i]})
+
+    edges = written(met.groupBy("root", "i", "j").applyInPandas(decide, "a binary, b binary"), "links")
+    found = _component_ids(classes, "class", edges)
+    for done in (classes, fps, grouped, members, edges):
+        release(done)
+    return marks.join(found, "class").select(id_col, "component_id")
+
+
+def keep_one(docs: DataFrame, scheme: Scheme = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the documents with its smallest id stay, with all their columns; null ids and repeated ids stay too.
+
+    Decisions travel as ids: texts only move where those that go are too many to be broadcast.
+    """
+    marks = near_groups(docs, scheme, id_col, text_col)
+    gone = written(marks.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
+    return docs.join(bounded(gone, 10 * FEW), id_col, "left_anti")
