@@ -1,16 +1,22 @@
 """Secret scan through a trigram index.
 
 Every rule's regex is read into a Boolean query over the trigrams that any match must contain. A segment (a batch
-of texts) answers the queries from posting lists, one bit per text; only texts that a rule's query lets through
-are scanned with its regex. A rule without mandatory trigrams scans every text of the segment. Posting lists are
-built for the trigrams that some query asks for, and only where the query still needs them. Index and query use
-the text's bytes with A-Z lowered, so rules in either case are served too.
+of texts) is indexed once: the trigrams of all its texts are listed, and those that some query asks for get posting
+lists of the texts that hold them. Queries intersect and unite posting lists; only texts that a rule's query lets
+through are scanned with its regex. A rule without mandatory trigrams scans every text of the segment.
 
-Segments are local to a task: nothing is shuffled, and memory is one batch. Null and empty texts have no spans.
+Index and query use the text's bytes with A-Z lowered. Where a regex ignores case beyond ASCII, letters that match
+characters outside ASCII (k, s, i among them), like such characters themselves, are mandatory in no trigram, so no
+match is missed.
+
+Segments are local to a task: nothing is shuffled, and memory is one batch. Null and empty texts have no spans; long
+texts are scanned whole; repeated rows and ids and null ids are rows like others; an empty table gives none. Spans that
+start at one place stand in the order of rules. Other columns are left out, or kept as they are by `redact`.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astraloom.llm.common import map_batches
+from astraloom.llm.common import map_batches, sliced
 
 try:  # the name of the standard library's regex parser since 3.11
     from re import _parser as sre
@@ -83,25 +89,44 @@ def _of_strings(strings: set[str]) -> tuple:
     return _any_of([_all_of([("tri", s[i : i + 3]) for i in range(len(s) - 2)]) for s in sorted(strings)])
 
 
-def _class_members(items) -> set[str] | None:
-    """The characters of a small class, lowered; None if it is large or negated."""
+@functools.cache
+def folding_letters() -> frozenset[str]:
+    """The ASCII letters that match a character outside ASCII when cases are ignored, as the regex engine itself has it."""
+    outside = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    hits = "".join(re.findall("(?i)[a-z]", outside))
+    return frozenset(c for c in "abcdefghijklmnopqrstuvwxyz" if re.search(f"(?i){c}", hits))
+
+
+def _one(code: int, wide: bool) -> set[str] | None:
+    """The character as the index has it, if the index tells it; wide: cases are ignored beyond ASCII."""
+    c = chr(code)
+    return {c.lower()} if c.isascii() and not (wide and c.lower() in folding_letters()) else None
+
+
+def _class_members(items, wide: bool) -> set[str] | None:
+    """The characters of a small class, lowered; None if it is large or negated, or the index does not tell them."""
     found: set[str] = set()
     for op, arg in items:
         name = str(op)
         if name == "LITERAL":
-            found.add(chr(arg).lower())
+            codes = range(arg, arg + 1)
         elif name == "RANGE" and arg[1] - arg[0] < 8:
-            found |= {chr(c).lower() for c in range(arg[0], arg[1] + 1)}
+            codes = range(arg[0], arg[1] + 1)
         else:
             return None
+        for code in codes:
+            if (own := _one(code, wide)) is None:
+                return None
+            found |= own
     return found if len(found) <= 8 else None
 
 
-def _read(items) -> tuple[set[str] | None, tuple]:
-    """(exact strings or None, query) of a parsed sequence."""
+def _read(items, flags: int) -> tuple[set[str] | None, tuple]:
+    """(exact strings or None, query) of a parsed sequence under the flags."""
     run: set[str] = {""}
     found: list[tuple] = []
     exact = True
+    wide = bool(flags & re.IGNORECASE) and not flags & re.ASCII
 
     def cut() -> None:
         nonlocal run, exact
@@ -111,19 +136,20 @@ def _read(items) -> tuple[set[str] | None, tuple]:
     for op, arg in items:
         name, strings, query = str(op), None, ALL
         if name == "LITERAL":
-            c = chr(arg)
-            strings = {c.lower()} if c.isascii() else None
+            strings = _one(arg, wide)
         elif name == "IN":
-            strings = _class_members(arg)
+            strings = _class_members(arg, wide)
         elif name == "SUBPATTERN":
-            strings, query = _read(arg[3])
+            strings, query = _read(arg[3], (flags | arg[1]) & ~arg[2])
+        elif name == "ATOMIC_GROUP":
+            strings, query = _read(arg, flags)
         elif name == "BRANCH":
-            read = [_read(x) for x in arg[1]]
+            read = [_read(x, flags) for x in arg[1]]
             strings = set().union(*(s for s, _ in read)) if all(s is not None for s, _ in read) else None
             query = _any_of([_all_of([q, _of_strings(s)]) if s is not None else q for s, q in read])
         elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
             low, high, inner = arg
-            s, q = _read(inner)
+            s, q = _read(inner, flags)
             if high == 1 and s is not None:
                 strings = s | ({""} if low == 0 else set())
             elif low == high and s is not None and len(s) ** low <= EXACT_MOST:
@@ -151,40 +177,60 @@ def _read(items) -> tuple[set[str] | None, tuple]:
 
 def trigram_query(pattern: str) -> tuple:
     """The Boolean query: ("tri", t), ("and", ...), ("or", ...), or ALL where nothing is mandatory."""
-    exact, query = _read(sre.parse(pattern))
+    parsed = sre.parse(pattern)
+    exact, query = _read(parsed, parsed.state.flags)
     return _all_of([query, _of_strings(exact)]) if exact is not None else query
 
 
+def asked_trigrams(query: tuple) -> set[str]:
+    return {query[1]} if query[0] == "tri" else set().union(*map(asked_trigrams, query[1:])) if query != ALL else set()
+
+
+class Vocabulary:
+    """The trigrams that some query asks for, numbered; `of` gives each 24-bit code its number, or -1."""
+
+    def __init__(self, queries: list[tuple]):
+        names = sorted(set().union(*map(asked_trigrams, queries)))
+        self.number = {t: i for i, t in enumerate(names)}
+        self.of = np.full(1 << 24, -1, np.int16 if len(names) < 1 << 15 else np.int32)
+        for t, i in self.number.items():
+            self.of[int.from_bytes(t.encode(), "big")] = i
+
+
 class Segment:
-    """Posting lists of a batch of texts, as one boolean per text."""
-
-    def __init__(self, texts: list[bytes]):
-        self.texts = texts
-        self.known: dict[str, np.ndarray] = {}
-        self.filled: dict[str, np.ndarray] = {}
-
-    def postings(self, trigram: str, among: np.ndarray) -> np.ndarray:
-        known = self.known.setdefault(trigram, np.zeros(len(self.texts), bool))
-        filled = self.filled.setdefault(trigram, np.zeros(len(self.texts), bool))
-        t = trigram.encode()
-        for i in np.flatnonzero(among & ~filled):
-            known[i] = t in self.texts[i]
-        filled |= among
-        return known & among
-
-    def answer(self, query: tuple, among: np.ndarray) -> np.ndarray:
-        """Which of `among` satisfy the query."""
-        if query == ALL or not among.any():
-            return among
+    """Posting lists of a batch of texts (bytes, A-Z lowered): per trigram of the vocabulary the texts that hold it, ascending."""
+
+    #: Bytes whose trigrams are listed at once.
+    STRETCH = 1 << 20
+
+    def __init__(self, texts: list[bytes], words: Vocabulary):
+        self.words, self.n = words, len(texts)
+        stops = np.cumsum(np.fromiter(map(len, texts), np.int64, self.n)) if texts else np.zeros(0, np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        met: list[np.ndarray] = []
+        for at in range(0, len(data) - 2, self.STRETCH):
+            part = data[at : at + self.STRETCH + 2].astype(np.int32)
+            number = words.of[part[:-2] << 16 | part[1:-1] << 8 | part[2:]]
+            place = np.flatnonzero(number >= 0)
+            text = np.searchsorted(stops, place + at, "right")
+            whole = place + at + 2 < stops[text]  # not across the end of a text
+            met.append(np.unique(number[place[whole]].astype(np.int64) * self.n + text[whole]))
+        pairs = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+        bounds = np.searchsorted(pairs, np.arange(len(words.number) + 1) * self.n)
+        self.lists = [pairs[a:b] - k * self.n for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+
+    def answer(self, query: tuple) -> np.ndarray | None:
+        """The texts that satisfy the query, ascending; None for all."""
+        if query == ALL:
+            return None
         if query[0] == "tri":
-            return self.postings(query[1], among)
-        if query[0] == "and":
-            for part in query[1:]:
-                among = self.answer(part, among)
-            return among
-        found = np.zeros(len(among), bool)
-        for part in query[1:]:
-            found |= self.answer(part, among & ~found)
+            return self.lists[self.words.number[query[1]]]
+        parts = [self.answer(part) for part in query[1:]]
+        if query[0] == "or":
+            return None if any(p is None for p in parts) else np.unique(np.concatenate(parts))
+        found = None
+        for part in sorted((p for p in parts if p is not None), key=len):  # the shortest first
+            found = part if found is None else np.intersect1d(found, part, assume_unique=True)
         return found
 
 
@@ -193,17 +239,18 @@ class Scanner:
         self.rules = rules
         self.compiled = [re.compile(r.pattern) for r in rules]
         self.queries = [trigram_query(r.pattern) for r in rules]
+        self.words = Vocabulary(self.queries)
         # what a regex cannot match shorter than its limit is not worth a step of Python
         self.fast = [re.compile(r"[0-9a-f]{24,}") if r.pattern == "[0-9a-f]+" and r.least == 24 else c for r, c in zip(rules, self.compiled, strict=True)]
 
     def scan(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """Per text its spans (start, rule, end) in code points, by start, then rule."""
         texts = [t or "" for t in texts]
-        segment = Segment([t.encode("utf-8", "surrogatepass").lower() for t in texts])
-        some = np.array([bool(t) for t in texts], bool)
+        segment = Segment([t.encode("utf-8", "surrogatepass").lower() for t in texts], self.words)
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for k, (rule, regex, query) in enumerate(zip(self.rules, self.fast, self.queries, strict=True)):
-            for i in np.flatnonzero(segment.answer(query, some)):
+            through = segment.answer(query)
+            for i in range(len(texts)) if through is None else through.tolist():
                 for m in regex.finditer(texts[i]):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
                         found[i].append((m.start(), k, m.end()))
@@ -268,7 +315,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
 
     def run(batches):
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             new = [redacted(t, s, lambda kind: f"<{kind}>", rules) for t, s in zip(texts, scanner.scan(texts), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
