@@ -3,11 +3,13 @@
 A text is a bag of hashed features: its words, the character 3- and 4-grams of each word between edge marks, and two
 marker words (a word that repeats the one before it, a line that repeats an earlier one). Each feature has a learned
 vector; a document is the average of its features' vectors and a softmax layer reads the classes from it. Vectors
-and layer are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows (`Settings.rows`,
-the least hashes of their ids). As the layer is linear in the average, a feature's share of every class is one
+and layer are trained by stochastic gradient descent in numpy on a bounded sample of labelled rows: of the texts of up
+to `Settings.longest` bytes that have a label, the `Settings.rows` with the least hashes of text and label, equal ones once. As the layer is linear in the average, a feature's share of every class is one
 number; scoring sums these over the whole text, with the sums of seen words remembered up to a bound.
 
-Texts without words (null, empty, white space) get the layer's bias. Without labelled rows every score is 0.5.
+Texts without words (null, empty, white space) get the layer's bias. Without labelled rows every score is 0.5; if class 1
+was never seen it is 0. Texts of any length are scored whole. Rows that repeat an id are scored one by one; in the sample each
+of an id's texts stands with each of its labels. Null ids count as held out. An empty table has no scores. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from astraloom.llm.common import held_out, map_batches
 @dataclass(frozen=True)
 class Settings:
     rows: int = 5000  # most labelled rows to learn from
+    longest: int = 1 << 15  # bytes of the longest text to learn from
     buckets: int = 1 << 17
     size: int = 8
     epochs: int = 6  # at least; few rows are gone through until `steps` batches are done
@@ -120,6 +123,10 @@ class Model:
         return score
 
 
+#: Components of vectors and layer stay within it, so that contradictory samples don't diverge.
+BOUND = np.float32(32)
+
+
 def train(texts: list[str | None], labels: list, settings: Settings = Settings()) -> Model:
     """Learns vectors and layer; texts in any order give one model for one order."""
     classes = sorted(set(labels))
@@ -160,10 +167,14 @@ def train(texts: list[str | None], labels: list, settings: Settings = Settings()
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(batch)), target[batch]] -= 1
             back = p @ layer.T
-            layer -= rate / len(batch) * (average.T @ p)
+            layer = np.clip(layer - rate / len(batch) * (average.T @ p), -BOUND, BOUND)
             bias -= rate / len(batch) * p.sum(axis=0)
             if len(ids):
-                np.add.at(vectors, ids, -rate * weight[:, None] * back[owner])
+                order_of = np.argsort(ids, kind="stable")
+                step = (rate * weight[:, None] * back[owner])[order_of]
+                heads = np.flatnonzero(np.append(True, np.diff(ids[order_of])))
+                moved = ids[order_of][heads]
+                vectors[moved] = np.clip(vectors[moved] - np.add.reduceat(step, heads, axis=0), -BOUND, BOUND)
     return Model((vectors.astype(float) @ layer), bias.astype(float), classes, settings)
 
 
@@ -171,19 +182,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Se
     """A model from labelled rows that are not held out; None if there are none."""
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & ~held_out())
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(settings.rows)
+        .distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(settings.rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()  # the sample is bounded by settings.rows
+    short = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= settings.longest)
+    # an id may have any number of rows: what is broadcast is bounded by settings.rows, what is collected by rows * longest
+    found = short.join(F.broadcast(chosen), "doc_id").select("text", "label", F.xxhash64("text", "label").alias("hash"))
+    rows = found.groupBy("hash").agg(F.first("text").alias("text"), F.first("label").alias("label")).orderBy("hash").limit(settings.rows).collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["text"] or ""))
     return train([r["text"] for r in rows], [r["label"] for r in rows], settings)
 
 
 def score_quality(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score (probability of class 1) and predicted for every whole text."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by settings.buckets
 
     def make():
+        model = held.value
         score = model.scorer() if model else None
         one = model.classes.index(1) if model and 1 in model.classes else None
 
