@@ -6,9 +6,12 @@ spherical k-means over its sample, and a text goes to the language of the centro
 centroid rejects a text that is farther (1 - cosine) than nearly all of its own sample is; the general result says
 so in `rejected`. The score is a softmax over the languages' best cosines.
 
-Document frequencies, centroids and radii come from a bounded sample: of each language the rows with the least
-hashes of their ids (`Settings.rows` in all, shared among the languages). A null text or one without a letter is
-`und` with score 0; so is every text where nothing was learned.
+Document frequencies, centroids and radii come from a bounded sample of texts of up to `Settings.longest` bytes: of each
+language those with the least hashes of id and text, equal rows once (`Settings.rows` in all, shared among the languages;
+where there are more languages than that, the most frequent ones). A null text or one without a letter is `und` with
+score 0; so is every text where nothing was learned. Texts of any length are read whole. Rows that repeat an id are
+rows like others; null ids count as held out. Ties go to the language that sorts first. An empty table has no
+predictions. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    rows: int = 4000  # most rows to learn from
+    rows: int = 4000  # most rows, and languages, to learn from
+    longest: int = 1 << 15  # bytes of the longest text to learn from
     features: int = 8192
     centroids: int = 4
     rounds: int = 8
@@ -146,25 +150,29 @@ def train(texts: list[str], langs: list[str], settings: Settings = Settings()) -
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
     """A model from the text and lang of rows that are not held out; None if there are none."""
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    hashed = F.xxhash64("doc_id", "text")
+    known = F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.octet_length("text") <= settings.longest)
+    rows = docs.filter(known).select("lang", hashed.alias("hash"), "text")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(settings.rows).collect()  # bounded by settings.rows
     if not sizes:
         return None
     share = max(1, settings.rows // len(sizes))
-    # a hash thins large languages out to some four shares before the window ranks them, so no language gathers in a task
+    # the hash thins large languages out to some four shares before the window ranks them, and equal rows become one, so no language gathers in a task
     limits = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * share / r["n"])) for r in sizes], "lang string, part double")
-    thin = rows.select("doc_id", "lang").join(F.broadcast(limits), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(1_000_000)) / 1e6 < F.col("part"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = thin.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= share).select("doc_id", F.col("lang").alias("of")).distinct()
-    found = rows.join(F.broadcast(chosen), "doc_id").filter("lang = of").select("doc_id", "text", "lang").collect()  # bounded by settings.rows
-    found.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    thin = rows.join(F.broadcast(limits), "lang").filter(F.pmod(F.col("hash"), F.lit(1_000_000)) / 1e6 < F.col("part"))
+    order = Window.partitionBy("lang").orderBy("hash")
+    chosen = thin.groupBy("lang", "hash").agg(F.first("text").alias("text")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= share)
+    found = sorted(chosen.select("lang", "hash", "text").collect())  # bounded by settings.rows and settings.longest
     return train([r["text"] for r in found], [r["lang"] for r in found], settings)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for every whole text."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by settings.features and the languages
 
     def make():
+        model = held.value
+
         def fn(batch: pa.RecordBatch) -> dict:
             texts = batch.column(2).to_pylist()
             found = model.predict(texts) if model else [(UNKNOWN, 0.0, True)] * len(texts)
