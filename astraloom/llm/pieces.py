@@ -7,7 +7,9 @@ normalised text (merging itself is the library's, with its own normaliser switch
 through the recorded alignment to byte spans of the original text; in an identity run that is a running sum of the
 pieces' source bytes. Each byte-fallback piece gets the source byte that it stands for.
 
-A null text is empty; an empty text has no pieces.
+A null text is empty; an empty text has no pieces. Texts of any length are encoded whole. Repeated rows and ids and null
+ids are rows like others; an empty table gives no rows; other columns are left out. Of pieces that could begin a merge
+the library's order decides, so ties are the library's.
 """
 
 from __future__ import annotations

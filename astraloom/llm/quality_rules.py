@@ -6,7 +6,9 @@ rejected if its whole ratio leaves the band of its length, or if more than `max_
 chunks leave the band of a chunk. Chunks are full; where they leave a rest, a last one ends where the text ends. Before the bands stand two base rules: too few words, or too many of
 them in three-word windows that return.
 
-Null and empty texts have no words and fail the base rules; their ratios are null.
+Null, empty and wordless texts have no words and fail the base rules; the ratios of null and empty ones are null. Texts of
+any length are measured whole, chunk by chunk. A ratio on the edge of its band is inside. Repeated rows and ids and null
+ids are rows like others; an empty table gives no rows; other columns are left out, or kept as they are by `keep_good`.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from astraloom.llm.common import map_batches
+from astraloom.llm.common import map_batches, sliced
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -127,7 +129,7 @@ def keep_good(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text") -
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=bands.level)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([measure(t, bands, press)[6] for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
