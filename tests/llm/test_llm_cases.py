@@ -92,6 +92,39 @@ def test_archives_of_odd_pages(pages):
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_record_ids_and_urls(spark, pages, tmp_path):
+    """Records of one page id have ids of their own, and every url comes back as it was."""
+    spark.createDataFrame([(1, u, "<p>x", "x") for u in ("http://a/ü%20 b​", "http://a/%20", "", "a\nb", None)], pages.schema).write.parquet(f"{tmp_path}/urls")
+    table = spark.read.parquet(f"{tmp_path}/urls")
+    assert warc.scanned(table) and not warc.scanned(table.union(table))
+    index = warc.write_archives(table)
+    assert sorted(r["url"] for r in warc.read_records(index).collect()) == sorted(["http://a/ü%20 b​", "http://a/%20", "", "a\nb", ""])
+    assert warc.record(1, (0, 0), "u", b"", "D", None) != warc.record(1, (0, 1), "u", b"", "D", None)
+    raw = warc.record(2, (0, 0), "x​", b"", warc.digest_of(b""), None)
+    assert b"Target-URI: x%E2%80%8B\r\n" in raw and warc.parse(raw)["url"] == "x​"
+
+
+def test_samples_are_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, f"words of row {k} here", "en", "s", 1) for k in range(300)] + [(3, "x" * 40_000, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (1, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality_model.train
+    quality_model.train = lambda texts, of, settings: seen.append(len(texts)) or real(texts, of, settings)
+    try:
+        quality_model.fit(docs, labels, settings=quality_model.Settings(rows=50))
+        quality_model.fit(docs, labels)
+    finally:
+        quality_model.train = real
+    assert seen == [50, 600]
+    real = language.train
+    language.train = lambda texts, langs, settings: seen.append(len(texts)) or real(texts, langs, settings)
+    try:
+        language.fit(docs, language.Settings(rows=40))
+    finally:
+        language.train = real
+    assert seen[-1] == 40
+
+
 def test_text_of_odd_pages(pages):
     rows = {r["page_id"]: r for r in html_text.extract_text(pages).collect()}
     assert rows[1]["text"] == "" and rows[2]["n_chars"] == 0 and rows[4]["text"] == "Hi there & you" and rows[3]["n_chars"] == 4 * 100_000 - 1
@@ -105,6 +138,16 @@ def test_mixing_of_odd_rows(odd, none):
     assert mixing.keep_mixed(odd, mixing.Mix(share=100, epochs=1)).columns == odd.columns
 
 
+def test_mixing_takes_repeated_and_null_ids_one_by_one(spark):
+    rows = [(7 if k % 2 else None, prose(k // 2, 15), "en", "src0", 1) for k in range(20)] + [(7, prose(99, 15), "en", "src0", 1)] * 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for share in (10, 50, 90):
+        mix = mixing.Mix(share=share, epochs=1)
+        taken = mixing.mix_documents(docs, mix).count()
+        assert taken == -(-(30 * 15 * share // 100) // 15)  # the last one starts within the budget
+        assert mixing.keep_mixed(docs, mix).count() == taken
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1), (6, [inf, 1.0], 1), (7, [1.0, None], 1), (8, [1.0], 1), (None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (100, [0.9, 0.1], 1)]
@@ -112,14 +155,27 @@ def test_neighbours_of_odd_vectors(spark):
     found = [tuple(r) for r in ann.neighbours(vectors, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
     assert [(q, r, v) for q, r, v, _ in found] == [(0, 1, 1), (0, 2, 100), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
     assert found[0][3] == 0.0
+    # a length of its own is a space of its own
+    more = vectors.union(spark.createDataFrame([(200, [3.0], 1), (9, [2.0], 1), (10, [5.0], 1)], vectors.schema))
+    assert [tuple(r) for r in ann.neighbours(more, F.col("vec_id") % 100 == 0).filter("query_id = 200").orderBy("rank").collect()] == [(200, 1, 9, 1.0), (200, 2, 8, 2.0), (200, 3, 10, 2.0)]
     assert ann.neighbours(vectors.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
-    for docs in (odd, none):
+def test_pipeline_of_odd_rows(spark, odd, none):
+    for docs, want in ((odd, [{None, 5, 6, 9, 10}, {None, 5, 9, 10}]), (none, [set(), set()])):
         now = docs
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            now = stage(spark, now, "unused")
+            before, now = now, stage(spark, now, "unused")
+            ids = [r["doc_id"] for r in now.collect()]
             if k < 4:
                 assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        now.collect()
+            if k < 2:
+                assert set(ids) - {9} == want[k] - {9}
+            if k in (2, 4):
+                assert len(ids) == before.count()
+            if k == 2 and ids:
+                assert "<assign>" in now.filter("doc_id = 10").first()["text"]
+            if k == 3 and ids:
+                words = lambda d: sum(len((r["text"] or "").split()) for r in d.collect())
+                longest = max(len(r["text"].split()) for r in before.collect())
+                assert words(now) <= 0.7 * words(before) + 8 * longest and set(ids) <= {r["doc_id"] for r in before.collect()}
