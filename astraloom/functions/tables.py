@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """The folder of spark.checkpoint.dir, or one of our own where none is set."""
+    """The folder of spark.checkpoint.dir, or, where none is set and all run in this process, one of our own."""
     if spark.sparkContext.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="astraloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = f"file://{own}"

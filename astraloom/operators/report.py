@@ -49,7 +49,8 @@ def write_html(path: str, found: DataFrame, changes: DataFrame | None = None, ro
     for kind in ("new", "resolved") if changes is not None else ():
         some = changes.filter(F.col("change") == kind).orderBy(rank(F.col("severity")).desc(), "path", "line").limit(30).collect()
         parts.append(f"<h2>{kind}</h2><table>{''.join(map(line, some))}</table>")
-    parts.append(f"<table>{''.join(map(line, listed))}</table>")
+    total = sum(counts[k] for k in ("high", "med", "low", "other"))
+    parts.append(f"<table>{''.join(map(line, listed))}</table>" + (f"<p>The {rows} most severe of {total}; the JSON document and the tables hold all.</p>" if total > rows else ""))
     with open(f"{path}.tmp", "w", encoding="utf-8") as out:
         out.write("\n".join(parts))
     os.replace(f"{path}.tmp", path)
