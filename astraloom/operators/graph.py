@@ -23,17 +23,28 @@ STOP_WORDS = among("__init__ backend routers services models schemas jobs py")
 
 
 def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """edges: src, dst; start: id. The ids that start reaches, itself included."""
+    """edges: src, dst; start: id. The ids that start reaches, itself included.
+
+    A round writes what it has found anew, and nothing twice: what was seen before is the union of the earlier rounds,
+    put together anew only after every `TOGETHER` rounds, so that plans stay short.
+    """
     edges = cut(edges.select("src", "dst").distinct())
-    seen = cut(start.select("id").distinct())
-    frontier = seen
+    frontier = seen = cut(start.select("id").distinct())
+    rounds = 0
     while not frontier.isEmpty():
         step = edges.join(frontier, edges["src"] == frontier["id"], "left_semi").select(F.col("dst").alias("id")).distinct()
         frontier = cut(step.join(seen, "id", "left_anti"))
-        seen = cut(seen.union(frontier))
+        rounds += 1
+        seen = seen.union(frontier)
+        if rounds % TOGETHER == 0:
+            seen = cut(seen)
     return seen
 
 
+#: Rounds whose finds are put together into one table.
+TOGETHER = 16
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id and the least id of its component: labels go down along edges, and labels of labels halve the way."""
     both = cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
@@ -53,15 +64,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     left = cut(edges.select("src", "dst").distinct())
     found: DataFrame = spark.createDataFrame([], "id string, scc string")
+    size = left.count()
     while True:
         # nodes without a way in or out lie on no cycle
         while True:
-            core = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            same = core.count() == left.count()
-            left = core
-            if same:
+            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            before, size = size, left.count()
+            if size == before:
                 break
-        if left.isEmpty():
+        if not size:
             return found
         nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
         colour = cut(nodes.select("id", F.col("id").alias("colour")))
@@ -80,6 +91,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = cut(found.unionByName(real))
         gone = members.select(F.col("id").alias("gone"))
         left = cut(left.join(gone, left["src"] == gone["gone"], "left_anti").join(gone, left["dst"] == gone["gone"], "left_anti"))
+        size = left.count()
 
 
 def import_graph(graph: CodeGraph) -> DataFrame:
@@ -165,6 +177,12 @@ FROM y""",
     )
 
 
+def connectivity_summary(status: DataFrame) -> DataFrame:
+    """How many files are reachable (those that are neither of the others), unreachable and incomplete."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    return status.agg((F.count(F.lit(1)) - count("unreachable") - count("incomplete")).alias("reachable"), count("unreachable").alias("unreachable"), count("incomplete").alias("incomplete"))
+
+
 def affinity(graph: CodeGraph) -> DataFrame:
     """a, b, weight of pairs of files: 2 per table in common, 2 per imported pair, 1 for a self-import."""
     return sql(
@@ -179,27 +197,118 @@ SELECT a, b, sum(w) AS weight FROM (SELECT p.id AS a, q.id AS b, 2.0D AS w FROM
     )
 
 
-def clusters(graph: CodeGraph, merge_singletons: bool = True) -> DataFrame:
-    """block, members, shared_tables and shared_imports of the components of the affinity; without any affinity one block holds all files.
+def affine(graph: CodeGraph) -> DataFrame:
+    """src, dst: links with the components of the affinity: a file and the least file of each of its tables, an importer and the imported. No pairs within a table."""
+    return sql(
+        graph.nodes.sparkSession,
+        """
+WITH t AS (SELECT DISTINCT id, tab FROM nodes LATERAL VIEW explode(tables) AS tab WHERE type = 'file'), hub AS (SELECT tab, min(id) AS id FROM t GROUP BY tab)
+SELECT hub.id AS src, t.id AS dst FROM t JOIN hub ON hub.tab = t.tab WHERE hub.id <> t.id
+UNION SELECT source, target FROM edges WHERE type = 'import' AND startswith(target, 'file:') AND source <> target""",
+        nodes=graph.nodes, edges=graph.edges,
+    )
+
+
+def cluster_labels(graph: CodeGraph, merge_singletons: bool = True, resolution: float | None = None) -> DataFrame:
+    """id, label and n (files of the label) of every file: the components of the affinity, or its communities where a resolution is given.
 
-    Blocks are numbered by size and then by least member; if several files stand alone they make one block, utilities.
+    Without any affinity all files have one label; if several files stand alone they have the label ~.
     """
     spark = graph.nodes.sparkSession
     files = graph.nodes.filter("type = 'file'").select("id")
-    pairs = cut(affinity(graph).filter("weight >= 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    label = files.select("id", F.lit("").alias("label")) if pairs.isEmpty() else components(pairs, files)
+    if resolution is not None:
+        label = communities(cut(affinity(graph)), files, resolution)
+    else:
+        links = cut(affine(graph))
+        # a file that imports itself has affinity too, with nobody else
+        label = files.select("id", F.lit("").alias("label")) if links.isEmpty() and affinity(graph).isEmpty() else components(links, files)
+    label = cut(label)
+    sized = label.join(label.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
+    alone = sized.filter("n = 1").count()
+    if merge_singletons and alone > 1:
+        sized = sized.select("id", F.when(F.col("n") == 1, "~").otherwise(F.col("label")).alias("label"), F.when(F.col("n") == 1, F.lit(alone)).otherwise(F.col("n")).alias("n"))
+    return sized.select("id", "label", "n")
+
+
+def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = 1.0, rounds: int = 20) -> DataFrame:
+    """id, label of communities by modularity, in the manner of Louvain. pairs: a, b, weight (a = b is a loop); nodes: id.
+
+    Nodes move in parallel to the neighbouring community with the largest gain of modularity (ties: the least label); in a
+    round only one half of the nodes, by a hash that changes with the round, may move, so that two do not swap for ever. When
+    moves end, communities become nodes, until none joins another. A level whose moves do not raise the modularity is not
+    taken. Every step is an aggregation and an equi-join; a label is the least id of its community.
+    """
+    spark = pairs.sparkSession
+    label = cut(nodes.select("id", F.col("id").alias("label")))
+    edges = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("weight").cast("double").alias("w")).union(pairs.filter("a <> b").select("b", "a", F.col("weight").cast("double"))))
+    total = edges.agg(F.sum(F.when(F.col("src") == F.col("dst"), 2 * F.col("w")).otherwise(F.col("w"))).alias("m2")).first()["m2"]
+    if not total:
+        return label
+    while True:
+        # weighted degree of each node of this level; loops count twice
+        degree = cut(edges.groupBy("src").agg(F.sum(F.when(F.col("src") == F.col("dst"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k")).withColumnRenamed("src", "id"))
+        own = cut(degree.select("id", F.col("id").alias("c"), "k"))
+        quality = _modularity(spark, edges, own, total, resolution)
+        best, best_quality, quiet = own, quality, 0
+        for turn in range(rounds):
+            moved = cut(
+                sql(
+                    spark,
+                    f"""
+WITH sums AS (SELECT c, sum(k) AS k_all FROM own GROUP BY c),
+ways AS (SELECT o.id, o.c, o.k, t.c AS d, sum(e.w) AS w FROM edges e JOIN own o ON o.id = e.src JOIN own t ON t.id = e.dst WHERE e.src <> e.dst GROUP BY o.id, o.c, o.k, t.c),
+stay AS (SELECT id, c, k, c AS d, 0D AS w FROM own),
+gains AS (SELECT x.id, x.c, x.k, x.d, sum(x.w) - {resolution}D * x.k * (max(s.k_all) - IF(x.d = x.c, x.k, 0D)) / {total}D AS gain FROM (SELECT * FROM ways UNION ALL SELECT * FROM stay) x JOIN sums s ON s.c = x.d GROUP BY x.id, x.c, x.k, x.d),
+tops AS (SELECT id, c, k, max_by(gain, IF(d = c, 1, 0)) FILTER (WHERE d = c) AS here, max(bround(gain, 9)) AS top FROM gains GROUP BY id, c, k),
+to_be AS (SELECT t.id, t.c, t.k, min(g.d) AS d, max(t.top) > bround(max(t.here), 9) AS gains_some FROM tops t JOIN gains g ON g.id = t.id AND bround(g.gain, 9) = t.top GROUP BY t.id, t.c, t.k)
+SELECT id, IF(gains_some AND pmod(xxhash64(id, {turn}), 2) = 0, d, c) AS c, k, c AS before, gains_some FROM to_be""",
+                    own=own, edges=edges,
+                )
+            )
+            some = moved.agg(F.count_if("gains_some").alias("open")).first()["open"]
+            own = moved.select("id", "c", "k")
+            now = _modularity(spark, edges, own, total, resolution)
+            if now > best_quality + 1e-12:
+                best, best_quality = own, now
+            quiet = quiet + 1 if not some else 0
+            if quiet:
+                break
+        if best_quality <= quality + 1e-12:
+            return label
+        least = best.groupBy("c").agg(F.min("id").alias("to"))
+        renamed = cut(best.join(least, "c").select("id", "to"))
+        label = cut(label.join(renamed.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        a, b = renamed.select(F.col("id").alias("src"), F.col("to").alias("s")), renamed.select(F.col("id").alias("dst"), F.col("to").alias("d"))
+        # both directions of an inner edge add up, so they count half in the loop
+        whole = F.when((F.col("s") == F.col("d")) & (F.col("src") != F.col("dst")), F.col("w") / 2).otherwise(F.col("w"))
+        edges = cut(edges.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum(whole).alias("w")))
+
+
+def _modularity(spark: SparkSession, edges: DataFrame, own: DataFrame, total: float, resolution: float) -> float:
     return sql(
         spark,
-        f"""
-WITH sized AS (SELECT l.id, l.label, count(*) OVER (PARTITION BY l.label) AS n FROM label l),
-grouped AS (SELECT id, IF(n = 1 AND {'true' if merge_singletons else 'false'} AND (SELECT count(*) FROM sized WHERE n = 1) > 1, '~', label) AS g FROM sized),
-blocks AS (SELECT g, array_sort(collect_list(id)) AS members FROM grouped GROUP BY g),
-shared AS (SELECT g, array_sort(collect_list(tab)) AS shared_tables FROM (SELECT g, tab FROM grouped JOIN (SELECT id AS nid, tab FROM nodes LATERAL VIEW explode(tables) AS tab) ON nid = id GROUP BY g, tab HAVING count(*) >= 2) GROUP BY g),
-imports AS (SELECT g, array_sort(collect_list(target)) AS shared_imports FROM (SELECT g, target FROM grouped JOIN edges e ON e.source = id WHERE e.type = 'import' GROUP BY g, target HAVING count(*) >= 2) GROUP BY g)
+        f"""SELECT (SELECT coalesce(sum(IF(e.src = e.dst, 2 * e.w, e.w)), 0D) FROM edges e JOIN own a ON a.id = e.src JOIN own b ON b.id = e.dst WHERE a.c = b.c) / {total}D
+  - {resolution}D * (SELECT sum(k_all * k_all) FROM (SELECT sum(k) AS k_all FROM own GROUP BY c)) / ({total}D * {total}D) AS q""",
+        edges=edges, own=own,
+    ).first()["q"]
+
+
+def clusters(graph: CodeGraph, merge_singletons: bool = True, resolution: float | None = None) -> DataFrame:
+    """block, members, shared_tables and shared_imports of the labels, for views; `cluster_labels` has a row per file.
+
+    Blocks are numbered by size and then by least member; the files that stand alone make one block, utilities, the last.
+    """
+    grouped = cut(cluster_labels(graph, merge_singletons, resolution))
+    return sql(
+        graph.nodes.sparkSession,
+        """
+WITH blocks AS (SELECT label AS g, array_sort(collect_list(id)) AS members FROM grouped GROUP BY label),
+shared AS (SELECT g, array_sort(collect_list(tab)) AS shared_tables FROM (SELECT label AS g, tab FROM grouped JOIN (SELECT id AS nid, tab FROM nodes LATERAL VIEW explode(tables) AS tab) ON nid = id GROUP BY label, tab HAVING count(*) >= 2) GROUP BY g),
+imports AS (SELECT g, array_sort(collect_list(target)) AS shared_imports FROM (SELECT label AS g, target FROM grouped JOIN edges e ON e.source = id WHERE e.type = 'import' GROUP BY label, target HAVING count(*) >= 2) GROUP BY g)
 SELECT IF(b.g = '~', 'block:utilities', concat('block:', row_number() OVER (ORDER BY b.g = '~', size(members) DESC, members[0]) - 1)) AS block, members,
   coalesce(s.shared_tables, CAST(array() AS ARRAY<STRING>)) AS shared_tables, coalesce(i.shared_imports, CAST(array() AS ARRAY<STRING>)) AS shared_imports
 FROM blocks b LEFT JOIN shared s ON s.g = b.g LEFT JOIN imports i ON i.g = b.g""",
-        label=label, nodes=graph.nodes, edges=graph.edges,
+        grouped=grouped, nodes=graph.nodes, edges=graph.edges,
     )
 
 

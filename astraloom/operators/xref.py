@@ -33,18 +33,27 @@ WITH lines AS (SELECT path, name, max_by(line, pre) AS line FROM (
 SELECT DISTINCT v.path, v.name FROM n v LEFT SEMI JOIN symbols s ON s.path = v.path AND s.name = v.name LEFT JOIN lines l ON l.path = v.path AND l.name = v.name
 WHERE v.kind = 'Name' AND (v.line <> coalesce(l.line, 0) OR v.parent_kind = 'Attribute' OR size(v.fns) > 0)"""
 
-REFERENCES = f"""
-SELECT s.path, s.name, 'imported' AS kind, a.path AS file, a.parent_line AS line FROM n a JOIN symbols s ON s.name = a.source_name AND s.path <> a.path WHERE a.kind = 'alias' AND a.parent_kind = 'ImportFrom'
-UNION ALL
-SELECT s.path, s.name, 'called', c.path, c.line FROM n c JOIN symbols s ON s.name = c.name AND s.path <> c.path WHERE c.kind = 'Call' AND {kid('func', kids='c.kids')}.kind IN ('Name', 'Attribute')
-UNION ALL
-SELECT s.path, s.name, 'referenced', v.path, v.line FROM (SELECT path, name, min_by(line, struct(depth, pre)) AS line FROM n WHERE kind = 'Name' GROUP BY path, name) v
-LEFT ANTI JOIN symbols own ON own.path = v.path AND own.name = v.name JOIN symbols s ON s.name = v.name AND s.path <> v.path WHERE s.type IN ('constant', 'variable')"""
+#: Per name and file how often the name is imported, called and referenced; a reference of a name that the file itself defines is none.
+USES = f"""
+SELECT name, file, sum(n_imported) AS n_imported, sum(n_called) AS n_called, sum(n_referenced) AS n_referenced, min(line) AS line FROM (
+  SELECT source_name AS name, path AS file, count(*) AS n_imported, 0 AS n_called, 0 AS n_referenced, min(parent_line) AS line FROM n WHERE kind = 'alias' AND parent_kind = 'ImportFrom' GROUP BY source_name, path
+  UNION ALL SELECT name, path, 0, count(*), 0, min(line) FROM n WHERE kind = 'Call' AND {kid('func')}.kind IN ('Name', 'Attribute') GROUP BY name, path
+  UNION ALL SELECT v.name, v.path, 0, 0, 1, v.line FROM (SELECT path, name, min(line) AS line FROM n WHERE kind = 'Name' GROUP BY path, name) v LEFT ANTI JOIN symbols own ON own.path = v.path AND own.name = v.name) u
+LEFT SEMI JOIN (SELECT DISTINCT name FROM symbols) s ON s.name = u.name GROUP BY u.name, file"""
 
+#: A symbol's uses are those of its name less those of its own file; names are counted once, however many files define them.
 USAGE = """
-SELECT s.path, s.name, s.type, s.line, s.decorators, count_if(r.kind = 'imported') AS n_imported, count_if(r.kind = 'called') AS n_called, count_if(r.kind = 'referenced') AS n_referenced,
-  array_sort(collect_set(IF(r.kind IN ('imported', 'called'), r.file, NULL))) AS dependents, array_sort(collect_list(IF(r.kind = 'imported', r.file, NULL))) AS importers, max(i.name IS NOT NULL) AS internal
-FROM symbols s LEFT JOIN refs r ON r.path = s.path AND r.name = s.name LEFT JOIN internal i ON i.path = s.path AND i.name = s.name GROUP BY s.path, s.name, s.type, s.line, s.decorators"""
+WITH totals AS (SELECT name, sum(n_imported) AS n_imported, sum(n_called) AS n_called, sum(n_referenced) AS n_referenced, count_if(n_imported + n_called > 0) AS n_dependents FROM uses GROUP BY name)
+SELECT s.path, s.name, s.type, s.line, s.decorators, coalesce(t.n_imported, 0) - coalesce(o.n_imported, 0) AS n_imported, coalesce(t.n_called, 0) - coalesce(o.n_called, 0) AS n_called,
+  IF(s.type IN ('constant', 'variable'), coalesce(t.n_referenced, 0), 0) AS n_referenced, coalesce(t.n_dependents, 0) - IF(coalesce(o.n_imported + o.n_called, 0) > 0, 1, 0) AS n_dependents, i.name IS NOT NULL AS internal
+FROM symbols s LEFT JOIN totals t ON t.name = s.name LEFT JOIN uses o ON o.name = s.name AND o.file = s.path LEFT JOIN internal i ON i.path = s.path AND i.name = s.name"""
+
+#: The first files by name that import or call a symbol, so many at most: its own file may be among those of the name.
+USERS = """
+WITH some AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, how ORDER BY file) AS r FROM (
+  SELECT name, file, line, 'imported' AS how FROM uses WHERE n_imported > 0 UNION ALL SELECT name, file, line, 'called' FROM uses WHERE n_called > 0)) WHERE r <= {0} + 1)
+SELECT path, name, how, file, line FROM (SELECT s.path, s.name, u.how, u.file, u.line, row_number() OVER (PARTITION BY s.path, s.name, u.how ORDER BY u.file) AS r
+  FROM symbols s JOIN some u ON u.name = s.name AND u.file <> s.path) WHERE r <= {0}"""
 
 FINDINGS = f"""
 WITH asked AS (SELECT * FROM usage WHERE NOT startswith(name, '_') AND name <> 'main' AND name NOT IN {INJECTED} AND name NOT IN {OVERRIDES}
@@ -57,7 +66,7 @@ SELECT 'XREF_UNUSED_SYMBOL' AS rule, 'med' AS severity, path, line, name AS symb
 UNION ALL SELECT 'XREF_UNUSED_CONSTANT', 'low', path, line, name FROM asked WHERE type = 'constant' AND n_imported + n_called + n_referenced = 0 AND NOT internal
 UNION ALL SELECT 'XREF_IMPORTED_NOT_CALLED', 'low', path, line, name FROM asked WHERE type = 'function' AND n_imported > 0 AND n_called = 0 AND n_referenced = 0 AND NOT internal
 UNION ALL SELECT 'XREF_DUPLICATE_FUNCTION', 'med', b.path, b.line, b.name FROM bodies b JOIN same s ON md5(b.body) = s.hash WHERE b.n_lines >= 3 AND length(b.body) >= 30
-UNION ALL SELECT 'XREF_SHOTGUN_SURGERY', 'low', path, line, name FROM usage WHERE size(dependents) >= 5"""
+UNION ALL SELECT 'XREF_SHOTGUN_SURGERY', 'low', path, line, name FROM usage WHERE n_dependents >= 5"""
 
 #: As calls resolve to functions and never to files, envy as it stands finds nothing; the second asks what was meant, through the function's file.
 ENVY = """SELECT 'XREF_FEATURE_ENVY' AS rule, 'med' AS severity, e.path, 1L AS line, e.target AS symbol FROM edges e WHERE e.type = 'call' AND startswith(e.target, 'file:') AND false"""
@@ -72,12 +81,16 @@ class CrossReferences:
         spark = rows.sparkSession
         self.symbols = cut(sql(spark, SYMBOLS, n=rows, nodes=graph.nodes))
         internal = sql(spark, INTERNAL, n=rows, symbols=self.symbols)
-        self.references = cut(sql(spark, REFERENCES, n=rows, symbols=self.symbols))
-        self.usage = cut(sql(spark, USAGE, symbols=self.symbols, refs=self.references, internal=internal))
+        self.uses = cut(sql(spark, USES, n=rows, symbols=self.symbols))
+        self.usage = cut(sql(spark, USAGE, symbols=self.symbols, uses=self.uses, internal=internal))
         self.findings = sql(spark, FINDINGS, usage=self.usage, nodes=graph.nodes, f=files)
         self.envy = sql(spark, ENVY, edges=graph.edges)
         self.envy_intent = sql(spark, ENVY_INTENT, edges=graph.edges, nodes=graph.nodes)
 
+    def users(self, n: int = 3) -> DataFrame:
+        """path, name, how (imported or called), file, line: the first n files by name that use each symbol."""
+        return sql(self.usage.sparkSession, USERS.format(int(n)), symbols=self.symbols, uses=self.uses)
+
     def top(self, n: int = 5) -> DataFrame:
         """The most used symbols."""
         return sql(self.usage.sparkSession, f"SELECT path, name, n_imported + n_called + n_referenced AS uses FROM usage ORDER BY uses DESC, split(path, '/'), line LIMIT {int(n)}", usage=self.usage)

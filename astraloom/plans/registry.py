@@ -248,9 +248,9 @@ def xref_feature_envy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _xref(spark, sf_dir).envy.select("rule", "path", "line", "symbol")
 
 
-@query(f"SELECT {_P} AS path, 'helper_' || {_B} AS name, {_CALLS_OF_HELPER} AS uses FROM supplier WHERE {K} % 50 = 4 ORDER BY uses DESC, {K} LIMIT 1")
+@query(f"SELECT path, name, n_imported + n_called + n_referenced AS uses FROM ({ORACLES['xref_usage']}) ORDER BY uses DESC, string_split(path, '/'), line LIMIT 5")
 def xref_top_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _xref(spark, sf_dir).usage.select("path", "name", (F.col("n_imported") + F.col("n_called") + F.col("n_referenced")).alias("uses"), F.regexp_extract("path", r"mod(\d+)", 1).cast("long").alias("k")).orderBy(F.desc("uses"), "k").limit(1).drop("k")
+    return _xref(spark, sf_dir).top(5)
 
 
 @query(f"""
@@ -259,6 +259,11 @@ def graph_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connectivity(_graph(spark, sf_dir))
 
 
+@query(f"SELECT count(*) FILTER (status = 'reachable') AS reachable, count(*) FILTER (status = 'unreachable') AS unreachable, count(*) FILTER (status = 'incomplete') AS incomplete FROM ({ORACLES['graph_connectivity']})")
+def graph_connectivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.connectivity_summary(graph.connectivity(_graph(spark, sf_dir)))
+
+
 def _cycle(*offsets: int) -> str:
     return " || ',' || ".join(PROJECT_PATH.replace(K, f"({K} + {o})") for o in offsets)
 
@@ -275,8 +280,15 @@ _LABEL = f"CASE WHEN {R} IN (1, 2, 3, 4) THEN 'a' || {K} // 20 WHEN {R} IN (5, 6
 
 @query(f"SELECT {_P} AS path, count(*) OVER (PARTITION BY {_LABEL}) AS block_size, {_LABEL} = 'utilities' AS utilities FROM supplier")
 def graph_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = graph.clusters(_graph(spark, sf_dir))
-    return blocks.select(F.explode("members").alias("id"), F.size("members").cast("long").alias("block_size"), (F.col("block") == "block:utilities").alias("utilities")).select(F.substring("id", 6, 1000).alias("path"), "block_size", "utilities")
+    labels = graph.cluster_labels(_graph(spark, sf_dir))
+    return labels.select(F.expr("substr(id, 6)").alias("path"), F.col("n").alias("block_size"), (F.col("label") == "~").alias("utilities"))
+
+
+@query(ORACLES["graph_clusters"])
+def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities by modularity: the project's clusters are small and dense, so none is split and none are joined."""
+    labels = graph.cluster_labels(_graph(spark, sf_dir), resolution=1.0)
+    return labels.select(F.expr("substr(id, 6)").alias("path"), F.col("n").alias("block_size"), (F.col("label") == "~").alias("utilities"))
 
 
 @query(f"""
