@@ -1,7 +1,12 @@
 """JavaScript facts and rules from regular expressions over blanked text.
 
 Strings and comments are blanked in one pass that keeps lengths and line breaks, so offsets are those of the file and
-lines are true (a slash pair within a string ends nothing, and a quote within a comment opens nothing).
+lines are true (a slash pair within a string ends nothing, and a quote within a comment opens nothing). That pass and
+the search for the end of an async function's body are Python; the rules are column expressions over the blanked text.
+
+Facts come from one of two engines: `v1` knows import and require statements, functions, arrows and classes at the
+beginning of a line; `v2` also knows dynamic imports, require anywhere, function expressions and methods, wherever they
+stand, takes a function's name once a file, and keeps the heritage of a class as it is written.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|`(?:\\.|[^`\\])*`?""", re.DOTALL)
@@ -45,47 +50,47 @@ IMPORTS = tuple(
 FUNCTION = re.compile(r"^[ \t]*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s+(\w+)\s*\(", re.MULTILINE)
 ARROW = re.compile(r"^[ \t]*(?:export\s+(?:default\s+)?)?const\s+(\w+)\s*=\s*(?:async\s+)?\(?[^)]*\)?\s*=>", re.MULTILINE)
 CLASS = re.compile(r"^[ \t]*(?:export\s+(?:default\s+)?)?class\s+(\w+)(?:\s+extends\s+(\w+))?", re.MULTILINE)
-VAR = re.compile(r"^[ \t]*var\s+\w", re.MULTILINE)
-LOOSE = re.compile(r"(?<![=!<>])(?:==|!=)(?!=)")
-CONSOLE = re.compile(r"\bconsole\.log\s*\(")
-EFFECT = re.compile(r"useEffect\s*\(\s*(?:\([^)]*\)\s*=>|function\s*\([^)]*\))[^,)]*\)")
-EMPTY_CATCH = re.compile(r"catch\s*\(\s*\w*\s*\)\s*\{\s*\}")
-MAPPED = re.compile(r"\.map\s*\(\s*(?:\([^)]*\)|[a-zA-Z_]\w*)\s*=>\s*(?:\(\s*)?<\w+[^/>]*?(?<!key=)\s*>")
+#: What a rule reports; for the regex engine of the JVM, with its classes widened to those of Unicode.
+REPORTED = {
+    "JS_VAR_DECLARATION": r"^[ \t]*var\s+\w",
+    "JS_LOOSE_EQUALITY": r"(?<![=!<>])(?:==|!=)(?!=)",
+    "JS_CONSOLE_LOG": r"\bconsole\.log\s*\(",
+    "JS_USEEFFECT_NO_DEPS": r"useEffect\s*\(\s*(?:\([^)]*\)\s*=>|function\s*\([^)]*\))[^,)]*\)",
+    "JS_BARE_CATCH": r"catch\s*\(\s*\w*\s*\)\s*\{\s*\}",
+    "JS_MISSING_KEY_PROP": r"\.map\s*\(\s*(?:\([^)]*\)|[a-zA-Z_]\w*)\s*=>\s*(?:\(\s*)?<\w+[^/>]*?(?<!key=)\s*>",
+}
+#: A key within so many characters behind the element is good enough.
+KEY_WITHIN = 200
+NAMED = {"JS_VAR_DECLARATION": "var", "JS_CONSOLE_LOG": "console.log", "JS_USEEFFECT_NO_DEPS": "useEffect", "JS_BARE_CATCH": "catch", "JS_MISSING_KEY_PROP": "map"}
 ASYNC = re.compile(r"async\s+function\s+(\w+)|const\s+(\w+)\s*=\s*async\s*\([^)]*\)\s*=>")
 SEVERITY = {
     "JS_VAR_DECLARATION": "low", "JS_LOOSE_EQUALITY": "med", "JS_CONSOLE_LOG": "low", "JS_USEEFFECT_NO_DEPS": "med",
     "JS_BARE_CATCH": "med", "JS_MISSING_KEY_PROP": "med", "JS_ASYNC_NO_CATCH": "low",
 }
-_TEST = re.compile(r"/test|tests/|/__tests__/|\.test\.|\.spec\.")
+TEST_PATH = r"/test|tests/|/__tests__/|\.test\.|\.spec\."
+
 
+_ENDS = {"{": re.compile(r"[{}]"), "(": re.compile(r"[()]")}
 
-def _body(text: str, at: int) -> str | None:
-    """From the next brace to the one that closes it."""
-    start = text.find("{", at)
-    if start < 0:
-        return None
+
+def _closed(text: str, start: int) -> int:
+    """Behind the bracket that closes the one at start; the text's end if none does."""
     depth = 0
-    for m in re.compile(r"[{}]").finditer(text, start):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return text[start : m.end()]
-    return text[start:]
-
-
-def rule_hits(path: str, text: str) -> list[tuple[str, int, str]]:
-    """(rule, offset, symbol) of every finding."""
-    code = blanked(text)
-    out = [("JS_VAR_DECLARATION", m.start() + len(m[0]) - len(m[0].lstrip()), "var") for m in VAR.finditer(code)]
-    out += [("JS_LOOSE_EQUALITY", m.start(), m[0]) for m in LOOSE.finditer(code)]
-    if not _TEST.search(path.lower()):
-        out += [("JS_CONSOLE_LOG", m.start(), "console.log") for m in CONSOLE.finditer(code)]
-    out += [("JS_USEEFFECT_NO_DEPS", m.start(), "useEffect") for m in EFFECT.finditer(code)]
-    out += [("JS_BARE_CATCH", m.start(), "catch") for m in EMPTY_CATCH.finditer(code)]
-    out += [("JS_MISSING_KEY_PROP", m.start(), "map") for m in MAPPED.finditer(code) if "key=" not in code[m.end() : m.end() + 200]]
+    for m in _ENDS[text[start]].finditer(text, start):
+        depth += 1 if m[0] == text[start] else -1
+        if not depth:
+            return m.end()
+    return len(text)
+
+
+def unguarded(code: str) -> list[tuple[int, str]]:
+    """(line, name) of the async functions of blanked text whose body neither tries nor catches."""
+    out = []
     for m in ASYNC.finditer(code):
-        body = _body(code, m.end())
-        if body is not None and "try" not in body and "catch" not in body:
-            out.append(("JS_ASYNC_NO_CATCH", m.start(), m[1] or m[2]))
+        start = code.find("{", m.end())
+        body = code[start : _closed(code, start)] if start >= 0 else "try"
+        if "try" not in body and "catch" not in body:
+            out.append((code.count("\n", 0, m.start()) + 1, m[1] or m[2]))
     return out
 
 
@@ -98,6 +103,49 @@ def facts(path: str, text: str) -> list[tuple[str, str, int, str | None]]:
     return out + [("class", m[1], lead(m), m[2]) for m in CLASS.finditer(bare)]
 
 
+STATEMENT = re.compile(r"""(?<![\w$.])import\b(?!\s*[.(])[^;'"`()]*?(['"])""")
+LOADED = re.compile(r"(?<![\w$.])(?:require|import)\s*\(\s*(?=['\"])")
+DECLARED = re.compile(r"(?<![\w$.])function\s+([\w$]+)\s*[(<]")
+BOUND = re.compile(r"(?<![\w$.])(?:(?:const|let|var)\s+|,\s*)([\w$]+)\s*(?::[^=;]*)?=(?![=>])\s*(?:async\s+)?(?=function\b|\(|[\w$]+\s*=>)")
+ARROWED = re.compile(r"(?:\s*:[^={;]*)?\s*=>")
+OWNED = re.compile(r"(?<![\w$.])class\s+([\w$]+)\s*(?:<[^{]*?>\s*)?((?:extends|implements)\b[^{]*)?\{")
+METHOD = re.compile(r"(?<![\w$.])((?:(?:static|async|get|set|public|private|protected|override)\s+)*(?:\*\s*)?)(#?[\w$]+)\s*(?=\()")
+#: Words before a parenthesis that name no method.
+NO_METHOD = frozenset("if for while switch catch with function return super new typeof await void delete in of do else".split())
+
+
+def facts_v2(path: str, text: str) -> list[tuple[str, str, int, str | None]]:
+    """(kind, name, offset, heritage); kind is import, function, class or method."""
+    code, bare = blanked(text, strings=False), blanked(text)
+
+    def quoted(at: int) -> str:
+        return code[at + 1 : code.index(code[at], at + 1)] if code.find(code[at], at + 1) > 0 else ""
+
+    out = [("import", name, m.start(), None) for m in STATEMENT.finditer(bare) if (name := quoted(m.end() - 1))]
+    out += [("import", name, m.start(), None) for m in LOADED.finditer(bare) if (name := quoted(m.end()))]
+    found = [(m.start(), m[1]) for m in DECLARED.finditer(bare)]
+    for m in BOUND.finditer(bare):
+        start = m.end()
+        if bare[start] == "(" and not ARROWED.match(bare, _closed(bare, start)) or re.compile(r"function\s*\*").match(bare, start):
+            continue
+        found.append((m.start(1), m[1]))
+    seen: set[str] = set()
+    for at, name in sorted(found):
+        if name not in seen:
+            seen.add(name)
+            out.append(("function", name, at, None))
+    out += [("class", m[1], m.start(), (m[2] or "").strip() or None) for m in OWNED.finditer(bare)]
+    lines: set[tuple[str, int]] = set()
+    for m in METHOD.finditer(bare):
+        end = _closed(bare, m.end())
+        if m[2] in NO_METHOD or re.search(r"(?:\bfunction\s*\*?|\bnew)\s*$", bare[max(0, m.start(2) - 20) : m.start(2)]) or not re.compile(r"(?:\s*:[^={;()]*)?\s*\{").match(bare, end):
+            continue
+        if (place := (m[2], bare.count("\n", 0, m.start()))) not in lines:
+            lines.add(place)
+            out.append(("method", m[2], m.start(), None))
+    return out
+
+
 def _mapped(files: DataFrame, fn, names: tuple[str, ...]) -> DataFrame:
     schema = pa.schema([("path", pa.string()), (names[0], pa.string()), (names[1], pa.string() if names[1] == "name" else pa.int64())] + [(n, pa.string() if n != "line" else pa.int64()) for n in names[2:]])
 
@@ -110,32 +158,72 @@ def _mapped(files: DataFrame, fn, names: tuple[str, ...]) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, sql)
 
 
+_MARK = "\x01"
+_BLANKED = pa.schema([("path", pa.string()), ("code", pa.string()), ("open", pa.list_(pa.struct([("line", pa.int64()), ("symbol", pa.string())])))])
+
+
+def _blanked_files(files: DataFrame) -> DataFrame:
+    """path, code (blanked) and open, the async functions that nothing guards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [blanked(text or "").replace(_MARK, " ") for text in batch.column(1).to_pylist()]
+            found = [[{"line": line, "symbol": name} for line, name in unguarded(code)] if "async" in code else [] for code in codes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.string()), pa.array(found, _BLANKED.field("open").type)], schema=_BLANKED)
+
+    return files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(run, "path string, code string, open array<struct<line: long, symbol: string>>")
+
+
+def _hits(rule: str) -> Column:
+    """The findings of a rule in `code`: the text is cut before every match, and a piece's line is one more than the line ends before it."""
+    more = rf"(?!(?s:.{{0,{KEY_WITHIN - 4}}}?)key=)" if rule == "JS_MISSING_KEY_PROP" else ""
+    pieces = F.split(F.regexp_replace("code", F.lit(f"(?mdU)(?:{REPORTED[rule]}){more}"), F.lit(_MARK + "$0")), _MARK)
+    ends = lambda p: (F.length(p) - F.length(F.replace(p, F.lit("\n")))).cast("long")
+    starts = F.aggregate(pieces, F.array(F.lit(1).cast("long")), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + ends(p)))
+    symbol = (lambda p: F.substring(p, 1, 2)) if rule == "JS_LOOSE_EQUALITY" else (lambda p: F.lit(NAMED[rule]))
+    rows = F.zip_with(pieces, F.slice(starts, 1, F.size(pieces)), lambda p, line: F.struct(line.alias("line"), F.lit(rule).alias("rule"), symbol(p).alias("symbol")))
+    return F.slice(rows, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+
 def js_findings(files: DataFrame) -> DataFrame:
     """tier, path, line, rule, severity, symbol of the JavaScript files."""
+    test = F.lower("path").rlike(TEST_PATH)
+    every = [F.filter(_hits(rule), lambda x: ~test) if rule == "JS_CONSOLE_LOG" else _hits(rule) for rule in REPORTED]
+    every.append(F.transform("open", lambda x: F.struct(x["line"].alias("line"), F.lit("JS_ASYNC_NO_CATCH").alias("rule"), x["symbol"].alias("symbol"))))
+    found = _blanked_files(files).select("path", F.explode(F.concat(*every)).alias("x"))
+    severity = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
+    return found.select(F.lit("lint").alias("tier"), "path", F.col("x.line").alias("line"), F.col("x.rule").alias("rule"), severity[F.col("x.rule")].alias("severity"), F.col("x.symbol").alias("symbol"))
 
-    def fn(path: str, text: str) -> list[tuple]:
-        return [(rule, text.count("\n", 0, at) + 1, symbol) for rule, at, symbol in rule_hits(path, text)]
 
-    severity = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
-    return _mapped(files, fn, ("rule", "line", "symbol")).select(F.lit("lint").alias("tier"), "path", "line", "rule", severity[F.col("rule")].alias("severity"), "symbol")
+ENGINES = {"v1": facts, "v2": facts_v2}
 
 
-def js_nodes(files: DataFrame) -> DataFrame:
-    """path, kind, name, line, extends of the JavaScript files' imports, functions and classes."""
+def js_nodes(files: DataFrame, engine: str = "v1") -> DataFrame:
+    """path, kind, name, line, extends of the JavaScript files' imports, functions, classes and (v2) methods."""
+    facts_of = ENGINES[engine]
 
     def fn(path: str, text: str) -> list[tuple]:
-        return [(kind, name, text.count("\n", 0, at) + 1, extends) for kind, name, at, extends in facts(path, text)]
+        return [(kind, name, text.count("\n", 0, at) + 1, extends) for kind, name, at, extends in facts_of(path, text)]
 
     return _mapped(files, fn, ("kind", "name", "line", "extends"))
 
 
-def js_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def js_graph(files: DataFrame, engine: str = "v1") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with ids of their own grammar: file::, fn::, class::; imports stay module:: and resolve to nothing."""
-    found = js_nodes(files)
+    found = js_nodes(files, engine)
     whole = files.select(F.concat(F.lit("file::"), "path").alias("id"), F.lit("file").alias("type"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(1).cast("long").alias("line_start"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("docstring"))
+    kind = F.when(F.col("kind") == "class", "class").otherwise("function")
+    # methods of one name are told apart by their lines
+    own = F.when(F.col("kind") == "method", F.concat(F.lit("method:"), "name", F.lit("@"), "line")).otherwise(F.col("name"))
+    doc = F.col("extends") if engine == "v2" else F.concat(F.lit("extends "), "extends")
     inner = found.filter("kind <> 'import'").select(
-        F.concat(F.when(F.col("kind") == "class", "class::").otherwise("fn::"), "path", F.lit("::"), "name").alias("id"), F.col("kind").alias("type"), "path", "name", F.col("line").alias("line_start"),
-        F.concat(F.lit("file::"), "path").alias("parent_id"), F.concat(F.lit("extends "), "extends").alias("docstring"),
+        F.concat(F.when(kind == "class", "class::").otherwise("fn::"), "path", F.lit("::"), own).alias("id"), kind.alias("type"), "path", "name", F.col("line").alias("line_start"),
+        F.concat(F.lit("file::"), "path").alias("parent_id"), doc.alias("docstring"),
     )
     edges = found.filter("kind = 'import'").select(F.concat(F.lit("file::"), "path").alias("source"), F.concat(F.lit("module::"), "name").alias("target"), F.lit("import").alias("type"), "line")
     return whole.unionByName(inner), edges
+
+
+def merged(nodes: DataFrame, edges: DataFrame, js_nodes: DataFrame, js_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The map's nodes and edges with those of the JavaScript files behind them: appended after resolution, so ids of the two never meet and counts of the map stay those of Python."""
+    return nodes.select("id", "type", "path", "name", F.col("line_start").cast("long").alias("line_start"), "parent_id", "docstring").unionByName(js_nodes), edges.select("source", "target", "type", F.col("line").cast("long").alias("line")).unionByName(js_edges)
