@@ -34,6 +34,9 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--todo", help="notes whose done items become questions")
     p.add_argument("--fail-on", choices=("low", "med", "high"))
     p.add_argument("--diff", metavar="BASELINE", help="a folder of saved findings, a saved document, a git revision that has one, or 'auto' for the last run")
+    p.add_argument("--js-engine", choices=("v1", "v2"), default="v2")
+    p.add_argument("--resolution", type=float, help="cluster by modularity at this resolution instead of by components")
+    p.add_argument("--pages", help="folder for the pages of files and blocks")
     p.add_argument("--html", nargs="?", const="repo-map-report.html")
     return p.parse_args(argv)
 
@@ -90,6 +93,7 @@ def main(argv: list[str] | None = None) -> int:
     options = Options(
         args.lint or args.fix, args.js, args.xref or args.questions, args.cycles, not args.no_cluster, not args.no_connectivity, config,
         git_commits(spark, root, args.hotspot_days) if args.hotspots else None, args.hotspot_days, tree.done_items(spark, args.todo) if args.todo else None,
+        args.js_engine, args.resolution,
     )
     files = tree.read_tree(spark, root)
     run = Analysis(files, options, tuple(tree.ignored_names(spark, root)))
@@ -99,9 +103,14 @@ def main(argv: list[str] | None = None) -> int:
     report.write_json(args.output or os.path.join(root, "repo-map.json"), **tables)
     if args.tables:
         report.write_tables(args.tables, **tables)
-    print(run.stats.first().asDict())
-    counts = findings.by_severity(run.findings).first().asDict()
-    print(counts)
+    for row in run.summary().orderBy("section", "at").collect():
+        print(f"{row['section']}: {row['text']}")
+    if args.pages:
+        os.makedirs(args.pages, exist_ok=True)
+        report.write_graph_page(os.path.join(args.pages, "files.html"), "Files", *report.file_page(graph.file_view(run.graph), graph.neighbourhood(run.graph)))
+        if run.blocks is not None:
+            crossing = graph.block_view(run.blocks, run.graph, run.findings)[1]
+            report.write_graph_page(os.path.join(args.pages, "blocks.html"), "Blocks", *report.block_page(run.blocks, graph.block_names(run.blocks), crossing))
     if args.fix:
         for row in fixes.fixed(run.lint_files, run.findings).toLocalIterator():
             print(row["path"], row["dead_imports"], row["unused_params"], row["future_imports"])
@@ -116,6 +125,8 @@ def main(argv: list[str] | None = None) -> int:
             changes = written(findings.diff(run.findings, before), "changes")  # the baseline is overwritten below
             for row in findings.most_severe(changes.filter("change = 'new'")).collect():
                 print("new", row["severity"], row["rule"], f"{row['path']}:{row['line']}", row["symbol"])
+            for row in findings.most_severe(changes.filter("change = 'resolved'"), 5).collect():
+                print("resolved", row["severity"], row["rule"], f"{row['path']}:{row['line']}", row["symbol"])
             status = int(findings.regressed(changes))
         run.findings.write.mode("overwrite").parquet(saved)
     if args.html:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from astraloom.functions import javascript
 from astraloom.functions.syntax import syntax_rows
 from astraloom.functions.tables import written
-from astraloom.operators import code_graph, findings, graph, lint, patterns, questions, xref
+from astraloom.operators import code_graph, findings, graph, lint, patterns, questions, report, xref
 from astraloom.sources import tree
 
 
@@ -31,6 +31,8 @@ class Options:
     commits: DataFrame | None = None  # commit_id, ts, path: asks for hotspots
     hotspot_days: int = 180
     done: DataFrame | None = None  # item: lines of a notes file that claim something is done
+    js_engine: str = "v2"  # or v1
+    resolution: float | None = None  # asks for communities instead of components
 
 
 class Analysis:
@@ -47,8 +49,8 @@ class Analysis:
         self.graph = code_graph.build(self.rows, self.files)
         self.stats = code_graph.map_stats(self.graph)
         self.js_files = tree.select_files(files, "js", tuple(options.config.get("exclude", ()))) if options.js else None
-        self.js_nodes, self.js_edges = javascript.js_graph(self.js_files) if options.js else (None, None)
-        self.blocks = graph.clusters(self.graph) if options.cluster else None
+        self.js_nodes, self.js_edges = javascript.js_graph(self.js_files, options.js_engine) if options.js else (None, None)
+        self.blocks = graph.clusters(self.graph, resolution=options.resolution) if options.cluster else None
         entries = tuple((options.config.get("python") or {}).get("entry_points", ()))
         self.connectivity = graph.connectivity(self.graph, entries) if options.connectivity else None
         self.cycles = graph.cycles(self.graph) if options.cycles else None
@@ -86,10 +88,28 @@ class Analysis:
             out = one if out is None else out.unionByName(one)
         return out
 
+    def context(self) -> DataFrame:
+        """What a review of each file is told; the review itself is `questions.review` with a client."""
+        if not self.xref or self.connectivity is None:
+            raise ValueError("a review needs cross references and connectivity")
+        roles = questions.roles(self.graph.nodes, self.graph.routes, self.connectivity)
+        return questions.review_context(self.files, self.findings, self.xref.usage, self.xref.users(), roles)
+
+    def summary(self) -> DataFrame:
+        """What a console shows of the run."""
+        connected = None if self.connectivity is None else graph.connectivity_summary(self.connectivity)
+        return report.summary(self.stats, self.findings, self.xref.usage if self.xref else None, self.cycles, self.hotspots, connected)
+
+    def merged(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges of the map, those of JavaScript files behind them."""
+        if self.js_nodes is None:
+            raise ValueError("the JavaScript files were not read")
+        return javascript.merged(self.graph.nodes, self.graph.edges, self.js_nodes, self.js_edges)
+
     def tables(self) -> dict[str, DataFrame]:
         """What a report holds."""
         found = {
             "stats": self.stats, "nodes": self.graph.nodes.drop("seq"), "edges": self.graph.edges, "routes": self.graph.routes.drop("place"), "findings": self.findings, "blocks": self.blocks, "connectivity": self.connectivity,
-            "cycles": self.cycles, "hotspots": self.hotspots, "symbols": self.xref.usage if self.xref else None, "js_nodes": self.js_nodes, "js_edges": self.js_edges,
+            "cycles": self.cycles, "hotspots": self.hotspots, "symbols": self.xref.usage if self.xref else None, "js_nodes": self.js_nodes, "js_edges": self.js_edges, "map_nodes": self.merged()[0] if self.js_nodes is not None else None, "map_edges": self.merged()[1] if self.js_nodes is not None else None,
         }
         return {k: v for k, v in found.items() if v is not None}

@@ -124,19 +124,112 @@ def verify(questions: DataFrame, client: Callable[[str], str | None], attempts:
     return found.filter("rule <> 'tool_failure'").unionByName(failed.select(*found.columns))
 
 
-def review_context(files: DataFrame, findings: DataFrame, usage: DataFrame, n_issues: int = 15, n_refs: int = 20) -> DataFrame:
-    """Per file worth a review (5 lines or more, no package file): its known issues and how its symbols are used, both bounded lists."""
+def roles(nodes: DataFrame, routes: DataFrame, status: DataFrame) -> DataFrame:
+    """path and role of every file: endpoints, sub-routers, up to five tables, what connectivity says, the docstring; 'utility module' without any."""
+    return sql(
+        nodes.sparkSession,
+        """
+WITH r AS (SELECT path, count_if(method IS NOT NULL) AS endpoints, count_if(type = 'include_router') AS routers FROM routes GROUP BY path)
+SELECT f.path, coalesce(nullif(array_join(filter(array(IF(r.endpoints > 0, concat(r.endpoints, ' API endpoints'), NULL), IF(r.routers > 0, concat('registers ', r.routers, ' sub-routers'), NULL),
+    IF(size(f.tables) > 0, concat('touches tables: ', array_join(slice(f.tables, 1, 5), ', ')), NULL), CASE s.status WHEN 'unreachable' THEN 'UNREACHABLE (dead code)' WHEN 'incomplete' THEN 'INCOMPLETE WIRING (connected but chain is broken)' END,
+    IF(coalesce(f.docstring, '') <> '', concat('purpose: ', f.docstring), NULL)), x -> x IS NOT NULL), '; '), ''), 'utility module') AS role
+FROM nodes f LEFT JOIN r ON r.path = f.path LEFT JOIN status s ON s.path = f.path WHERE f.type = 'file'""",
+        nodes=nodes, routes=routes, status=status,
+    )
+
+
+def review_context(files: DataFrame, findings: DataFrame, usage: DataFrame, users: DataFrame | None = None, roles: DataFrame | None = None, n_issues: int = 15, n_refs: int = 20) -> DataFrame:
+    """Per file worth a review (5 lines or more, no package file): role, known issues and how its symbols are used, all bounded.
+
+    users: path, name, how, file, line of up to three importers and callers of a symbol (`CrossReferences.users`).
+    """
+    none = files.sparkSession.createDataFrame([], "path string, name string, how string, file string, line int")
     return sql(
         files.sparkSession,
         f"""
-WITH i AS (SELECT path, transform(array_sort(collect_list(struct(r, t))), x -> x.t) AS issues FROM (SELECT path, concat(rule, ' at ', line) AS t, row_number() OVER (PARTITION BY path ORDER BY line, rule, symbol) AS r FROM found) WHERE r <= {n_issues} GROUP BY path),
-u AS (SELECT path, transform(array_sort(collect_list(struct(r, t))), x -> x.t) AS refs FROM (SELECT path, concat(type, ' ', name, ': ', n_imported, ' imports, ', n_called, ' calls') AS t, row_number() OVER (PARTITION BY path ORDER BY line, name) AS r FROM usage) WHERE r <= {n_refs} GROUP BY path)
-SELECT f.path, coalesce(u.refs, CAST(array() AS ARRAY<STRING>)) AS refs, coalesce(i.issues, CAST(array() AS ARRAY<STRING>)) AS issues FROM f LEFT JOIN i ON i.path = f.path LEFT JOIN u ON u.path = f.path
+WITH i AS (SELECT path, transform(array_sort(collect_list(struct(r, t))), x -> x.t) AS issues FROM (SELECT path, concat('[', severity, '] line ', line, ': ', rule, ': ', symbol) AS t, row_number() OVER (PARTITION BY path ORDER BY line, rule, symbol) AS r FROM found) WHERE r <= {n_issues} GROUP BY path),
+by_symbol AS (SELECT path, name, how, array_join(transform(array_sort(collect_list(struct(file, line))), x -> IF(how = 'called', concat(x.file, ':', x.line), x.file)), ', ') AS list FROM users GROUP BY path, name, how),
+ways AS (SELECT u.path, u.line, u.name, 0 AS kind, concat(u.name, ': imported by ', b.list) AS t FROM usage u JOIN by_symbol b ON b.path = u.path AND b.name = u.name AND b.how = 'imported'
+  UNION ALL SELECT u.path, u.line, u.name, 1, concat(u.name, ': called from ', b.list) FROM usage u JOIN by_symbol b ON b.path = u.path AND b.name = u.name AND b.how = 'called'
+  UNION ALL SELECT path, line, name, 2, concat(name, ': NEVER USED outside this file') FROM usage WHERE n_imported + n_called + n_referenced = 0
+  UNION ALL SELECT file, CAST(NULL AS INT), name, 3, concat('this file imports ', name, ' from ', path) FROM users WHERE how = 'imported'),
+u AS (SELECT path, transform(array_sort(collect_list(struct(r, t))), x -> x.t) AS refs FROM (SELECT path, t, row_number() OVER (PARTITION BY path ORDER BY kind = 3, line, name, kind, t) AS r FROM ways) WHERE r <= {n_refs} GROUP BY path)
+SELECT f.path, coalesce(o.role, 'utility module') AS role, coalesce(u.refs, CAST(array() AS ARRAY<STRING>)) AS refs, coalesce(i.issues, CAST(array() AS ARRAY<STRING>)) AS issues FROM f LEFT JOIN i ON i.path = f.path LEFT JOIN u ON u.path = f.path LEFT JOIN roles o ON o.path = f.path
 WHERE f.n_lines >= 5 AND f.stem <> '__init__'""",
-        f=files, found=findings, usage=usage,
+        f=files, found=findings, usage=usage, users=none if users is None else users,
+        roles=files.sparkSession.createDataFrame([], "path string, role string") if roles is None else roles,
+    )
+
+
+def answered(answer: str | None, default_path: str | None = None) -> list[tuple]:
+    """(path, line, category, severity, text) of an answer's findings: those of `findings` that are objects with a desc."""
+    out = []
+    listed = outermost(answer).get("findings", [])
+    for f in listed if isinstance(listed, list) else []:
+        if isinstance(f, dict) and "desc" in f:
+            line = f.get("line")
+            line = int(line) if isinstance(line, (int, float)) or isinstance(line, str) and line.isdigit() else 0
+            text = lambda key, other: str(f[key]) if f.get(key) is not None else other  # noqa: E731, B023
+            out.append((default_path or text("file", "-"), line, text("category", "review"), text("severity", "med"), str(f["desc"])))
+    return out
+
+
+_REVIEWED = "tier string, path string, line long, rule string, severity string, symbol string, source string"
+
+
+def review(files: DataFrame, context: DataFrame, client: Callable[[str], str | None], second: Callable[[str], str | None] | None = None) -> DataFrame:
+    """Findings of a review of each file; with a second client, files with findings are asked about again, what was found among their context."""
+
+    def prompt(q, known: list[tuple]) -> str:
+        parts = [f"File: {q.path}", f"Role: {q.role}", "Uses:", *q.refs, "Known issues:", *q.issues]
+        return "\n".join(parts + (["Found so far:", *(f"[{s}] line {line}: {text}" for _, line, _, s, text in known)] if known else []) + ["Source:", q.content])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for q in batch.itertuples():
+                first = answered(client(prompt(q, [])), q.path)
+                out += [("review", *x, "triage") for x in first]
+                if first and second is not None:
+                    out += [("review", *x, "deep") for x in answered(second(prompt(q, first)), q.path)]
+            yield pd.DataFrame(out, columns=["tier", "path", "line", "rule", "severity", "symbol", "source"])
+
+    return context.join(files.select("path", "content"), "path").mapInPandas(run, _REVIEWED)
+
+
+def flagged(files: DataFrame, status: DataFrame, findings: DataFrame) -> DataFrame:
+    """The files that a review across files reads: those with findings, and those that are unreachable or incomplete."""
+    return files.join(findings.select("path").union(status.filter("status IN ('unreachable', 'incomplete')").select("path")).distinct(), "path", "left_semi")
+
+
+def across_context(stats: DataFrame, blocks: DataFrame, status: DataFrame, routes: DataFrame, findings: DataFrame, claims: DataFrame | None = None, n_findings: int = 50, n_lines: int = 200) -> DataFrame:
+    """part, at, text: the lines of the context of a review across files. Prior findings (the first by path and line) and claims of the notes are bounded."""
+    spark = stats.sparkSession
+    none = spark.createDataFrame([], "line int, text string")
+    return sql(
+        spark,
+        f"""
+SELECT 'map' AS part, 1 AS at, concat('Files: ', files, ', Functions: ', functions, ', Edges: ', edges) AS text FROM stats
+UNION ALL SELECT 'blocks', row_number() OVER (ORDER BY length(block), block), concat('[', block, '] ', size(members), ' files') FROM blocks
+UNION ALL SELECT 'connectivity', row_number() OVER (ORDER BY status DESC, path), concat(upper(status), ': ', path) FROM status WHERE status IN ('unreachable', 'incomplete')
+UNION ALL SELECT 'routes', row_number() OVER (ORDER BY path, place), IF(method IS NOT NULL, concat(method, ' ', coalesce(route, '?'), ' to ', path, ':', handler), concat_ws(' ', concat('include_router prefix=', coalesce(prefix, 'NO PREFIX'), ' to ', path), warning)) FROM routes
+UNION ALL SELECT 'findings', r, text FROM (SELECT row_number() OVER (ORDER BY path, line, rule, symbol) AS r, concat('[', severity, '] ', path, ':', line, ' ', rule, ' ', symbol) AS text FROM (SELECT * FROM found ORDER BY path, line, rule, symbol LIMIT {n_findings}))
+UNION ALL SELECT 'claims', line, trim(text) FROM claims WHERE line <= {n_lines} AND text RLIKE 'DONE|FIXED|OPEN|REGRESSED|SHIPPED'""",
+        stats=stats, blocks=blocks, status=status, routes=routes, found=findings, claims=none if claims is None else claims,
     )
 
 
+def review_across(context: DataFrame, sources: DataFrame, client: Callable[[str], str | None] | None) -> DataFrame:
+    """Findings of one question about all flagged files; sources: path, taken, source (`source_budget`). Without a client one finding says that nobody was asked."""
+    spark = context.sparkSession
+    if client is None:
+        return spark.createDataFrame([("review", "-", 0, "tool_failure", "high", "no reviewer", "across")], _REVIEWED)
+    lines = [r["text"] for r in context.orderBy("part", "at").collect()]
+    texts = [f"=== {r['path']} ({r['taken']} lines) ===\n{r['source']}" for r in sources.orderBy("path").collect()]  # bounded by the budget's lines
+    found = answered(client("\n".join([*lines, *texts])))
+    return spark.createDataFrame([("review", *x, "across") for x in found], _REVIEWED)
+
+
 def source_budget(files: DataFrame, lines: int = 5000, least: int = 30) -> DataFrame:
     """path, first lines that fit: files in order of path until the lines are used up; the last is cut if more than `least` remain.
 

@@ -35,7 +35,7 @@ WHERE v.kind = 'Name' AND (v.line <> coalesce(l.line, 0) OR v.parent_kind = 'Att
 
 #: Per name and file how often the name is imported, called and referenced; a reference of a name that the file itself defines is none.
 USES = f"""
-SELECT name, file, sum(n_imported) AS n_imported, sum(n_called) AS n_called, sum(n_referenced) AS n_referenced, min(line) AS line FROM (
+SELECT name, file, sum(n_imported) AS n_imported, sum(n_called) AS n_called, sum(n_referenced) AS n_referenced, min(IF(n_imported > 0, line, NULL)) AS import_line, min(IF(n_called > 0, line, NULL)) AS call_line FROM (
   SELECT source_name AS name, path AS file, count(*) AS n_imported, 0 AS n_called, 0 AS n_referenced, min(parent_line) AS line FROM n WHERE kind = 'alias' AND parent_kind = 'ImportFrom' GROUP BY source_name, path
   UNION ALL SELECT name, path, 0, count(*), 0, min(line) FROM n WHERE kind = 'Call' AND {kid('func')}.kind IN ('Name', 'Attribute') GROUP BY name, path
   UNION ALL SELECT v.name, v.path, 0, 0, 1, v.line FROM (SELECT path, name, min(line) AS line FROM n WHERE kind = 'Name' GROUP BY path, name) v LEFT ANTI JOIN symbols own ON own.path = v.path AND own.name = v.name) u
@@ -51,7 +51,7 @@ FROM symbols s LEFT JOIN totals t ON t.name = s.name LEFT JOIN uses o ON o.name
 #: The first files by name that import or call a symbol, so many at most: its own file may be among those of the name.
 USERS = """
 WITH some AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, how ORDER BY file) AS r FROM (
-  SELECT name, file, line, 'imported' AS how FROM uses WHERE n_imported > 0 UNION ALL SELECT name, file, line, 'called' FROM uses WHERE n_called > 0)) WHERE r <= {0} + 1)
+  SELECT name, file, import_line AS line, 'imported' AS how FROM uses WHERE n_imported > 0 UNION ALL SELECT name, file, call_line, 'called' FROM uses WHERE n_called > 0)) WHERE r <= {0} + 1)
 SELECT path, name, how, file, line FROM (SELECT s.path, s.name, u.how, u.file, u.line, row_number() OVER (PARTITION BY s.path, s.name, u.how ORDER BY u.file) AS r
   FROM symbols s JOIN some u ON u.name = s.name AND u.file <> s.path) WHERE r <= {0}"""
 
