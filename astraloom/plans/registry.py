@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from astraloom.functions import javascript
 from astraloom.functions.tables import written
 from astraloom.operators import code_graph, findings, fixes, graph, lint, patterns, questions, xref
+from astraloom.plans import bundles
 from astraloom.sources import corpus, tree
 from astraloom.sources.corpus import K, NEXT, PROJECT_PATH, R
 from astraloom.sources.snippets import variants
@@ -381,9 +382,17 @@ def hot_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.crossJoin(F.broadcast(m)).select("user_id", "churn", ((F.col("churn") / F.col("c")) * (F.col("total") / F.col("t")) > 0.5).alias("hot"))  # one row
 
 
+@query("""
+SELECT doc_id, CASE WHEN length(text) <= 3000 THEN length(text) WHEN pos = 0 OR pos = 3000 THEN 3000 ELSE 3000 - pos + 14 END::BIGINT AS n_chars
+FROM (SELECT doc_id, text, strpos(reverse(substr(text, 1, 3000)), chr(10)) AS pos FROM documents)""")
+def prompt_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document a question would show: cut at a line's end and marked."""
+    return corpus.read(spark, sf_dir, "documents").select("doc_id", F.length(questions.shortened(F.col("text"))).cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | bundles.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | bundles.ORACLES

@@ -116,14 +116,14 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEPT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
-def parsed(spark: SparkSession, sf_dir: str, which: str = "snippets") -> tuple[DataFrame, DataFrame]:
-    """(rows, files) of a corpus, parsed once per session into tables.
+def parsed(spark: SparkSession, sf_dir: str, which: str = "snippets", make=None) -> tuple[DataFrame, DataFrame]:
+    """(rows, files) of a corpus, parsed once per session into tables; `make` gives path and content of one that is not known by its name.
 
     Rows lie sorted by kind within a partition, so a rule's filter on kinds skips most row groups and pages.
     """
     key = (f"{spark.sparkContext.applicationId}:{which}", sf_dir)
     if key not in _KEPT:
-        files = (snippet_files if which == "snippets" else project_files)(spark, sf_dir)
+        files = {"snippets": snippet_files, "project": project_files}[which](spark, sf_dir) if make is None else described(make(spark, sf_dir))
         files = written(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"), "files")  # one file of a table is one partition otherwise
         _KEPT[key] = written(syntax_rows(files).sortWithinPartitions("kind", "path", "pre"), "rows"), files
     return _KEPT[key]

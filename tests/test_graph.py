@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from astraloom.functions import javascript
 from astraloom.functions.syntax import syntax_rows
 from astraloom.operators import code_graph, findings, graph, lint, questions, report, xref
 from astraloom.sources import tree
@@ -161,7 +162,7 @@ def test_questions(spark):
     assert [(r["path"], r["rule"], r["severity"]) for r in no] == [("m/exp.py", "expiry", "high")]
     assert questions.verify(asked, lambda prompt: '{"answer": "yes"}').isEmpty()
     assert [r["rule"] for r in questions.verify(questions.ask("temporal", n=rows, f=frame), lambda prompt: None).collect()] == ["tool_failure"]
-    assert questions.review_context(frame, lint.findings(rows, frame, ["DEAD_IMPORT"]), x.usage).filter("path = 'm/r.py'").first()["refs"] == ["class R: 0 imports, 0 calls", "function risky: 0 imports, 1 calls", "function two: 0 imports, 2 calls"]
+    assert questions.review_context(frame, lint.findings(rows, frame, ["DEAD_IMPORT"]), x.usage).filter("path = 'm/r.py'").first()["refs"] == ["R: NEVER USED outside this file"]
 
 
 def test_prompts_are_cut_at_lines(spark):
@@ -243,3 +244,48 @@ def test_view_blocks(spark):
     blocks = spark.createDataFrame([("block:0", [f"file:a/x{i}.py" for i in range(40)] + [f"file:b/y{i}.py" for i in range(20)] + ["file:z.py", "file:a/tests/t.py"])], "block string, members array<string>")
     got = {r["name"]: len(r["members"]) for r in graph.view_blocks(blocks, code_graph.CodeGraph(blocks, blocks, blocks, blocks)).collect()}
     assert got == {"A / a": 40, "A / b": 20, "A / (misc)": 1, "Tests": 1}
+
+
+def plain_modularity(pairs, label, resolution):
+    total = sum(w for _, _, w in pairs)
+    degree = {}
+    for a, b, w in pairs:
+        degree[a] = degree.get(a, 0) + w
+        degree[b] = degree.get(b, 0) + w
+    inside = sum(w for a, b, w in pairs if label[a] == label[b])
+    sums = {}
+    for n, k in degree.items():
+        sums[label[n]] = sums.get(label[n], 0) + k
+    return inside / total - resolution * sum(k * k for k in sums.values()) / (4 * total * total)
+
+
+def test_communities(spark):
+    """Two cliques on one bridge part; no single move raises the modularity of what is found."""
+    clique = lambda names: [(a, b, 1.0) for i, a in enumerate(names) for b in names[i + 1 :]]
+    pairs = clique("abcd") + clique("efgh") + [("d", "e", 1.0), ("i", "i", 1.0), ("x", "y", 2.0)]
+    nodes = sorted({n for p in pairs for n in p[:2]} | {"z"})
+    frames = spark.createDataFrame(pairs, "a string, b string, weight double"), spark.createDataFrame([(n,) for n in nodes], "id string")
+    label = {r["id"]: r["label"] for r in graph.communities(*frames).collect()}
+    assert [label[n] for n in "abcdefghixyz"] == list("aaaaeeeeixxz")
+    best = plain_modularity(pairs, label, 1.0)
+    for n in nodes:
+        for other in set(label.values()):
+            assert plain_modularity(pairs, label | {n: other}, 1.0) <= best + 1e-9
+
+
+def test_second_engine_of_javascript(spark):
+    text = "class A extends B.C { static async go(x) { if (x) { f(); } }\n  get n() { return 1; } }\nconst f = function () {}, g = y => y, h = (1);\nimport('./x'); require(\"y\"); // import('z')\nfunction f() {}\nfunction* gen() {}\nconst o = { m() {} };\n"
+    frame = spark.createDataFrame([("a.js", text), ("none.js", None)], "path string, content string")
+    got = [(r["kind"], r["name"], r["line"], r["extends"]) for r in javascript.js_nodes(frame, "v2").collect()]
+    assert sorted(got, key=str) == sorted([("import", "./x", 4, None), ("import", "y", 4, None), ("function", "f", 3, None), ("function", "g", 3, None), ("class", "A", 1, "extends B.C"), ("method", "go", 1, None), ("method", "n", 2, None), ("method", "m", 7, None)], key=str)
+
+
+def test_pages_and_answers(spark, tmp_path):
+    nodes = spark.createDataFrame([(f"n{i}", f"<b>{i}", i, [f"d{i}"]) for i in range(5)], "id string, label string, size int, details array<string>")
+    edges = spark.createDataFrame([("n4", "n3", 1), ("n0", "n1", 1)], "source string, target string, weight int")
+    report.write_graph_page(f"{tmp_path}/p.html", "Some <title>", nodes, edges, most=3)
+    page = (tmp_path / "p.html").read_text()
+    assert "Some &lt;title&gt;: the largest 3 of 5" in page and "<b>" not in page.split("<script")[1] and '"n1"' not in page
+    assert questions.answered('{"findings": [{"desc": "x", "line": "7", "file": "f"}, {"line": 1}, 3]} tail') == [("f", 7, "review", "med", "x")]
+    assert questions.answered("none") == [] and questions.answered('{"findings": 3}') == []
+    assert questions.review_across(nodes, nodes, None).first()["rule"] == "tool_failure"
