@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import builtins
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ class Rule:
     id: str
     severity: str
     sql: str
+    #: Kinds, test and symbol of a rule that looks at one row only.
+    row: tuple[str, str, str] | None = None
 
 
 RULES: dict[str, Rule] = {}
@@ -29,6 +32,11 @@ def rule(id: str, severity: str, sql: str) -> None:
     RULES[id] = Rule(id, severity, sql)
 
 
+def row_rule(id: str, severity: str, symbol: str, kinds: str, where: str) -> None:
+    """A rule that one row of these kinds breaks by itself: a suite asks all of them in one pass."""
+    RULES[id] = Rule(id, severity, f"SELECT path, line, {symbol} AS symbol FROM n WHERE kind IN {among(kinds)} AND ({where})", (kinds, where, symbol))
+
+
 def kid(field: str, idx: int = 0, kids: str = "kids") -> str:
     """The child of a row at a field."""
     return f"get(filter({kids}, k -> k.field = '{field}' AND k.idx = {idx}), 0)"
@@ -122,12 +130,12 @@ SELECT a.path, a.line, a.dest AS symbol FROM (
 LEFT ANTI JOIN (SELECT DISTINCT path, name FROM n WHERE kind = 'Attribute' AND base = 'args') u ON a.path = u.path AND a.dest = u.name
 WHERE a.dest <> ''""")
 rule("GOD_FILE", "med", f"SELECT path, 1 AS line, path AS symbol FROM f WHERE n_lines > {FILE_LINES} AND path IN (SELECT path FROM n WHERE kind = 'Module')")
-rule("GOD_FUNCTION", "med", f"SELECT path, line, name AS symbol FROM n WHERE kind IN {DEFS} AND end_line - line + 1 > {FUNCTION_LINES}")
+row_rule("GOD_FUNCTION", "med", "name", "FunctionDef AsyncFunctionDef", f"end_line - line + 1 > {FUNCTION_LINES}")
 rule("GOD_FUNCTION_COMPLEXITY", "med", f"""
 SELECT d.path, d.line, d.name AS symbol FROM n d
 JOIN (SELECT path, f, sum(CASE WHEN kind = 'BoolOp' THEN {count('values')} - 1 ELSE 1 END) AS branches FROM {UNDER} WHERE kind IN ('If', 'While', 'For', 'ExceptHandler', 'BoolOp') GROUP BY path, f) c
   ON d.path = c.path AND d.pre = c.f WHERE 1 + c.branches > {COMPLEXITY}""")
-rule("GOD_CLASS", "med", f"SELECT path, line, name AS symbol FROM n WHERE kind = 'ClassDef' AND {count('body', f'k.kind IN {DEFS}')} > {METHODS}")
+row_rule("GOD_CLASS", "med", "name", "ClassDef", f"{count('body', f'k.kind IN {DEFS}')} > {METHODS}")
 rule("REDUNDANT_CLASS", "low", f"""
 SELECT c.path, c.line, c.name AS symbol FROM (
   SELECT *, filter(kids, k -> k.field = 'body' AND k.kind IN {DEFS}) AS methods FROM n WHERE kind = 'ClassDef'
@@ -169,8 +177,8 @@ LEFT ANTI JOIN (SELECT DISTINCT path, h FROM x WHERE kind = 'Raise'
     OR (kind = 'Call' AND ({BY_NAME} OR {BY_ATTR}) AND lower(concat(coalesce(concat(base, '.'), ''), name)) RLIKE '{LOG_TOKENS}')) said ON h.path = said.path AND h.pre = said.h
 LEFT ANTI JOIN (SELECT DISTINCT c.path, c.h, v.name FROM x c JOIN x v ON c.path = v.path AND c.h = v.h AND v.kind = 'Name' AND v.pre BETWEEN c.pre AND c.last
     WHERE c.kind IN ('Return', 'Call', 'Assign')) shown ON h.path = shown.path AND h.pre = shown.h AND h.name = shown.name""")
-rule("BARE_EXCEPT", "high", f"SELECT path, line, 'except' AS symbol FROM n WHERE kind = 'ExceptHandler' AND NOT {some('type', 'true')}")
-rule("RAISE_WITHOUT_FROM", "med", f"SELECT path, line, name AS symbol FROM n WHERE kind = 'Raise' AND size(handlers) > 0 AND {some('exc', 'true')} AND NOT {some('cause', 'true')}")
+row_rule("BARE_EXCEPT", "high", "'except'", "ExceptHandler", f"NOT {some('type', 'true')}")
+row_rule("RAISE_WITHOUT_FROM", "med", "name", "Raise", f"size(handlers) > 0 AND {some('exc', 'true')} AND NOT {some('cause', 'true')}")
 rule("RETURN_BREAK_IN_FINALLY", "med", """
 SELECT path, line, lower(kind) AS symbol FROM n LATERAL VIEW explode(finals) AS t
 WHERE kind = 'Return' OR (kind IN ('Break', 'Continue') AND NOT exists(loops, l -> l > t))""")
@@ -200,39 +208,35 @@ LEFT SEMI JOIN (
   ON x.path = s.path AND x.t = s.name""")
 
 # -- calls ---------------------------------------------------------------------------------------------------------
-rule("LIST_POP_ZERO", "med", f"SELECT path, line, coalesce(base, '') AS symbol FROM n WHERE kind = 'Call' AND name = 'pop' AND {BY_ATTR} AND {kid('args')}.kind = 'Constant' AND {kid('args')}.const_num = 0")
-rule("UNGUARDED_JSON", "med", "SELECT path, line, qual AS symbol FROM n WHERE kind = 'Call' AND base = 'json' AND name IN ('load', 'loads') AND NOT in_try")
-rule("UNGUARDED_FILE_OPEN", "low", f"SELECT path, line, coalesce(qual, name) AS symbol FROM n WHERE kind = 'Call' AND name = 'open' AND ({BY_NAME} OR {BY_ATTR}) AND NOT in_try")
+row_rule("LIST_POP_ZERO", "med", "coalesce(base, '')", "Call", f"name = 'pop' AND {BY_ATTR} AND {kid('args')}.kind = 'Constant' AND {kid('args')}.const_num = 0")
+row_rule("UNGUARDED_JSON", "med", "qual", "Call", "base = 'json' AND name IN ('load', 'loads') AND NOT in_try")
+row_rule("UNGUARDED_FILE_OPEN", "low", "coalesce(qual, name)", "Call", f"name = 'open' AND ({BY_NAME} OR {BY_ATTR}) AND NOT in_try")
 _SINK = f"kind = 'Call' AND (({BY_NAME} AND name IN {SINK_NAMES}) OR ({BY_ATTR} AND name IN {SINK_ATTRS}))"
-rule("TAINT_FSTRING_IN_SINK", "high", f"SELECT path, line, coalesce(qual, name) AS symbol FROM n WHERE {_SINK} AND {kid('args')}.kind = 'JoinedStr'")
-rule("TAINT_CONCAT_IN_SINK", "high", f"SELECT path, line, coalesce(qual, name) AS symbol FROM n WHERE {_SINK} AND {kid('args')}.kind = 'BinOp' AND {kid('args')}.op IN ('Add', 'Mod')")
-rule("TAINT_VARIABLE_IN_SINK", "med", f"SELECT path, line, coalesce(qual, name) AS symbol FROM n WHERE {_SINK} AND {kid('args')}.kind = 'Name'")
+row_rule("TAINT_FSTRING_IN_SINK", "high", "coalesce(qual, name)", "Call", f"{_SINK} AND {kid('args')}.kind = 'JoinedStr'")
+row_rule("TAINT_CONCAT_IN_SINK", "high", "coalesce(qual, name)", "Call", f"{_SINK} AND {kid('args')}.kind = 'BinOp' AND {kid('args')}.op IN ('Add', 'Mod')")
+row_rule("TAINT_VARIABLE_IN_SINK", "med", "coalesce(qual, name)", "Call", f"{_SINK} AND {kid('args')}.kind = 'Name'")
 _DEFAULT = f"parent_kind = 'arguments' AND gp_kind IN {DEFS} AND field IN ('defaults', 'kw_defaults')"
 _EMPTY = f"(kind = 'Call' AND {BY_NAME} AND name IN ('list', 'dict', 'set') AND size(kids) = 1)"
-rule("MUTABLE_DEFAULT_ARG", "high", f"SELECT path, line, fn_name AS symbol FROM n WHERE {_DEFAULT} AND (kind IN ('List', 'Dict', 'Set') OR {_EMPTY})")
-rule("FN_CALL_IN_DEFAULT_ARG", "med", f"SELECT path, line, fn_name AS symbol FROM n WHERE {_DEFAULT} AND kind = 'Call' AND NOT {_EMPTY} AND NOT coalesce(name IN {CALL_MARKERS}, false)")
-rule("ZIP_WITHOUT_STRICT", "med", f"SELECT path, line, 'zip' AS symbol FROM n WHERE kind = 'Call' AND {BY_NAME} AND name = 'zip' AND {count('args')} >= 2 AND NOT {some('keywords', "k.name <=> 'strict'")}")
+row_rule("MUTABLE_DEFAULT_ARG", "high", "fn_name", "Call List Dict Set", f"{_DEFAULT} AND (kind IN ('List', 'Dict', 'Set') OR {_EMPTY})")
+row_rule("FN_CALL_IN_DEFAULT_ARG", "med", "fn_name", "Call", f"{_DEFAULT} AND NOT {_EMPTY} AND NOT coalesce(name IN {CALL_MARKERS}, false)")
+row_rule("ZIP_WITHOUT_STRICT", "med", "'zip'", "Call", f"{BY_NAME} AND name = 'zip' AND {count('args')} >= 2 AND NOT {some('keywords', "k.name <=> 'strict'")}")
 _COMPARED = """SELECT path, line, o.kind AS symbol FROM n LATERAL VIEW explode(filter(kids, o -> o.field = 'ops' AND o.kind IN ('Eq', 'NotEq')
   AND exists(kids, c -> c.field = 'comparators' AND c.idx = o.idx AND c.const_type = '{0}'))) AS o WHERE kind = 'Compare'"""
 rule("COMPARE_TO_NONE_WITH_EQ", "low", _COMPARED.format("NoneType"))
 rule("COMPARE_TO_BOOL_WITH_EQ", "low", _COMPARED.format("bool"))
-rule("DATETIME_NOW_NO_TZ", "med", f"""
-SELECT path, line, qual AS symbol FROM n WHERE kind = 'Call' AND base IN ('datetime', 'dt') AND name IN ('now', 'utcnow', 'fromtimestamp')
+row_rule("DATETIME_NOW_NO_TZ", "med", "qual", "Call", f"""base IN ('datetime', 'dt') AND name IN ('now', 'utcnow', 'fromtimestamp')
   AND NOT {some('keywords', "k.name IN ('tz', 'tzinfo')")} AND NOT (name = 'now' AND {count('args')} > 0) AND NOT (name = 'fromtimestamp' AND {count('args')} > 1)""")
 _MODE = f"IF({kid('args', 1)}.kind = 'Constant', {kid('args', 1)}, get(filter(kids, k -> k.field = 'keywords' AND k.name = 'mode' AND k.value_kind = 'Constant'), 0))"
-rule("OPEN_WITHOUT_ENCODING", "low", f"""
-SELECT path, line, qual AS symbol FROM n WHERE kind = 'Call' AND name = 'open' AND ({BY_NAME} OR base IN ('io', 'codecs', 'pathlib'))
+row_rule("OPEN_WITHOUT_ENCODING", "low", "qual", "Call", f"""name = 'open' AND ({BY_NAME} OR base IN ('io', 'codecs', 'pathlib'))
   AND NOT coalesce({_MODE}.const_type = 'str' AND contains({_MODE}.const_str, 'b'), false) AND NOT {some('keywords', "k.name <=> 'encoding'")}""")
 _SUBPROCESS = "kind = 'Call' AND base = 'subprocess'"
-rule("SHELL_TRUE_WITH_FSTRING", "high", f"""
-SELECT path, line, qual AS symbol FROM n WHERE {_SUBPROCESS} AND name IN ('run', 'Popen', 'call', 'check_call', 'check_output')
+row_rule("SHELL_TRUE_WITH_FSTRING", "high", "qual", "Call", f"""{_SUBPROCESS} AND name IN ('run', 'Popen', 'call', 'check_call', 'check_output')
   AND {some('keywords', "k.name = 'shell' AND k.const_type = 'bool' AND k.const_num = 1")} AND ({kid('args')}.kind = 'JoinedStr' OR ({kid('args')}.kind = 'BinOp' AND {kid('args')}.op IN ('Add', 'Mod')))""")
-rule("MISSING_TIMEOUT_ON_HTTP", "high", f"""
-SELECT path, line, qual AS symbol FROM n WHERE kind = 'Call' AND ((base IN ('requests', 'httpx') AND name IN {HTTP_VERBS}) OR qual = 'urllib.request.urlopen') AND NOT {some('keywords', "k.name <=> 'timeout'")}""")
+row_rule("MISSING_TIMEOUT_ON_HTTP", "high", "qual", "Call", f"""((base IN ('requests', 'httpx') AND name IN {HTTP_VERBS}) OR qual = 'urllib.request.urlopen') AND NOT {some('keywords', "k.name <=> 'timeout'")}""")
 rule("HARDCODED_SECRET_LIKE", "high", f"""
 SELECT DISTINCT path, line, label AS symbol FROM (SELECT path, line, CASE {' '.join(f"WHEN const_str RLIKE '{p}' THEN '{label}'" for label, p in SECRETS)} END AS label
   FROM n WHERE kind = 'Constant' AND const_type = 'str' AND length(const_str) >= 16 AND NOT lower(path) RLIKE '/test|tests/|/example|examples/|/fixture|fixtures/') WHERE label IS NOT NULL""")
-rule("F_STRING_IN_LOGGING", "low", f"SELECT path, line, coalesce(qual, name) AS symbol FROM n WHERE kind = 'Call' AND {BY_ATTR} AND name IN {LOG_METHODS} AND {kid('args')}.kind = 'JoinedStr'")
+row_rule("F_STRING_IN_LOGGING", "low", "coalesce(qual, name)", "Call", f"{BY_ATTR} AND name IN {LOG_METHODS} AND {kid('args')}.kind = 'JoinedStr'")
 rule("SUBPROCESS_NO_RETURNCODE_CHECK", "high", f"""
 WITH c AS (SELECT path, line, pre, parent, parent_kind, fn, name FROM n WHERE {_SUBPROCESS} AND name IN ('run', 'Popen', 'call') AND NOT {some('keywords', "k.name = 'check' AND k.const_type = 'bool' AND k.const_num = 1")}),
 kept AS (SELECT c.path, c.line, c.name, coalesce(c.fn, -1) AS scope, {kid('targets', kids='a.kids')}.name AS goal FROM c JOIN n a ON a.path = c.path AND a.pre = c.parent
@@ -250,7 +254,7 @@ WHERE step = 'write' AND before = 'read' AND begun = 0""")
 
 # -- files and tests -------------------------------------------------------------------------------------------------
 TEST_FILE = "(element_at(split(path, '/'), -1) = 'conftest.py' OR startswith(element_at(split(path, '/'), -1), 'test_') OR endswith(path, '_test.py') OR arrays_overlap(slice(split(path, '/'), 1, size(split(path, '/')) - 1), array('tests', 'test')))"
-rule("ASSERT_IN_NON_TEST", "med", f"SELECT path, line, 'assert' AS symbol FROM n WHERE kind = 'Assert' AND NOT {TEST_FILE}")
+row_rule("ASSERT_IN_NON_TEST", "med", "'assert'", "Assert", f"NOT {TEST_FILE}")
 rule("SYS_EXIT_IN_LIBRARY", "med", f"""
 SELECT x.path, x.line, x.qual AS symbol FROM n x
 LEFT ANTI JOIN (SELECT DISTINCT path FROM n WHERE kind = 'Compare' AND field = 'test' AND parent_kind = 'If' AND gp_kind = 'Module' AND op = 'Eq' AND {count('ops')} = 1
@@ -333,12 +337,24 @@ def run_rule(name: str, rows: DataFrame, files: DataFrame) -> DataFrame:
     return found.select("path", F.col("line").cast("long").alias("line"), "symbol")
 
 
+def _one_pass(names: list[str], rows: DataFrame) -> DataFrame:
+    """path, line, rule, severity, symbol of the rules on single rows: one scan of the kinds they look at."""
+    kinds = " ".join(sorted({kind for name in names for kind in RULES[name].row[0].split()}))
+    hits = ", ".join(f"IF(kind IN {among(k)} AND ({where}), named_struct('rule', '{name}', 'severity', '{RULES[name].severity}', 'symbol', {symbol}), NULL)" for name in names for k, where, symbol in [RULES[name].row])
+    return sql(rows.sparkSession, f"SELECT path, CAST(line AS BIGINT) AS line, hit.* FROM n LATERAL VIEW explode(array_compact(array({hits}))) AS hit WHERE kind IN {among(kinds)}", n=rows)
+
+
 def findings(rows: DataFrame, files: DataFrame, names: list[str] | None = None) -> DataFrame:
     """tier, path, line, rule, severity, symbol of the rules, without what comments suppress."""
-    every: DataFrame | None = None
-    for name in names or list(RULES):
-        one = run_rule(name, rows, files).select(F.lit("lint").alias("tier"), "path", "line", F.lit(name).alias("rule"), F.lit(RULES[name].severity).alias("severity"), "symbol")
-        every = one if every is None else every.unionByName(one)
+    names = names or list(RULES)
+    single = [name for name in names if RULES[name].row]
+    parts = [_one_pass(single, rows)] if len(single) > 1 else [_labelled(name, rows, files) for name in single]
+    parts += [_labelled(name, rows, files) for name in names if not RULES[name].row]
+    every = reduce(DataFrame.unionByName, parts).select(F.lit("lint").alias("tier"), "path", "line", "rule", "severity", "symbol")
     quiet = suppressions(files).withColumnRenamed("path", "q_path").withColumnRenamed("line", "q_line")
     hit = (F.col("path") == F.col("q_path")) & (F.col("line") == F.col("q_line")) & (F.col("codes").isNull() | F.array_contains(F.col("codes"), F.col("rule")))
     return every.join(quiet, hit, "left_anti")
+
+
+def _labelled(name: str, rows: DataFrame, files: DataFrame) -> DataFrame:
+    return run_rule(name, rows, files).select("path", "line", F.lit(name).alias("rule"), F.lit(RULES[name].severity).alias("severity"), "symbol")
