@@ -6,7 +6,6 @@ least name.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,38 +98,37 @@ def import_graph(graph: CodeGraph) -> DataFrame:
     return sql(graph.nodes.sparkSession, "SELECT DISTINCT source AS src, target AS dst FROM edges WHERE type = 'import' AND NOT arrays_overlap(flags, array('function_scope', 'dynamic')) AND source <> target AND startswith(source, 'file:') AND startswith(target, 'file:')", edges=graph.edges)
 
 
-def shortest_cycle(edges: pd.DataFrame) -> list[str]:
-    """The shortest cycle of a component, by start and then by neighbours in order; it begins behind its start, which closes it."""
-    out: dict[str, list[str]] = {}
-    for a, b in sorted(zip(edges["src"], edges["dst"], strict=True)):
-        out.setdefault(a, []).append(b)
-    best: list[str] = []
-    for start in sorted(out):
-        came: dict[str, str] = {}
-        level, seen, last = [start], {start}, None
-        while level and last is None:
-            following = []
-            for v in level:
-                for w in out.get(v, []):
-                    if w == start:
-                        last = v
-                        break
-                    if w not in seen:
-                        seen.add(w)
-                        came[w] = v
-                        following.append(w)
-                if last is not None:
-                    break
-            level = following
-        if last is not None:
-            path = [start]
-            while last != start:
-                path.append(last)
-                last = came[last]
-            path = path[1:][::-1] + [start]
-            if not best or len(path) < len(best):
-                best = path
-    return best
+def shortest_cycles(edges: DataFrame) -> DataFrame:
+    """scc and path of a shortest cycle of every component; edges: scc, src, dst within components.
+
+    Of the cycles of that length it is one through the least node, then the least by its nodes in order, from behind that node,
+    which closes it. Ways go from every node through greater ones only, as the least node of a shortest cycle reaches all of it so,
+    and one way is kept per start and end. A component leaves with its first cycle, so the rounds are the greatest girth.
+    """
+    spark = edges.sparkSession
+    ways = cut(edges.filter("src < dst").select("scc", F.col("src").alias("start"), F.col("dst").alias("at"), F.array("dst").alias("path")))
+    found: DataFrame | None = None
+    while not ways.isEmpty():
+        closed = cut(
+            sql(
+                spark,
+                """
+WITH c AS (SELECT w.scc, w.start, min(w.path) AS path FROM ways w JOIN edges e ON e.scc = w.scc AND e.src = w.at AND e.dst = w.start GROUP BY w.scc, w.start)
+SELECT scc, concat(min_by(path, start), array(min(start))) AS path FROM c GROUP BY scc""",
+                ways=ways, edges=edges,
+            )
+        )
+        found = closed if found is None else found.union(closed)
+        ways = cut(
+            sql(
+                spark,
+                """
+SELECT w.scc, w.start, e.dst AS at, min(concat(w.path, array(e.dst))) AS path FROM (SELECT * FROM ways LEFT ANTI JOIN closed ON closed.scc = ways.scc) w
+JOIN edges e ON e.scc = w.scc AND e.src = w.at AND e.dst > w.start GROUP BY w.scc, w.start, e.dst""",
+                ways=ways, closed=closed, edges=edges,
+            )
+        )
+    return spark.createDataFrame([], "scc string, path array<string>") if found is None else found
 
 
 def cycles(graph: CodeGraph) -> DataFrame:
@@ -138,14 +136,10 @@ def cycles(graph: CodeGraph) -> DataFrame:
     edges = cut(import_graph(graph))
     scc = strong_components(edges)
     a, b = scc.select(F.col("id").alias("src"), "scc"), scc.select(F.col("id").alias("dst"), F.col("scc").alias("other"))
-    inside = edges.join(a, "src").join(b, "dst").filter("scc = other").select("scc", "src", "dst")
-
-    def shortest(rows: pd.DataFrame) -> pd.DataFrame:
-        path = [x.removeprefix("file:") for x in shortest_cycle(rows)]
-        return pd.DataFrame({"path": [path[0]], "cycle_length": [len(path)], "scc_size": [len(set(rows["src"]))], "cycle": [path]})
-
-    found = inside.groupBy("scc").applyInPandas(shortest, "path string, cycle_length int, scc_size int, cycle array<string>")
-    return found.select(F.lit("CIRCULAR_DEPENDENCY").alias("rule"), F.when(F.col("cycle_length") >= 3, "high").otherwise("med").alias("severity"), "path", F.lit(1).cast("long").alias("line"), "cycle_length", "scc_size", "cycle")
+    inside = cut(edges.join(a, "src").join(b, "dst").filter("scc = other").select("scc", "src", "dst"))
+    sizes = scc.groupBy("scc").agg(F.count(F.lit(1)).cast("int").alias("scc_size"))
+    found = shortest_cycles(inside).join(sizes, "scc").withColumn("cycle", F.transform("path", lambda x: F.regexp_replace(x, "^file:", ""))).withColumn("cycle_length", F.size("cycle"))
+    return found.select(F.lit("CIRCULAR_DEPENDENCY").alias("rule"), F.when(F.col("cycle_length") >= 3, "high").otherwise("med").alias("severity"), F.col("cycle")[0].alias("path"), F.lit(1).cast("long").alias("line"), "cycle_length", "scc_size", "cycle")
 
 
 def connectivity(graph: CodeGraph, entry_points: tuple[str, ...] = ()) -> DataFrame:

@@ -1,6 +1,8 @@
 """The code graph, cross references, graph analytics, questions, sources, sinks and the stream."""
 
+import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,23 @@ def test_strong_components_and_cycles(spark):
     assert [(r["scc_size"], r["cycle"], r["severity"]) for r in found] == [(3, ["p/b.py", "p/a.py"], "med")]
 
 
+def test_shortest_cycles_against_brute_force(spark):
+    rng = random.Random(5)
+    edges, want = [], {}
+    for k in range(12):
+        # a ring makes one component; chords shorten its cycles
+        n = rng.randint(2, 9)
+        names = [f"file:{k}/{i}" for i in rng.sample(range(n), n)]
+        here = {(names[i], names[(i + 1) % n]) for i in range(n)} | {tuple(rng.sample(names, 2)) for _ in range(rng.randint(0, n // 2))}
+        edges += [(str(k), a, b) for a, b in here]
+        rounds = [c for size in range(2, n + 1) for c in itertools.permutations(sorted(names), size) if c[0] == min(c) and all((c[i], c[(i + 1) % size]) in here for i in range(size))]
+        best = min(rounds, key=lambda c: (len(c), c))
+        want[str(k)] = [*best[1:], best[0]]
+    found = graph.shortest_cycles(spark.createDataFrame(edges, "scc string, src string, dst string"))
+    assert {r["scc"]: r["path"] for r in found.collect()} == want
+    assert graph.shortest_cycles(spark.createDataFrame([], "scc string, src string, dst string")).collect() == []
+
+
 def test_clusters(app, spark):
     blocks = {r["block"]: r["members"] for r in graph.clusters(app[2]).collect()}
     assert blocks["block:0"] == ["file:app/a.py", "file:app/b.py", "file:app/c.py", "file:app/main.py"] and len(blocks["block:utilities"]) == 4
