@@ -37,6 +37,7 @@ def _graph_functions(where: str) -> str:
 FROM nodes d JOIN f ON f.path = d.path WHERE d.type {where}"""
 
 
+#: soft_delete looks table names up by their first three characters among those of the function, so that no function meets every table.
 GENERATORS: dict[str, str] = {
     "connectivity": f"""
 WITH g AS ({_graph_functions("= 'function'")}) SELECT {_FN.format('connectivity')} FROM g LEFT SEMI JOIN status s ON s.path = g.path AND s.status = 'incomplete'
@@ -47,8 +48,13 @@ WITH g AS ({_graph_functions("IN ('function', 'class')")}), w AS (SELECT g.*, ro
 SELECT {_FN.format('xref')} FROM w WHERE r = 1""",
     "soft_delete": f"""
 WITH {_FUNCTIONS}, soft AS (SELECT DISTINCT t FROM (SELECT d.path, explode(d.tables) AS t FROM nodes d WHERE d.type = 'file') x JOIN f ON f.path = x.path
-  WHERE contains(f.content, 'deleted_at') AND contains(f.content, '__tablename__') AND NOT startswith(t, 'rel:') AND NOT contains(t, 'via'))
-SELECT DISTINCT {_FN.format('soft_delete')} FROM functions JOIN soft ON contains(lower(text), t) LEFT SEMI JOIN f ON f.path = functions.path AND NOT contains(f.content, 'deleted_at') WHERE lower(text) RLIKE '{QUERY_WORDS}'""",
+  WHERE contains(f.content, 'deleted_at') AND contains(f.content, '__tablename__') AND NOT startswith(t, 'rel:') AND NOT contains(t, 'via')),
+asking AS (SELECT functions.*, lower(text) AS words FROM functions LEFT SEMI JOIN f ON f.path = functions.path AND NOT contains(f.content, 'deleted_at') WHERE lower(text) RLIKE '{QUERY_WORDS}'),
+letters AS (SELECT path, pre, regexp_extract_all(words, '(?s).', 0) AS c FROM asking),
+grams AS (SELECT path, pre, explode(array_distinct(concat(array(''), flatten(transform(c, (x, i) -> array(x, concat(x, coalesce(get(c, i + 1), '')), concat(x, coalesce(get(c, i + 1), ''), coalesce(get(c, i + 2), '')))))))) AS gram FROM letters),
+maybe AS (SELECT g.path, g.pre, soft.t FROM grams g JOIN soft ON g.gram = substr(soft.t, 1, 3)),
+named AS (SELECT DISTINCT a.path, a.pre FROM asking a JOIN maybe m ON m.path = a.path AND m.pre = a.pre AND contains(a.words, m.t))
+SELECT DISTINCT {_FN.format('soft_delete')} FROM asking LEFT SEMI JOIN named ON named.path = asking.path AND named.pre = asking.pre""",
     "expiry": f"WITH {_FUNCTIONS} SELECT {_FN.format('expiry')} FROM functions WHERE contains(lower(text), 'expires') AND text RLIKE 'datetime[.](now|utcnow)' AND NOT contains(text, 'timedelta')",
     "temporal": f"""
 WITH {_FUNCTIONS} SELECT {_FN.format('temporal: commit')} FROM functions WHERE text RLIKE '{DISPATCH}' AND contains(text, '.commit()')

@@ -133,6 +133,16 @@ def test_shortest_cycles_against_brute_force(spark):
     assert graph.shortest_cycles(spark.createDataFrame([], "scc string, src string, dst string")).collect() == []
 
 
+def test_soft_delete_finds_names_of_any_length(spark):
+    names = ["a\U0001f600", "z", "orders", "ord", "absent"]
+    files = {f"m/t{i}.py": f"class T{i}(Base):\n    __tablename__ = '{t}'\n    deleted_at = 1\n" for i, t in enumerate(names)}
+    texts = {"q1": "return db.execute('from Orders')", "q2": "return db.query('a\U0001f600')", "q3": "return db.query(1)", "q4": "return db.quiz('z')", "q5": "return db.query('z')"}
+    files |= {f"m/{k}.py": f"def {k}(db):\n    {v}\n" for k, v in texts.items()}
+    rows, frame, g = project(spark, files)
+    asked = questions.ask("soft_delete", n=rows, f=frame, nodes=g.nodes).collect()
+    assert sorted(r["symbol"] for r in asked) == ["q1", "q2", "q5"]
+
+
 def test_clusters(app, spark):
     blocks = {r["block"]: r["members"] for r in graph.clusters(app[2]).collect()}
     assert blocks["block:0"] == ["file:app/a.py", "file:app/b.py", "file:app/c.py", "file:app/main.py"] and len(blocks["block:utilities"]) == 4
