@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astraloom.llm import ann, html_text, language, mixing, pieces, quality_model, quality_rules, secrets, simhash, warc
+from astraloom.llm import ann, divergence, html_text, language, line_dedup, mixing, pieces, prefix_trie, quality_model, quality_rules, secrets, simhash, warc
 from astraloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_query(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -79,9 +91,17 @@ QUERIES: dict[str, Query] = {
         op8_ann,
         op9_secrets,
         op10_quality_rules,
+        op11_source_divergence,
+        op12_prefix_trie,
+        op13_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op7_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {
+    "op7_mixing": mixing.oracle(),
+    "op11_source_divergence": divergence.oracle(),
+    "op12_prefix_trie": prefix_trie.oracle(),
+    "op13_line_dedup": line_dedup.oracle(),
+}
 
 
 def queries() -> dict[str, Query]:
