@@ -1,40 +1,26 @@
-"""JavaScript facts and rules from regular expressions over blanked text.
+"""Facts and rules of JavaScript files.
 
-Strings and comments are blanked in one pass that keeps lengths and line breaks, so offsets are those of the file and
-lines are true (a slash pair within a string ends nothing, and a quote within a comment opens nothing). That pass and
-the search for the end of an async function's body are Python; the rules are column expressions over the blanked text.
+A file is read once into tokens (`js_tokens`). Comments, strings, regular expressions and the text of JSX are blanked with
+lengths and line breaks kept, so offsets are those of the file and lines are true; the rules are regular expressions over
+the blanked text. Work is linear in the file and its matches.
 
 Facts come from one of two engines: `v1` knows import and require statements, functions, arrows and classes at the
-beginning of a line; `v2` also knows dynamic imports, require anywhere, function expressions and methods, wherever they
-stand, takes a function's name once a file, and keeps the heritage of a class as it is written.
+beginning of a line of blanked text; `v2` walks the tokens with their scopes and also knows dynamic imports, require
+anywhere, function expressions and methods, takes a function's name once a file, and keeps the heritage of a class as it
+is written. Declarations need a body, and function and class expressions declare nothing but what they are assigned to.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"?|'(?:\\.|[^'\\])*'?|`(?:\\.|[^`\\])*`?""", re.DOTALL)
-
-
-def blanked(text: str, strings: bool = True) -> str:
-    """Comments, and with `strings` what stands between quotes, as spaces."""
-
-    def space(m: re.Match) -> str:
-        token = m[0]
-        if token[0] == "/":
-            return re.sub(r"[^\n]", " ", token)
-        if not strings:
-            return token
-        closed = len(token) > 1 and token[-1] == token[0]
-        return token[0] + re.sub(r"[^\n]", " ", token[1 : len(token) - closed]) + (token[-1] if closed else "")
-
-    return _TOKEN.sub(space, text)
-
+from astraloom.functions.js_tokens import BEFORE_OPERAND, Lexed, Token, blanked, lexed
 
 #: What an import, a function, a class and the reported constructs look like.
 IMPORTS = tuple(
@@ -50,9 +36,9 @@ IMPORTS = tuple(
 FUNCTION = re.compile(r"^[ \t]*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s+(\w+)\s*\(", re.MULTILINE)
 ARROW = re.compile(r"^[ \t]*(?:export\s+(?:default\s+)?)?const\s+(\w+)\s*=\s*(?:async\s+)?\(?[^)]*\)?\s*=>", re.MULTILINE)
 CLASS = re.compile(r"^[ \t]*(?:export\s+(?:default\s+)?)?class\s+(\w+)(?:\s+extends\s+(\w+))?", re.MULTILINE)
-#: What a rule reports; for the regex engine of the JVM, with its classes widened to those of Unicode.
+#: What a rule reports.
 REPORTED = {
-    "JS_VAR_DECLARATION": r"^[ \t]*var\s+\w",
+    "JS_VAR_DECLARATION": r"(?m)^[ \t]*var\s+\w",
     "JS_LOOSE_EQUALITY": r"(?<![=!<>])(?:==|!=)(?!=)",
     "JS_CONSOLE_LOG": r"\bconsole\.log\s*\(",
     "JS_USEEFFECT_NO_DEPS": r"useEffect\s*\(\s*(?:\([^)]*\)\s*=>|function\s*\([^)]*\))[^,)]*\)",
@@ -62,6 +48,7 @@ REPORTED = {
 #: A key within so many characters behind the element is good enough.
 KEY_WITHIN = 200
 NAMED = {"JS_VAR_DECLARATION": "var", "JS_CONSOLE_LOG": "console.log", "JS_USEEFFECT_NO_DEPS": "useEffect", "JS_BARE_CATCH": "catch", "JS_MISSING_KEY_PROP": "map"}
+#: Fixed value: an async function that should guard its awaits.
 ASYNC = re.compile(r"async\s+function\s+(\w+)|const\s+(\w+)\s*=\s*async\s*\([^)]*\)\s*=>")
 SEVERITY = {
     "JS_VAR_DECLARATION": "low", "JS_LOOSE_EQUALITY": "med", "JS_CONSOLE_LOG": "low", "JS_USEEFFECT_NO_DEPS": "med",
@@ -70,129 +57,266 @@ SEVERITY = {
 TEST_PATH = r"/test|tests/|/__tests__/|\.test\.|\.spec\."
 
 
-_ENDS = {"{": re.compile(r"[{}]"), "(": re.compile(r"[()]")}
-
-
-def _closed(text: str, start: int) -> int:
-    """Behind the bracket that closes the one at start; the text's end if none does."""
-    depth = 0
-    for m in _ENDS[text[start]].finditer(text, start):
-        depth += 1 if m[0] == text[start] else -1
-        if not depth:
-            return m.end()
-    return len(text)
+def _partners(text: str) -> dict[int, int]:
+    """Where each opening brace is closed."""
+    open_, found = [], {}
+    for m in re.finditer("[{}]", text):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            found[open_.pop()] = m.start()
+    return found
 
 
 def unguarded(code: str) -> list[tuple[int, str]]:
-    """(line, name) of the async functions of blanked text whose body neither tries nor catches."""
-    out = []
+    """(offset, name) of the async functions of blanked text whose body neither tries nor catches."""
+    out, partners = [], None
     for m in ASYNC.finditer(code):
+        if partners is None:
+            partners, guards = _partners(code), [(x.start(), x.end()) for x in re.finditer("try|catch", code)]
         start = code.find("{", m.end())
-        body = code[start : _closed(code, start)] if start >= 0 else "try"
-        if "try" not in body and "catch" not in body:
-            out.append((code.count("\n", 0, m.start()) + 1, m[1] or m[2]))
+        if start < 0:
+            break
+        k = bisect_left(guards, (start, 0))
+        if k == len(guards) or guards[k][1] > partners.get(start, len(code)) + 1:
+            out.append((m.start(), m[1] or m[2]))
     return out
 
 
 def facts(path: str, text: str) -> list[tuple[str, str, int, str | None]]:
     """(kind, name, offset, extends) of imports, functions and classes."""
-    code, bare = blanked(text, strings=False), blanked(text)
+    found = lexed(text, path)
+    code, bare = blanked(text, found, strings=False), blanked(text, found)
     lead = lambda m: m.start() + len(m[0]) - len(m[0].lstrip(" \t"))
     out = [("import", m[1], lead(m), None) for p in IMPORTS for m in p.finditer(code)]
     out += [("function", m[1], lead(m), None) for p in (FUNCTION, ARROW) for m in p.finditer(bare)]
     return out + [("class", m[1], lead(m), m[2]) for m in CLASS.finditer(bare)]
 
 
-STATEMENT = re.compile(r"""(?<![\w$.])import\b(?!\s*[.(])[^;'"`()]*?(['"])""")
-LOADED = re.compile(r"(?<![\w$.])(?:require|import)\s*\(\s*(?=['\"])")
-DECLARED = re.compile(r"(?<![\w$.])function\s+([\w$]+)\s*[(<]")
-BOUND = re.compile(r"(?<![\w$.])(?:(?:const|let|var)\s+|,\s*)([\w$]+)\s*(?::[^=;]*)?=(?![=>])\s*(?:async\s+)?(?=function\b|\(|[\w$]+\s*=>)")
-ARROWED = re.compile(r"(?:\s*:[^={;]*)?\s*=>")
-OWNED = re.compile(r"(?<![\w$.])class\s+([\w$]+)\s*(?:<[^{]*?>\s*)?((?:extends|implements)\b[^{]*)?\{")
-METHOD = re.compile(r"(?<![\w$.])((?:(?:static|async|get|set|public|private|protected|override)\s+)*(?:\*\s*)?)(#?[\w$]+)\s*(?=\()")
-#: Words before a parenthesis that name no method.
-NO_METHOD = frozenset("if for while switch catch with function return super new typeof await void delete in of do else".split())
+#: Words in front of a member's name.
+MODIFIERS = frozenset("static async get set public private protected override readonly abstract".split())
+_OPENERS = ("(", "[", "block{", "object{", "template{", "jsx{")
+
+
+class Scopes:
+    """The tokens of a file that are no comments, with each bracket's partner and the bracket around every token."""
+
+    def __init__(self, text: str, found: Lexed):
+        self.text = text
+        self.tokens: list[Token] = [t for t in found.tokens if t.kind not in ("comment", "template", "text", "tag")]
+        self.partner: dict[int, int] = {}
+        self.around: list[int] = []  # -1: none
+        self.classes: set[int] = set()  # braces of class bodies
+        open_: list[int] = []
+        for k, t in enumerate(self.tokens):
+            closes = t.kind == "op" and t.word in (")", "]", "}")
+            if closes and open_:
+                while t.word == "}" and len(open_) > 1 and self.tokens[open_[-1]].word in ("(", "["):
+                    open_.pop()
+                if (self.tokens[open_[-1]].word[-1], t.word) in (("(", ")"), ("[", "]"), ("{", "}")):
+                    self.partner[open_.pop()] = k
+            self.around.append(open_[-1] if open_ else -1)
+            if t.kind == "op" and t.word in _OPENERS:
+                open_.append(k)
+
+    def word(self, k: int) -> str:
+        return self.tokens[k].word if 0 <= k < len(self.tokens) and self.tokens[k].kind in ("name", "op", "prop") else ""
+
+    def behind(self, k: int) -> int:
+        """The place behind the bracket at k."""
+        return self.partner.get(k, len(self.tokens)) + 1
+
+    def type_end(self, k: int, stops: tuple[str, ...]) -> int:
+        """From k over a type to the first of stops outside brackets, or to where no type goes on."""
+        depth, last = 0, ":"
+        while k < len(self.tokens):
+            t = self.tokens[k]
+            if t.kind == "op":
+                if depth <= 0 and t.word in stops and not (t.word == "block{" and last in (":", "|", "&", "=>")):
+                    return k
+                if t.word in _OPENERS:
+                    k = self.behind(k)
+                    last = ")"
+                    continue
+                if t.word in (")", "]", "}", ";"):
+                    return k
+                depth += (t.word == "<") - (t.word == ">")
+            last = t.word
+            k += 1
+        return k
+
+    def body(self, k: int) -> bool:
+        """Do a result type, if any, and a body follow at k?"""
+        if self.word(k) == ":":
+            k = self.type_end(k + 1, ("block{", "object{", "=>", "=", ","))
+            # an object type may stand in front of the body
+        return self.word(k) in ("block{", "object{")
+
+    def parameters(self, k: int) -> int:
+        """The place behind type parameters and the parenthesis at k, or 0."""
+        if self.word(k) == "<":
+            k = self.type_end(k + 1, ("(", ">"))
+            k += self.word(k) == ">"
+        return self.behind(k) if self.word(k) == "(" else 0
+
+    def statement(self, k: int) -> bool:
+        """Does a statement begin at k? Two operands do not follow each other, so it does behind one."""
+        while k > 0 and self.word(k - 1) in ("export", "default", "async", "declare", "abstract") and self.tokens[k - 1].kind == "name":
+            if self.word(k - 1) in ("export", "default"):
+                return True
+            k -= 1
+        if k == 0:
+            return True
+        t = self.tokens[k - 1]
+        if t.kind == "op":
+            return t.word in (";", "}", ")", "block{", "]") or t.word == ":" and self.word(self.around[k]) == "block{"
+        return t.kind != "name" or t.word in ("else", "do") or t.word not in BEFORE_OPERAND
+
+    def function_value(self, k: int) -> bool:
+        """Is what begins at k a function or an arrow function?"""
+        k += self.word(k) == "async" and self.word(k + 1) != "=>"
+        if self.word(k) == "function":
+            return self.word(k + 1) != "*"
+        if self.tokens[k : k + 1] and self.tokens[k].kind == "name" and self.word(k + 1) == "=>":
+            return True
+        end = self.parameters(k) if self.word(k) in ("(", "<") else 0
+        if end and self.word(end) == ":":
+            end = self.type_end(end + 1, ("=>", "=", ",", "?", ":"))
+        return bool(end) and self.word(end) == "=>"
+
+    def quoted(self, k: int) -> str | None:
+        t = self.tokens[k] if k < len(self.tokens) else None
+        return self.text[t.start + 1 : t.end - 1] if t and t.kind == "str" and t.word != "`" and t.end - t.start > 2 and self.text[t.end - 1] == t.word else None
+
+    def argument(self, k: int) -> str | None:
+        """The first argument of the call whose parenthesis is at k that is a string and nothing else."""
+        end = self.partner.get(k, len(self.tokens))
+        while k < end:
+            if self.tokens[k + 1 : k + 2] and self.word(k + 2) in (",", ")") and (name := self.quoted(k + 1)) is not None:
+                return name
+            k += 1
+            while k < end and self.word(k) != ",":
+                k = self.behind(k) if self.word(k) in _OPENERS else k + 1
+        return None
 
 
 def facts_v2(path: str, text: str) -> list[tuple[str, str, int, str | None]]:
     """(kind, name, offset, heritage); kind is import, function, class or method."""
-    code, bare = blanked(text, strings=False), blanked(text)
-
-    def quoted(at: int) -> str:
-        return code[at + 1 : code.index(code[at], at + 1)] if code.find(code[at], at + 1) > 0 else ""
-
-    out = [("import", name, m.start(), None) for m in STATEMENT.finditer(bare) if (name := quoted(m.end() - 1))]
-    out += [("import", name, m.start(), None) for m in LOADED.finditer(bare) if (name := quoted(m.end()))]
-    found = [(m.start(), m[1]) for m in DECLARED.finditer(bare)]
-    for m in BOUND.finditer(bare):
-        start = m.end()
-        if bare[start] == "(" and not ARROWED.match(bare, _closed(bare, start)) or re.compile(r"function\s*\*").match(bare, start):
-            continue
-        found.append((m.start(1), m[1]))
+    s = Scopes(text, lexed(text, path))
+    out: list[tuple[str, str, int, str | None]] = []
+    functions: list[tuple[int, str]] = []
+    methods: list[tuple[int, str, int]] = []
+    for k, t in enumerate(s.tokens):
+        follows = s.word(k + 1)
+        if t.kind == "name" and t.word == "import" and follows not in ("(", ".", ":"):
+            if s.statement(k):
+                end = k + 1
+                while end < len(s.tokens) and s.tokens[end].kind != "str" and s.word(end) != ";" and not (s.tokens[end].kind == "name" and s.word(end) in ("import", "export", "function", "class", "const", "let", "var")):
+                    end += 1
+                if name := s.quoted(end):
+                    out.append(("import", name, t.start, None))
+        elif t.kind == "name" and t.word in ("require", "import") and follows == "(" and s.word(k - 1) not in ("function", "new") and not s.body(s.behind(k + 1)):
+            statement_of = s.word(k - 1) == "=" and s.word(k - 3) == "import"  # import x = require("y") is there already
+            if not statement_of and (name := s.argument(k + 1)):
+                out.append(("import", name, t.start, None))
+        elif t.kind == "name" and t.word == "function" and s.tokens[k + 1 : k + 2] and s.tokens[k + 1].kind == "name" and s.statement(k):
+            end = s.parameters(k + 2)
+            if end and s.body(end):
+                functions.append((t.start, s.tokens[k + 1].word))
+        elif t.kind == "name" and t.word in ("const", "let", "var") and s.tokens[k + 1 : k + 2] and (s.tokens[k + 1].kind == "name" or s.word(k + 1) in _OPENERS):
+            at, home = k + 1, s.around[k]
+            while at < len(s.tokens):
+                name = s.tokens[at]
+                value = s.behind(at) if s.word(at) in _OPENERS else at + 1
+                if s.word(value) == ":":
+                    value = s.type_end(value + 1, ("=", ",", ";"))
+                if s.word(value) == "=" and name.kind == "name" and s.function_value(value + 1):
+                    functions.append((name.start, name.word))
+                # to the next declarator: a comma outside brackets; a line's end ends the statement where an operand ends
+                while value < len(s.tokens) and s.word(value) not in (",", ";", ")", "]", "}"):
+                    value = s.behind(value) if s.word(value) in _OPENERS else value + 1
+                    if value < len(s.tokens) and s.tokens[value].kind == "name" and s.word(value) in ("const", "let", "var", "function", "class", "import", "export", "if", "for", "while", "return") and s.word(value - 1) not in ("=", "async"):
+                        break
+                at = value + 1
+                if s.word(value) != "," or s.around[value] != home:
+                    break
+        elif t.kind == "name" and t.word == "class":
+            named = s.tokens[k + 1 : k + 2] and s.tokens[k + 1].kind == "name" and s.word(k + 1) not in ("extends", "implements")
+            at = k + 1 + bool(named)
+            if s.word(at) == "<":
+                at = s.type_end(at + 1, (">",)) + 1
+            begin = at
+            while at < len(s.tokens) and s.word(at) not in ("block{", "object{", ";"):
+                at = s.behind(at) if s.word(at) in ("(", "[") else at + 1
+            if s.word(at) in ("block{", "object{"):
+                s.classes.add(at)
+                if named and s.statement(k):
+                    heritage = text[s.tokens[begin].start : s.tokens[at].start].strip() if begin < at else ""
+                    out.append(("class", s.tokens[k + 1].word, t.start, heritage or None))
+        if t.kind in ("name", "str", "num") or t.word == "]":
+            home = s.around[k]
+            if home >= 0 and (home in s.classes or s.word(home) == "object{") and follows in ("(", "<") and t.word != "function" and s.word(k - 1) != "function" and not (s.word(k - 1) == "*" and s.word(k - 2) == "function"):
+                end = s.parameters(k + 1)
+                if end and s.body(end):
+                    first, name = k, text[t.start : t.end]
+                    if t.word == "]" and (opener := next((j for j in range(k - 1, home, -1) if s.partner.get(j) == k), 0)):
+                        first, name = opener, text[s.tokens[opener].start : t.end]
+                    while first - 1 > home and (s.word(first - 1) in MODIFIERS or s.word(first - 1) == "*"):
+                        first -= 1
+                    methods.append((s.tokens[first].start, name, t.start))
     seen: set[str] = set()
-    for at, name in sorted(found):
+    for at, name in sorted(functions):
         if name not in seen:
             seen.add(name)
             out.append(("function", name, at, None))
-    out += [("class", m[1], m.start(), (m[2] or "").strip() or None) for m in OWNED.finditer(bare)]
-    lines: set[tuple[str, int]] = set()
-    for m in METHOD.finditer(bare):
-        end = _closed(bare, m.end())
-        if m[2] in NO_METHOD or re.search(r"(?:\bfunction\s*\*?|\bnew)\s*$", bare[max(0, m.start(2) - 20) : m.start(2)]) or not re.compile(r"(?:\s*:[^={;()]*)?\s*\{").match(bare, end):
-            continue
-        if (place := (m[2], bare.count("\n", 0, m.start()))) not in lines:
-            lines.add(place)
-            out.append(("method", m[2], m.start(), None))
+    lines, line, last = set(), 1, 0
+    for at, name, _ in sorted(methods):
+        line, last = line + text.count("\n", last, at), at
+        if (name, line) not in lines:
+            lines.add((name, line))
+            out.append(("method", name, at, None))
     return out
 
 
 def _mapped(files: DataFrame, fn, names: tuple[str, ...]) -> DataFrame:
-    schema = pa.schema([("path", pa.string()), (names[0], pa.string()), (names[1], pa.string() if names[1] == "name" else pa.int64())] + [(n, pa.string() if n != "line" else pa.int64()) for n in names[2:]])
+    """path and the columns that fn finds in every file; line is a number, the rest are words."""
+    schema = pa.schema([("path", pa.string()), *((n, pa.int64() if n == "line" else pa.string()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(path, *x) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in fn(path, text or "")]
+            rows = [(path, *x) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in fn(path or "", text or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     sql = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in schema)
     return files.select("path", "content").mapInArrow(run, sql)
 
 
-_MARK = "\x01"
-_BLANKED = pa.schema([("path", pa.string()), ("code", pa.string()), ("open", pa.list_(pa.struct([("line", pa.int64()), ("symbol", pa.string())])))])
-
-
-def _blanked_files(files: DataFrame) -> DataFrame:
-    """path, code (blanked) and open, the async functions that nothing guards."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = [blanked(text or "").replace(_MARK, " ") for text in batch.column(1).to_pylist()]
-            found = [[{"line": line, "symbol": name} for line, name in unguarded(code)] if "async" in code else [] for code in codes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.string()), pa.array(found, _BLANKED.field("open").type)], schema=_BLANKED)
-
-    return files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(run, "path string, code string, open array<struct<line: long, symbol: string>>")
+def reported(path: str, text: str) -> list[tuple[int, str, str]]:
+    """(line, rule, symbol) of what the rules report in a file."""
+    code = blanked(text, lexed(text, path))
+    found: list[tuple[int, str, str]] = []
+    for rule, pattern in _COMPILED.items():
+        if rule == "JS_CONSOLE_LOG" and re.search(TEST_PATH, path.lower()):
+            continue
+        for m in pattern.finditer(code):
+            if rule != "JS_MISSING_KEY_PROP" or code.find("key=", m.end(), m.end() + KEY_WITHIN) < 0:
+                found.append((m.start(), rule, m[0] if rule == "JS_LOOSE_EQUALITY" else NAMED[rule]))
+    found += [(at, "JS_ASYNC_NO_CATCH", name) for at, name in unguarded(code)]
+    out, line, last = [], 1, 0
+    for at, rule, symbol in sorted(found):
+        line, last = line + code.count("\n", last, at), at
+        out.append((line, rule, symbol))
+    return out
 
 
-def _hits(rule: str) -> Column:
-    """The findings of a rule in `code`: the text is cut before every match, and a piece's line is one more than the line ends before it."""
-    more = rf"(?!(?s:.{{0,{KEY_WITHIN - 4}}}?)key=)" if rule == "JS_MISSING_KEY_PROP" else ""
-    pieces = F.split(F.regexp_replace("code", F.lit(f"(?mdU)(?:{REPORTED[rule]}){more}"), F.lit(_MARK + "$0")), _MARK)
-    ends = lambda p: (F.length(p) - F.length(F.replace(p, F.lit("\n")))).cast("long")
-    starts = F.aggregate(pieces, F.array(F.lit(1).cast("long")), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + ends(p)))
-    symbol = (lambda p: F.substring(p, 1, 2)) if rule == "JS_LOOSE_EQUALITY" else (lambda p: F.lit(NAMED[rule]))
-    rows = F.zip_with(pieces, F.slice(starts, 1, F.size(pieces)), lambda p, line: F.struct(line.alias("line"), F.lit(rule).alias("rule"), symbol(p).alias("symbol")))
-    return F.slice(rows, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+_COMPILED = {rule: re.compile(pattern) for rule, pattern in REPORTED.items()}
 
 
 def js_findings(files: DataFrame) -> DataFrame:
     """tier, path, line, rule, severity, symbol of the JavaScript files."""
-    test = F.lower("path").rlike(TEST_PATH)
-    every = [F.filter(_hits(rule), lambda x: ~test) if rule == "JS_CONSOLE_LOG" else _hits(rule) for rule in REPORTED]
-    every.append(F.transform("open", lambda x: F.struct(x["line"].alias("line"), F.lit("JS_ASYNC_NO_CATCH").alias("rule"), x["symbol"].alias("symbol"))))
-    found = _blanked_files(files).select("path", F.explode(F.concat(*every)).alias("x"))
+    found = _mapped(files, reported, ("line", "rule", "symbol"))
     severity = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
-    return found.select(F.lit("lint").alias("tier"), "path", F.col("x.line").alias("line"), F.col("x.rule").alias("rule"), severity[F.col("x.rule")].alias("severity"), F.col("x.symbol").alias("symbol"))
+    return found.select(F.lit("lint").alias("tier"), "path", "line", "rule", severity[F.col("rule")].alias("severity"), "symbol")
 
 
 ENGINES = {"v1": facts, "v2": facts_v2}
@@ -203,7 +327,11 @@ def js_nodes(files: DataFrame, engine: str = "v1") -> DataFrame:
     facts_of = ENGINES[engine]
 
     def fn(path: str, text: str) -> list[tuple]:
-        return [(kind, name, text.count("\n", 0, at) + 1, extends) for kind, name, at, extends in facts_of(path, text)]
+        out, line, last = [], 1, 0
+        for at, kind, name, extends in sorted(((at, kind, name, extends) for kind, name, at, extends in facts_of(path, text)), key=lambda x: x[0]):
+            line, last = line + text.count("\n", last, at), at
+            out.append((kind, name, line, extends))
+        return out
 
     return _mapped(files, fn, ("kind", "name", "line", "extends"))
 
