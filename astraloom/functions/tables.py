@@ -31,7 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table beside the checkpoints, until the driver ends: read by column, with filters pushed down."""
+    """The rows of df as a Parquet table beside the checkpoints, until `release` or the driver's end: read by column, with filters pushed down."""
     spark = df.sparkSession
     ensure_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -39,17 +39,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not _LEFT:
         atexit.register(_clear)
     _LEFT.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _LEFT_AT[id(found)] = (found, spark, path)
+    return found
 
 
 _LEFT: list[tuple[SparkSession, str]] = []
+_LEFT_AT: dict[int, tuple[DataFrame, SparkSession, str]] = {}  # by the frame, which is held so that its number stays its own
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Deletes tables that `written` or `cut` made, once nothing will read them again; other frames are passed over."""
+    for frame in frames:
+        left = _LEFT_AT.pop(id(frame), None)
+        if left is not None:
+            _LEFT.remove(left[1:])
+            _delete(*left[1:])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _clear() -> None:
     for spark, path in _LEFT:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended before us
             return
 

@@ -6,10 +6,12 @@ least name.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astraloom.functions.tables import cut, sql
+from astraloom.functions.tables import cut, release, sql
 from astraloom.operators.code_graph import CodeGraph
 from astraloom.operators.lint import among
 
@@ -25,18 +27,26 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     """edges: src, dst; start: id. The ids that start reaches, itself included.
 
     A round writes what it has found anew, and nothing twice: what was seen before is the union of the earlier rounds,
-    put together anew only after every `TOGETHER` rounds, so that plans stay short.
+    put together anew only after every `TOGETHER` rounds, so that plans stay short. A search that goes on for longer than that meets
+    chains, so every `TOGETHER` rounds `shortcuts` are laid over the ways that are left: a chain of n then ends in log n rounds.
     """
     edges = cut(edges.select("src", "dst").distinct())
     frontier = seen = cut(start.select("id").distinct())
-    rounds = 0
+    rounds, parts = 0, [seen]
     while not frontier.isEmpty():
         step = edges.join(frontier, edges["src"] == frontier["id"], "left_semi").select(F.col("dst").alias("id")).distinct()
         frontier = cut(step.join(seen, "id", "left_anti"))
         rounds += 1
         seen = seen.union(frontier)
+        parts.append(frontier)
         if rounds % TOGETHER == 0:
             seen = cut(seen)
+            release(*(x for x in parts if x is not frontier))
+            parts = [seen, frontier]
+            ahead = edges.join(seen, edges["dst"] == seen["id"], "left_anti")
+            last, edges = edges, cut(ahead.union(shortcuts(ahead)).distinct())
+            release(last)
+    release(edges)
     return seen
 
 
@@ -44,53 +54,150 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
 TOGETHER = 16
 
 
+def shortcuts(edges: DataFrame) -> DataFrame:
+    """src, dst: from every node with one way on (ways to dead ends aside) the ends of its 2, 4, 8 ... next steps along such nodes."""
+    lively = edges.join(edges.select(F.col("src").alias("on")).distinct(), edges["dst"] == F.col("on"), "left_semi")
+    hop = cut(lively.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst")).filter("n = 1").select("src", "dst"))
+    found, longest, most = hop.limit(0), hop, hop.count()
+    size = 1
+    while size < most:  # a ring has no end
+        further = longest.select(F.col("src").alias("dst"), F.col("dst").alias("further"))
+        longest = cut(longest.join(further, "dst").select("src", F.col("further").alias("dst")))
+        if longest.isEmpty():
+            break
+        found, size = found.union(longest), 2 * size
+    return found
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id and the least id of its component: labels go down along edges, and labels of labels halve the way."""
     both = cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     label = cut(nodes.select("id", F.col("id").alias("label")))
+    last = label
     while True:
         near = both.join(label, both["dst"] == label["id"]).groupBy("src").agg(F.min("label").alias("near"))
         down = label.join(near, label["id"] == near["src"], "left").select("id", F.least("label", "near").alias("label"), F.col("label").alias("before"))
         jump = down.select(F.col("id").alias("via"), F.col("label").alias("further"))
         after = cut(down.join(jump, down["label"] == jump["via"], "left").select("id", F.least("label", "further").alias("label"), "before"))
-        label = after.select("id", "label")
+        release(last)
+        label, last = after.select("id", "label"), after
         if after.filter("label <> before").isEmpty():
+            release(both)
             return label
 
 
+def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What lies between the ends of chains: (id, first, last), and (id, scc) of rings that nothing enters or leaves; edges: src, dst without self-loops.
+
+    An inner node has one way in and one way on. Its ends are found by doubling, in both directions, in rounds that grow with the
+    logarithm of the longest chain; a node that gets nowhere lies on a ring, whose name is the least of its nodes.
+    """
+    spark = edges.sparkSession
+    into, on = (edges.groupBy(F.col(a).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(b).alias("to")).filter("n = 1").select("id", "to") for a, b in (("dst", "src"), ("src", "dst")))
+    inner = cut(into.withColumnRenamed("to", "first").join(on.withColumnRenamed("to", "last"), "id"))
+    now = cut(inner.select("id", "first", "last", F.col("id").alias("least"), F.lit(False).alias("a_done"), F.lit(False).alias("b_done")))
+    before = None
+    while True:
+        # an end that is no inner node is reached; else the way is as long again
+        then = cut(
+            sql(
+                spark,
+                """
+SELECT n.id, IF(n.a_done OR p.id IS NULL, n.first, p.first) AS first, IF(n.b_done OR q.id IS NULL, n.last, q.last) AS last, least(n.least, coalesce(q.least, n.least)) AS least,
+  n.a_done OR p.id IS NULL OR p.a_done AS a_done, n.b_done OR q.id IS NULL OR q.b_done AS b_done
+FROM now n LEFT JOIN now p ON p.id = n.first LEFT JOIN now q ON q.id = n.last""",
+                now=now,
+            )
+        )
+        release(now)
+        now = then
+        mark = tuple(now.filter("NOT a_done").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("id", "least").cast("decimal(38,0)")), F.lit(0))).first())
+        if not mark[0] or mark == before:
+            release(inner)
+            return now.filter("a_done").select("id", "first", "last"), now.filter("NOT a_done").select("id", F.col("least").alias("scc"))
+        before = mark
+
+
+#: Rounds of one kind after which chains are contracted.
+PATIENCE = 8
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """id and scc (its greatest id) of every node that lies on a cycle; edges: src, dst without self-loops."""
+    """id and scc (its greatest id) of every node that lies on a cycle; edges: src, dst without self-loops.
+
+    Nodes without a way in or on lie on no cycle and go, and what is left is coloured. Where either takes more than `PATIENCE` rounds
+    there are long ways: chains become single edges then, whose inner nodes have their ends' component if both ends have the same.
+    """
     spark = edges.sparkSession
     left = cut(edges.select("src", "dst").distinct())
-    found: DataFrame = spark.createDataFrame([], "id string, scc string")
     size = left.count()
-    while True:
-        # nodes without a way in or out lie on no cycle
-        while True:
-            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            before, size = size, left.count()
+    bound: list[DataFrame] = []  # of every contraction: what lies within its chains
+    found: DataFrame = spark.createDataFrame([], "id string, scc string")
+
+    def contracted(left: DataFrame) -> DataFrame:
+        """One edge from end to end of every chain whose ends differ; rings are found and go."""
+        nonlocal found
+        inner, rings = map(cut, chains(left))
+        found = found.union(rings)
+        bound.append(inner)
+        within = inner.select(F.col("id").alias("x")).union(rings.select("id"))
+        outer = left.join(within, left["src"] == within["x"], "left_anti").join(within, left["dst"] == within["x"], "left_anti")
+        after = cut(outer.union(inner.filter("first <> last").select("first", "last")).distinct())
+        release(left)
+        return after
+
+    stuck = -1  # so many edges are left that no contraction lessens
+    while size:
+        rounds = 0
+        while size:
+            last, left = left, cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            release(last)
+            before, size, rounds = size, left.count(), rounds + 1
             if size == before:
                 break
+            if rounds % PATIENCE == 0:
+                left = contracted(left)
+                size = left.count()
         if not size:
-            return found
+            break
         nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
         colour = cut(nodes.select("id", F.col("id").alias("colour")))
+        rounds = 0 if size != stuck else PATIENCE  # without chains it goes on to the end
         while True:
             come = left.join(colour, left["src"] == colour["id"]).groupBy("dst").agg(F.max("colour").alias("come"))
-            after = cut(colour.join(come, colour["id"] == come["dst"], "left").select("id", F.greatest("colour", F.coalesce("come", "colour")).alias("colour"), F.col("colour").alias("before")))
-            colour = after.select("id", "colour")
-            if after.filter("colour <> before").isEmpty():
+            last, colour = colour, cut(colour.join(come, colour["id"] == come["dst"], "left").select("id", F.greatest("colour", F.coalesce("come", "colour")).alias("colour"), F.col("colour").alias("before")))
+            release(last)
+            rounds += 1
+            settled = colour.filter("colour <> before").isEmpty()
+            if settled or rounds == PATIENCE:
                 break
+        if not settled:
+            left = contracted(left)
+            before, size = size, left.count()
+            stuck = size if size == before else -1
+            continue
         # within a colour the root's component is what reaches the root
         a, b = colour.select(F.col("id").alias("src"), F.col("colour").alias("c")), colour.select(F.col("id").alias("dst"), F.col("colour").alias("d"))
         inside = left.join(a, "src").join(b, "dst").filter("c = d").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        members = reach(inside, colour.filter("id = colour").select("id")).join(colour, "id").select("id", F.col("colour").alias("scc"))
-        members = cut(members)
-        real = members.join(members.groupBy("scc").count().filter("count > 1").select("scc"), "scc", "left_semi").select("id", "scc")
-        found = cut(found.unionByName(real))
+        members = cut(reach(inside, colour.filter("id = colour").select("id")).join(colour, "id").select("id", F.col("colour").alias("scc")))
+        found = found.unionByName(members)
         gone = members.select(F.col("id").alias("gone"))
-        left = cut(left.join(gone, left["src"] == gone["gone"], "left_anti").join(gone, left["dst"] == gone["gone"], "left_anti"))
+        last, left = left, cut(left.join(gone, left["src"] == gone["gone"], "left_anti").join(gone, left["dst"] == gone["gone"], "left_anti"))
+        release(last)
         size = left.count()
+    found = cut(found)
+    for inner in reversed(bound):  # the ends of earlier chains may lie within later ones; a node without a component is its own
+        known = sql(
+            spark,
+            """
+WITH x AS (SELECT i.id, i.first, coalesce(a.scc, i.first) AS scc FROM inner_nodes i LEFT JOIN found a ON a.id = i.first LEFT JOIN found b ON b.id = i.last WHERE coalesce(a.scc, i.first) = coalesce(b.scc, i.last))
+SELECT id, scc FROM x UNION ALL SELECT DISTINCT x.first, x.scc FROM x LEFT ANTI JOIN found f ON f.id = x.first""",
+            inner_nodes=inner, found=found,
+        )
+        last, found = found, cut(found.union(known))
+        release(last, inner)
+    sized = found.groupBy("scc").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("name")).filter("n > 1")
+    return found.join(sized, "scc").select("id", F.col("name").alias("scc"))
 
 
 def import_graph(graph: CodeGraph) -> DataFrame:
@@ -131,6 +238,45 @@ JOIN edges e ON e.scc = w.scc AND e.src = w.at AND e.dst > w.start GROUP BY w.sc
     return spark.createDataFrame([], "scc string, path array<string>") if found is None else found
 
 
+def simple_cycles(edges: DataFrame, longest: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Every simple cycle of 2 to `longest` nodes, and how much lies beyond; edges: src, dst.
+
+    The first result is cycle (its nodes from the least one) and length, a row per cycle: ways grow within the strong components from
+    every node through greater nodes only, so each rotation but one never begins. The second is start and n_open: the ways of `longest`
+    nodes that can go on, a bound on nothing but a sign that longer cycles may be there; without rows there are none. The number of ways
+    may grow with the power of the degree, which is what `longest` is for.
+    """
+    edges = edges.filter("src <> dst").select("src", "dst").distinct()
+    scc = strong_components(edges)
+    a, b = scc.select(F.col("id").alias("src"), "scc"), scc.select(F.col("id").alias("dst"), F.col("scc").alias("other"))
+    inside = cut(edges.join(a, "src").join(b, "dst").filter("scc = other").select("src", "dst"))
+    ways = cut(inside.filter("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path")))
+    found: list[DataFrame] = []
+    for size in range(2, longest + 1):
+        back = inside.select(F.col("src").alias("at"), F.col("dst").alias("start"))
+        found.append(cut(ways.join(back, ["at", "start"], "left_semi").select(F.col("path").alias("cycle"))))
+        onward = ways.join(inside.filter("src <> dst"), ways["at"] == inside["src"]).filter("dst > start AND NOT array_contains(path, dst)")
+        if size == longest:
+            beyond = cut(onward.groupBy("start").agg(F.count(F.lit(1)).alias("n_open")))
+            break
+        last, ways = ways, cut(onward.select("start", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
+        release(last)
+    release(ways, inside)
+    return reduce(DataFrame.union, found).select("cycle", F.size("cycle").alias("length")), beyond
+
+
+def all_imports(graph: CodeGraph) -> DataFrame:
+    """Imports between files wherever they stand, within functions too, without self-imports."""
+    return sql(graph.nodes.sparkSession, "SELECT DISTINCT source AS src, target AS dst FROM edges WHERE type = 'import' AND source <> target AND startswith(source, 'file:') AND startswith(target, 'file:')", edges=graph.edges)
+
+
+def circular_dependencies(graph: CodeGraph, longest: int = 5) -> tuple[DataFrame, DataFrame]:
+    """path, cycle and length of every cycle of imports of up to `longest` files, function-scope imports too, and what `simple_cycles` says of longer ones."""
+    found, beyond = simple_cycles(all_imports(graph), longest)
+    plain = F.transform("cycle", lambda x: F.regexp_replace(x, "^file:", ""))
+    return found.select(plain[0].alias("path"), plain.alias("cycle"), "length"), beyond.select(F.regexp_replace("start", "^file:", "").alias("path"), "n_open")
+
+
 def cycles(graph: CodeGraph) -> DataFrame:
     """One row per strongly connected component of files: its shortest cycle, size and severity."""
     edges = cut(import_graph(graph))
@@ -208,14 +354,15 @@ def cluster_labels(graph: CodeGraph, merge_singletons: bool = True, resolution:
 
     Without any affinity all files have one label; if several files stand alone they have the label ~.
     """
-    spark = graph.nodes.sparkSession
     files = graph.nodes.filter("type = 'file'").select("id")
-    if resolution is not None:
-        label = communities(cut(affinity(graph)), files, resolution)
+    links = cut(affine(graph))
+    # a file that imports itself has affinity too, with nobody else
+    if links.isEmpty() and graph.edges.filter("type = 'import' AND startswith(target, 'file:')").isEmpty():
+        label = files.select("id", F.lit("").alias("label"))
+    elif resolution is not None:
+        label = communities(cut(imported(graph)), files, resolution, members=cut(tabled(graph)))
     else:
-        links = cut(affine(graph))
-        # a file that imports itself has affinity too, with nobody else
-        label = files.select("id", F.lit("").alias("label")) if links.isEmpty() and affinity(graph).isEmpty() else components(links, files)
+        label = components(links, files)
     label = cut(label)
     sized = label.join(label.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
     alone = sized.filter("n = 1").count()
@@ -224,66 +371,96 @@ def cluster_labels(graph: CodeGraph, merge_singletons: bool = True, resolution:
     return sized.select("id", "label", "n")
 
 
-def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = 1.0, rounds: int = 20) -> DataFrame:
-    """id, label of communities by modularity, in the manner of Louvain. pairs: a, b, weight (a = b is a loop); nodes: id.
+def imported(graph: CodeGraph) -> DataFrame:
+    """a, b, weight: the part of the affinity that comes from imports."""
+    return sql(graph.nodes.sparkSession, "SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b, 1.0D AS weight FROM edges WHERE type = 'import' AND startswith(target, 'file:')", edges=graph.edges)
+
+
+def tabled(graph: CodeGraph) -> DataFrame:
+    """tab, id: the tables of every file, from which the rest of the affinity comes."""
+    return sql(graph.nodes.sparkSession, "SELECT DISTINCT tab, id FROM nodes LATERAL VIEW explode(tables) AS tab WHERE type = 'file'", nodes=graph.nodes)
 
-    Nodes move in parallel to the neighbouring community with the largest gain of modularity (ties: the least label); in a
-    round only one half of the nodes, by a hash that changes with the round, may move, so that two do not swap for ever. When
-    moves end, communities become nodes, until none joins another. A level whose moves do not raise the modularity is not
-    taken. Every step is an aggregation and an equi-join; a label is the least id of its community.
+
+def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = 1.0, rounds: int = 20, members: DataFrame | None = None) -> DataFrame:
+    """id, label of communities by modularity, in the manner of Louvain. nodes: id; pairs: a, b, weight (a = b is a loop); members: tab, id.
+
+    Every two members of a tab are linked with weight 2 per tab, but these links are never written: a node's degree follows from the
+    sizes of its tabs, its weight to a community from how many members of each of its tabs are there (`here`, a row per tab and
+    community). So a tab costs a row per member.
+
+    Nodes move in parallel to the community with the largest gain of modularity (ties: the least label) among those of the nodes they
+    are paired with and, for each of their tabs, the one that holds most of it; in a round only one half of the nodes, by a hash that
+    changes with the round, may move, so that two do not swap for ever. When moves end, communities become nodes, until none joins
+    another. A level whose moves do not raise the modularity is not taken. Every step is an aggregation and an equi-join; a label is the
+    least id of its community.
     """
     spark = pairs.sparkSession
     label = cut(nodes.select("id", F.col("id").alias("label")))
     edges = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("weight").cast("double").alias("w")).union(pairs.filter("a <> b").select("b", "a", F.col("weight").cast("double"))))
-    total = edges.agg(F.sum(F.when(F.col("src") == F.col("dst"), 2 * F.col("w")).otherwise(F.col("w"))).alias("m2")).first()["m2"]
+    mem = members.select("tab", "id").distinct() if members is not None else spark.createDataFrame([], "tab string, id string")
+    mem = mem.withColumn("m", F.lit(1).cast("long"))
+    mem = cut(mem.join(mem.groupBy("tab").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "tab").select("tab", "id", "m", "size"))
+    total = sql(
+        spark, "SELECT (SELECT coalesce(sum(IF(src = dst, 2 * w, w)), 0D) FROM edges) + (SELECT coalesce(sum(2D * m * (size - 1)), 0D) FROM mem) AS m2", edges=edges, mem=mem
+    ).first()["m2"]
     if not total:
         return label
     while True:
         # weighted degree of each node of this level; loops count twice
-        degree = cut(edges.groupBy("src").agg(F.sum(F.when(F.col("src") == F.col("dst"), 2 * F.col("w")).otherwise(F.col("w"))).alias("k")).withColumnRenamed("src", "id"))
-        own = cut(degree.select("id", F.col("id").alias("c"), "k"))
-        quality = _modularity(spark, edges, own, total, resolution)
-        best, best_quality, quiet = own, quality, 0
+        own = cut(
+            sql(spark, "SELECT id, id AS c, sum(k) AS k FROM (SELECT src AS id, IF(src = dst, 2 * w, w) AS k FROM edges UNION ALL SELECT id, 2D * m * (size - 1) FROM mem) GROUP BY id", edges=edges, mem=mem)
+        )
+        quality = _modularity(spark, edges, mem, own, total, resolution)
+        best, best_quality, tables = own, quality, []
         for turn in range(rounds):
             moved = cut(
                 sql(
                     spark,
                     f"""
 WITH sums AS (SELECT c, sum(k) AS k_all FROM own GROUP BY c),
-ways AS (SELECT o.id, o.c, o.k, t.c AS d, sum(e.w) AS w FROM edges e JOIN own o ON o.id = e.src JOIN own t ON t.id = e.dst WHERE e.src <> e.dst GROUP BY o.id, o.c, o.k, t.c),
-stay AS (SELECT id, c, k, c AS d, 0D AS w FROM own),
-gains AS (SELECT x.id, x.c, x.k, x.d, sum(x.w) - {resolution}D * x.k * (max(s.k_all) - IF(x.d = x.c, x.k, 0D)) / {total}D AS gain FROM (SELECT * FROM ways UNION ALL SELECT * FROM stay) x JOIN sums s ON s.c = x.d GROUP BY x.id, x.c, x.k, x.d),
-tops AS (SELECT id, c, k, max_by(gain, IF(d = c, 1, 0)) FILTER (WHERE d = c) AS here, max(bround(gain, 9)) AS top FROM gains GROUP BY id, c, k),
-to_be AS (SELECT t.id, t.c, t.k, min(g.d) AS d, max(t.top) > bround(max(t.here), 9) AS gains_some FROM tops t JOIN gains g ON g.id = t.id AND bround(g.gain, 9) = t.top GROUP BY t.id, t.c, t.k)
+held AS (SELECT m.tab, o.c, sum(m.m) AS n FROM mem m JOIN own o ON o.id = m.id GROUP BY m.tab, o.c),
+most AS (SELECT tab, min_by(c, struct(-n, c)) AS c FROM held GROUP BY tab),
+paired AS (SELECT e.src AS id, t.c AS d, sum(e.w) AS w FROM edges e JOIN own t ON t.id = e.dst WHERE e.src <> e.dst GROUP BY e.src, t.c),
+asked AS (SELECT id, c AS d FROM own UNION SELECT id, d FROM paired UNION SELECT m.id, t.c FROM mem m JOIN most t ON t.tab = m.tab),
+ways AS (SELECT id, d, w FROM paired UNION ALL SELECT a.id, a.d, 2D * m.m * h.n FROM asked a JOIN mem m ON m.id = a.id JOIN held h ON h.tab = m.tab AND h.c = a.d
+  UNION ALL SELECT m.id, o.c, -2D * m.m * m.m FROM mem m JOIN own o ON o.id = m.id UNION ALL SELECT id, c, 0D FROM own),
+gains AS (SELECT x.id, o.c, o.k, x.d, x.w - {resolution}D * o.k * (s.k_all - IF(x.d = o.c, o.k, 0D)) / {total}D AS gain
+  FROM (SELECT id, d, sum(w) AS w FROM ways GROUP BY id, d) x JOIN own o ON o.id = x.id JOIN sums s ON s.c = x.d),
+to_be AS (SELECT id, c, k, min_by(d, struct(-bround(gain, 9), d)) AS d, max(bround(gain, 9)) > bround(max(IF(d = c, gain, NULL)), 9) AS gains_some FROM gains GROUP BY id, c, k)
 SELECT id, IF(gains_some AND pmod(xxhash64(id, {turn}), 2) = 0, d, c) AS c, k, c AS before, gains_some FROM to_be""",
-                    own=own, edges=edges,
+                    own=own, edges=edges, mem=mem,
                 )
             )
             some = moved.agg(F.count_if("gains_some").alias("open")).first()["open"]
             own = moved.select("id", "c", "k")
-            now = _modularity(spark, edges, own, total, resolution)
+            now = _modularity(spark, edges, mem, own, total, resolution)
+            tables.append(moved)
             if now > best_quality + 1e-12:
-                best, best_quality = own, now
-            quiet = quiet + 1 if not some else 0
-            if quiet:
+                release(*tables[:-1])
+                best, best_quality, tables = own, now, [moved]
+            if not some:
                 break
         if best_quality <= quality + 1e-12:
             return label
         least = best.groupBy("c").agg(F.min("id").alias("to"))
         renamed = cut(best.join(least, "c").select("id", "to"))
-        label = cut(label.join(renamed.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        last, label = label, cut(label.join(renamed.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        release(last)
         a, b = renamed.select(F.col("id").alias("src"), F.col("to").alias("s")), renamed.select(F.col("id").alias("dst"), F.col("to").alias("d"))
         # both directions of an inner edge add up, so they count half in the loop
         whole = F.when((F.col("s") == F.col("d")) & (F.col("src") != F.col("dst")), F.col("w") / 2).otherwise(F.col("w"))
-        edges = cut(edges.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum(whole).alias("w")))
+        last, edges = edges, cut(edges.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum(whole).alias("w")))
+        older, mem = mem, cut(mem.join(renamed, "id").groupBy("tab", F.col("to").alias("id"), "size").agg(F.sum("m").alias("m")).select("tab", "id", "m", "size"))
+        release(last, older, renamed, *tables)
 
 
-def _modularity(spark: SparkSession, edges: DataFrame, own: DataFrame, total: float, resolution: float) -> float:
+def _modularity(spark: SparkSession, edges: DataFrame, mem: DataFrame, own: DataFrame, total: float, resolution: float) -> float:
     return sql(
         spark,
-        f"""SELECT (SELECT coalesce(sum(IF(e.src = e.dst, 2 * e.w, e.w)), 0D) FROM edges e JOIN own a ON a.id = e.src JOIN own b ON b.id = e.dst WHERE a.c = b.c) / {total}D
+        f"""SELECT ((SELECT coalesce(sum(IF(e.src = e.dst, 2 * e.w, e.w)), 0D) FROM edges e JOIN own a ON a.id = e.src JOIN own b ON b.id = e.dst WHERE a.c = b.c)
+  + (SELECT coalesce(sum(2D * n * (n - 1)), 0D) FROM (SELECT sum(m.m) AS n FROM mem m JOIN own o ON o.id = m.id GROUP BY m.tab, o.c))) / {total}D
   - {resolution}D * (SELECT sum(k_all * k_all) FROM (SELECT sum(k) AS k_all FROM own GROUP BY c)) / ({total}D * {total}D) AS q""",
-        edges=edges, own=own,
+        edges=edges, mem=mem, own=own,
     ).first()["q"]
 
 

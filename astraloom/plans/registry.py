@@ -276,6 +276,34 @@ def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(_graph(spark, sf_dir)).select("path", "severity", "cycle_length", "scc_size", F.concat_ws(",", "cycle").alias("cycle"))
 
 
+def _least_first(*offsets: int) -> str:
+    """The cycle from its least path, which is a word."""
+    paths = [PROJECT_PATH.replace(K, f"({K} + {o})") for o in offsets]
+    turns = [" || ',' || ".join(paths[k:] + paths[:k]) for k in range(len(paths))]
+    return "CASE " + " ".join(f"WHEN {paths[k]} = least({', '.join(paths)}) THEN {turns[k]}" for k in range(len(paths))) + " END"
+
+
+@query(f"SELECT {_least_first(0, 1, 2)} AS cycle, 3 AS length FROM supplier WHERE {R} = 1 UNION ALL SELECT {_least_first(0, 1)}, 2 FROM supplier WHERE {R} = 5")
+def graph_circular_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cycle of imports of up to five files; there is nothing beyond."""
+    found, beyond = graph.circular_dependencies(_graph(spark, sf_dir))
+    return found.select(F.concat_ws(",", "cycle").alias("cycle"), "length").join(beyond.select(F.col("path").alias("cycle")), "cycle", "left_anti")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey AS b FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE l.l_quantity = 50 AND c.c_nationkey <> s.s_nationkey AND (c.c_nationkey + s.s_nationkey) % 3 = 0),
+w(first, last, path) AS (SELECT a, b, [a, b] FROM e WHERE a < b UNION ALL SELECT w.first, e.b, list_append(w.path, e.b) FROM w JOIN e ON e.a = w.last WHERE e.b > w.first AND NOT list_contains(w.path, e.b) AND len(w.path) < 4)
+SELECT array_to_string(w.path, ',') AS cycle, len(w.path)::INTEGER AS length FROM w JOIN e ON e.a = w.last AND e.b = w.first""")
+def graph_trade_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of up to four nations whose customers buy from each other's suppliers in bulk."""
+    t = {name: corpus.read(spark, sf_dir, name) for name in ("lineitem", "orders", "customer", "supplier")}
+    bulk = t["lineitem"].filter("l_quantity = 50").select("l_orderkey", "l_suppkey").join(t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
+    both = bulk.join(t["customer"].select("c_custkey", "c_nationkey"), "c_custkey").join(t["supplier"].select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    edges = both.filter("(c_nationkey + s_nationkey) % 3 = 0").select(F.format_string("%02d", "c_nationkey").alias("src"), F.format_string("%02d", "s_nationkey").alias("dst"))
+    found, _ = graph.simple_cycles(edges, longest=4)
+    return found.select(F.array_join(F.transform("cycle", lambda x: x.cast("int").cast("string")), ",").alias("cycle"), "length")
+
+
 _LABEL = f"CASE WHEN {R} IN (1, 2, 3, 4) THEN 'a' || {K} // 20 WHEN {R} IN (5, 6) THEN 'b' || {K} // 10 WHEN {R} IN (7, 8) THEN 'c' || {K} // 10 ELSE 'utilities' END"
 
 
@@ -292,6 +320,24 @@ def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select(F.expr("substr(id, 6)").alias("path"), F.col("n").alias("block_size"), (F.col("label") == "~").alias("utilities"))
 
 
+@query("""
+WITH f AS (SELECT s_suppkey AS k, s_suppkey // 10 AS g, 'file:mod' || s_suppkey || '.py' AS id FROM supplier)
+SELECT id, min(id) OVER (PARTITION BY g) AS label, count(*) OVER (PARTITION BY g) AS n FROM f""")
+def graph_bridged_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of ten that share a table, every two tens bridged by one import: communities are the tens, components would be the bridged pairs.
+
+    The resolution grows with the number of tens: at 1, modularity joins what is small beside the whole.
+    """
+    files = corpus.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.floor(F.col("s_suppkey") / 10).alias("g"))
+    name = lambda k: F.concat(F.lit("file:mod"), k.cast("string"), F.lit(".py"))
+    nodes = files.select(name(F.col("k")).alias("id"), F.lit("file").alias("type"), F.array(F.concat(F.lit("t"), F.col("g").cast("string"))).alias("tables"))
+    edges = files.filter("k % 20 = 9").select(name(F.col("k")).alias("source"), name(F.col("k") + 1).alias("target"), F.lit("import").alias("type"))
+    edges = edges.join(nodes.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target", "type")
+    tens = files.agg(F.count_distinct("g")).first()[0]
+    made = code_graph.CodeGraph(nodes, edges, edges, nodes.limit(0))
+    return graph.cluster_labels(made, merge_singletons=False, resolution=float(max(1, tens // 2))).select("id", "label", "n")
+
+
 @query(f"""
 WITH c AS (SELECT o_orderkey % (SELECT count(*) FROM supplier) + 1 AS s_suppkey, count(*) AS churn FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 180 DAY GROUP BY 1),
 b AS (SELECT coalesce(s.s_suppkey, c.s_suppkey) AS s_suppkey, CASE WHEN s.s_suppkey IS NULL THEN 0 ELSE 3 END AS complexity, coalesce(churn, 0) AS churn FROM supplier s FULL JOIN c ON c.s_suppkey = s.s_suppkey)

@@ -133,6 +133,21 @@ def test_shortest_cycles_against_brute_force(spark):
     assert graph.shortest_cycles(spark.createDataFrame([], "scc string, src string, dst string")).collect() == []
 
 
+def test_simple_cycles_against_brute_force(spark):
+    r = random.Random(9)
+    names = [f"n{i}" for i in range(12)]
+    pairs = {tuple(r.sample(names, 2)) for _ in range(26)} | {("n1", "n1")}
+    want = {c for size in range(2, 6) for c in itertools.permutations(names, size) if c[0] == min(c) and all((c[i], c[(i + 1) % size]) in pairs for i in range(size))}
+    found, beyond = graph.simple_cycles(spark.createDataFrame(sorted(pairs), "src string, dst string"), 5)
+    rows = [tuple(x["cycle"]) for x in found.collect()]
+    assert set(rows) == want and len(rows) == len(want) and want
+    ring = spark.createDataFrame([(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)], "src string, dst string")
+    assert graph.simple_cycles(ring, 5)[0].count() == 0 and graph.simple_cycles(ring, 5)[1].count() > 0
+    assert graph.simple_cycles(ring, 7)[0].count() == 1 and graph.simple_cycles(ring, 7)[1].count() == 0
+    files = {"p/a.py": "import p.b\n", "p/b.py": "def f():\n    import p.a\n    import p.b\n"}
+    assert [x["cycle"] for x in graph.circular_dependencies(project(spark, files)[2])[0].collect()] == [["p/a.py", "p/b.py"]]
+
+
 def test_soft_delete_finds_names_of_any_length(spark):
     names = ["a\U0001f600", "z", "orders", "ord", "absent"]
     files = {f"m/t{i}.py": f"class T{i}(Base):\n    __tablename__ = '{t}'\n    deleted_at = 1\n" for i, t in enumerate(names)}
@@ -302,6 +317,65 @@ def test_communities(spark):
             assert plain_modularity(pairs, label | {n: other}, 1.0) <= best + 1e-9
 
 
+@pytest.mark.parametrize("wide", [0, 6])
+def test_communities_of_tables_are_those_of_their_pairs(spark, wide):
+    """Tables as members: the communities' modularity by the same links written out."""
+    tabs = [(f"t{g}", f"f{g}{i}") for g in range(6) for i in range(4)] + [("wide", f"f{g}0") for g in range(wide)] + [("one", "f00")]
+    bridges = [(f"f{g}3", f"f{g + 1}1", 1.0) for g in range(5)] + [("f00", "f00", 1.0)]
+    nodes = spark.createDataFrame([(n,) for n in sorted({f for _, f in tabs} | {"z"})], "id string")
+    label = {r["id"]: r["label"] for r in graph.communities(spark.createDataFrame(bridges, "a string, b string, weight double"), nodes, 1.0, members=spark.createDataFrame(tabs, "tab string, id string")).collect()}
+    assert wide or all(label[f"f{g}{i}"] == f"f{g}0" for g in range(6) for i in range(4)) and label["z"] == "z"
+    pairs = [*bridges, *((a, b, 2.0) for t in {t for t, _ in tabs} for a, b in itertools.combinations(sorted(f for x, f in tabs if x == t), 2))]
+    assert plain_modularity(pairs, label, 1.0) > (0.25 if wide else 0.7)  # a wide table of six holds a third of all links
+
+
+def test_a_wide_table_costs_a_row_per_file(spark):
+    members = spark.range(30_000).select(F.lit("wide").alias("tab"), F.format_string("f%06d", "id").alias("id")).union(spark.range(40).select(F.lit("narrow").alias("tab"), F.format_string("g%02d", "id").alias("id")))
+    pairs = spark.createDataFrame([("f000000", "g00", 1.0)], "a string, b string, weight double")
+    found = graph.communities(pairs, members.select("id"), 1.0, members=members)
+    assert sorted(map(tuple, found.groupBy("label").count().collect())) == [("f000000", 30_000), ("g00", 40)]
+
+
+def plain_reach(pairs, start):
+    seen, todo = set(start), list(start)
+    while todo:
+        x = todo.pop()
+        for a, b in pairs:
+            if a == x and b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen
+
+
+def test_long_chains_end_in_few_rounds(spark, monkeypatch):
+    n = 2000
+    chain = [(f"c{i:05d}", f"c{i + 1:05d}") for i in range(n)] + [(f"c{i:05d}", "util") for i in range(n)]
+    ring = [(f"r{i:05d}", f"r{(i + 1) % 700:05d}") for i in range(700)]
+    loop = [("u", "v0"), *((f"v{i}", f"v{i + 1}") for i in range(300)), ("v300", "u"), ("u", "c00000")]
+    edges = spark.createDataFrame(chain + ring + loop, "src string, dst string")
+    jobs = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: jobs.append(1) or real(df))
+    assert {r["id"] for r in graph.reach(edges, spark.createDataFrame([("c00003",)], "id string")).collect()} == {"util", *(f"c{i:05d}" for i in range(3, n + 1))}
+    assert len(jobs) < 100
+    jobs.clear()
+    assert {(r["id"], r["scc"]) for r in graph.strong_components(edges).collect()} == {(a, "r00699") for a, _ in ring} | {(a, "v99") for a, _ in loop}
+    assert len(jobs) < 100
+
+
+def test_reach_and_strong_components_at_random(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TOGETHER", 2)
+    for seed in range(6):
+        r = random.Random(seed)
+        names = [f"n{i}" for i in range(30)]
+        pairs = {(names[i], names[(i + 1) % 30]) for i in range(30) if r.random() < 0.85} | {tuple(r.sample(names, 2)) for _ in range(r.choice([2, 6, 12]))}
+        edges = spark.createDataFrame(sorted(pairs), "src string, dst string")
+        all_ = {x: plain_reach(pairs, [x]) for x in names}
+        assert {x["id"] for x in graph.reach(edges, spark.createDataFrame([("n3",), ("n20",)], "id string")).collect()} == all_["n3"] | all_["n20"]
+        both = {x: {y for y in all_[x] if x in all_[y]} for x in names}
+        assert {(x["id"], x["scc"]) for x in graph.strong_components(edges).collect()} == {(x, max(g)) for x, g in both.items() if len(g) > 1}
+
+
 def test_second_engine_of_javascript(spark):
     text = "class A extends B.C { static async go(x) { if (x) { f(); } }\n  get n() { return 1; } }\nconst f = function () {}, g = y => y, h = (1);\nimport('./x'); require(\"y\"); // import('z')\nfunction f() {}\nfunction* gen() {}\nconst o = { m() {} };\n"
     frame = spark.createDataFrame([("a.js", text), ("none.js", None)], "path string, content string")
