@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from astraloom.llm.common import map_batches, sliced
+from astraloom.llm.common import map_batches, sliced, written
 
 STRIP = b" \t\n\x0b\x0c\r"
 
@@ -60,6 +60,7 @@ def shared_places(docs: DataFrame, least_docs: int = 3, least_chars: int = 20) -
     # a document is an id; null ids are one document, the smallest: structs compare so
     lines = line_keys(docs, least_chars).select(F.struct("doc_id").alias("doc"), "h", "places")
     shared = lines.groupBy("h").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= least_docs).select("h", "last")
+    shared = written(shared, "shared-lines")  # small beside the lines; both sides of the join are then plain shuffles, which can be split
     gone = lines.join(shared, "h").filter(F.col("doc") < F.col("last"))
     return gone.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("drop")).select(F.col("doc.doc_id").alias("doc_id"), "drop")
 
