@@ -574,6 +574,43 @@ def test_words_of_classes_only_suggest(tag):
     assert html_text.main_text(f"<body>{story}{comments}</body>") == TOLD
 
 
+NOTE = "<p>One short paragraph is all that this post says.</p>"
+LONG = "<p>Some longer words that are no part of the story, at all, and they go on for a while.</p>"
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("part", ["<div class=comments>", '<section class="comment-list">', "<div class=sidebar>", '<div class="cookie-consent">', "<div class=footer>", "<div class=advert>", "<section id=comments>"])
+def test_condemned_blocks_go_at_any_weight(tag, part):
+    """Behind a short article and within it, however long they are."""
+    close = part[1:].split(" ")[0]
+    for n in (1, 5, 12, 100):
+        other = f"{part}{LONG * n}</{close}>"
+        assert html_text.main_text(f"<body><{tag}>{NOTE}</{tag}>{other}</body>") == NOTE[3:-4]
+        assert html_text.main_text(f"<body><{tag}>{NOTE}{other}</{tag}></body>") == NOTE[3:-4]
+
+
+@pytest.mark.parametrize("part", ['section class="comments"', 'div id="comments"', 'section class="advert"', 'p class="advert"', 'div id="ad"', 'section class="related-posts"', 'div class="notice"', 'ul class="share-buttons"'])
+def test_condemned_parts_of_articles_go(part):
+    inner = "Some words of the other part." if part[0] == "p" else LONG
+    assert html_text.main_text(f"<article>{STORY}<{part}>{inner}</{part.split()[0]}></article>") == TOLD
+    assert html_text.main_text(f'<article>{STORY}<p>See<span class="share"> this elsewhere</span>.</p></article>') == f"{TOLD}\nSee."
+
+
+def test_marks_that_hold_the_only_text_stay():
+    assert html_text.main_text(f'<body><nav>Menu</nav><div class="promo">{STORY}</div></body>') == TOLD
+    assert html_text.main_text(f'<body><article><div class="banner">{STORY}</div></article></body>') == TOLD
+    assert html_text.main_text(f'<body><div class="sidebar"><article>{STORY}</article></div><div>{NOTE}</div></body>') == TOLD
+    assert html_text.main_text('<p><span class="share">All there is.</span></p>') == "All there is."
+    # parts of an article that are named so
+    for part in ('section id="discussion"', 'section id="related-work"', 'h2 id="social-impact"', 'h2 id="comments"', 'p id="ad"'):
+        assert html_text.main_text(f"<article>{STORY}<{part}>Words of the article.</{part.split()[0]}></article>") == f"{TOLD}\nWords of the article."
+
+
+def test_linked_headings_and_linking_sentences_stay():
+    page = f"<body><div><a href=#>Home</a> <a href=#>All</a></div><h1><a href=#>A title</a></h1><div><p>{SAYS}</p><p>See <a href=#>the longer report here</a></p><p>{SAYS}</p></div><div><a href=#>Next page of this</a></div></body>"
+    assert html_text.main_text(page) == f"A title\n{SAYS}\nSee the longer report here\n{SAYS}"
+
+
 def test_pages_without_article_keep_short_blocks():
     short = [f"Short {x}." for x in ("one", "two", "three")]
     page = f"<body><nav>Menu</nav><div>{''.join(f'<p>{x}</p>' for x in short)}</div><div>{f'<p>{SAYS}</p>' * 12}</div><div><p>Closing.</p></div><footer>End</footer></body>"
@@ -609,7 +646,10 @@ def test_any_markup_is_read(parts):
 def test_work_is_linear_in_the_page():
     import time
 
-    for make in (lambda n: "<div>" * n + "</p>" * n, lambda n: "<i><p>" + "<b>" * n + "</i>" * n, lambda n: "<!--" * n, lambda n: "<a " * n, lambda n: "<div class=ad>x" * n):
+    for make in (
+        lambda n: "<div>" * n + "</p>" * n, lambda n: "<i><p>" + "<b>" * n + "</i>" * n, lambda n: "<!--" * n, lambda n: "<a " * n, lambda n: "<div class=ad>x" * n,
+        lambda n: "</" * 4 * n, lambda n: "<textarea>" + "</t" * 4 * n, lambda n: "<script>" + "</s" * 4 * n, lambda n: "<span class=ad>x" * n, lambda n: "<article><div class=comments>Some words here." * n,
+    ):
         began = time.process_time()
         html_text.main_text(make(40_000))
         assert time.process_time() - began < 4
