@@ -95,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
         git_commits(spark, root, args.hotspot_days) if args.hotspots else None, args.hotspot_days, tree.done_items(spark, args.todo) if args.todo else None,
         args.js_engine, args.resolution,
     )
-    files = tree.read_tree(spark, root)
+    files = tree.read_tree(spark, root, (*tree.EXCLUDED, *config.get("exclude", ())), args.js)
     run = Analysis(files, options, tuple(tree.ignored_names(spark, root)))
     tables = run.tables() | ({"questions": run.questions()} if args.questions else {})
     if run.blocks is not None:

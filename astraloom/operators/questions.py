@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from astraloom.functions.tables import sql
+from astraloom.functions.words import mentions
 from astraloom.operators.lint import DEFS, UNDER
 
 QUERY_WORDS = "query|filter|select|execute|[.]all[(][)]|[.]first[(][)]"
@@ -37,7 +38,22 @@ def _graph_functions(where: str) -> str:
 FROM nodes d JOIN f ON f.path = d.path WHERE d.type {where}"""
 
 
-#: soft_delete looks table names up by their first three characters among those of the function, so that no function meets every table.
+#: What generators look for in texts first: of each name the words, the texts as rows with a column `text`, and that column. `mentions` gives the
+#: generator a frame of that name, with `found`.
+SOUGHT: dict[str, dict[str, tuple[str, str]]] = {
+    "soft_delete": {
+        "asking": (
+            """SELECT DISTINCT t FROM (SELECT d.path, explode(d.tables) AS t FROM nodes d WHERE d.type = 'file') x JOIN f ON f.path = x.path
+WHERE contains(f.content, 'deleted_at') AND contains(f.content, '__tablename__') AND NOT startswith(t, 'rel:') AND NOT contains(t, 'via')""",
+            f"WITH {_FUNCTIONS} SELECT path, name, line, end_line, text, lower(text) AS words FROM functions LEFT SEMI JOIN f ON f.path = functions.path AND NOT contains(f.content, 'deleted_at') WHERE lower(text) RLIKE '{QUERY_WORDS}'",
+        )
+    },
+    "constraints": {"marked": (" UNION ALL ".join(f"SELECT '{a}' AS word" for a, _ in LIMITS), "SELECT path, content AS words FROM f")},
+    "claims": {
+        "told": (" UNION ALL ".join(f"SELECT lower('{a}') AS word" for a, _ in CLAIMS), "SELECT lower(item) AS words FROM done"),
+        "placed": (" UNION ALL ".join(f"SELECT '{b}' AS word" for _, b in CLAIMS), "SELECT path, parts, path AS words FROM f"),
+    },
+}
 GENERATORS: dict[str, str] = {
     "connectivity": f"""
 WITH g AS ({_graph_functions("= 'function'")}) SELECT {_FN.format('connectivity')} FROM g LEFT SEMI JOIN status s ON s.path = g.path AND s.status = 'incomplete'
@@ -46,27 +62,20 @@ WHERE (NOT startswith(name, '_') OR name = '__init__') AND length(text) >= 20"""
 WITH g AS ({_graph_functions("IN ('function', 'class')")}), w AS (SELECT g.*, row_number() OVER (PARTITION BY g.path, x.symbol ORDER BY g.seq) AS r FROM g JOIN xref_findings x
   ON x.rule = 'XREF_IMPORTED_NOT_CALLED' AND x.path = g.path AND x.symbol = element_at(split(g.name, '[.]'), -1))
 SELECT {_FN.format('xref')} FROM w WHERE r = 1""",
-    "soft_delete": f"""
-WITH {_FUNCTIONS}, soft AS (SELECT DISTINCT t FROM (SELECT d.path, explode(d.tables) AS t FROM nodes d WHERE d.type = 'file') x JOIN f ON f.path = x.path
-  WHERE contains(f.content, 'deleted_at') AND contains(f.content, '__tablename__') AND NOT startswith(t, 'rel:') AND NOT contains(t, 'via')),
-asking AS (SELECT functions.*, lower(text) AS words FROM functions LEFT SEMI JOIN f ON f.path = functions.path AND NOT contains(f.content, 'deleted_at') WHERE lower(text) RLIKE '{QUERY_WORDS}'),
-letters AS (SELECT path, pre, regexp_extract_all(words, '(?s).', 0) AS c FROM asking),
-grams AS (SELECT path, pre, explode(array_distinct(concat(array(''), flatten(transform(c, (x, i) -> array(x, concat(x, coalesce(get(c, i + 1), '')), concat(x, coalesce(get(c, i + 1), ''), coalesce(get(c, i + 2), '')))))))) AS gram FROM letters),
-maybe AS (SELECT g.path, g.pre, soft.t FROM grams g JOIN soft ON g.gram = substr(soft.t, 1, 3)),
-named AS (SELECT DISTINCT a.path, a.pre FROM asking a JOIN maybe m ON m.path = a.path AND m.pre = a.pre AND contains(a.words, m.t))
-SELECT DISTINCT {_FN.format('soft_delete')} FROM asking LEFT SEMI JOIN named ON named.path = asking.path AND named.pre = asking.pre""",
+    "soft_delete": f"SELECT DISTINCT {_FN.format('soft_delete')} FROM asking WHERE size(found) > 0",
     "expiry": f"WITH {_FUNCTIONS} SELECT {_FN.format('expiry')} FROM functions WHERE contains(lower(text), 'expires') AND text RLIKE 'datetime[.](now|utcnow)' AND NOT contains(text, 'timedelta')",
     "temporal": f"""
 WITH {_FUNCTIONS} SELECT {_FN.format('temporal: commit')} FROM functions WHERE text RLIKE '{DISPATCH}' AND contains(text, '.commit()')
 UNION ALL SELECT {_FN.format('temporal: close')} FROM functions WHERE text RLIKE '{DISPATCH}' AND contains(text, '.close()')""",
     "constraints": f"""
-WITH {_FUNCTIONS}, enforced AS (SELECT f.path, l.what FROM f JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in LIMITS)}) AS l(mark, what) ON contains(f.content, l.mark)),
+WITH {_FUNCTIONS}, enforced AS (SELECT m.path, l.what FROM (SELECT path, explode(found) AS mark FROM marked) m JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in LIMITS)}) AS l(mark, what) ON m.mark = l.mark),
 limits AS (SELECT DISTINCT what FROM enforced),
 w AS (SELECT functions.*, l.what FROM functions CROSS JOIN limits l LEFT SEMI JOIN f ON f.path = functions.path AND lower(f.content) RLIKE '{WRITE_WORDS}' WHERE lower(text) RLIKE '{FIELD_WORDS}')
 SELECT {_OUT.format('line', 'end_line', "concat(name, ': ', what)", 'constraints', 'text')} FROM w LEFT ANTI JOIN enforced e ON e.path = w.path AND e.what = w.what""",
     "claims": f"""
-WITH c AS (SELECT DISTINCT l.* FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in CLAIMS)}) AS l(claim, place) JOIN done d ON contains(lower(d.item), lower(l.claim))),
-t AS (SELECT c.claim, c.place, min_by(f.path, f.parts) AS path FROM c LEFT JOIN f ON contains(f.path, c.place) GROUP BY 1, 2)
+WITH c AS (SELECT l.* FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in CLAIMS)}) AS l(claim, place) LEFT SEMI JOIN (SELECT explode(found) AS claim FROM told) d ON d.claim = lower(l.claim)),
+p AS (SELECT place, min_by(path, parts) AS path FROM (SELECT explode(found) AS place, path, parts FROM placed) GROUP BY place),
+t AS (SELECT c.claim, c.place, p.path FROM c LEFT JOIN p ON p.place = c.place)
 SELECT coalesce(t.path, concat('(missing: *', place, '*)')) AS path, CAST(IF(t.path IS NULL, 0, 1) AS BIGINT) AS start_line, CAST(IF(t.path IS NULL, 0, least(f.n_lines, 100)) AS BIGINT) AS end_line, claim AS symbol, 'claims' AS signal,
   IF(t.path IS NULL, 'FILE NOT FOUND', substr(f.content, 1, {SNIPPET})) AS snippet FROM t LEFT JOIN f ON f.path = t.path""",
     "contracts": f"""
@@ -84,8 +93,9 @@ _SHORT = {True: "element_at(split(replace(e.target, 'call:', ''), '[.]'), -1)",
 
 def ask(kind: str, strict: bool = True, **frames: DataFrame) -> DataFrame:
     """The questions of one generator; frames: n, f and what it names (nodes, edges, usage, status, xref_findings, done)."""
-    text = GENERATORS[kind].replace("{0}", _SHORT[strict])
-    return sql(next(iter(frames.values())).sparkSession, text, **frames)
+    text, spark = GENERATORS[kind].replace("{0}", _SHORT[strict]), next(iter(frames.values())).sparkSession
+    sought = {name: mentions(sql(spark, texts, **frames), "words", sql(spark, words, **frames)) for name, (words, texts) in SOUGHT.get(kind, {}).items()}
+    return sql(spark, text, **frames, **sought)
 
 
 def shortened(snippet):

@@ -287,11 +287,7 @@ def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoints(spark)
     top = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/tree-{uuid.uuid4().hex}"
     top = re.sub("^file:/+", "file:///", top)
-    fs = spark._jvm.org.apache.hadoop.fs.Path(top).getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in bundles.files(spark, sf_dir, bundles.PYTHON | {"web/app.d.ts": "x", "venv/skip.py": "x", "old-OFF.py": "x"}).toLocalIterator():
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{row['path']}"), True)
-        out.write(bytearray(row["content"].encode()))
-        out.close()
+    tree.write_tree(bundles.files(spark, sf_dir, bundles.PYTHON | {"web/app.d.ts": "x", "venv/skip.py": "x", "old-OFF.py": "x"}), top)
     return tree.select_files(tree.read_tree(spark, top), "map").select("path", (F.length("content") - F.length(F.replace("content", F.lit("\n")))).cast("long").alias("n_lines"))
 
 

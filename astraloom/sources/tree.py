@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringEndsWith, StringStartsWith
 
 #: Directories that are left out.
 EXCLUDED = ("venv", ".venv", "node_modules", "__pycache__", ".git", "dist", "build", ".egg-info", ".tox", ".mypy_cache", ".pytest_cache", "BAD")
@@ -33,45 +36,142 @@ def described(files: DataFrame) -> DataFrame:
     )
 
 
-def _files_below(fs: pa.fs.FileSystem, folder: str) -> Iterator[str]:
-    """Paths of all files below a folder; on a local disk symbolic links to folders are not followed."""
-    if isinstance(fs, pa.fs.LocalFileSystem):
-        for at, _, names in os.walk(folder, followlinks=False):
-            yield from (f"{at}/{n}" for n in names)
-    else:
-        yield from (x.path for x in fs.get_file_info(pa.fs.FileSelector(folder, recursive=True)) if x.type == pa.fs.FileType.File)
+#: Folders that are listed before the tasks begin, bytes and files of a task, threads that list.
+FOLDERS, BYTES, FILES, THREADS = 4096, 64 << 20, 2000, 16
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), content of every Python and JavaScript file below root; bytes that are not UTF-8 become U+FFFD.
+class Unit(NamedTuple):
+    """A file, or a folder that a task still has to walk; for which languages it is wanted."""
 
-    Spark's own readers leave out names that begin with an underscore or a dot and files without a byte, so the tree
-    is listed and read through its file system: the driver lists the root alone, tasks list the folders below it,
-    and the paths are dealt anew before they are read.
+    path: str
+    folder: bool
+    python: bool
+    script: bool
+    size: int
+
+
+class Part(InputPartition):
+    def __init__(self, units: list[Unit]):
+        super().__init__(len(units))
+        self.units = units
+
+
+class TreeReader(DataSourceReader):
+    """Walks a tree level by level; excluded folders are not entered, so nothing in them is listed or opened.
+
+    The driver lists up to `FOLDERS` folders, a level at a time and in threads, and packs the files by bytes; folders that are left then
+    are walked by the tasks. Filters on the path that say how it begins or ends, or what it is, are taken: they prune folders too.
     """
-    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
-    fs, top = pa.fs.FileSystem.from_uri(uri)
-    first = [(x.path, x.type == pa.fs.FileType.Directory) for x in fs.get_file_info(pa.fs.FileSelector(top)) if not os.path.islink(x.path) or x.type == pa.fs.FileType.File]
-    wanted = (".py", *JS_SUFFIXES)
 
-    def list_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = pa.fs.FileSystem.from_uri(uri)
-        for batch in batches:
-            for path, is_folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = [x for x in (_files_below(store, path) if is_folder else [path]) if x.endswith(wanted)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["path"])
+    def __init__(self, options: dict[str, str]):
+        root = options["path"]
+        self.uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+        self.exclude = frozenset(x for x in options.get("exclude", "\n".join(EXCLUDED)).split("\n") if x)
+        self.script = options.get("scripts", "true") == "true"
+        self.begin, self.ends = "", [""]
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if column == ("path",) and isinstance(value, str) and isinstance(f, (EqualTo, StringStartsWith, StringEndsWith)):
+                if not isinstance(f, StringEndsWith):
+                    self.begin = max(self.begin, value, key=len)
+                if not isinstance(f, StringStartsWith):
+                    self.ends.append(value)
+            yield f  # Spark asks again: a longer beginning may have been kept
+
+    def store(self) -> tuple[pa.fs.FileSystem, str]:
+        return pa.fs.FileSystem.from_uri(self.uri)
+
+    def children(self, fs: pa.fs.FileSystem, top: str, unit: Unit) -> list[Unit]:
+        """What a folder holds and is wanted; on a local disk symbolic links to folders are not followed."""
+        local, found = isinstance(fs, pa.fs.LocalFileSystem), []
+        for x in fs.get_file_info(pa.fs.FileSelector(unit.path, allow_not_found=True)):
+            inner = os.path.relpath(x.path, top)
+            if x.type == pa.fs.FileType.Directory:
+                python = unit.python and x.base_name not in self.exclude
+                script = unit.script and x.base_name not in JS_EXCLUDED and not x.base_name.startswith(".")
+                near = self.begin.startswith(inner + "/") or (inner + "/").startswith(self.begin)
+                if (python or script) and near and not (local and os.path.islink(x.path)):
+                    found.append(Unit(x.path, True, python, script, 0))
+            elif x.type == pa.fs.FileType.File and inner.startswith(self.begin) and all(inner.endswith(e) for e in self.ends):
+                if unit.python and inner.endswith(".py") or unit.script and inner.endswith(JS_SUFFIXES):
+                    found.append(Unit(x.path, False, unit.python, unit.script, x.size or 0))
+        return found
+
+    def partitions(self) -> list[Part]:
+        fs, top = self.store()
+        level, files, listed = [Unit(top, True, True, self.script, 0)], [], 0
+        with ThreadPoolExecutor(THREADS) as pool:
+            while level and listed < FOLDERS:
+                listed += len(level)
+                found = [x for group in pool.map(lambda u: self.children(fs, top, u), level) for x in group]
+                files += (x for x in found if not x.folder)
+                level = [x for x in found if x.folder]
+        parts, now, size = [[x] for x in level], [], 0
+        for x in sorted(files):
+            if now and (size + x.size > BYTES or len(now) >= FILES):
+                parts.append(now)
+                now, size = [], 0
+            now.append(x)
+            size += x.size
+        return [Part(p) for p in (*parts, now)]
+
+    def opened(self, fs: pa.fs.FileSystem, path: str) -> bytes:
+        with fs.open_input_stream(path) as f:
+            return f.read()
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        fs, top = self.store()
+        todo = list(reversed(part.units))
+        while todo:
+            x = todo.pop()
+            if x.folder:
+                todo += sorted(self.children(fs, top, x), reverse=True)
+                continue
+            text = self.opened(fs, x.path).decode("utf-8", "replace")
+            yield pa.RecordBatch.from_arrays([pa.array([os.path.relpath(x.path, top)]), pa.array([text])], names=["path", "content"])
+
+
+class TreeSource(DataSource):
+    """path (relative to the root), content of the Python and JavaScript files of a tree; options path, exclude (names by line), scripts."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
+
+    def schema(self) -> str:
+        return "path string, content string"
+
+    def reader(self, schema) -> TreeReader:
+        return TreeReader(self.options)
+
+
+def read_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = EXCLUDED, scripts: bool = True) -> DataFrame:
+    """path (relative), content of every Python and JavaScript file below root that some stage may want; bytes that are not UTF-8 become U+FFFD.
+
+    Spark's own readers leave out names that begin with an underscore or a dot and files without a byte, and enter every folder.
+    exclude: names of folders, those with a slash are left to `select_files`.
+    """
+    spark.dataSource.register(TreeSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    plain = "\n".join(e.rstrip("/") for e in exclude if "/" not in e.rstrip("/"))
+    return spark.read.format(TreeSource.name()).option("exclude", plain or "\n").option("scripts", str(scripts).lower()).load(root)
+
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = pa.fs.FileSystem.from_uri(uri)
+def write_tree(files: DataFrame, root: str) -> None:
+    """Writes every file (path, content) below root, each by the task that holds it; a task that runs again writes the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pa.fs.FileSystem.from_uri(root)
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                with store.open_input_stream(path) as f:
-                    text = f.read().decode("utf-8", "replace")
-                yield pa.RecordBatch.from_arrays([pa.array([os.path.relpath(path, top)]), pa.array([text])], names=["path", "content"])
-
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folders = spark.createDataFrame(first, "path string, is_folder boolean").repartition(max(1, min(len(first), tasks)))
-    return folders.mapInArrow(list_files, "path string").repartition(tasks, "path").mapInArrow(read, "path string, content string")
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs.create_dir(f"{top}/{os.path.dirname(path)}", recursive=True)
+                with fs.open_output_stream(f"{top}/{path}") as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def ignored_names(spark: SparkSession, root: str) -> list[str]:

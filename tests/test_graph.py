@@ -2,13 +2,16 @@
 
 import itertools
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import StringEndsWith, StringStartsWith
 
 from astraloom.functions import javascript
 from astraloom.functions.syntax import syntax_rows
+from astraloom.functions.words import mentions
 from astraloom.operators import code_graph, findings, graph, lint, questions, report, xref
 from astraloom.sources import tree
 from astraloom.sources.tree import described
@@ -221,7 +224,7 @@ def test_tree_source(spark, tmp_path):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(text)
     files = tree.read_tree(spark, str(tmp_path))
-    assert sorted(r["path"] for r in files.collect()) == ["a/b.js", "a/x.py", "gen/z.py", "old-OFF.py", "venv/y.py"]
+    assert sorted(r["path"] for r in files.collect()) == ["a/b.js", "a/x.py", "gen/z.py", "old-OFF.py"]
     ignored = tuple(tree.ignored_names(spark, str(tmp_path)))
     assert ignored == ("gen",)
     of = lambda stage: sorted(r["path"] for r in tree.select_files(files, stage, ignored=ignored).collect())
@@ -229,6 +232,52 @@ def test_tree_source(spark, tmp_path):
     assert tree.load_config(str(tmp_path / "none.json")) == {}
 
 
+def test_excluded_folders_are_neither_listed_nor_read(spark, tmp_path, monkeypatch):
+    names = ["src/deep/er/a.py", "src/b.js", "src/c.txt", "node_modules/x/y.py", "node_modules/x/y.js", "venv/lib/z.py", "vendor/v.py", "vendor/v.js", ".hid/h.py", ".hid/h.js", "own/o.py", "_under.py", "empty.py"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if name == "empty.py" else name)
+    (tmp_path / "src/link").symlink_to(tmp_path / "venv")
+    opened, listed = [], []
+    real_open, real_list = tree.TreeReader.opened, tree.TreeReader.children
+    monkeypatch.setattr(tree.TreeReader, "opened", lambda self, fs, path: opened.append(os.path.relpath(path, tmp_path)) or real_open(self, fs, path))
+    monkeypatch.setattr(tree.TreeReader, "children", lambda self, fs, top, unit: listed.append(os.path.relpath(unit.path, tmp_path)) or real_list(self, fs, top, unit))
+    for folders, size in ((4096, 64 << 20), (1, 10)):  # all listed before the tasks begin, or by the tasks
+        monkeypatch.setattr(tree, "FOLDERS", folders)
+        monkeypatch.setattr(tree, "BYTES", size)
+        opened.clear()
+        listed.clear()
+        reader = tree.TreeReader({"path": str(tmp_path), "exclude": "\n".join((*tree.EXCLUDED, "own"))})
+        parts = reader.partitions()
+        rows = [(p, c) for part in parts for batch in reader.read(part) for p, c in zip(*(x.to_pylist() for x in batch.columns))]
+        assert sorted(p for p, _ in rows) == [".hid/h.py", "_under.py", "empty.py", "src/b.js", "src/deep/er/a.py", "vendor/v.py"] and all(c == ("" if p == "empty.py" else p) for p, c in rows)
+        assert sorted(opened) == sorted(p for p, _ in rows) and not {"venv", "node_modules", "src/link"} & set(listed)
+        assert len(parts) > 3 or folders > 1
+    # a filter prunes too
+    opened.clear()
+    listed.clear()
+    reader = tree.TreeReader({"path": str(tmp_path)})
+    assert len(list(reader.pushFilters([StringStartsWith(("path",), "src/de"), StringEndsWith(("path",), ".py")]))) == 2
+    assert [p for part in reader.partitions() for batch in reader.read(part) for p in batch.column(0).to_pylist()] == ["src/deep/er/a.py"]
+    assert sorted(listed) == [".", "src", "src/deep", "src/deep/er"]
+    files = tree.read_tree(spark, str(tmp_path))
+    assert sorted(r["path"] for r in files.filter("path LIKE 'src/%' AND path LIKE '%.js'").collect()) == ["src/b.js"]
+    assert tree.read_tree(spark, str(tmp_path), scripts=False).count() == 6
+
+
+def test_mentions_against_brute_force(spark, monkeypatch):
+    r = random.Random(4)
+    words = ["".join(r.choice("ab") for _ in range(r.randint(1, 5))) for _ in range(40)] + ["é", "\U0001f600b", "order", "orders", "ord" + "x" * 50]
+    texts = [(i, "".join(r.choice("abé\U0001f600") for _ in range(r.randint(0, 30)))) for i in range(60)] + [(100, None), (101, ""), (102, "reorders")]
+    frame = spark.createDataFrame(texts, "id long, words string")
+    for known in (words, [*words, "", None], []):
+        found = mentions(frame, "words", spark.createDataFrame([(w,) for w in known], "w string"))
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(((i, t, sorted({w for w in known if w is not None and w in t}) if t is not None else []) for i, t in texts), key=repr)
+    monkeypatch.setattr("astraloom.functions.words.WORDS", 7)  # several automata
+    found = mentions(frame, "words", spark.createDataFrame([(w,) for w in words], "w string"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(((i, t, sorted({w for w in words if w in t}) if t is not None else []) for i, t in texts), key=repr)
+
+
 def test_sinks(app, spark, tmp_path):
     found = lint.findings(app[0], app[1], ["DEAD_IMPORT"])
     report.write_tables(str(tmp_path / "out"), findings=found, nodes=app[2].nodes)
