@@ -1,9 +1,9 @@
 """Lines that many documents share stay in one document only.
 
-Lines are exploded with their place, a line's key (stripped, ASCII lower case) is hashed to 128 bits, documents are counted per
-hash, and what is over the threshold is dropped. The shuffles carry hashes, ids and places; a text moves once, to its own places.
+Lines are exploded, a line's key (stripped, ASCII lower case) is hashed to 128 bits, documents are counted per hash, and what is over
+the threshold is dropped. The shuffles carry hashes and ids; a text moves once, to its own hashes, and is put together again in order.
 A key that a large part of all documents holds is counted by (key, document) first and is on the side of the join that adaptive
-execution splits. A task holds one document's places at most.
+execution splits. A task holds one document's hashes at most.
 """
 
 from __future__ import annotations
@@ -29,40 +29,40 @@ def key_of(line: bytes, least_chars: int) -> bytes | None:
     return key
 
 
+def hash_of(line: bytes, least_chars: int) -> bytes | None:
+    key = key_of(line, least_chars)
+    return None if key is None else xxhash.xxh3_128_digest(key)
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.binary()).to_pylist()
 
 
 def line_keys(docs: DataFrame, least_chars: int = 20) -> DataFrame:
-    """A row per document and key: doc_id, h (128-bit hash), places (of the lines with that key, from 0)."""
+    """A row per row and key: doc_id, h (128-bit hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced([batch]):
-                rows, hashes, places = [], [], []
+                rows, hashes = [], []
                 for row, text in enumerate(_bytes(part.column("text"))):
-                    found: dict[bytes, list[int]] = {}
-                    for at, line in enumerate(text.split(b"\n")):
-                        key = key_of(line, least_chars)
-                        if key is not None:
-                            found.setdefault(xxhash.xxh3_128_digest(key), []).append(at)
+                    found = {hash_of(line, least_chars) for line in text.split(b"\n")} - {None}
                     rows += [row] * len(found)
-                    hashes += found.keys()
-                    places += found.values()
+                    hashes += found
                 ids = part.column("doc_id").take(pa.array(rows, pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(hashes, pa.binary()), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "h", "places"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(hashes, pa.binary())], ["doc_id", "h"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h binary, places array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h binary")
 
 
-def shared_places(docs: DataFrame, least_docs: int = 3, least_chars: int = 20) -> DataFrame:
-    """doc_id and drop, the places of its lines that go: their key is in at least least_docs documents and this is not the largest of them."""
+def shared_hashes(docs: DataFrame, least_docs: int = 3, least_chars: int = 20) -> DataFrame:
+    """doc_id and drop, the hashes of its lines that go: their key is in at least least_docs documents and this is not the largest of them."""
     # a document is an id; null ids are one document, the smallest: structs compare so
-    lines = line_keys(docs, least_chars).select(F.struct("doc_id").alias("doc"), "h", "places")
+    lines = line_keys(docs, least_chars).select(F.struct("doc_id").alias("doc"), "h")
     shared = lines.groupBy("h").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last")).filter(F.col("n") >= least_docs).select("h", "last")
     shared = written(shared, "shared-lines")  # small beside the lines; both sides of the join are then plain shuffles, which can be split
     gone = lines.join(shared, "h").filter(F.col("doc") < F.col("last"))
-    return gone.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("drop")).select(F.col("doc.doc_id").alias("doc_id"), "drop")
+    return gone.groupBy("doc").agg(F.collect_set("h").alias("drop")).select(F.col("doc.doc_id").alias("doc_id"), "drop")
 
 
 def without_shared_lines(docs: DataFrame, least_docs: int = 3, least_chars: int = 20) -> DataFrame:
@@ -72,20 +72,21 @@ def without_shared_lines(docs: DataFrame, least_docs: int = 3, least_chars: int
     a key's documents the largest id keeps all its lines, in all its rows; null is less than every id. Lines are ended by \\n only. A
     text of any length is one row of one task. An empty table gives none; other columns are left out.
     """
-    drops = shared_places(docs, least_docs, least_chars).withColumnRenamed("doc_id", "_id")
+    drops = shared_hashes(docs, least_docs, least_chars).withColumnRenamed("doc_id", "_id")
     both = docs.select("doc_id", "text").join(drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "drop")
 
-    def kept(batch: pa.RecordBatch) -> dict[str, list]:
+    def reduced(batch: pa.RecordBatch) -> dict[str, list]:
         texts, counts, dropped = [], [], []
         for text, drop in zip(_bytes(batch.column("text")), batch.column("drop").to_pylist()):
             lines = text.split(b"\n")
             gone = set(drop or ())
-            texts.append(b"\n".join(line for at, line in enumerate(lines) if at not in gone) if gone else text)
+            kept = [line for line in lines if hash_of(line, least_chars) not in gone] if gone else lines
+            texts.append(b"\n".join(kept))
             counts.append(len(lines))
-            dropped.append(sum(at < len(lines) for at in gone))
+            dropped.append(len(lines) - len(kept))
         return {"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.binary()), "n_lines": counts, "n_dropped": dropped}
 
-    return map_batches(both, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_lines long, n_dropped long", lambda: kept)
+    return map_batches(both, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_lines long, n_dropped long", lambda: reduced)
 
 
 def line_dedup_query(docs: DataFrame) -> DataFrame:
