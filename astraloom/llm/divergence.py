@@ -72,7 +72,8 @@ def _sums(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     )
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The sums of about `most` bytes of text at a time."""
     kept: list[pa.RecordBatch] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -84,17 +85,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield found
 
     for batch in batches:
-        step = max(1, int(batch.num_rows * min(1.0, BATCH / max(1, batch.nbytes))))
+        step = max(1, int(batch.num_rows * min(1.0, most / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, step):
             kept.append(batch.slice(at, step))
-            if sum(b.nbytes for b in kept) >= BATCH // 2:
+            if sum(b.nbytes for b in kept) >= most:
                 yield from flush()
     yield from flush()
 
 
 def postings(docs: DataFrame, least_docs: int = 10) -> DataFrame:
     """(lang, source, term, n, lang_n, first) of the terms in at least least_docs rows of the language; first marks one row per language and term."""
-    sums = docs.select("lang", "source", "text").mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    most = BATCH
+    sums = docs.select("lang", "source", "text").mapInArrow(lambda batches: _count(batches, most), "lang string, source string, term string, n long, docs long")
     each = sums.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")  # a row per source at most
     return each.select(
@@ -108,8 +110,9 @@ def _wide(c: Column) -> Column:
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (count + 2) / (total + 2 * terms)); null if there are no terms."""
-    whole = _wide(total) + _wide(terms) * 2
-    return F.when(whole > 0, F.call_function("div", _wide(count + 2) * F.lit(SCALE), whole) + 1)
+    whole = total + terms * 2
+    short = F.call_function("div", (count + 2) * F.lit(SCALE), whole)  # within a long up to some 9 * 10^9 occurrences
+    return F.when(whole > 0, F.when(count < SCALE, short).otherwise(F.call_function("div", _wide(count + 2) * F.lit(SCALE), _wide(whole))) + 1)
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -133,40 +136,58 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d * d // (p + q)
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (lang, row, col, term): what common terms add for every two sources of a tile of a language."""
+def _common(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (lang, row, col, term): what common terms add for every two sources of a tile of a language; side: sources of a tile's side."""
     now: tuple | None = None
-    tile = np.zeros((TILE, TILE), np.int64)
+    tile = np.zeros((side, side), np.int64)
     left: pa.Table | None = None
 
     def done() -> Iterator[pa.RecordBatch]:
         a, b = np.nonzero(tile)
         if now is not None and len(a):
-            yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(a), pa.string()), pa.array((a + now[1] * TILE).astype(np.int32)), pa.array((b + now[2] * TILE).astype(np.int32)), pa.array(tile[a, b])], ["lang", "a", "b", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(a), pa.string()), pa.array((a + now[1] * side).astype(np.int32)), pa.array((b + now[2] * side).astype(np.int32)), pa.array(tile[a, b])], ["lang", "a", "b", "value"])
 
     def add(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         nonlocal now
-        lang, term = rows["lang"].to_pylist(), rows["term"].to_pylist()
-        tiles = list(zip(lang, rows["row"].to_pylist(), rows["col"].to_pylist()))
+        tiles = list(zip(*(rows[c].to_pylist() for c in ("lang", "row", "col"))))
+        term = rows["term"].to_pylist()
         number, p, p0 = (rows[c].to_numpy() for c in ("number", "p", "p0"))
         start = 0
-        for end in range(1, len(term) + 1):
-            if end < len(term) and term[end] == term[start] and tiles[end] == tiles[start]:
-                continue
+        while start < len(tiles):
+            end, of, at = start, [], -1
+            while end < len(tiles) and tiles[end] == tiles[start]:
+                at += end == start or term[end] != term[end - 1]
+                of.append(at)
+                end += 1
             if tiles[start] != now:
                 yield from done()
                 now = tiles[start]
                 tile[:] = 0
-            n, x, x0 = number[start:end], p[start:end], p0[start:end]
-            _, row, col = now
-            down, across = (n // TILE == row), (n // TILE == col)
-            a, b, i, j = x[down][:, None], x[across][None], x0[down][:, None], x0[across][None]
-            value = _f(a, b) - _f(a, j) - _f(i, b) + _f(i, j)
-            if row == col:
-                value = np.triu(value, 1)  # sources come in order
-            tile[np.ix_(n[down] - row * TILE, n[across] - col * TILE)] += value
+            gather(np.array(of), number[start:end], p[start:end], p0[start:end])
             start = end
 
+    def gather(of: np.ndarray, n: np.ndarray, x: np.ndarray, x0: np.ndarray) -> None:
+        """Adds the terms `of` (from 0, in order) with their sources' numbers and probabilities to the tile."""
+        _, row, col = now
+        known, first, place = np.unique(n, return_index=True, return_inverse=True)
+        zero = x0[first]
+        terms = of[-1] + 1
+        if 8 * len(n) >= terms * len(known):  # most sources have most terms: a table of them, where an absent one adds nothing
+            table = np.broadcast_to(zero, (terms, len(known))).copy()
+            table[of, place] = x
+            parts = [(table, known, zero)]
+        else:
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+            parts = [(x[None, a:b], n[a:b], x0[a:b]) for a, b in zip(starts, starts[1:])]
+        for table, who, zero in parts:
+            down, across = np.flatnonzero(who // side == row), np.flatnonzero(who // side == col)
+            b, j = table[:, across], zero[across]
+            for k in down.tolist():
+                a, i = table[:, k : k + 1], zero[k]
+                value = _f(a, b).sum(axis=0) - _f(a, j).sum(axis=0) - _f(i, b).sum(axis=0) + len(table) * _f(i, j)
+                later = who[across] > who[k]
+                tile[who[k] - row * side, who[across][later] - col * side] += value[later]
+
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = rows if left is None else pa.concat_tables([left, rows])
@@ -184,12 +205,13 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def common_terms(posts: DataFrame, known: DataFrame) -> DataFrame:
     """(lang, a, b, value) by numbers of sources, a < b: what the terms add that both have. A source goes to every tile of its row and column."""
-    blocks = known.groupBy("lang").agg(F.max(F.floor(F.col("number") / TILE)).alias("most"))
+    side = TILE
+    blocks = known.groupBy("lang").agg(F.max(F.floor(F.col("number") / side)).alias("most"))
     own = posts.join(known.join(blocks, "lang").select("lang", "source", "number", "p0", "total", "terms", "most"), ["lang", "source"])
-    block = F.floor(F.col("number") / TILE)
+    block = F.floor(F.col("number") / side)
     dealt = own.select("lang", "term", "number", probability(F.col("n"), F.col("total"), F.col("terms")).alias("p"), "p0", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), "most")).alias("other"))
     rows = dealt.select("lang", F.least("block", "other").cast("int").alias("row"), F.greatest("block", "other").cast("int").alias("col"), "term", "number", "p", "p0")
-    sums = rows.repartition("lang", "row", "col", "term").sortWithinPartitions("lang", "row", "col", "term", "number").mapInArrow(_common, "lang string, a int, b int, value long")
+    sums = rows.repartition("lang", "row", "col", "term").sortWithinPartitions("lang", "row", "col", "term", "number").mapInArrow(lambda batches: _common(batches, side), "lang string, a int, b int, value long")
     return sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
