@@ -58,7 +58,7 @@ def git_commits(spark, root: str, days: int):
     return spark.createDataFrame(rows, "commit_id string, seconds long, path string").select("commit_id", F.timestamp_seconds("seconds").alias("ts"), "path")
 
 
-FINDING = "tier string, path string, line long, rule string, severity string, symbol string"
+FINDING = tree.FINDING
 
 
 def baseline(spark, spec: str, root: str):
@@ -128,7 +128,7 @@ def main(argv: list[str] | None = None) -> int:
             for row in findings.most_severe(changes.filter("change = 'resolved'"), 5).collect():
                 print("resolved", row["severity"], row["rule"], f"{row['path']}:{row['line']}", row["symbol"])
             status = int(findings.regressed(changes))
-        run.findings.write.mode("overwrite").parquet(saved)
+        tree.save_baseline(run.findings, saved)
     if args.html:
         report.write_html(args.html if os.path.isabs(args.html) else os.path.join(root, args.html), run.findings, changes)
     if args.fail_on and findings.gate(run.findings, args.fail_on):

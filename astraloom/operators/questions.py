@@ -7,12 +7,13 @@ function definitions of a file, nested ones too, with their text.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from astraloom.functions.calls import Client, Limits, ask_all
 from astraloom.functions.tables import sql
 from astraloom.functions.words import mentions
 from astraloom.operators.lint import DEFS, UNDER
@@ -116,18 +117,18 @@ def outermost(text: str | None) -> dict:
         return {}
 
 
-def verify(questions: DataFrame, client: Callable[[str], str | None], attempts: int = 2) -> DataFrame:
-    """Findings from answers: client takes a prompt and returns text with a JSON object. No or false is a finding; no answer at all after all attempts is one tool failure."""
+def verify(questions: DataFrame, client: Client, limits: Limits = Limits(), folder: str | None = None) -> DataFrame:
+    """Findings from answers: client takes a prompt and returns text with a JSON object. No or false is a finding; no answer at all after all attempts is one tool failure.
+
+    limits and folder are those of `calls.ask_all`.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for q in batch.itertuples():
-                answer = None
-                for _ in range(attempts):
-                    answer = client(f"{q.path}:{q.start_line}-{q.end_line} {q.signal} {q.symbol}\n{q.snippet}")
-                    if answer is not None:
-                        break
+            asked = list(batch.itertuples())
+            answers = ask_all(client, [f"{q.path}:{q.start_line}-{q.end_line} {q.signal} {q.symbol}\n{q.snippet}" for q in asked], limits, folder)
+            for q, answer in zip(asked, answers, strict=True):
                 if answer is None:
                     out.append(("verified", q.path, q.start_line, "tool_failure", "high", q.symbol))
                 elif str(outermost(answer).get("answer", "")).lower() in ("no", "false"):
@@ -193,8 +194,16 @@ def answered(answer: str | None, default_path: str | None = None) -> list[tuple]
 _REVIEWED = "tier string, path string, line long, rule string, severity string, symbol string, source string"
 
 
-def review(files: DataFrame, context: DataFrame, client: Callable[[str], str | None], second: Callable[[str], str | None] | None = None) -> DataFrame:
-    """Findings of a review of each file; with a second client, files with findings are asked about again, what was found among their context."""
+#: A review takes longer than a question.
+REVIEW = Limits(seconds=120.0)
+
+
+def review(files: DataFrame, context: DataFrame, client: Client, second: Client | None = None, limits: Limits = REVIEW, folder: str | None = None) -> DataFrame:
+    """Findings of a review of each file; with a second client, files with findings are asked about again, what was found among their context.
+
+    limits and folder are those of `calls.ask_all`; the two clients keep their answers apart.
+    """
+    deeper = f"{folder}/second" if folder else None
 
     def prompt(q, known: list[tuple]) -> str:
         parts = [f"File: {q.path}", f"Role: {q.role}", "Uses:", *q.refs, "Known issues:", *q.issues]
@@ -202,12 +211,13 @@ def review(files: DataFrame, context: DataFrame, client: Callable[[str], str | N
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for q in batch.itertuples():
-                first = answered(client(prompt(q, [])), q.path)
-                out += [("review", *x, "triage") for x in first]
-                if first and second is not None:
-                    out += [("review", *x, "deep") for x in answered(second(prompt(q, first)), q.path)]
+            asked = list(batch.itertuples())
+            known = [answered(a, q.path) for a, q in zip(ask_all(client, [prompt(q, []) for q in asked], limits, folder), asked, strict=True)]
+            out = [("review", *x, "triage") for first in known for x in first]
+            if second is not None:
+                again = [(q, first) for q, first in zip(asked, known, strict=True) if first]
+                answers = ask_all(second, [prompt(q, first) for q, first in again], limits, deeper)
+                out += [("review", *x, "deep") for a, (q, _) in zip(answers, again, strict=True) for x in answered(a, q.path)]
             yield pd.DataFrame(out, columns=["tier", "path", "line", "rule", "severity", "symbol", "source"])
 
     return context.join(files.select("path", "content"), "path").mapInPandas(run, _REVIEWED)
@@ -235,14 +245,19 @@ UNION ALL SELECT 'claims', line, trim(text) FROM claims WHERE line <= {n_lines}
     )
 
 
-def review_across(context: DataFrame, sources: DataFrame, client: Callable[[str], str | None] | None) -> DataFrame:
-    """Findings of one question about all flagged files; sources: path, taken, source (`source_budget`). Without a client one finding says that nobody was asked."""
+def review_across(context: DataFrame, sources: DataFrame, client: Client | None, limits: Limits = Limits(seconds=180.0), folder: str | None = None, n_lines: int = 5000) -> DataFrame:
+    """Findings of one question about all flagged files; sources: path, taken, source (`source_budget`). Without a client one finding says that nobody was asked.
+
+    The context's first n_lines lines are shown, part by part, and how many more there are.
+    """
     spark = context.sparkSession
     if client is None:
         return spark.createDataFrame([("review", "-", 0, "tool_failure", "high", "no reviewer", "across")], _REVIEWED)
-    lines = [r["text"] for r in context.orderBy("part", "at").collect()]
+    lines = [r["text"] for r in context.orderBy("part", "at").limit(n_lines).collect()]
+    if len(lines) == n_lines and (more := context.count() - n_lines):
+        lines.append(f"({more} more lines)")
     texts = [f"=== {r['path']} ({r['taken']} lines) ===\n{r['source']}" for r in sources.orderBy("path").collect()]  # bounded by the budget's lines
-    found = answered(client("\n".join([*lines, *texts])))
+    found = answered(ask_all(client, ["\n".join([*lines, *texts])], limits, folder)[0])
     return spark.createDataFrame([("review", *x, "across") for x in found], _REVIEWED)
 
 

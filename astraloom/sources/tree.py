@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringEndsWith, StringStartsWith
 
+from astraloom.sources import manifest
+
 #: Directories that are left out.
 EXCLUDED = ("venv", ".venv", "node_modules", "__pycache__", ".git", "dist", "build", ".egg-info", ".tox", ".mypy_cache", ".pytest_cache", "BAD")
 JS_EXCLUDED = ("node_modules", "dist", "build", ".next", ".nuxt", "out", "coverage", ".git", "venv", ".venv", "__pycache__", "vendor")
@@ -228,9 +230,20 @@ def churn(commits: DataFrame, now: Column | None = None, days: int = 180) -> Dat
     return commits.filter((F.col("ts") >= since) & F.endswith("path", F.lit(".py"))).groupBy("path").agg(F.count(F.lit(1)).alias("churn"))
 
 
+#: Columns of saved findings.
+FINDING = "tier string, path string, line long, rule string, severity string, symbol string"
+
+
 def read_baseline(spark: SparkSession, path: str) -> DataFrame | None:
-    """Findings saved earlier, or None."""
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    """Findings saved earlier, by `save_baseline` or as a folder of Parquet, or None."""
+    saved = manifest.read_table(spark, path, FINDING)
+    return saved if saved is not None else spark.read.parquet(path) if _exists(spark, path) else None
+
+
+def save_baseline(found: DataFrame, path: str) -> None:
+    """Findings in place of those saved earlier, which stay readable until all of these are written."""
+    columns = [x.split()[0] for x in FINDING.split(", ")]
+    manifest.replace_table(found.select(*(F.col(c).cast("long") if c == "line" else F.col(c) for c in columns)), path)
 
 
 def done_items(spark: SparkSession, path: str) -> DataFrame:

@@ -4,16 +4,18 @@ import itertools
 import json
 import os
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import StringEndsWith, StringStartsWith
 
-from astraloom.functions import javascript
+from astraloom.functions import calls, javascript
 from astraloom.functions.syntax import syntax_rows
 from astraloom.functions.words import mentions
 from astraloom.operators import code_graph, findings, graph, lint, questions, report, xref
-from astraloom.sources import tree
+from astraloom.sources import manifest, tree
 from astraloom.sources.tree import described
 from astraloom.streaming.watch import CHANGES, lint_changes
 
@@ -292,6 +294,69 @@ def test_sinks(app, spark, tmp_path):
     assert report.json_rows(nodes=app[2].nodes).count() == 19
 
 
+def test_a_baseline_is_replaced_at_once(spark, tmp_path):
+    place = str(tmp_path / "base")
+    rows = lambda *names: spark.createDataFrame([("lint", n, 1, "R", "low", n) for n in names], tree.FINDING).repartition(3)
+    seen = lambda: sorted(r["path"] for r in tree.read_baseline(spark, place).collect())
+    assert tree.read_baseline(spark, place) is None
+    tree.save_baseline(rows("a", "b"), place)
+    assert seen() == ["a", "b"]
+
+    def dies(batches):
+        for k, batch in enumerate(batches):
+            yield batch
+            raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):  # tasks die
+        tree.save_baseline(rows("c", "d", "e").mapInArrow(dies, tree.FINDING), place)
+    assert seen() == ["a", "b"]
+    writer = manifest.ManifestWriter(place)
+    message = writer.write(iter([pa.RecordBatch.from_pylist([{"tier": "lint", "path": "z", "line": 1, "rule": "R", "severity": "low", "symbol": "z"}])]))
+    assert seen() == ["a", "b"] and len(list((tmp_path / "base").glob("part-*"))) >= 2  # the driver dies before the commit
+    writer.commit([message, None])
+    assert seen() == ["z"] and len(list((tmp_path / "base").glob("part-*"))) == 1
+    tree.save_baseline(tree.read_baseline(spark, place).union(rows("y")), place)  # read and replaced by one job
+    assert seen() == ["y", "z"]
+    tree.save_baseline(rows(), place)
+    assert seen() == []
+
+
+def test_calls_end(tmp_path):
+    asked = []
+
+    def client(prompt):
+        asked.append(prompt)
+        if prompt == "hangs":
+            time.sleep(60)
+        if prompt == "late" and asked.count("late") == 1:
+            time.sleep(1.5)
+        if prompt == "fails":
+            raise OSError(prompt)
+        if prompt == "second" and asked.count("second") == 1:
+            return None
+        return f"answer to {prompt}"
+
+    limits = calls.Limits(seconds=0.5, attempts=2, in_flight=3, pause=0.01)
+    prompts = ["hangs", "a", "late", "fails", "a", "second", *(f"p{k}" for k in range(20))]
+    began = time.time()
+    got = calls.ask_all(client, prompts, limits, f"file://{tmp_path}/answers")
+    assert time.time() - began < 10
+    assert got == [None, "answer to a", "answer to late", None, "answer to a", "answer to second", *(f"answer to p{k}" for k in range(20))]
+    assert asked.count("a") == 1 and asked.count("hangs") == asked.count("late") == asked.count("fails") == asked.count("second") == 2
+    asked.clear()  # what was answered is not asked again
+    assert calls.ask_all(client, prompts, limits, f"file://{tmp_path}/answers") == got and sorted(asked) == ["fails", "fails", "hangs", "hangs"]
+    running, most = [], []
+
+    def counted(prompt):
+        running.append(1)
+        most.append(len(running))
+        time.sleep(0.05)
+        running.pop()
+        return prompt
+
+    assert calls.ask_all(counted, [str(k) for k in range(12)], limits) == [str(k) for k in range(12)] and 1 < max(most) <= 3
+
+
 def test_stream(spark, tmp_path):
     rows = [("a.py", "import os\n", 1), ("a.py", "x = 1\n", 2), ("b.py", "import os\n", 1)]
     frame = spark.createDataFrame(rows, "path string, content string, at long").withColumn("at", F.timestamp_seconds("at"))
