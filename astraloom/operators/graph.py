@@ -288,13 +288,16 @@ def cycles(graph: CodeGraph) -> DataFrame:
     return found.select(F.lit("CIRCULAR_DEPENDENCY").alias("rule"), F.when(F.col("cycle_length") >= 3, "high").otherwise("med").alias("severity"), F.col("cycle")[0].alias("path"), F.lit(1).cast("long").alias("line"), "cycle_length", "scc_size", "cycle")
 
 
-def connectivity(graph: CodeGraph, entry_points: tuple[str, ...] = ()) -> DataFrame:
-    """path, status, dead_confidence of every file."""
+def connectivity(graph: CodeGraph, entry_points: tuple[str, ...] | DataFrame = ()) -> DataFrame:
+    """path, status, dead_confidence of every file. entry_points: ids of nodes, or a frame of them (id); without any that exist, what the tree says."""
     spark = graph.nodes.sparkSession
     known = sql(spark, "SELECT e.source AS src, e.target AS dst FROM edges e LEFT SEMI JOIN nodes a ON a.id = e.source LEFT SEMI JOIN nodes b ON b.id = e.target UNION ALL SELECT c.parent_id, c.id FROM nodes c LEFT SEMI JOIN nodes p ON p.id = c.parent_id", edges=graph.edges, nodes=graph.nodes)
     known = cut(known.distinct())
     files = graph.nodes.filter("type = 'file'")
-    entries = graph.nodes.filter(F.col("id").isin(*entry_points)) if entry_points else graph.nodes.limit(0)
+    if isinstance(entry_points, DataFrame):
+        entries = graph.nodes.join(entry_points.select("id"), "id", "left_semi")
+    else:
+        entries = graph.nodes.filter(F.col("id").isin(*entry_points)) if entry_points else graph.nodes.limit(0)
     for rule in ("n_routes > 0", f"name IN {ENTRY_STEMS}"):
         if entries.isEmpty():
             entries = files.filter(rule)
@@ -381,6 +384,10 @@ def tabled(graph: CodeGraph) -> DataFrame:
     return sql(graph.nodes.sparkSession, "SELECT DISTINCT tab, id FROM nodes LATERAL VIEW explode(tables) AS tab WHERE type = 'file'", nodes=graph.nodes)
 
 
+#: Rounds without a higher modularity after which a level ends.
+STALE = 4
+
+
 def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = 1.0, rounds: int = 20, members: DataFrame | None = None) -> DataFrame:
     """id, label of communities by modularity, in the manner of Louvain. nodes: id; pairs: a, b, weight (a = b is a loop); members: tab, id.
 
@@ -390,8 +397,8 @@ def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = 1.0, rou
 
     Nodes move in parallel to the community with the largest gain of modularity (ties: the least label) among those of the nodes they
     are paired with and, for each of their tabs, the one that holds most of it; in a round only one half of the nodes, by a hash that
-    changes with the round, may move, so that two do not swap for ever. When moves end, communities become nodes, until none joins
-    another. A level whose moves do not raise the modularity is not taken. Every step is an aggregation and an equi-join; a label is the
+    changes with the round, may move, so that two do not swap for ever. When no node would gain, or `STALE` rounds have brought nothing,
+    communities become nodes, until none joins another. A level whose moves do not raise the modularity is not taken. Every step is an aggregation and an equi-join; a label is the
     least id of its community.
     """
     spark = pairs.sparkSession
@@ -410,8 +417,8 @@ def communities(pairs: DataFrame, nodes: DataFrame, resolution: float = 1.0, rou
         own = cut(
             sql(spark, "SELECT id, id AS c, sum(k) AS k FROM (SELECT src AS id, IF(src = dst, 2 * w, w) AS k FROM edges UNION ALL SELECT id, 2D * m * (size - 1) FROM mem) GROUP BY id", edges=edges, mem=mem)
         )
-        quality = _modularity(spark, edges, mem, own, total, resolution)
-        best, best_quality, tables = own, quality, []
+        quality, _ = _modularity(spark, edges, mem, own.withColumn("gains_some", F.lit(False)), total, resolution)
+        best, best_quality, tables, stale = own, quality, [], 0
         for turn in range(rounds):
             moved = cut(
                 sql(
@@ -431,14 +438,15 @@ SELECT id, IF(gains_some AND pmod(xxhash64(id, {turn}), 2) = 0, d, c) AS c, k, c
                     own=own, edges=edges, mem=mem,
                 )
             )
-            some = moved.agg(F.count_if("gains_some").alias("open")).first()["open"]
             own = moved.select("id", "c", "k")
-            now = _modularity(spark, edges, mem, own, total, resolution)
+            now, some = _modularity(spark, edges, mem, moved, total, resolution)
             tables.append(moved)
             if now > best_quality + 1e-12:
                 release(*tables[:-1])
-                best, best_quality, tables = own, now, [moved]
-            if not some:
+                best, best_quality, tables, stale = own, now, [moved], 0
+            else:
+                stale += 1
+            if not some or stale == STALE:
                 break
         if best_quality <= quality + 1e-12:
             return label
@@ -454,14 +462,18 @@ SELECT id, IF(gains_some AND pmod(xxhash64(id, {turn}), 2) = 0, d, c) AS c, k, c
         release(last, older, renamed, *tables)
 
 
-def _modularity(spark: SparkSession, edges: DataFrame, mem: DataFrame, own: DataFrame, total: float, resolution: float) -> float:
-    return sql(
-        spark,
-        f"""SELECT ((SELECT coalesce(sum(IF(e.src = e.dst, 2 * e.w, e.w)), 0D) FROM edges e JOIN own a ON a.id = e.src JOIN own b ON b.id = e.dst WHERE a.c = b.c)
+def _modularity(spark: SparkSession, edges: DataFrame, mem: DataFrame, own: DataFrame, total: float, resolution: float) -> tuple[float, int]:
+    """The modularity, and how many nodes would gain by a move."""
+    return tuple(
+        sql(
+            spark,
+            f"""SELECT ((SELECT coalesce(sum(IF(e.src = e.dst, 2 * e.w, e.w)), 0D) FROM edges e JOIN own a ON a.id = e.src JOIN own b ON b.id = e.dst WHERE a.c = b.c)
   + (SELECT coalesce(sum(2D * n * (n - 1)), 0D) FROM (SELECT sum(m.m) AS n FROM mem m JOIN own o ON o.id = m.id GROUP BY m.tab, o.c))) / {total}D
-  - {resolution}D * (SELECT sum(k_all * k_all) FROM (SELECT sum(k) AS k_all FROM own GROUP BY c)) / ({total}D * {total}D) AS q""",
-        edges=edges, mem=mem, own=own,
-    ).first()["q"]
+  - {resolution}D * (SELECT sum(k_all * k_all) FROM (SELECT sum(k) AS k_all FROM own GROUP BY c)) / ({total}D * {total}D) AS q,
+  (SELECT count_if(gains_some) FROM own) AS some""",
+            edges=edges, mem=mem, own=own,
+        ).first()
+    )
 
 
 def clusters(graph: CodeGraph, merge_singletons: bool = True, resolution: float | None = None) -> DataFrame:

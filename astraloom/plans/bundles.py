@@ -84,8 +84,9 @@ def service_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def service_connectivity_from_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With entry points that the configuration names."""
-    g = _services(spark, sf_dir)["graph"]
-    return graph.connectivity(g, tuple(f"file:svc{k}/jobs/helper.py" for k in range(25))).select("path", "status", _long("dead_confidence"))
+    s = _services(spark, sf_dir)
+    named = s["f"].filter("path LIKE '%/jobs/helper.py'").select(F.concat(F.lit("file:"), "path").alias("id"))
+    return graph.connectivity(s["graph"], named).select("path", "status", _long("dead_confidence"))
 
 
 @query
@@ -209,7 +210,8 @@ def service_review_across(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _services(spark, sf_dir)
     g = s["graph"]
     context = questions.across_context(code_graph.map_stats(g), graph.clusters(g), s["status"], g.routes, s["found"])
-    sources = questions.source_budget(questions.flagged(s["f"], s["status"], s["found"]))
+    flagged = questions.flagged(s["f"], s["status"], s["found"])
+    sources = questions.source_budget(flagged, lines=100 * flagged.count())  # all of them; `review_source_budget` has a budget that ends
 
     def client(prompt: str) -> str:
         shown = [line.split()[1] for line in prompt.split("\n") if line.startswith("=== ")]
@@ -302,7 +304,7 @@ def _oracle(schema: str, rows: list[tuple]) -> str:
     names = [f"c{i}" for i in range(len(fields))]
     shown = ", ".join(f"replace({c}, '{bundles.KEY}', k) AS \"{name}\"" if kind == "string" else f"{c}::{kinds[kind]} AS \"{name}\"" for c, (name, kind) in zip(names, fields, strict=True))
     values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-    return f"SELECT {shown} FROM (SELECT n_nationkey::VARCHAR AS k FROM nation) n, (VALUES {values}) v({', '.join(names)})"
+    return f"SELECT {shown} FROM (SELECT s_suppkey::VARCHAR AS k FROM supplier) n, (VALUES {values}) v({', '.join(names)})"
 
 
 def _fixed(schema: str, rows: list[tuple]) -> str:
@@ -318,10 +320,10 @@ ORACLES: dict[str, str] = {name: _oracle(schema, rows) for name, (schema, rows)
     "questions_claims": _fixed(_ASKED, [("(missing: *ada_checker*)", 0, 0, "deleted_at", "claims"), ("svc0/link_checker.py", 1, 3, "MAX_RETRIES", "claims")]),
     "questions_error_handling": f"SELECT * FROM ({_oracle(_ASKED, [('svc@K@/jobs/helper.py', 4, 11, 'risky_@K@', 'error_handling')])}) ORDER BY path LIMIT 20",
     "service_summary": """
-WITH c AS (SELECT count(*) AS n FROM nation)
+WITH c AS (SELECT count(*) AS n FROM supplier)
 SELECT 'map' AS section, 1::BIGINT AS at, concat('files: ', 16 * n, ', classes: ', 4 * n, ', functions: ', 19 * n, ', stubs: ', n, ', edges: ', 45 * n, ', tables: ', 3 * n) AS text FROM c
 UNION ALL SELECT 'connectivity', 1, concat('reachable: ', 5 * n, ', unreachable: ', 8 * n, ', incomplete: ', 3 * n) FROM c
 UNION ALL SELECT 'findings', 0, concat('high: 0, med: 0, low: ', 7 * n, ', other: 0') FROM c UNION ALL SELECT 'findings', 1, concat('[low] DEAD_IMPORT: ', 7 * n) FROM c
 UNION ALL SELECT 'cycles', 0, 'none'
-UNION ALL SELECT 'symbols', row_number() OVER (ORDER BY k), concat('save_', k, ' in svc', k, '/db.py: 10 uses') FROM (SELECT n_nationkey::VARCHAR AS k FROM nation ORDER BY k LIMIT 5)""",
+UNION ALL SELECT 'symbols', row_number() OVER (ORDER BY k), concat('save_', k, ' in svc', k, '/db.py: 10 uses') FROM (SELECT s_suppkey::VARCHAR AS k FROM supplier ORDER BY k LIMIT 5)""",
 }

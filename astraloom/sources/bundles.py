@@ -1,4 +1,4 @@
-"""A small service per nation, written by hand, whose names carry the nation's key.
+"""A small service per supplier, written by hand, whose names carry the supplier's key.
 
 What a query must find in one service is written down once (`plans.bundles`) with @K@ for the key; all services are
 alike and independent of each other, but for what their names say.
@@ -148,8 +148,8 @@ function top@K@() {}
 
 
 def files(spark: SparkSession, sf_dir: str, which: dict[str, str]) -> DataFrame:
-    """path, content: every file of `which` below svcK/ for every nation K."""
+    """path, content: every file of `which` below svcK/ for every supplier K."""
     texts = spark.createDataFrame(sorted(which.items()), "name string, text string")
-    keyed = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("k"))
+    keyed = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
     path = F.concat(F.lit("svc"), "k", F.lit("/"), "name")
     return keyed.join(F.broadcast(texts), F.lit(True)).select(path.alias("path"), F.replace("text", F.lit(KEY), F.col("k")).alias("content"))  # a score of texts
