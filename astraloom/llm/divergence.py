@@ -30,7 +30,7 @@ SCALE = 1_000_000_000
 #: Sources of one side of a tile; a tile holds TILE * TILE numbers.
 TILE = 256
 #: Bytes of text whose tokens are summed at once.
-BATCH = 16 << 20
+BATCH = 6 << 20
 #: Lower-cases A-Z; all bytes that no term holds become spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
