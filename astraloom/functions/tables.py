@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -70,6 +71,17 @@ def _clear() -> None:
             return
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """df with the row's number from 1 in the order of all rows: sorted over all partitions, numbered within each, and moved on by the sizes of those before."""
+    keys = {f"_{k}": c for k, c in enumerate(order)}
+    rows = df.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    at = F.monotonically_increasing_id()  # the partition, and the place in it
+    placed = cut(rows.withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(parts), "_part").withColumn(name, F.col("_at") + F.col("_before") + 1).drop("_at", "_part", "_before")
+
+
 def sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     """A query over named frames. Views of these names exist only while it is analysed; what the caller has under them comes back."""
     before = {name: spark.table(name) for name in frames if spark.catalog.tableExists(name)}

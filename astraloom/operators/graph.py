@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astraloom.functions.tables import cut, release, sql
+from astraloom.functions.tables import cut, numbered, release, sql
 from astraloom.operators.code_graph import CodeGraph
 from astraloom.operators.lint import among
 
@@ -482,16 +482,16 @@ def clusters(graph: CodeGraph, merge_singletons: bool = True, resolution: float
     Blocks are numbered by size and then by least member; the files that stand alone make one block, utilities, the last.
     """
     grouped = cut(cluster_labels(graph, merge_singletons, resolution))
+    blocks = grouped.groupBy(F.col("label").alias("g")).agg(F.array_sort(F.collect_list("id")).alias("members"))
     return sql(
         graph.nodes.sparkSession,
         """
-WITH blocks AS (SELECT label AS g, array_sort(collect_list(id)) AS members FROM grouped GROUP BY label),
-shared AS (SELECT g, array_sort(collect_list(tab)) AS shared_tables FROM (SELECT label AS g, tab FROM grouped JOIN (SELECT id AS nid, tab FROM nodes LATERAL VIEW explode(tables) AS tab) ON nid = id GROUP BY label, tab HAVING count(*) >= 2) GROUP BY g),
+WITH shared AS (SELECT g, array_sort(collect_list(tab)) AS shared_tables FROM (SELECT label AS g, tab FROM grouped JOIN (SELECT id AS nid, tab FROM nodes LATERAL VIEW explode(tables) AS tab) ON nid = id GROUP BY label, tab HAVING count(*) >= 2) GROUP BY g),
 imports AS (SELECT g, array_sort(collect_list(target)) AS shared_imports FROM (SELECT label AS g, target FROM grouped JOIN edges e ON e.source = id WHERE e.type = 'import' GROUP BY label, target HAVING count(*) >= 2) GROUP BY g)
-SELECT IF(b.g = '~', 'block:utilities', concat('block:', row_number() OVER (ORDER BY b.g = '~', size(members) DESC, members[0]) - 1)) AS block, members,
+SELECT IF(b.g = '~', 'block:utilities', concat('block:', b.number - 1)) AS block, members,
   coalesce(s.shared_tables, CAST(array() AS ARRAY<STRING>)) AS shared_tables, coalesce(i.shared_imports, CAST(array() AS ARRAY<STRING>)) AS shared_imports
 FROM blocks b LEFT JOIN shared s ON s.g = b.g LEFT JOIN imports i ON i.g = b.g""",
-        grouped=grouped, nodes=graph.nodes, edges=graph.edges,
+        grouped=grouped, blocks=numbered(blocks, [F.col("g") == "~", -F.size("members"), F.col("members")[0]]), nodes=graph.nodes, edges=graph.edges,
     )
 
 
@@ -564,9 +564,10 @@ def neighbourhood(graph: CodeGraph) -> DataFrame:
     return sql(
         graph.nodes.sparkSession,
         """
-WITH i AS (SELECT DISTINCT source, target FROM edges WHERE type = 'import' AND startswith(target, 'file:') AND source <> target)
-SELECT f.path, IF(count(*) OVER (PARTITION BY lower(f.name)) > 1 AND contains(f.path, '/'), concat(element_at(split(f.path, '/'), -2), '/', f.name), f.name) AS label,
-  coalesce(o.list, CAST(array() AS ARRAY<STRING>)) AS imports, coalesce(b.list, CAST(array() AS ARRAY<STRING>)) AS imported_by FROM nodes f
+WITH i AS (SELECT DISTINCT source, target FROM edges WHERE type = 'import' AND startswith(target, 'file:') AND source <> target),
+names AS (SELECT lower(name) AS low, count(*) AS n FROM nodes WHERE type = 'file' GROUP BY lower(name))
+SELECT f.path, IF(m.n > 1 AND contains(f.path, '/'), concat(element_at(split(f.path, '/'), -2), '/', f.name), f.name) AS label,
+  coalesce(o.list, CAST(array() AS ARRAY<STRING>)) AS imports, coalesce(b.list, CAST(array() AS ARRAY<STRING>)) AS imported_by FROM nodes f JOIN names m ON m.low = lower(f.name)
 LEFT JOIN (SELECT source, array_sort(collect_list(substr(target, 6))) AS list FROM i GROUP BY source) o ON o.source = f.id
 LEFT JOIN (SELECT target, array_sort(collect_list(substr(source, 6))) AS list FROM i GROUP BY target) b ON b.target = f.id WHERE f.type = 'file'""",
         nodes=graph.nodes, edges=graph.edges,

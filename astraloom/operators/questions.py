@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from astraloom.functions.calls import Client, Limits, ask_all
-from astraloom.functions.tables import sql
+from astraloom.functions.tables import numbered, sql
 from astraloom.functions.words import mentions
 from astraloom.operators.lint import DEFS, UNDER
 
@@ -236,12 +236,13 @@ def across_context(stats: DataFrame, blocks: DataFrame, status: DataFrame, route
         spark,
         f"""
 SELECT 'map' AS part, 1 AS at, concat('Files: ', files, ', Functions: ', functions, ', Edges: ', edges) AS text FROM stats
-UNION ALL SELECT 'blocks', row_number() OVER (ORDER BY length(block), block), concat('[', block, '] ', size(members), ' files') FROM blocks
-UNION ALL SELECT 'connectivity', row_number() OVER (ORDER BY status DESC, path), concat(upper(status), ': ', path) FROM status WHERE status IN ('unreachable', 'incomplete')
-UNION ALL SELECT 'routes', row_number() OVER (ORDER BY path, place), IF(method IS NOT NULL, concat(method, ' ', coalesce(route, '?'), ' to ', path, ':', handler), concat_ws(' ', concat('include_router prefix=', coalesce(prefix, 'NO PREFIX'), ' to ', path), warning)) FROM routes
+UNION ALL SELECT 'blocks', number, concat('[', block, '] ', size(members), ' files') FROM blocks
+UNION ALL SELECT 'connectivity', number, concat(upper(status), ': ', path) FROM status
+UNION ALL SELECT 'routes', number, IF(method IS NOT NULL, concat(method, ' ', coalesce(route, '?'), ' to ', path, ':', handler), concat_ws(' ', concat('include_router prefix=', coalesce(prefix, 'NO PREFIX'), ' to ', path), warning)) FROM routes
 UNION ALL SELECT 'findings', r, text FROM (SELECT row_number() OVER (ORDER BY path, line, rule, symbol) AS r, concat('[', severity, '] ', path, ':', line, ' ', rule, ' ', symbol) AS text FROM (SELECT * FROM found ORDER BY path, line, rule, symbol LIMIT {n_findings}))
 UNION ALL SELECT 'claims', line, trim(text) FROM claims WHERE line <= {n_lines} AND text RLIKE 'DONE|FIXED|OPEN|REGRESSED|SHIPPED'""",
-        stats=stats, blocks=blocks, status=status, routes=routes, found=findings, claims=none if claims is None else claims,
+        stats=stats, blocks=numbered(blocks, [F.length("block"), F.col("block")]), status=numbered(status.filter("status IN ('unreachable', 'incomplete')"), [F.col("status") == "incomplete", F.col("path")]),
+        routes=numbered(routes, [F.col("path"), F.col("place")]), found=findings, claims=none if claims is None else claims,
     )
 
 

@@ -71,13 +71,15 @@ document.querySelector('input').oninput=e=>svg.querySelectorAll('text').forEach(
 
 
 def write_graph_page(path: str, title: str, nodes: DataFrame, edges: DataFrame, most: int = 2000) -> None:
-    """A static page of a graph. nodes: id, label, size, details; edges: source, target, weight. The largest `most` nodes are drawn; the title says if more exist."""
+    """A static page of a graph. nodes: id, label, size, details; edges: source, target, weight. The largest `most` nodes are drawn, and of the edges between them the `20 * most` heaviest; the title says if more exist of either."""
     total = nodes.count()
     shown = nodes.orderBy(F.desc("size"), "id").limit(most).collect()
-    ids = {r["id"] for r in shown}
-    keep = edges.join(nodes.orderBy(F.desc("size"), "id").limit(most).select(F.col("id").alias("source")), "source", "left_semi").orderBy("source", "target").limit(20 * most).collect()
-    data = {"nodes": [r.asDict() for r in shown], "edges": [r.asDict() for r in keep if r["target"] in ids]}
-    said = html.escape(title if total <= most else f"{title}: the largest {most} of {total}")
+    drawn = nodes.orderBy(F.desc("size"), "id").limit(most).select("id")
+    among = edges.join(drawn.withColumnRenamed("id", "source"), "source", "left_semi").join(drawn.withColumnRenamed("id", "target"), "target", "left_semi")
+    keep, links = among.orderBy(F.desc("weight"), "source", "target").limit(20 * most).collect(), among.count()
+    data = {"nodes": [r.asDict() for r in shown], "edges": [r.asDict() for r in keep]}
+    said = title if total <= most else f"{title}: the largest {most} of {total}"
+    said = html.escape(said if links <= len(keep) else f"{said}, {len(keep)} of {links} edges")
     with open(f"{path}.tmp", "w", encoding="utf-8") as out:
         out.write(_PAGE % {"title": said, "data": json.dumps(data).replace("<", "\\u003c")})
     os.replace(f"{path}.tmp", path)

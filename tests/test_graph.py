@@ -13,6 +13,7 @@ from pyspark.sql.datasource import StringEndsWith, StringStartsWith
 
 from astraloom.functions import calls, javascript
 from astraloom.functions.syntax import syntax_rows
+from astraloom.functions.tables import numbered
 from astraloom.functions.words import mentions
 from astraloom.operators import code_graph, findings, graph, lint, questions, report, xref
 from astraloom.sources import manifest, tree
@@ -321,6 +322,13 @@ def test_a_baseline_is_replaced_at_once(spark, tmp_path):
     assert seen() == []
 
 
+def test_rows_are_numbered_over_partitions(spark):
+    rows = spark.range(2000).withColumn("k", F.col("id") % 7).repartition(5)
+    got = numbered(rows, [F.col("k"), -F.col("id")]).orderBy("number").collect()
+    assert [(x["k"], x["id"], x["number"]) for x in got] == [(*x, n) for n, x in enumerate(sorted(((i % 7, i) for i in range(2000)), key=lambda x: (x[0], -x[1])), 1)]
+    assert numbered(rows.limit(0), [F.col("k")]).count() == 0
+
+
 def test_calls_end(tmp_path):
     asked = []
 
