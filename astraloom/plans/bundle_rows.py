@@ -371,11 +371,16 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         ('fn::svc@K@/web/app.js::top@K@', 'function', 'top@K@', 12, 'file::svc@K@/web/app.js', ''),
         ('fn::svc@K@/web/side.js::top@K@', 'function', 'top@K@', 2, 'file::svc@K@/web/side.js', ''),
         ('fn::svc@K@/web/side.js::top@K@', 'function', 'top@K@', 3, 'file::svc@K@/web/side.js', ''),
+        ('file::svc@K@/web/view.jsx', 'file', 'view.jsx', 1, '', ''),
+        ('fn::svc@K@/web/view.jsx::List@K@', 'function', 'List@K@', 3, 'file::svc@K@/web/view.jsx', ''),
+        ('fn::svc@K@/web/view.jsx::label', 'function', 'label', 4, 'file::svc@K@/web/view.jsx', ''),
+        ('fn::svc@K@/web/view.jsx::after@K@', 'function', 'after@K@', 7, 'file::svc@K@/web/view.jsx', ''),
     ]),
     "js_edges_v1": ("source string, target string, type string, line bigint", [
         ('file::svc@K@/web/app.js', 'module::./api@K@', 'import', 2),
         ('file::svc@K@/web/app.js', 'module::fs', 'import', 4),
         ('file::svc@K@/web/app.js', 'module::side@K@.css', 'import', 3),
+        ('file::svc@K@/web/view.jsx', 'module::./row@K@', 'import', 1),
     ]),
     "js_nodes_v2": ("id string, type string, name string, line_start bigint, parent_id string, docstring string", [
         ('class::svc@K@/web/app.js::App@K@', 'class', 'App@K@', 5, 'file::svc@K@/web/app.js', 'extends React.Component'),
@@ -390,6 +395,10 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         ('fn::svc@K@/web/app.js::top@K@', 'function', 'top@K@', 12, 'file::svc@K@/web/app.js', ''),
         ('fn::svc@K@/web/side.js::method:run@1', 'function', 'run', 1, 'file::svc@K@/web/side.js', ''),
         ('fn::svc@K@/web/side.js::top@K@', 'function', 'top@K@', 2, 'file::svc@K@/web/side.js', ''),
+        ('file::svc@K@/web/view.jsx', 'file', 'view.jsx', 1, '', ''),
+        ('fn::svc@K@/web/view.jsx::List@K@', 'function', 'List@K@', 3, 'file::svc@K@/web/view.jsx', ''),
+        ('fn::svc@K@/web/view.jsx::deep@K@', 'function', 'deep@K@', 5, 'file::svc@K@/web/view.jsx', ''),
+        ('fn::svc@K@/web/view.jsx::after@K@', 'function', 'after@K@', 7, 'file::svc@K@/web/view.jsx', ''),
     ]),
     "js_edges_v2": ("source string, target string, type string, line bigint", [
         ('file::svc@K@/web/app.js', 'module::./api@K@', 'import', 2),
@@ -397,6 +406,7 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         ('file::svc@K@/web/app.js', 'module::fs', 'import', 4),
         ('file::svc@K@/web/app.js', 'module::react', 'import', 1),
         ('file::svc@K@/web/app.js', 'module::side@K@.css', 'import', 3),
+        ('file::svc@K@/web/view.jsx', 'module::./row@K@', 'import', 1),
     ]),
     "service_map": ("id string, target string", [
         ('class::svc@K@/web/app.js::App@K@', ''),
@@ -443,6 +453,8 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         ('file:svc@K@/tools/run.py', 'module:asyncio'),
         ('file:svc@K@/typed.py', ''),
         ('file:svc@K@/typed.py', 'module:__future__.annotations'),
+        ('file::svc@K@/web/view.jsx', ''),
+        ('file::svc@K@/web/view.jsx', 'module::./row@K@'),
     ]),
     "tree_scan": ("path string, n_lines bigint", [
         ('svc@K@/__init__.py', 2),

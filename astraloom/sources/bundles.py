@@ -139,6 +139,14 @@ let made@K@ = function () { return 1; }, plain@K@ = (1 + 2);
 // import "comment";
 const text = 'import "string"';
 for (let i = 0; i < 3; i++) { top@K@(i); }
+''',
+    "web/view.jsx": '''import { Row@K@ } from "./row@K@";
+const quote@K@ = /["'`]/;
+export function List@K@({ xs }) {
+  const label = `it's ${xs.map((x) => `"${x}"`).join("'")}`;
+  return <ul title="it's">Don't {xs.map((x) => <Row@K@ key={x} on={() => { const deep@K@ = () => x; return deep@K@(); }}>isn't</Row@K@>)}</ul>;
+}
+function after@K@(a) { return a / 2 / 3; }
 ''',
     "web/side.js": '''class Bare@K@ { run() {} }
 function top@K@() {}
