@@ -31,15 +31,21 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df, "cut")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df as a Parquet table beside the checkpoints, until `release` or the driver's end: read by column, with filters pushed down."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder beside the checkpoints, which the driver deletes when it ends."""
     ensure_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _LEFT:
         atexit.register(_clear)
     _LEFT.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df as a Parquet table beside the checkpoints, until `release` or the driver's end: read by column, with filters pushed down."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     _LEFT_AT[id(found)] = (found, spark, path)
     return found
@@ -55,10 +61,10 @@ def release(*frames: DataFrame | None) -> None:
         left = _LEFT_AT.pop(id(frame), None)
         if left is not None:
             _LEFT.remove(left[1:])
-            _delete(*left[1:])
+            delete(*left[1:])
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -66,7 +72,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _clear() -> None:
     for spark, path in _LEFT:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session has ended before us
             return
 

@@ -83,10 +83,9 @@ UNION ALL
 SELECT concat('file:', path), concat('call:', call), 'call', CAST(array() AS ARRAY<STRING>), NULL, line, path, pre FROM (
   SELECT *, concat(coalesce(concat(base, '.'), ''), name) AS call FROM n WHERE kind = 'Call' AND {kid('func')}.kind IN ('Name', 'Attribute')) WHERE split(call, '[.]')[0] NOT IN {BUILTIN_CALLS}"""
 
-#: What a name means: of the claims that overwrite the last wins, and only without any the first of the others.
-KEYS = """
-WITH files AS (SELECT id, seq, replace(regexp_replace(path, '[.]py$', ''), '/', '.') AS dotted FROM nodes WHERE type = 'file'),
-claims AS (
+#: What nodes say they are called; the claims of a file follow from its own nodes.
+CLAIMS = """
+WITH files AS (SELECT id, seq, replace(regexp_replace(path, '[.]py$', ''), '/', '.') AS dotted FROM nodes WHERE type = 'file')
   SELECT id AS key, id, seq, true AS over FROM nodes
   UNION ALL SELECT concat('module:', dotted), id, seq, true FROM files
   UNION ALL SELECT concat('module:', regexp_replace(dotted, '[.]?__init__$', '')), id, seq, true FROM files WHERE dotted RLIKE '(^|[.])__init__$'
@@ -94,16 +93,21 @@ claims AS (
   UNION ALL SELECT concat('module:', f.dotted, '.', element_at(split(c.name, '[.]'), -1)), f.id, f.seq, false FROM files f JOIN nodes c ON c.parent_id = f.id
   UNION ALL SELECT concat('call:', element_at(split(name, '[.]'), -1)), id, seq, false FROM nodes WHERE type = 'function'
   UNION ALL SELECT concat('call:', name), id, seq, false FROM nodes WHERE type = 'function'
-  UNION ALL SELECT concat('class_ref:', name), id, seq, false FROM nodes WHERE type = 'class')
+  UNION ALL SELECT concat('class_ref:', name), id, seq, false FROM nodes WHERE type = 'class'"""
+#: What a name means: of the claims that overwrite the last wins, and only without any the first of the others.
+KEYS = """
 SELECT key, coalesce(max_by(id, seq) FILTER (WHERE over), min_by(id, seq) FILTER (WHERE NOT over)) AS id FROM claims GROUP BY key"""
 
+#: The files that a module's name may mean, in turn.
+TRIES = """
+WITH parts AS (SELECT target, split(substr(target, 8), '[.]') AS p FROM open_ones)
+SELECT target, concat('file:', array_join(p, '/'), '.py') AS id, 0 AS turn FROM parts
+UNION ALL SELECT target, concat('file:', array_join(p, '/'), '/__init__.py'), 1 FROM parts
+UNION ALL SELECT target, concat('file:', array_join(slice(p, 1, k), '/'), '.py'), 2 + size(p) - k FROM parts LATERAL VIEW explode(sequence(1, size(p))) AS k"""
 #: Exact names first; modules then by path, shortening the name. Calls without a node go, other edges keep their target.
-RESOLVED = """
+RESOLVED = f"""
 WITH open_ones AS (SELECT DISTINCT e.target FROM raw_edges e LEFT ANTI JOIN keys k ON e.target = k.key WHERE startswith(e.target, 'module:')),
-parts AS (SELECT target, split(substr(target, 8), '[.]') AS p FROM open_ones),
-tries AS (SELECT target, concat('file:', array_join(p, '/'), '.py') AS id, 0 AS turn FROM parts
-  UNION ALL SELECT target, concat('file:', array_join(p, '/'), '/__init__.py'), 1 FROM parts
-  UNION ALL SELECT target, concat('file:', array_join(slice(p, 1, k), '/'), '.py'), 2 + size(p) - k FROM parts LATERAL VIEW explode(sequence(1, size(p))) AS k),
+tries AS ({TRIES}),
 found AS (SELECT t.target, min_by(t.id, t.turn) AS id FROM tries t JOIN nodes d ON d.id = t.id GROUP BY t.target)
 SELECT e.source, coalesce(k.id, f.id, e.target) AS target, e.type, e.flags, e.alias, e.line, e.path, e.pre, coalesce(k.id, f.id) IS NOT NULL AS resolved
 FROM raw_edges e LEFT JOIN keys k ON e.target = k.key LEFT JOIN found f ON e.target = f.target WHERE e.type <> 'call' OR k.id IS NOT NULL"""
@@ -124,19 +128,29 @@ class CodeGraph:
     routes: DataFrame
 
 
-def build(rows: DataFrame, files: DataFrame) -> CodeGraph:
-    """The graph of the files (path, parts, stem, content, n_lines) with these syntax rows."""
+def facts(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and routes as each file has them by itself: names are not resolved."""
     spark = rows.sparkSession
     frames = {"n": rows, "f": files}
     routes = cut(sql(spark, ROUTES, **frames))
     tables = sql(spark, TABLES, **frames)
     nodes = cut(sql(spark, NODES, code_tables=tables, code_routes=routes, **frames))
-    raw = cut(sql(spark, EDGES, **frames))
-    keys = sql(spark, KEYS, nodes=nodes)
-    edges = cut(sql(spark, RESOLVED, raw_edges=raw, keys=keys, nodes=nodes))
+    return nodes, cut(sql(spark, EDGES, **frames)), routes
+
+
+def with_related_tables(nodes: DataFrame) -> DataFrame:
+    spark = nodes.sparkSession
     related = sql(spark, RELATED, nodes=nodes).withColumnRenamed("tables", "resolved_tables")
-    nodes = cut(sql(spark, "SELECT n2.* EXCEPT (tables), coalesce(r.resolved_tables, n2.tables) AS tables FROM nodes n2 LEFT JOIN related r ON n2.id = r.id", nodes=nodes, related=related))
-    return CodeGraph(nodes, raw, edges, routes)
+    return sql(spark, "SELECT n2.* EXCEPT (tables), coalesce(r.resolved_tables, n2.tables) AS tables FROM nodes n2 LEFT JOIN related r ON n2.id = r.id", nodes=nodes, related=related)
+
+
+def build(rows: DataFrame, files: DataFrame) -> CodeGraph:
+    """The graph of the files (path, parts, stem, content, n_lines) with these syntax rows."""
+    spark = rows.sparkSession
+    nodes, raw, routes = facts(rows, files)
+    keys = sql(spark, KEYS, claims=sql(spark, CLAIMS, nodes=nodes))
+    edges = cut(sql(spark, RESOLVED, raw_edges=raw, keys=keys, nodes=nodes))
+    return CodeGraph(cut(with_related_tables(nodes)), raw, edges, routes)
 
 
 def node(graph: CodeGraph, id: str) -> DataFrame:

@@ -6,18 +6,20 @@ arithmetic and never looks at code.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astraloom.functions import javascript
-from astraloom.functions.tables import written
+from astraloom.functions.tables import shared_folder, written
 from astraloom.operators import code_graph, findings, fixes, graph, lint, patterns, questions, xref
 from astraloom.plans import bundles
 from astraloom.sources import corpus, tree
 from astraloom.sources.corpus import K, NEXT, PROJECT_PATH, R
 from astraloom.sources.snippets import variants
+from astraloom.streaming.current import CurrentGraph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,6 +213,36 @@ def code_map_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_graph.map_stats(_graph(spark, sf_dir)).withColumn("n_tables", F.size("tables").cast("long")).drop("tables")
 
 
+_CURRENT: dict[tuple[str, str], CurrentGraph] = {}
+
+
+def _current(spark: SparkSession, sf_dir: str) -> CurrentGraph:
+    """The project by four rounds of changes: at first with modules that are missing, with others' texts, and with more that claim their names."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CURRENT:
+        kept = CurrentGraph(spark, re.sub("^file:/(?=[^/])", "file:///", shared_folder(spark, "current")), ["DEAD_IMPORT"])
+        files = corpus.project_files(spark, sf_dir).select("path", "content").withColumn("k", F.regexp_extract("path", r"mod(\d+)", 1).cast("long"))
+        at = lambda n: F.timestamp_seconds(F.lit(n)).alias("at")
+        first = files.filter("k % 11 <> 0").select("path", F.expr("IF(k % 7 = 0, 'import app\\n', content)").alias("content"), at(1))
+        thieves = files.filter("k % 5 = 0").select(F.expr("concat('app/aa/mod', k, '.py')").alias("path"), "content")
+        kept.update(first.unionByName(thieves.withColumn("at", at(1))))
+        kept.update(files.filter("k % 11 = 0 OR k % 7 = 0").select("path", "content", at(2)))
+        kept.update(thieves.select("path", F.lit(None).cast("string").alias("content"), at(3)))
+        kept.update(files.filter("k % 3 = 0").select("path", F.lit("late = 1\n").alias("content"), at(0)))
+        _CURRENT[key] = kept
+    return _CURRENT[key]
+
+
+@query(ORACLES["code_nodes"])
+def current_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _current(spark, sf_dir).graph().nodes.select("id", "type", "line_start", "line_end", "complexity")
+
+
+@query(ORACLES["code_edges"])
+def current_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _current(spark, sf_dir).graph().edges.select("source", "target", "type", "line")
+
+
 @query(f"SELECT {_P} AS path, 'GET' AS method, '/m/' || {K} AS route, 'work_' || {K} AS handler, 5 AS line FROM supplier WHERE {R} = 1")
 def code_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).routes.select("path", "method", "route", "handler", "line")
