@@ -93,7 +93,8 @@ class CurrentGraph:
         version = self._version(state) + 1
         changed = arrived.filter(~F.col("digest").eqNullSafe(F.col("old")))
         files = cut(described(changed.filter("digest is not null").select("path", "content")))
-        self._write_facts(files, version)
+        if version == 1 or not files.isEmpty():
+            self._write_facts(files, version)
         before = cut(state.filter("digest is not null").select("path", "facts"))
         after = cut(before.join(changed, "path", "left_anti").unionByName(files.select("path", F.lit(version).cast("long").alias("facts"))))
         again = cut(self._to_resolve(changed, files, before, after))
