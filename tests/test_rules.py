@@ -63,6 +63,46 @@ def test_rows_cover_the_tree():
         assert r["last"] == max([r["pre"], *(x["last"] for x in rows if x["parent"] == r["pre"])])
 
 
+def test_equal_texts_are_parsed_once(monkeypatch):
+    import ast
+
+    import pyarrow as pa
+
+    from astraloom.functions import syntax
+
+    texts = ["def f(a):\n    return [a, a]\n", "x = 1\n", None, "x = (\n"]
+    paths = [f"m{k}.py" for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(paths), pa.array([texts[k % 4] for k in range(40)], pa.string())], ["path", "content"])
+    place = lambda r: (r["path"], r["pre"])
+    want = sorted((r for k, p in enumerate(paths) for r in tree_rows(p, texts[k % 4] or "")), key=place)
+    parse, calls = ast.parse, []
+    monkeypatch.setattr(ast, "parse", lambda text: calls.append(text) or parse(text))
+    whole = list(syntax.parsed_batches([batch]))
+    assert len(calls) == 4 and len(whole) == 1 and sorted(whole[0].to_pylist(), key=place) == want
+    order = [(r["kind"], r["path"], r["pre"]) for r in whole[0].to_pylist()]
+    assert order == sorted(order)
+    monkeypatch.setattr(syntax, "HELD_ROWS", 7)  # copies of one text over several batches
+    parts = list(syntax.parsed_batches([batch]))
+    assert len(parts) > 10 and max(p.num_rows for p in parts) < 20 and sorted((r for p in parts for r in p.to_pylist()), key=place) == want
+
+
+def test_the_parse_sorts_no_partition_and_grows_in_tasks(spark, sf, monkeypatch):
+    from astraloom.functions import tables
+    from astraloom.sources import corpus
+
+    plans = []
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return tables.written(df, name)
+
+    monkeypatch.setattr(corpus, "written", seen)
+    monkeypatch.setattr(corpus, "PARSED_AT_ONCE", 10)
+    rows, files = corpus.parsed(spark, sf, "few", lambda s, d: corpus.snippet_files(s, d).select("path", "content"))
+    assert "Sort" not in plans[1][1] and f"hashpartitioning(path" in plans[1][1] and f", {files.count() // 10})" in plans[1][1]
+    assert rows.filter("kind = 'Module' OR kind = 'ParseError'").count() == files.count()
+
+
 def test_odd_files(spark):
     rows, files = source(spark, {"a.py": "", "b.py": "x = (\n", "c.py": "x = '\\ud800'\n", "d.py": "a\x0c = 1\n# noqa\n"})
     kinds = {(r["path"], r["kind"]) for r in rows.collect()}
