@@ -534,3 +534,41 @@ def test_a_question_makes_only_the_stages_it_reads(spark, sf):
     bundles.QUERIES["questions_constraints"](spark, sf).count()
     made = bundles._services(spark, sf).__dict__
     assert {"n", "f"} <= set(made) and not {"graph", "xref", "status", "found"} & set(made)
+
+
+def test_parts_hold_all_sources_and_are_bounded(spark):
+    import json
+
+    from astraloom.operators import questions
+
+    files = described(spark.createDataFrame([(f"p/m{k:03}.py", "x = 1\n" * (k % 7)) for k in range(300)], "path string, content string"))
+    parts = questions.source_parts(files, lines=20).cache()
+    whole = {r["path"]: (r["taken"], r["source"]) for r in parts.collect()}
+    assert whole == {f"p/m{k:03}.py": (k % 7, "\n".join(["x = 1"] * (k % 7))) for k in range(300) if k % 7}
+    sizes = [r["n"] for r in parts.groupBy("part").agg(F.sum("taken").alias("n")).collect()]
+    assert len(sizes) > 30 and max(sizes) < 20 + 7
+    context = spark.createDataFrame([("map", 1, "Files: 300")], "part string, at int, text string")
+
+    def client(prompt):
+        lines = prompt.split("\n")
+        return json.dumps({"findings": [{"file": x.split()[1], "desc": lines[0]} for x in lines if x.startswith("=== ")]})
+
+    got = questions.review_across(context, parts, client).collect()
+    assert sorted(r["path"] for r in got) == sorted(whole) and {r["symbol"] for r in got} == {"Files: 300"}
+
+
+def test_tables_of_loops_are_planned_at_their_size_in_memory(spark, tmp_path):
+    from astraloom.functions import tables
+
+    key = "spark.sql.sources.fileCompressionFactor"
+    plans = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ids = tables.written(spark.range(400_000).select(F.concat(F.lit("file:svc/"), "id").alias("id")), "ids")
+    before = spark.conf.get(key)
+    with tables.true_sizes(spark):
+        inside = plans(ids.join(ids.withColumnRenamed("id", "b"), F.col("id") == F.col("b")))
+    assert "Broadcast" not in inside and spark.conf.get(key) == before
+    assert "Broadcast" in plans(ids.join(ids.withColumnRenamed("id", "b"), F.col("id") == F.col("b")))
+    spark.conf.set(key, "3.0")
+    with tables.true_sizes(spark):
+        assert spark.conf.get(key) == "3.0"
+    spark.conf.unset(key)
