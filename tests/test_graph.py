@@ -572,3 +572,12 @@ def test_tables_of_loops_are_planned_at_their_size_in_memory(spark, tmp_path):
     with tables.true_sizes(spark):
         assert spark.conf.get(key) == "3.0"
     spark.conf.unset(key)
+
+
+def test_claims_of_notes_parse_nothing(spark, sf):
+    from astraloom.plans import bundles
+
+    bundles._KEPT.pop((spark.sparkContext.applicationId, sf), None)
+    bundles.QUERIES["questions_claims"](spark, sf).count()
+    made = bundles._services(spark, sf).__dict__
+    assert "f" in made and "n" not in made
