@@ -645,3 +645,11 @@ def test_threads_are_used_for_many_prompts_and_given_up_if_late():
 
     got = calls.ask_all(client, [str(k) for k in range(500)], calls.Limits(seconds=0.2, attempts=1, in_flight=2, pause=0))
     assert got == [None if k in (7, 9) else str(k) for k in range(500)] and len(seen) == 500 and len(set(seen)) <= 3
+
+
+def test_files_are_made_of_keys_in_all_tasks(spark, sf):
+    from astraloom.sources import bundles, corpus
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for made in (bundles.files(spark, sf, bundles.PYTHON), corpus.project_files(spark, sf), corpus.snippet_files(spark, sf)):
+        assert made.rdd.getNumPartitions() == tasks  # one file of keys was one task
