@@ -132,3 +132,15 @@ def test_stream_of_changes(spark, tmp_path):
         keep_current(kept, str(tmp_path / "in"), str(tmp_path / "offsets"), counts.append).awaitTermination()
     assert counts[:2] == [2, 1]
     same_as_a_full_run(spark, kept, {"b.py": "from a import f\nf()\n"})
+
+
+def test_an_update_parses_in_tasks_that_grow(spark, tmp_path, monkeypatch):
+    from astraloom.streaming import current
+
+    parts = []
+    whole = current.syntax_rows
+    monkeypatch.setattr(current, "PARSED_AT_ONCE", 10)
+    monkeypatch.setattr(current, "syntax_rows", lambda files: parts.append(files.rdd.getNumPartitions()) or whole(files))
+    kept = current.CurrentGraph(spark, f"file://{tmp_path}/kept", ["DEAD_IMPORT"])
+    kept.update(spark.createDataFrame([(f"p/m{k}.py", "import os\n") for k in range(120)], "path string, content string").selectExpr("*", "timestamp_seconds(1) AS at"))
+    assert parts == [12] and kept.findings().count() == 120
