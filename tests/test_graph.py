@@ -586,7 +586,11 @@ def test_claims_of_notes_parse_nothing(spark, sf):
 def test_limits_meet_functions_by_broadcast(spark, sf):
     from astraloom.plans import bundles
 
-    plan = bundles.QUERIES["questions_constraints"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all tables were large
+    try:
+        plan = bundles.QUERIES["questions_constraints"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "CartesianProduct" not in plan  # which would cut the texts of all functions once for every partition of the limits
 
 
