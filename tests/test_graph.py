@@ -268,6 +268,23 @@ def test_excluded_folders_are_neither_listed_nor_read(spark, tmp_path, monkeypat
     assert tree.read_tree(spark, str(tmp_path), scripts=False).count() == 6
 
 
+def test_folders_that_are_left_are_dealt_to_few_tasks(tmp_path, monkeypatch):
+    names = [f"svc{k}/{inner}m.py" for k in range(1500) for inner in ("", "in/")]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    listed = []
+    real = tree.TreeReader.children
+    monkeypatch.setattr(tree.TreeReader, "children", lambda self, fs, top, unit: listed.append(unit.path) or real(self, fs, top, unit))
+    monkeypatch.setattr(tree, "FOLDERS", 10)
+    reader = tree.TreeReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(listed) <= 10 and 100 < len(parts) < 600  # neither the driver nor a task a folder
+    batches = [batch for part in parts for batch in reader.read(part)]
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    assert sorted(r["path"] for r in rows) == sorted(names) and all(r["path"] == r["content"] for r in rows) and len(batches) <= len(parts)
+
+
 def test_mentions_against_brute_force(spark, monkeypatch):
     r = random.Random(4)
     words = ["".join(r.choice("ab") for _ in range(r.randint(1, 5))) for _ in range(40)] + ["é", "\U0001f600b", "order", "orders", "ord" + "x" * 50]
