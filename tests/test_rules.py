@@ -5,7 +5,7 @@ import pytest
 from astraloom.functions import javascript
 from astraloom.functions.syntax import syntax_rows, tree_rows
 from astraloom.operators import findings, fixes, lint, patterns
-from astraloom.plans import registry
+from astraloom.plans import bundles, registry
 from astraloom.sources.snippets import FAMILIES, JS_FAMILIES, js_variants, marked, variants
 from astraloom.sources.tree import described
 
@@ -192,6 +192,17 @@ def test_autofix_reaches_every_module(spark, sf, monkeypatch):
     assert got == {"pkg2/m2.py": (1, 0, "import re\nprint(re)\n"), "pkg3/m45.py": (0, 1, "def f(a, _b):\n    return a\n")}
 
 
+def test_service_fixes_make_every_fix(spark, sf, monkeypatch):
+    """Of unused parameters too, and of a text that only its comment keeps."""
+    texts = {"a.py": "def f(a, b):\n    return a\n", "b.py": "from __future__ import annotations\ndef g(x, *, y: int = 1):  # noqa: UNUSED_PARAM\n    return 1\nasync def h(x, z):\n    return x\n"}
+    rows, files = source(spark, texts)
+    services = bundles.Services(spark, sf)
+    services.n, services.f = rows, files
+    monkeypatch.setattr(bundles, "_services", lambda *_: services)
+    got = {r["path"]: tuple(r)[1:] for r in bundles.service_fixes(spark, sf).collect()}
+    assert got == {"a.py": (0, 1, 0, "def f(a, _b):\n    return a\n"), "b.py": (1, 1, 0, texts["b.py"].split("\n", 1)[1].replace("x, z", "x, _z"))}
+
+
 def test_suite_queries_see_every_rule(spark, sf):
     got = {r["rule"] for r in registry.queries()["findings_diff_suite"](spark, sf).select("rule").collect()}
     rows, files = registry.corpus.parsed(spark, sf)
